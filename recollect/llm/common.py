@@ -161,8 +161,13 @@ def set_id(s: np.ndarray) -> int:
     return int(mix(np.array([total + np.uint64(len(s))], np.uint64)).view(np.int64)[0])
 
 
-def signature(s: np.ndarray, n_words: int) -> np.ndarray:
-    """Parity bits of a set: differing bits of two signatures never outnumber the sets' symmetric difference."""
+def signature(s: np.ndarray, least: int, most: int = 1024) -> np.ndarray:
+    """Parity bits of a set: differing bits of two signatures never outnumber the sets' symmetric difference.
+
+    A power of two of 64-bit words, least to most, about two bits a member; one of half the length is the exclusive or of its halves."""
+    n_words = least
+    while n_words < most and n_words * 32 < len(s):
+        n_words *= 2
     bits = np.bincount((s >> np.uint64(7)).astype(np.int64) % (64 * n_words), minlength=64 * n_words) & 1
     return np.packbits(bits.astype(np.uint8)).view(np.int64)
 

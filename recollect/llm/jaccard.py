@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import cut, pieces, set_id, shingle_sets, signature, small, table, text_bytes, words
-from .links import SIMILAR, SMALL_ROWS, link, wanted_in
+from .links import SIMILAR, SMALL_ROWS, link, sets_sent
 
 HEAVY, HEAVY_LEAST = 400_000, 24
 WINDOW = 3_000_000
@@ -101,15 +101,8 @@ def classes(docs: DataFrame) -> DataFrame:
     sets = cut(keyed_sets(docs))
     where = sets.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
 
-    def fetch(wanted: DataFrame) -> DataFrame:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in pieces(batches):
-                asked = batch.column("lk_nodes").to_pylist()
-                got = [(k, s) for i, s in sets_of(batch) if (k := set_id(s)) in asked[i]]
-                yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.int64()), pa.array([g[1].tobytes() for g in got], pa.binary())], names=["node", "toks"])
-
-        return wanted_in(docs, wanted, where, ["text"]).mapInArrow(run, "node long, toks binary").dropDuplicates(["node"])
-
+    named_sets = lambda batch: ((i, set_id(s), s) for i, s in sets_of(batch))
+    fetch = lambda wanted: sets_sent(docs, wanted, where, named_sets)
     labels = link(sets.filter("keys is not null").select("node", "n", "sig", "keys"), fetch)
     linked = where.join(labels, "node")
     first = linked.groupBy("comp").agg(F.min("doc_id").alias("least"))

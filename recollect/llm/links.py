@@ -1,9 +1,9 @@
 """Links between sets: candidate lists by shared keys, signature bounds, prefix-tree verification, components.
 
 A node is a distinct set (its 64-bit identity), so copies are one node. Nodes that share a key are candidates. In a first
-round each list of a key links its smallest node with the others; in a second round the pairs of a list that stand in
-different components are tried too, so no link is lost, though copies are never expanded into all pairs. Pairs are
-dropped by bounds (sizes, parity signatures) that no pair above the similarity fails.
+round each node is tried with one other, of the smallest nodes of its keys' lists the one met most often; in a second round
+all pairs of a list that still stand in different components are tried, so no link is lost, though copies are never
+expanded into all pairs. Pairs are dropped by bounds (sizes, parity signatures) that no pair above the similarity fails.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_bucket, cut, small, unpack_pairs, unpacked
+from .common import by_bucket, cut, pieces, small, unpack_pairs, unpacked
 
 #: Jaccard similarity of a link, as a fraction.
 SIMILAR = (3, 4)
@@ -29,7 +29,7 @@ def n_buckets(keys: int) -> int:
 
 
 def lists_of(keyed: DataFrame) -> DataFrame:
-    """Packed star pairs (a, b) and packed lists of three nodes or more (k, v), from rows (node, keys)."""
+    """Packed star pairs (a, b, met) and packed lists of two nodes or more (k, v), from rows (node, keys)."""
     total = keyed.agg(F.sum(F.octet_length("keys"))).first()[0] or 0
     n = n_buckets(total // 8)
 
@@ -57,12 +57,16 @@ def lists_of(keyed: DataFrame) -> DataFrame:
         run = np.repeat(np.arange(len(first)), size)
         center = v[first][run]
         other = center != v
-        pair = np.unique(np.stack((center[other], v[other]), 1), axis=0) if other.any() else np.zeros((0, 2), np.int64)
-        long = size[run] >= 3
-        return pa.table({"a": pa.array([pair[:, 0].tobytes()], pa.binary()), "b": pa.array([pair[:, 1].tobytes()], pa.binary()), "k": pa.array([k[long].tobytes()], pa.binary()), "v": pa.array([v[long].tobytes()], pa.binary())})
+        a, b = center[other], v[other]
+        order = np.lexsort((b, a))
+        a, b = a[order], b[order]
+        head = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))) if len(a) else np.zeros(0, np.int64)
+        met = np.diff(np.concatenate((head, [len(a)]))).astype(np.int64)
+        long = size[run] >= 2
+        return pa.table({n: pa.array([c.tobytes()], pa.binary()) for n, c in (("a", a[head]), ("b", b[head]), ("met", met), ("k", k[long]), ("v", v[long]))})
 
     dealt = keyed.select("node", "keys").mapInArrow(deal, "bucket int, k binary, v binary")
-    return cut(dealt.groupBy("bucket").applyInArrow(meet, "a binary, b binary, k binary, v binary"))
+    return cut(dealt.groupBy("bucket").applyInArrow(meet, "a binary, b binary, met binary, k binary, v binary"))
 
 
 def possible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -73,8 +77,11 @@ def possible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     both = pairs.join(left, "a").join(right, "b").filter(q * F.least("na", "nb") >= p * F.greatest("na", "nb"))
     total = F.col("na") + F.col("nb")
     most = total - 2 * F.ceil(F.lit(p) * total / F.lit(p + q))
-    differ = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda a, x: a + x)
-    return both.filter(differ <= most).select("a", "b")
+    xor = lambda x, y: x.bitwiseXOR(y)
+    half = lambda c: F.zip_with(F.slice(c, 1, (F.size(c) / 2).cast("int")), F.slice(c, (F.size(c) / 2 + 1).cast("int"), (F.size(c) / 2).cast("int")), xor)
+    fit = lambda c, d: F.when(F.size(c) > F.size(d), half(c)).otherwise(c)  # noqa: E731  sizes within 3/4, so lengths within 1/2
+    differ = F.aggregate(F.zip_with(fit(F.col("sa"), F.col("sb")), fit(F.col("sb"), F.col("sa")), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda a, x: a + x)
+    return both.filter(differ <= most).select(*pairs.columns)
 
 
 def tree_join(x: np.ndarray, others: list[np.ndarray]) -> list[bool]:
@@ -111,24 +118,24 @@ def tree_join(x: np.ndarray, others: list[np.ndarray]) -> list[bool]:
 
 
 def verified(pairs: DataFrame, fetch: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """The pairs that have the similarity, by their whole sets. A node with many partners is split over groups of about SPLIT."""
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    sets = cut(fetch(wanted))
-    partners = pairs.groupBy("a").agg(F.ceil(F.count("*") / SPLIT).cast("int").alias("parts"))
-    right = pairs.join(partners, "a").withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int"))
-    right = right.join(sets.select(F.col("node").alias("b"), "toks"), "b").select("a", "part", "b", "toks")
-    left = partners.join(sets.select(F.col("node").alias("a"), "toks"), "a").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    left = left.select(F.col("a").alias("x"), F.col("part").alias("x_part"), F.col("toks").alias("x_toks"))
-
-    def check(one: pa.Table, many: pa.Table) -> pa.Table:
-        keep = []
-        if one.num_rows and many.num_rows:
-            x = np.frombuffer(one.column("x_toks")[0].as_py(), np.uint64)
-            keep = tree_join(x, [np.frombuffer(t, np.uint64) for t in many.column("toks").to_pylist()])
-        b = many.column("b").to_numpy()[np.array(keep, bool)] if keep else np.zeros(0, np.int64)
-        return pa.table({"a": pa.array(np.full(len(b), one.column("x")[0].as_py() if one.num_rows else 0, np.int64)), "b": pa.array(b)})
-
-    return cut(left.groupBy("x", "x_part").cogroup(right.groupBy("a", "part")).applyInArrow(check, "a long, b long"))
+    """The pairs that have the similarity, by their whole sets. A node with many partners is split over groups of about SPLIT.
+
+    The sets go straight from the documents to the groups that need them: a group holds one node and its partners."""
+    parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / SPLIT).cast("int").alias("parts"))
+    sent = pairs.join(parts, "a").select(F.col("b").alias("node"), "a", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"))
+    own = parts.select(F.col("a").alias("node"), "a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+
+    def check(group: pa.Table) -> pa.Table:
+        a = group.column("a")[0].as_py()
+        nodes = group.column("node").to_numpy()
+        sets = [np.frombuffer(t, np.uint64) for t in group.column("toks").to_pylist()]
+        center = next((s for n, s in zip(nodes, sets, strict=True) if n == a), None)
+        others = [i for i, n in enumerate(nodes) if n != a]
+        keep = tree_join(center, [sets[i] for i in others]) if center is not None else []
+        b = np.array([nodes[i] for i, k in zip(others, keep, strict=False) if k], np.int64)
+        return pa.table({"a": pa.array(np.full(len(b), a, np.int64)), "b": pa.array(b)})
+
+    return cut(fetch(sent.union(own)).groupBy("a", "part").applyInArrow(check, "a long, b long"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -149,27 +156,47 @@ def components(edges: DataFrame) -> DataFrame:
 def link(keyed: DataFrame, fetch: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """(node, comp) of nodes that have a link.
 
-    keyed: rows (node, n, sig array<long>, keys packed), a node may repeat; fetch: (node) rows to (node, toks packed) rows."""
+    keyed: rows (node, n, sig array<long>, keys packed), a node may repeat; fetch: rows (node, a, part) to (a, part, node, toks packed)."""
     lists = lists_of(keyed)
-    nodes = cut(keyed.groupBy("node").agg(F.first("n").alias("n"), F.first("sig").alias("sig")).join(unpack_pairs(lists, ("a", "b")).select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi"))
-    first = cut(possible(unpack_pairs(lists, ("a", "b")).distinct(), nodes))
+    listed = unpack_pairs(lists, ("k", "v"))
+    nodes = cut(keyed.groupBy("node").agg(F.first("n").alias("n"), F.first("sig").alias("sig")).join(listed.select(F.col("v").alias("node")).distinct(), "node", "left_semi"))
+    stars = unpack_pairs(lists, ("a", "b", "met")).groupBy("a", "b").agg(F.sum("met").alias("met"))
+    first = possible(stars, nodes).groupBy("b").agg(F.max(F.struct("met", (-F.col("a")).alias("a"))).alias("m")).select((-F.col("m.a")).alias("a"), "b")
+    first = cut(first)
     edges = verified(first, fetch)
     labels = components(edges)
-    listed = unpack_pairs(lists, ("k", "v")).join(nodes.select(F.col("node").alias("v"), "n"), "v").join(labels.withColumnRenamed("node", "v"), "v", "left").select("k", "v", "n", F.coalesce("comp", "v").alias("comp"))
-    mixed = listed.groupBy("k").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("v").alias("star")).filter("lo < hi").select("k", "star")
-    open_ = cut(listed.join(mixed, "k").filter("v <> star").select("k", "v", "n", "comp"))
     p, q = SIMILAR
+    listed = listed.join(nodes.select(F.col("node").alias("v"), "n"), "v").join(labels.withColumnRenamed("node", "v"), "v", "left").select("k", "v", "n", F.coalesce("comp", "v").alias("comp"))
+    mixed = listed.groupBy("k").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("k")
+    open_ = cut(listed.join(mixed, "k").select("k", "v", "n", "comp"))
     x, y = open_.alias("x"), open_.alias("y")
     cross = x.join(y, (F.col("x.k") == F.col("y.k")) & (F.col("x.v") < F.col("y.v")) & (F.col("x.comp") != F.col("y.comp")) & (q * F.least("x.n", "y.n") >= p * F.greatest("x.n", "y.n")))
-    second = cut(possible(cross.select(F.col("x.v").alias("a"), F.col("y.v").alias("b")).distinct(), nodes))
-    second = second.join(first, ["a", "b"], "left_anti")
+    second = possible(cross.select(F.col("x.v").alias("a"), F.col("y.v").alias("b")).distinct(), nodes)
+    second = cut(second.join(first, ["a", "b"], "left_anti"))
     if second.isEmpty():
         return labels
-    more = verified(cut(second), fetch)
+    more = verified(second, fetch)
     return labels if more.isEmpty() else components(edges.union(more))
 
 
-def wanted_in(docs: DataFrame, wanted: DataFrame, where: DataFrame, columns: list[str]) -> DataFrame:
-    """The documents that hold wanted nodes: where has (node, doc_id), one row a node; joined by a checked broadcast or a shuffle."""
-    ids = cut(where.join(wanted, "node").groupBy("doc_id").agg(F.collect_set("node").alias("lk_nodes")).withColumnRenamed("doc_id", "lk_id"))
-    return docs.join(small(ids, SMALL_ROWS), docs["doc_id"] == F.col("lk_id")).select(*columns, "lk_nodes")
+def wanted_in(docs: DataFrame, wanted: DataFrame, where: DataFrame) -> DataFrame:
+    """text, lk_wanted of the documents that hold wanted nodes: where has (node, doc_id), one row a node; joined by a checked broadcast or a shuffle."""
+    ids = cut(where.join(wanted, "node").groupBy(F.col("doc_id").alias("lk_id")).agg(F.collect_list(F.struct("node", "a", "part")).alias("lk_wanted")))
+    return docs.join(small(ids, SMALL_ROWS), docs["doc_id"] == F.col("lk_id")).select("text", "lk_wanted")
+
+
+def sets_sent(docs: DataFrame, wanted: DataFrame, where: DataFrame, sets_of: Callable[[pa.RecordBatch], Iterator[tuple[int, int, np.ndarray]]]) -> DataFrame:
+    """(a, part, node, toks): the wanted sets, out of the documents; sets_of gives (row, node, set) of a batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches):
+            asked: list[dict[int, list]] = []
+            for row in batch.column("lk_wanted").to_pylist():
+                asked.append({})
+                for w in row:
+                    asked[-1].setdefault(w["node"], []).append((w["a"], w["part"]))
+            # a node may stand in a row several times (equal lines): it is sent once
+            got = [(a, part, node, s) for i, node, s in sets_of(batch) for a, part in asked[i].pop(node, ())]
+            yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.int32()), pa.array([g[2] for g in got], pa.int64()), pa.array([g[3].tobytes() for g in got], pa.binary())], names=["a", "part", "node", "toks"])
+
+    return wanted_in(docs, wanted, where).mapInArrow(run, "a long, part int, node long, toks binary")

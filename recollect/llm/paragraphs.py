@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from . import spans as sp
 from .common import by_bucket, cut, mix, pieces, set_id, shingle_sets, signature, table, text_bytes, words
-from .links import link, wanted_in
+from .links import link, sets_sent
 
 MIN_WORDS = 10
 BANDS, ROWS = 12, 3
@@ -85,16 +85,11 @@ def removed_lines(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     places = found.select("doc_id", "start", "end", "node")
     first = places.groupBy("node").agg(F.min(F.struct("doc_id", "start")).alias("at"))
 
-    def fetch(wanted: DataFrame) -> DataFrame:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in pieces(batches):
-                asked = [set(x) for x in batch.column("lk_nodes").to_pylist()]
-                text, _, _, sets = lines(batch)
-                got = [(k, s) for i, s in sets if (k := set_id(s)) in asked[text[i]]]
-                yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.int64()), pa.array([g[1].tobytes() for g in got], pa.binary())], names=["node", "toks"])
-
-        return wanted_in(docs, wanted, first.select("node", F.col("at.doc_id").alias("doc_id")), ["text"]).mapInArrow(run, "node long, toks binary").dropDuplicates(["node"])
+    def named_sets(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray]]:
+        text, _, _, sets = lines(batch)
+        return ((int(text[i]), set_id(s), s) for i, s in sets)
 
+    fetch = lambda wanted: sets_sent(docs, wanted, first.select("node", F.col("at.doc_id").alias("doc_id")), named_sets)
     labels = link(found.filter("keys is not null").select("node", "n", "sig", "keys"), fetch)
     linked = first.join(labels, "node")
     least = linked.groupBy("comp").agg(F.min("at").alias("least"))
