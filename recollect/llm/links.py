@@ -1,9 +1,11 @@
 """Links between sets: candidate lists by shared keys, signature bounds, prefix-tree verification, components.
 
 A node is a distinct set (its 64-bit identity), so copies are one node. Nodes that share a key are candidates. In a first
-round each node is tried with one other, of the smallest nodes of its keys' lists the one met most often; in a second round
-all pairs of a list that still stand in different components are tried, so no link is lost, though copies are never
-expanded into all pairs. Pairs are dropped by bounds (sizes, parity signatures) that no pair above the similarity fails.
+round each node is tried with the smallest nodes of its keys' lists. A second round tries another
+node of each list with those of other components. The links make stars, a node and those linked to it. In the last round the stars that share a key but stand in different components are compared by what bounds all their pairs
+(the symmetric difference is a metric, and a star's is small), and the pairs of those that stay are tried too; so no link is
+lost, though neither copies nor near copies are expanded into all pairs. Pairs are dropped by bounds (sizes, parity
+signatures) that no pair above the similarity fails.
 """
 
 from __future__ import annotations
@@ -12,7 +14,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import by_bucket, cut, pieces, small, unpack_pairs, unpacked
@@ -29,7 +31,7 @@ def n_buckets(keys: int) -> int:
 
 
 def lists_of(keyed: DataFrame) -> DataFrame:
-    """Packed star pairs (a, b, met) and packed lists of two nodes or more (k, v), from rows (node, keys)."""
+    """Packed star pairs (a, b) and packed lists of two nodes or more (k, v), from rows (node, keys)."""
     total = keyed.agg(F.sum(F.octet_length("keys"))).first()[0] or 0
     n = n_buckets(total // 8)
 
@@ -61,12 +63,22 @@ def lists_of(keyed: DataFrame) -> DataFrame:
         order = np.lexsort((b, a))
         a, b = a[order], b[order]
         head = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))) if len(a) else np.zeros(0, np.int64)
-        met = np.diff(np.concatenate((head, [len(a)]))).astype(np.int64)
         long = size[run] >= 2
-        return pa.table({n: pa.array([c.tobytes()], pa.binary()) for n, c in (("a", a[head]), ("b", b[head]), ("met", met), ("k", k[long]), ("v", v[long]))})
+        return pa.table({n: pa.array([c.tobytes()], pa.binary()) for n, c in (("a", a[head]), ("b", b[head]), ("k", k[long]), ("v", v[long]))})
 
     dealt = keyed.select("node", "keys").mapInArrow(deal, "bucket int, k binary, v binary")
-    return cut(dealt.groupBy("bucket").applyInArrow(meet, "a binary, b binary, met binary, k binary, v binary"))
+    return cut(dealt.groupBy("bucket").applyInArrow(meet, "a binary, b binary, k binary, v binary"))
+
+
+def differing(x: str, y: str) -> Column:
+    """Bits that differ in two signatures, of equal length or one of twice the other's."""
+    xor = lambda a, b: a.bitwiseXOR(b)
+    half = lambda c: (F.size(c) / 2).cast("int")
+    folded = lambda c: F.zip_with(F.slice(c, 1, half(c)), F.slice(c, half(c) + 1, half(c)), xor)
+    fit = lambda c, d: F.when(F.size(c) > F.size(d), folded(c)).otherwise(c)
+    a, b = fit(F.col(x), F.col(y)), fit(F.col(y), F.col(x))
+    bits = F.aggregate(F.zip_with(a, b, lambda c, d: F.bit_count(c.bitwiseXOR(d))), F.lit(0), lambda t, c: t + c)
+    return F.when(F.size(a) == F.size(b), bits).otherwise(F.lit(0))  # lengths further apart tell nothing
 
 
 def possible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -77,21 +89,17 @@ def possible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     both = pairs.join(left, "a").join(right, "b").filter(q * F.least("na", "nb") >= p * F.greatest("na", "nb"))
     total = F.col("na") + F.col("nb")
     most = total - 2 * F.ceil(F.lit(p) * total / F.lit(p + q))
-    xor = lambda x, y: x.bitwiseXOR(y)
-    half = lambda c: F.zip_with(F.slice(c, 1, (F.size(c) / 2).cast("int")), F.slice(c, (F.size(c) / 2 + 1).cast("int"), (F.size(c) / 2).cast("int")), xor)
-    fit = lambda c, d: F.when(F.size(c) > F.size(d), half(c)).otherwise(c)  # noqa: E731  sizes within 3/4, so lengths within 1/2
-    differ = F.aggregate(F.zip_with(fit(F.col("sa"), F.col("sb")), fit(F.col("sb"), F.col("sa")), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda a, x: a + x)
-    return both.filter(differ <= most).select(*pairs.columns)
+    return both.filter(differing("sa", "sb") <= most).select(*pairs.columns)
 
 
-def tree_join(x: np.ndarray, others: list[np.ndarray]) -> list[bool]:
-    """Which of the sets have the similarity with x; sets are sorted arrays of one global order.
+def tree_join(x: np.ndarray, others: list[np.ndarray]) -> list[int]:
+    """The overlaps of the sets that have the similarity with x, 0 of the rest; sets are sorted arrays of one global order.
 
     The others, sorted, form a prefix tree: what two neighbours share as prefix is counted once, and a subtree is left
     as soon as the overlap so far and the remaining lengths can't reach the overlap that the sizes ask for."""
     p, q = SIMILAR
     order = sorted(range(len(others)), key=lambda i: others[i].astype(">u8").tobytes())
-    out = [False] * len(others)
+    out = [0] * len(others)
     before, counted = np.zeros(0, np.uint64), np.zeros(1, np.int64)  # the path, and overlaps by depth as far as counted
     for i in order:
         y = others[i]
@@ -113,12 +121,12 @@ def tree_join(x: np.ndarray, others: list[np.ndarray]) -> list[bool]:
             counts.append(more)
             depth, overlap = depth + len(part), int(more[-1])
         before, counted = y, np.concatenate(counts)
-        out[i] = alive and overlap >= need
+        out[i] = overlap if alive and overlap >= need else 0
     return out
 
 
 def verified(pairs: DataFrame, fetch: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """The pairs that have the similarity, by their whole sets. A node with many partners is split over groups of about SPLIT.
+    """The pairs (a, b, d) that have the similarity, by their whole sets, and the size of their symmetric difference. A node with many partners is split over groups of about SPLIT.
 
     The sets go straight from the documents to the groups that need them: a group holds one node and its partners."""
     parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / SPLIT).cast("int").alias("parts"))
@@ -131,11 +139,11 @@ def verified(pairs: DataFrame, fetch: Callable[[DataFrame], DataFrame]) -> DataF
         sets = [np.frombuffer(t, np.uint64) for t in group.column("toks").to_pylist()]
         center = next((s for n, s in zip(nodes, sets, strict=True) if n == a), None)
         others = [i for i, n in enumerate(nodes) if n != a]
-        keep = tree_join(center, [sets[i] for i in others]) if center is not None else []
-        b = np.array([nodes[i] for i, k in zip(others, keep, strict=False) if k], np.int64)
-        return pa.table({"a": pa.array(np.full(len(b), a, np.int64)), "b": pa.array(b)})
+        overlaps = tree_join(center, [sets[i] for i in others]) if center is not None else []
+        links = [(nodes[i], len(center) + len(sets[i]) - 2 * k) for i, k in zip(others, overlaps, strict=False) if k]
+        return pa.table({"a": pa.array([a] * len(links), pa.int64()), "b": pa.array([x[0] for x in links], pa.int64()), "d": pa.array([x[1] for x in links], pa.int64())})
 
-    return cut(fetch(sent.union(own)).groupBy("a", "part").applyInArrow(check, "a long, b long"))
+    return cut(fetch(sent.union(own)).groupBy("a", "part").applyInArrow(check, "a long, b long, d long"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -160,23 +168,55 @@ def link(keyed: DataFrame, fetch: Callable[[DataFrame], DataFrame]) -> DataFrame
     lists = lists_of(keyed)
     listed = unpack_pairs(lists, ("k", "v"))
     nodes = cut(keyed.groupBy("node").agg(F.first("n").alias("n"), F.first("sig").alias("sig")).join(listed.select(F.col("v").alias("node")).distinct(), "node", "left_semi"))
-    stars = unpack_pairs(lists, ("a", "b", "met")).groupBy("a", "b").agg(F.sum("met").alias("met"))
-    first = possible(stars, nodes).groupBy("b").agg(F.max(F.struct("met", (-F.col("a")).alias("a"))).alias("m")).select((-F.col("m.a")).alias("a"), "b")
-    first = cut(first)
+    first = cut(possible(unpack_pairs(lists, ("a", "b")).distinct(), nodes))
     edges = verified(first, fetch)
     labels = components(edges)
+    for tries in (scattered, across):
+        fresh = cut(tries(listed, nodes, edges, labels).join(first, ["a", "b"], "left_anti"))
+        if fresh.isEmpty():
+            continue
+        more = verified(fresh, fetch)
+        first, edges = first.union(fresh), edges.union(more)
+        if not more.isEmpty():
+            labels = components(edges)
+    return labels
+
+
+def scattered(listed: DataFrame, nodes: DataFrame, edges: DataFrame, labels: DataFrame) -> DataFrame:
+    """Pairs (a, b), a < b, of a node of each list, another one for each key by hash, with those of other components."""
+    at = listed.join(labels.withColumnRenamed("node", "v"), "v", "left").select("k", "v", F.coalesce("comp", "v").alias("comp"))
+    at = cut(at)
+    center = at.groupBy("k").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(F.struct(F.xxhash64("k", "v").alias("h"), "v", "comp")).alias("c")).filter("lo < hi")
+    pairs = at.join(center.select("k", F.col("c.v").alias("cv"), F.col("c.comp").alias("cc")), "k").filter("comp <> cc")
+    return possible(pairs.select(F.least("v", "cv").alias("a"), F.greatest("v", "cv").alias("b")).distinct(), nodes)
+
+
+def across(listed: DataFrame, nodes: DataFrame, edges: DataFrame, labels: DataFrame) -> DataFrame:
+    """Pairs (a, b), a < b, of different components out of stars that share a key, as far as bounds allow them."""
     p, q = SIMILAR
-    listed = listed.join(nodes.select(F.col("node").alias("v"), "n"), "v").join(labels.withColumnRenamed("node", "v"), "v", "left").select("k", "v", "n", F.coalesce("comp", "v").alias("comp"))
-    mixed = listed.groupBy("k").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("k")
-    open_ = cut(listed.join(mixed, "k").select("k", "v", "n", "comp"))
-    x, y = open_.alias("x"), open_.alias("y")
-    cross = x.join(y, (F.col("x.k") == F.col("y.k")) & (F.col("x.v") < F.col("y.v")) & (F.col("x.comp") != F.col("y.comp")) & (q * F.least("x.n", "y.n") >= p * F.greatest("x.n", "y.n")))
-    second = possible(cross.select(F.col("x.v").alias("a"), F.col("y.v").alias("b")).distinct(), nodes)
-    second = cut(second.join(first, ["a", "b"], "left_anti"))
-    if second.isEmpty():
-        return labels
-    more = verified(second, fetch)
-    return labels if more.isEmpty() else components(edges.union(more))
+    gap = lambda n: F.floor(n * (q - p) / (q + p))  # noqa: E731  the symmetric difference that sizes of sum n allow a link
+    star = edges.groupBy(F.col("b").alias("node")).agg(F.min(F.struct("d", "a")).alias("near"))
+    member = nodes.select("node", "n").join(star, "node", "left").join(labels, "node", "left")
+    member = member.select("node", "n", F.coalesce("near.a", "node").alias("star"), F.coalesce("near.d", F.lit(0)).alias("d"), F.coalesce("comp", "node").alias("comp"))
+    member = cut(member)
+    stars = member.groupBy("star").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.first("comp").alias("comp"), F.max("d").alias("radius"))
+    stars = cut(stars.join(nodes.select(F.col("node").alias("star"), "sig"), "star"))
+    shared = listed.join(member.select(F.col("node").alias("v"), "star", "comp"), "v").groupBy("k", "star").agg(F.first("comp").alias("comp"))
+    shared = shared.join(stars.select("star", "lo", "hi"), "star")
+    mixed = shared.groupBy("k").agg(F.min("comp").alias("c_lo"), F.max("comp").alias("c_hi")).filter("c_lo < c_hi").select("k")
+    shared = cut(shared.join(mixed, "k"))
+    x, y = shared.alias("x"), shared.alias("y")
+    sizes = (q * F.col("x.hi") >= p * F.col("y.lo")) & (q * F.col("y.hi") >= p * F.col("x.lo"))
+    met = x.join(y, (F.col("x.k") == F.col("y.k")) & (F.col("x.star") < F.col("y.star")) & (F.col("x.comp") != F.col("y.comp")) & sizes).select(F.col("x.star").alias("s"), F.col("y.star").alias("t")).distinct()
+    side = lambda names: stars.select(*[F.col(c).alias(d) for c, d in zip(("star", "hi", "sig", "radius"), names, strict=True)])
+    near = met.join(side(("s", "s_hi", "s_sig", "s_radius")), "s").join(side(("t", "t_hi", "t_sig", "t_radius")), "t")
+    near = near.withColumn("apart", differing("s_sig", "t_sig")).filter(F.col("apart") <= F.col("s_radius") + F.col("t_radius") + gap(F.col("s_hi") + F.col("t_hi")))
+    one = member.select(F.col("node").alias("m"), F.col("n").alias("m_n"), F.col("star").alias("m_s"), F.col("d").alias("m_d"))
+    two = member.select(F.col("node").alias("o"), F.col("n").alias("o_n"), F.col("star").alias("o_s"), F.col("d").alias("o_d"))
+    pairs = near.join(one, (F.col("s") == F.col("m_s")) & (F.col("apart") <= F.col("m_d") + F.col("t_radius") + gap(F.col("m_n") + F.col("t_hi"))))
+    pairs = pairs.select("t", "apart", "m", "m_n", "m_d")
+    pairs = pairs.join(two, (F.col("t") == F.col("o_s")) & (q * F.least("m_n", "o_n") >= p * F.greatest("m_n", "o_n")) & (F.col("apart") <= F.col("m_d") + F.col("o_d") + gap(F.col("m_n") + F.col("o_n"))))
+    return possible(pairs.select(F.least("m", "o").alias("a"), F.greatest("m", "o").alias("b")).distinct(), nodes)
 
 
 def wanted_in(docs: DataFrame, wanted: DataFrame, where: DataFrame) -> DataFrame:
