@@ -1,4 +1,508 @@
-"""Registered queries of the engine."""
+"""Registered queries of the engine, each with its SQL for DuckDB where SQL can tell the result."""
+
+from __future__ import annotations
+
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import scalar as sc
+from ..operators import audit, graph, memory, refine, text
+from ..sources import loaders
+from ..streaming import jobs as streams
+from . import tables as t
+from .tables import NOW, with_tables
 
 QUERIES: dict = {}
-SQL: dict = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _probe(spark: SparkSession, sf: str):
+    """The embedding of vector 0, a literal of the plan."""
+    return F.lit([float(x) for x in t.read(spark, sf, "embeddings").filter("vec_id = 0").select("embedding").first()[0]])
+
+
+r6 = lambda c, name=None: F.round(c, 6).alias(name or c)
+LIVE = "deleted_at IS NULL"
+SIM = "list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0))"
+DAYS = "((epoch_us(TIMESTAMP '2024-02-01 00:00:00') - epoch_us({c})) / 1000000.0::DOUBLE / 86400.0::DOUBLE)"
+REC = f"least(1.0::DOUBLE, 1.0::DOUBLE / greatest({DAYS.format(c='created_at')}, 0.01::DOUBLE))"
+FUSED = f"0.6::DOUBLE * sim + 0.25::DOUBLE * importance_score + 0.15::DOUBLE * {REC}"
+
+
+def _vector_sql(where: str, k: int, least: float) -> str:
+    return with_tables(f"SELECT id, round(sim, 6) AS similarity, round({FUSED}, 6) AS relevance_score FROM (SELECT *, {SIM} AS sim FROM memories WHERE {where} AND embedding IS NOT NULL ORDER BY sim DESC, id LIMIT {k}) WHERE sim >= {least}", "memories")
+
+
+def _recall(spark, sf, k=10, threshold=0.0, **where) -> DataFrame:
+    m = memory.scan(t.memories(spark, sf), 0, **where)
+    return memory.recall_vector(m, _probe(spark, sf), NOW, k, threshold).select("id", r6("similarity"), r6("relevance_score"))
+
+
+@query(_vector_sql(f"org_id = 0 AND {LIVE}", 10, -1))
+def recall_vector(spark, sf):
+    return _recall(spark, sf, threshold=-1.0)
+
+
+@query(_vector_sql(f"org_id = 0 AND {LIVE}", 50, 0.1))
+def recall_vector_threshold(spark, sf):
+    return _recall(spark, sf, 50, 0.1)
+
+
+@query(_vector_sql(f"org_id = 0 AND {LIVE} AND metadata LIKE '%\"lang\":\"en\"%'", 10, -1))
+def recall_metadata_filter(spark, sf):
+    return _recall(spark, sf, threshold=-1.0, metadata={"lang": "en"})
+
+
+@query(_vector_sql(f"org_id = 0 AND {LIVE} AND user_id = 12", 10, -1))
+def recall_user_scope(spark, sf):
+    return _recall(spark, sf, threshold=-1.0, user=12)
+
+
+@query(_vector_sql(f"org_id = 0 AND {LIVE} AND created_at BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-15'", 10, -1))
+def recall_time_range(spark, sf):
+    span = [F.lit(x).cast("timestamp_ntz") for x in ("2024-01-05", "2024-01-15")]
+    return _recall(spark, sf, threshold=-1.0, between=span)
+
+
+@query(with_tables(f"SELECT id, round(0.5::DOUBLE * importance_score + 0.5::DOUBLE * {REC}, 6) AS relevance_score FROM (SELECT * FROM memories WHERE org_id = 1 AND {LIVE} ORDER BY importance_score DESC, created_at DESC, id LIMIT 10)", "memories"))
+def recall_fallback(spark, sf):
+    return memory.recall_fallback(memory.scan(t.memories(spark, sf), 1), NOW).select("id", r6("relevance_score"))
+
+
+@query(with_tables("SELECT id, importance_score, valid_from FROM versions WHERE org_id = 0 AND deleted_at IS NULL AND valid_from <= TIMESTAMP '2024-01-10' AND (valid_to IS NULL OR valid_to > TIMESTAMP '2024-01-10') ORDER BY importance_score DESC, id LIMIT 20", "versions"))
+def recall_as_of(spark, sf):
+    at = F.lit("2024-01-10").cast("timestamp_ntz")
+    return memory.scan(t.versions(spark, sf), 0, as_of=at).orderBy(F.col("importance_score").desc(), "id").limit(20).select("id", "importance_score", "valid_from")
+
+
+@query(with_tables(f"SELECT id, round(sim, 6) AS similarity FROM (SELECT *, {SIM} AS sim FROM memories WHERE org_id = 0 AND agent_id = 0 AND {LIVE} AND embedding IS NOT NULL ORDER BY sim DESC, id LIMIT 1) WHERE sim > 0.95", "memories"))
+def near_duplicate_check(spark, sf):
+    return memory.near_duplicate(memory.scan(t.memories(spark, sf), 0, agent=0), _probe(spark, sf)).select("id", r6("similarity"))
+
+
+@query("SELECT query_id, id, rank FROM (SELECT q.vec_id AS query_id, e.vec_id AS id, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) DESC, e.vec_id) AS rank FROM embeddings e JOIN embeddings q ON q.vec_id <> e.vec_id AND q.vec_id < 20) WHERE rank <= 5")
+def batch_knn_topk(spark, sf):
+    e = t.read(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    asked = e.filter("id < 20").select(F.col("id").alias("query_id"), F.col("embedding").alias("q"))  # 20 stated queries
+    return memory.knn_per_query(e, asked, 5).select("query_id", "id", F.col("rank").cast("long").alias("rank"))
+
+
+@query(with_tables("SELECT id, memory_type, importance_score FROM memories WHERE org_id = 2 AND id = 42 AND deleted_at IS NULL", "memories"))
+def point_lookup(spark, sf):
+    return memory.scan(t.memories(spark, sf), 2).filter("id = 42").select("id", "memory_type", "importance_score")
+
+
+@query(with_tables("SELECT id, valid_from, valid_to, importance_score FROM versions WHERE id = 25", "versions"))
+def memory_history(spark, sf):
+    return memory.history(t.versions(spark, sf), 25).select("id", "valid_from", "valid_to", "importance_score")
+
+
+@query(with_tables("SELECT id, valid_from FROM versions WHERE org_id = 1 AND valid_from BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-07'", "versions"))
+def changed_between(spark, sf):
+    a, b = (F.lit(x).cast("timestamp_ntz") for x in ("2024-01-05", "2024-01-07"))
+    return memory.changed_between(t.versions(spark, sf), a, b, 1).select("id", "valid_from")
+
+
+MEMO_SQL = "mv AS (SELECT id AS memo_id, row_number() OVER w AS version, valid_from, lead(valid_from) OVER w AS valid_to FROM versions WINDOW w AS (PARTITION BY id ORDER BY valid_from))"
+
+
+@query(with_tables("SELECT * FROM mv", "versions", more=MEMO_SQL))
+def memo_versions_build(spark, sf):
+    return memory.memo_versions(t.versions(spark, sf)).withColumn("version", F.col("version").cast("long"))
+
+
+@query(with_tables("SELECT m.id, v.version FROM memories m LEFT JOIN (SELECT memo_id, max(version) AS version FROM mv WHERE valid_from <= TIMESTAMP '2024-01-12' AND (valid_to IS NULL OR valid_to > TIMESTAMP '2024-01-12') GROUP BY 1) v ON m.id = v.memo_id", "versions", more=MEMO_SQL))
+def memo_as_of_join(spark, sf):
+    v = memory.memo_versions(t.versions(spark, sf))
+    return memory.memo_as_of(t.memories(spark, sf).select("id"), v, F.lit("2024-01-12").cast("timestamp_ntz")).withColumn("version", F.col("version").cast("long"))
+
+
+UPDATES = "SELECT id, CASE WHEN id % 3 = 0 THEN importance_score / CAST(4 AS DOUBLE) END AS importance_score, CASE WHEN id % 3 = 1 THEN recall_count + 1 END AS recall_count, CAST(NULL AS {TS}) AS deleted_at FROM {v} WHERE valid_to IS NULL AND id % 6 <> 5"
+
+
+@query(with_tables("""SELECT v.id, v.importance_score, coalesce(u.recall_count, v.recall_count) AS recall_count, v.valid_from, v.valid_to FROM versions v LEFT JOIN u ON u.id = v.id AND v.valid_to IS NULL WHERE NOT coalesce(u.importance_score <> v.importance_score, false)
+ UNION ALL SELECT v.id, v.importance_score, v.recall_count, v.valid_from, TIMESTAMP '2024-02-01' FROM versions v JOIN u ON u.id = v.id AND v.valid_to IS NULL WHERE u.importance_score <> v.importance_score
+ UNION ALL SELECT v.id, u.importance_score, coalesce(u.recall_count, v.recall_count), TIMESTAMP '2024-02-01', NULL FROM versions v JOIN u ON u.id = v.id AND v.valid_to IS NULL WHERE u.importance_score <> v.importance_score""", "versions", more="u AS (" + UPDATES.replace("{TS}", "TIMESTAMP").replace("{v}", "versions") + ")"))
+def scd2_apply_updates(spark, sf):
+    v = t.versions(spark, sf)
+    u = spark.sql(UPDATES.replace("{TS}", "TIMESTAMP_NTZ"), v=v)
+    return memory.apply_updates(v, u, NOW).select("id", "importance_score", "recall_count", "valid_from", "valid_to")
+
+
+@query(with_tables("SELECT id, TIMESTAMP '2024-02-01' AS deleted_at FROM memories WHERE ttl_expires_at < TIMESTAMP '2024-02-01' AND deleted_at IS NULL", "memories"))
+def ttl_sweep(spark, sf):
+    return memory.ttl_sweep(t.memories(spark, sf), NOW).select("id", "deleted_at")
+
+
+@query(with_tables("SELECT id, org_id, memory_type FROM (SELECT *, count(*) OVER (PARTITION BY org_id, agent_id, memory_type) - 20 AS excess, row_number() OVER (PARTITION BY org_id, agent_id, memory_type, pinned ORDER BY importance_score, created_at, id) AS rn FROM memories WHERE deleted_at IS NULL) WHERE NOT pinned AND rn <= excess", "memories"))
+def retention_cap(spark, sf):
+    return memory.retention_evictions(t.memories(spark, sf), 20).select("id", "org_id", "memory_type")
+
+
+DECAYED = f"(SELECT *, greatest(0.0::DOUBLE, importance_score * exp(-0.05::DOUBLE * greatest({DAYS.format(c='coalesce(last_recalled_at, created_at)')}, 0.0::DOUBLE))) AS s FROM memories WHERE {LIVE} AND NOT pinned AND importance_score > 0)"
+
+
+@query(with_tables(f"SELECT id, round(s, 5) AS new_score FROM {DECAYED}", "memories"))
+def decay_importance(spark, sf):
+    return memory.decay(t.memories(spark, sf), NOW).select("id", F.round(sc.decayed(F.col("importance_score"), sc.days_between(NOW, F.coalesce("last_recalled_at", "created_at")), 0.05, 0.0), 5).alias("new_score"))
+
+
+@query(with_tables(f"SELECT count(*) AS examined, count(*) FILTER (WHERE abs(round(s, 6) - importance_score) > 0.0001) AS changed, count(*) FILTER (WHERE abs(round(s, 6) - importance_score) > 0.0001 AND round(s, 6) < 0.05) AS below FROM {DECAYED}", "memories"))
+def decay_summary(spark, sf):
+    return memory.decay_summary(memory.decay(t.memories(spark, sf), NOW))
+
+
+@query(with_tables("SELECT m.id, m.recall_count + coalesce(b.n, 0) AS recall_count, coalesce(b.at, m.last_recalled_at) AS last_recalled_at FROM memories m LEFT JOIN (SELECT memory_id, count(*) AS n, max(created_at) AS at FROM log WHERE operation = 'recall' GROUP BY 1) b ON b.memory_id = m.id", "memories", "log"))
+def recall_count_bump(spark, sf):
+    recalls = t.log(spark, sf).filter("operation = 'recall'").select(F.col("memory_id").alias("id"), F.col("created_at").alias("at"))
+    return memory.bump_recalls(t.memories(spark, sf), recalls).select("id", "recall_count", "last_recalled_at")
+
+
+# --- audit -----------------------------------------------------------------------------------------------------------
+
+
+@query(with_tables("SELECT id, operation, created_at FROM log WHERE org_id = 1 ORDER BY created_at DESC, id DESC LIMIT 50 OFFSET 100", "log"))
+def audit_page_offset(spark, sf):
+    return audit.page(t.log(spark, sf).filter("org_id = 1"), 3, 50).select("id", "operation", "created_at")
+
+
+@query(with_tables("SELECT id, operation FROM log WHERE org_id = 1 AND id < 900 ORDER BY id DESC LIMIT 51", "log"))
+def audit_keyset(spark, sf):
+    return audit.keyset(t.log(spark, sf).filter("org_id = 1"), 900, 50).select("id", "operation")
+
+
+@query(with_tables("SELECT org_id, agent_id, operation, count(*) AS n FROM log GROUP BY ALL", "log"))
+def activity_summary(spark, sf):
+    return audit.activity(t.log(spark, sf))
+
+
+@query(with_tables("SELECT id, operation, created_at FROM log WHERE memory_id = 77", "log"))
+def memory_lifecycle(spark, sf):
+    return t.log(spark, sf).filter("memory_id = 77").orderBy("created_at", "id").select("id", "operation", "created_at")
+
+
+@query(with_tables("SELECT month FROM (SELECT unnest(generate_series(DATE '2024-01-01', DATE '2024-05-01', INTERVAL 1 MONTH))::DATE AS month) WHERE month NOT IN (SELECT date_trunc('month', created_at)::DATE FROM log)", "log"))
+def audit_partitions(spark, sf):
+    return audit.missing_months(t.log(spark, sf), F.lit("2024-01-15").cast("date"), 4)
+
+
+@query()
+def audit_hash_chain(spark, sf):
+    return audit.hash_chain(t.log(spark, sf)).select("org_id", "id", F.hex("prev_hash").alias("prev_hash"), F.hex("row_hash").alias("row_hash"))
+
+
+@query("SELECT NULL::BIGINT AS org_id, NULL::BIGINT AS id WHERE false")
+def audit_chain_breaks(spark, sf):
+    return audit.broken_links(audit.hash_chain(t.log(spark, sf))).select("org_id", "id")
+
+
+@query()
+def latest_hash(spark, sf):
+    c = audit.hash_chain(t.log(spark, sf))
+    return c.groupBy("org_id").agg(F.hex(F.max_by("row_hash", "id")).alias("row_hash"))
+
+
+@query(with_tables("SELECT DISTINCT org_id FROM log ORDER BY 1 LIMIT 3", "log"))
+def pending_orgs(spark, sf):
+    return t.log(spark, sf).select("org_id").distinct().orderBy("org_id").limit(3)
+
+
+# --- graph -----------------------------------------------------------------------------------------------------------
+
+BOTH = "b AS (SELECT DISTINCT source_memory_id AS src, target_memory_id AS dst FROM edges UNION SELECT target_memory_id, source_memory_id FROM edges)"
+WALK = "w AS (SELECT 0::BIGINT AS id, 0 AS hop UNION SELECT b.dst, w.hop + 1 FROM w JOIN b ON b.src = w.id WHERE w.hop < {n})"
+
+
+def _start(spark, i: int = 0) -> DataFrame:
+    return spark.range(i, i + 1)
+
+
+@query(with_tables("SELECT id, min(hop)::BIGINT AS hop FROM w GROUP BY 1", "edges", recursive=True, more=BOTH + ", " + WALK.format(n=3)))
+def related_n_hops(spark, sf):
+    return graph.reach(_start(spark), t.edges(spark, sf), 3).select("id", F.col("hop").cast("long").alias("hop"))
+
+
+@query(with_tables("SELECT target, depth::BIGINT AS depth FROM p", "edges", recursive=True, more="p AS (SELECT target_memory_id AS target, [id] AS path, 1 AS depth FROM edges WHERE relationship_type = 'derived_from' AND source_memory_id = 6 UNION ALL SELECT e.target_memory_id, list_append(p.path, e.id), p.depth + 1 FROM p JOIN edges e ON e.source_memory_id = p.target AND e.relationship_type = 'derived_from' AND NOT list_contains(p.path, e.id) WHERE p.depth < 4)"))
+def derivation_chain(spark, sf):
+    return graph.chains(t.edges(spark, sf), 6, "derived_from", 4).select("target", F.col("depth").cast("long").alias("depth"))
+
+
+@query(with_tables("SELECT DISTINCT source_memory_id AS src, target_memory_id AS dst FROM edges WHERE relationship_type = 'contradicts' UNION SELECT target_memory_id, source_memory_id FROM edges WHERE relationship_type = 'contradicts'", "edges"))
+def contradictions(spark, sf):
+    return graph.contradictions(t.edges(spark, sf))
+
+
+@query(with_tables("SELECT min(hop)::BIGINT AS length FROM w WHERE id = 100 HAVING min(hop) IS NOT NULL", "edges", recursive=True, more=BOTH + ", " + WALK.format(n=8)))
+def shortest_path(spark, sf):
+    return graph.reach(_start(spark), t.edges(spark, sf), 8).filter("id = 100").select(F.col("hop").cast("long").alias("length"))
+
+
+@query(with_tables("SELECT id FROM w GROUP BY 1 HAVING min(hop) > 0", "edges", recursive=True, more=BOTH + ", " + WALK.format(n=2)))
+def cascade_neighbours(spark, sf):
+    return graph.reach(_start(spark), t.edges(spark, sf), 2).filter("hop > 0").select("id")
+
+
+@query(with_tables("SELECT m.id, CASE WHEN x.id IS NOT NULL THEN coalesce(m.deleted_at, TIMESTAMP '2024-02-01') ELSE m.deleted_at END AS deleted_at FROM memories m LEFT JOIN (SELECT DISTINCT id FROM w) x ON x.id = m.id", "memories", "edges", recursive=True, more=BOTH + ", " + WALK.format(n=2)))
+def cascade_forget(spark, sf):
+    e = t.edges(spark, sf)
+    return memory.forget(t.memories(spark, sf), e, graph.reach(_start(spark), e, 2), NOW)[0].select("id", "deleted_at")
+
+
+@query(with_tables("SELECT id, source_memory_id, target_memory_id FROM edges WHERE source_memory_id % 10 <> 3 AND target_memory_id % 10 <> 3", "edges"))
+def hard_delete(spark, sf):
+    m = t.memories(spark, sf)
+    return memory.forget(m, t.edges(spark, sf), m.filter("id % 10 = 3"), NOW, hard=True)[1].select("id", "source_memory_id", "target_memory_id")
+
+
+@query(with_tables("SELECT id FROM memories WHERE id NOT IN (SELECT source_memory_id FROM edges) AND id NOT IN (SELECT target_memory_id FROM edges)", "memories", "edges"))
+def orphan_memories(spark, sf):
+    return graph.orphans(t.memories(spark, sf), t.edges(spark, sf)).select("id")
+
+
+COMPONENTS = "s AS (SELECT source_memory_id AS src, target_memory_id AS dst FROM edges WHERE weight >= 0.9 UNION SELECT target_memory_id, source_memory_id FROM edges WHERE weight >= 0.9), r AS (SELECT src AS id, src AS seen FROM s UNION SELECT r.id, s.dst FROM r JOIN s ON s.src = r.seen), cc AS (SELECT id, min(seen) AS component FROM r GROUP BY 1)"
+
+
+@query(with_tables("SELECT id, component FROM cc", "edges", recursive=True, more=COMPONENTS))
+def connected_components(spark, sf):
+    return graph.components(t.edges(spark, sf).filter("weight >= 0.9"))
+
+
+@query(with_tables("SELECT component, sha256(string_agg(id::VARCHAR, ',' ORDER BY id::VARCHAR)) AS cluster_hash, count(*) AS members FROM cc GROUP BY 1", "edges", recursive=True, more=COMPONENTS))
+def cluster_hash(spark, sf):
+    return refine.cluster_hash(graph.components(t.edges(spark, sf).filter("weight >= 0.9")), "component", "id")
+
+
+@query(with_tables(f"""SELECT s.id, round(0.5::DOUBLE * s.sim + 0.3::DOUBLE * least(1.0::DOUBLE, (coalesce(n.n, 0) + coalesce(e.n, 0))::DOUBLE / 10.0::DOUBLE) + 0.2::DOUBLE * s.importance_score, 6) AS relevance_score FROM seeds s
+ LEFT JOIN (SELECT seed, least(count(*), 50) AS n FROM (SELECT seed, id FROM gw GROUP BY 1, 2 HAVING min(hop) > 0) GROUP BY 1) n ON n.seed = s.id LEFT JOIN (SELECT src, least(count(*), 50) AS n FROM (SELECT source_memory_id AS src FROM edges UNION ALL SELECT target_memory_id FROM edges) GROUP BY 1) e ON e.src = s.id""", "memories", "edges", recursive=True, more=BOTH + f", seeds AS (SELECT * FROM (SELECT *, {SIM} AS sim FROM memories WHERE org_id = 0 AND {LIVE}) ORDER BY sim DESC, id LIMIT 3), gw AS (SELECT id AS seed, id, 0 AS hop FROM seeds UNION SELECT gw.seed, b.dst, gw.hop + 1 FROM gw JOIN b ON b.src = gw.id WHERE gw.hop < 2)"))
+def graph_recall(spark, sf):
+    m = memory.scan(t.memories(spark, sf), 0)
+    seeds = memory.recall_vector(m, _probe(spark, sf), NOW, 3, -1.0).select("id", "similarity", "importance_score")
+    return graph.graph_recall(seeds, t.edges(spark, sf), 2).select("id", r6("relevance_score"))
+
+
+@query(with_tables("SELECT DISTINCT dst AS id FROM (SELECT source_memory_id AS src, target_memory_id AS dst FROM edges WHERE relationship_type = 'supports' UNION ALL SELECT target_memory_id, source_memory_id FROM edges WHERE relationship_type = 'supports') WHERE src IN (SELECT id FROM memories WHERE contains(lower(left(content, 200)), 'tion'))", "memories", "edges"))
+def triplet_match(spark, sf):
+    return graph.triplet_match(t.memories(spark, sf), t.edges(spark, sf), "Tion", "supports")
+
+
+@query(with_tables("SELECT id, min(hop)::BIGINT AS hop, round(0.7::DOUBLE * greatest(0.0::DOUBLE, 1.0::DOUBLE - min(hop)::DOUBLE / 3.0::DOUBLE), 6) AS walk_score FROM cw GROUP BY 1", "memories", "edges", recursive=True, more=BOTH + ", cw AS (SELECT id, 0 AS hop FROM memories WHERE memo_type = 'CODE_FUNCTION' AND contains(lower(content), 'worthless') UNION SELECT b.dst, cw.hop + 1 FROM cw JOIN b ON b.src = cw.id WHERE cw.hop < 2)"))
+def code_recall(spark, sf):
+    seeds = t.memories(spark, sf).filter((F.col("memo_type") == "CODE_FUNCTION") & F.lower("content").contains("worthless"))
+    return graph.code_recall(seeds, t.edges(spark, sf), 2).select("id", F.col("hop").cast("long").alias("hop"), r6("walk_score"))
+
+
+# --- strategies ------------------------------------------------------------------------------------------------------
+
+STEPS = "SELECT id % 50 AS id, id % 3 AS step, importance_score AS relevance_score FROM {m} WHERE org_id = 0"
+
+
+@query(with_tables("SELECT id, step, relevance_score FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY relevance_score DESC, step) AS rn FROM (" + STEPS.format(m="memories") + ")) WHERE rn = 1", "memories"))
+def trace_merge(spark, sf):
+    return memory.trace_merge(spark.sql(STEPS, m=t.memories(spark, sf)))
+
+
+@query(with_tables(f"SELECT id, round({FUSED}, 6) AS relevance_score FROM (SELECT *, row_number() OVER (PARTITION BY memory_type ORDER BY sim DESC, id) AS rn FROM (SELECT *, {SIM} AS sim FROM memories WHERE org_id = 0 AND {LIVE} AND memory_type IN ('episodic', 'semantic') AND embedding IS NOT NULL)) WHERE rn <= 5 ORDER BY {FUSED} DESC, id LIMIT 5", "memories"))
+def tier_fanout(spark, sf):
+    m = memory.scan(t.memories(spark, sf), 0)
+    return memory.tier_fanout(m, _probe(spark, sf), NOW, ["episodic", "semantic"], 5).select("id", r6("relevance_score"))
+
+
+TIER_SQL = ", ".join(f"CASE WHEN regexp_matches(text, '{p}') THEN '{name}' END" for name, p in sc.TIER_PATTERNS)
+
+
+@query(f"SELECT conv_id, turn, CASE WHEN len(h) = 0 THEN 'episodic,procedural,semantic,working' ELSE array_to_string(list_sort(h), ',') END AS tiers FROM (SELECT conv_id, turn, list_distinct(list_filter([{TIER_SQL}], lambda x: x IS NOT NULL)) AS h FROM conversations)")
+def tier_route(spark, sf):
+    return t.read(spark, sf, "conversations").select("conv_id", "turn", F.array_join(F.array_sort(sc.tiers(F.col("text"))), ",").alias("tiers"))
+
+
+@query(with_tables("SELECT id, round((raw - min(raw) OVER ()) / (max(raw) OVER () - min(raw) OVER ()), 6) AS relevance_score FROM (SELECT id, ((id * 31) % 97)::DOUBLE / 97.0::DOUBLE AS raw FROM (SELECT * FROM memories WHERE org_id = 0 AND deleted_at IS NULL ORDER BY importance_score DESC, created_at DESC, id LIMIT 20))", "memories"))
+def rerank_minmax(spark, sf):
+    top = memory.recall_fallback(memory.scan(t.memories(spark, sf), 0), NOW, 20)
+    return memory.rerank(top, (F.col("id") * 31 % 97).cast("double") / F.lit(97.0), 20).select("id", r6("relevance_score"))
+
+
+REDACT_SQL = "text"
+for _pattern, _mark in sc.REDACTIONS:
+    REDACT_SQL = f"regexp_replace({REDACT_SQL}, '{_pattern}', '{_mark}', 'g')"
+
+
+@query(f"SELECT doc_id, md5({REDACT_SQL}) AS clean_md5 FROM documents")
+def redact_pii(spark, sf):
+    return t.read(spark, sf, "documents").select("doc_id", F.md5(sc.redacted(F.col("text"))).alias("clean_md5"))
+
+
+@query("SELECT c_custkey, regexp_replace(lower(regexp_replace(c_name, '^\\s+|\\s+$', '', 'g')), '\\s+', ' ', 'g') AS name FROM customer")
+def normalize_names(spark, sf):
+    return t.read(spark, sf, "customer").select("c_custkey", sc.normal_name(F.col("c_name")).alias("name"))
+
+
+@query()
+def lexical_recall(spark, sf):
+    return text.lexical_recall(memory.scan(t.memories(spark, sf), 0), "this with", NOW).select("id", r6("lexical"), r6("relevance_score"))
+
+
+# --- refinement, usage, jobs, conversations --------------------------------------------------------------------------
+
+DEDUPE = """k AS (SELECT *, CASE WHEN ontology_uri IS NOT NULL THEN concat('uri:', ontology_uri) WHEN memo_type IS NOT NULL THEN concat('type:', memo_type, ':', regexp_replace(lower(regexp_replace(content, '^\\s+|\\s+$', '', 'g')), '\\s+', ' ', 'g')) END AS dedupe_key FROM memories WHERE deleted_at IS NULL),
+g AS (SELECT id, first_value(id) OVER (PARTITION BY org_id, dedupe_key ORDER BY created_at, id) AS primary_id, count(*) OVER (PARTITION BY org_id, dedupe_key) AS members FROM k WHERE dedupe_key IS NOT NULL)"""
+
+
+@query(with_tables("SELECT id, primary_id, members FROM g WHERE members > 1", "memories", more=DEDUPE))
+def dedupe_groups(spark, sf):
+    return refine.dedupe_groups(t.memories(spark, sf)).select("id", "primary_id", "members")
+
+
+@query(with_tables("SELECT m.id, m.memory_type FROM memories m WHERE deleted_at IS NULL AND id NOT IN (SELECT id FROM g WHERE members > 1 AND id <> primary_id)", "memories", more=DEDUPE))
+def dedupe_apply(spark, sf):
+    m = t.memories(spark, sf)
+    losers = refine.dedupe_groups(m).filter("loses").select("id")
+    return m.filter("deleted_at IS NULL").join(losers, "id", "left_anti").select("id", "memory_type")
+
+
+FEEDBACK = "SELECT event_id % (2 * n) AS edge_id, CASE event_type WHEN 'purchase' THEN 1 WHEN 'error' THEN -1 ELSE 0 END AS signal FROM {events} CROSS JOIN (SELECT count(*) AS n FROM {documents}) c WHERE event_type IN ('purchase', 'click', 'error')"
+
+
+@query(with_tables("SELECT e.id, round(least(1.0::DOUBLE, greatest(0.0::DOUBLE, weight * 0.95::DOUBLE + 0.05::DOUBLE * (s + 1) / 2)), 6) AS new_weight, n FROM edges e JOIN (SELECT edge_id, avg(signal) AS s, count(*) AS n FROM (" + FEEDBACK.format(events="events", documents="documents") + ") GROUP BY 1) f ON f.edge_id = e.id", "edges"))
+def edge_reweight(spark, sf):
+    f = spark.sql(FEEDBACK, events=t.read(spark, sf, "events"), documents=t.read(spark, sf, "documents"))
+    return refine.reweight(t.edges(spark, sf), f).select("id", r6("new_weight"), "n")
+
+
+@query(with_tables("SELECT id, weight FROM edges WHERE weight < 0.05", "edges"))
+def edge_prune(spark, sf):
+    return refine.prune(t.edges(spark, sf)).select("id", "weight")
+
+
+@query(with_tables("SELECT org_id, memo_type, count(*) AS members, min(id) AS first_id, max(id) AS last_id FROM memories WHERE memo_type IS NOT NULL AND deleted_at IS NULL GROUP BY 1, 2 HAVING count(*) >= 2", "memories"))
+def cluster_by_memo_type(spark, sf):
+    return refine.cluster_by_type(t.memories(spark, sf))
+
+
+@query(with_tables("SELECT memory_type, agent_id FROM (SELECT memory_type, agent_id, row_number() OVER (PARTITION BY memory_type ORDER BY count(*) DESC, agent_id) AS rn FROM memories GROUP BY 1, 2) WHERE rn = 1", "memories"))
+def mode_agent(spark, sf):
+    return refine.mode_agent(t.memories(spark, sf), "memory_type")
+
+
+@query("SELECT p_partkey AS pos, p_name AS name FROM (SELECT *, row_number() OVER (PARTITION BY lower(p_name) ORDER BY p_size DESC, p_partkey) AS rn FROM part) WHERE rn = 1")
+def distill_merge(spark, sf):
+    p = t.read(spark, sf, "part").select(F.col("p_partkey").alias("pos"), F.col("p_name").alias("name"), F.col("p_size").alias("confidence"))
+    return refine.merge_entities(p).select("pos", "name")
+
+
+@query(with_tables("SELECT m.id, CASE WHEN e.src IS NULL THEN 'no entity provenance' WHEN l.memory_id IS NULL THEN 'no audit row' ELSE 'verified' END AS reason FROM memories m LEFT JOIN (SELECT DISTINCT source_memory_id AS src FROM edges) e ON e.src = m.id LEFT JOIN (SELECT DISTINCT memory_id FROM log) l ON l.memory_id = m.id", "memories", "edges", "log"))
+def provenance_verdict(spark, sf):
+    p = t.edges(spark, sf).select(F.col("source_memory_id").alias("memo_id"))
+    return refine.provenance_verdict(t.memories(spark, sf), p, t.log(spark, sf)).select("id", "reason")
+
+
+@query("SELECT c.c_custkey, concat('urn:n:', n.n_nationkey) AS uri FROM customer c JOIN nation n ON c.c_nationkey = n.n_nationkey")
+def ontology_exact(spark, sf):
+    n = t.read(spark, sf, "nation")
+    names = t.read(spark, sf, "customer").join(F.broadcast(n), F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", F.lower("n_name").alias("name"))  # 25 nations
+    labels = n.select(F.col("n_name").alias("label"), F.concat(F.lit("urn:n:"), F.col("n_nationkey").cast("string")).alias("uri"))
+    return names.join(refine.ontology_exact(names.select("name").distinct(), labels), "name").select("c_custkey", "uri")
+
+
+@query("SELECT doc_id AS id, sha256(coalesce(text, '')) AS content_hash FROM documents")
+def content_hashes(spark, sf):
+    return refine.content_hashes(t.memories(spark, sf))
+
+
+@query()
+def merkle_root(spark, sf):
+    return refine.merkle_roots(t.memories(spark, sf).select("id", "org_id", "content"), "org_id")
+
+
+@query(with_tables("SELECT org_id, day AS period_day, kind, sum(amount)::BIGINT AS count FROM usage WHERE amount > 0 GROUP BY ALL", "usage"))
+def usage_rollup(spark, sf):
+    return refine.usage(t.usage(spark, sf))
+
+
+CAPS = {"tokens": 1000, "llm_calls": 500, "embeddings": 100_000_000, "storage_bytes": 0}
+CAP_SQL = "(VALUES " + ", ".join(f"('{k}', {v})" for k, v in CAPS.items()) + ") c(kind, cap)"
+
+
+@query(with_tables(f"SELECT org_id, u.kind, used, cap::BIGINT AS cap FROM (SELECT org_id, kind, sum(amount)::BIGINT AS used FROM usage WHERE amount > 0 AND day BETWEEN DATE '2024-01-01' AND DATE '2024-01-31' GROUP BY 1, 2) u JOIN {CAP_SQL} ON c.kind = u.kind WHERE cap > 0 AND used >= cap", "usage"))
+def budget_check(spark, sf):
+    a, b = (F.lit(x).cast("date") for x in ("2024-01-01", "2024-01-31"))
+    return refine.budget_breaches(refine.usage(t.usage(spark, sf)), CAPS, a, b).withColumn("cap", F.col("cap").cast("long"))
+
+
+@query(with_tables("SELECT search_batch_id, count(*) FILTER (WHERE status = 'pending') AS n_pending, count(*) FILTER (WHERE status = 'running') AS n_running, count(*) FILTER (WHERE status = 'completed') AS n_completed, count(*) FILTER (WHERE status = 'failed') AS n_failed, string_agg(id::VARCHAR, ',' ORDER BY updated_at, id) AS job_ids FROM jobs GROUP BY 1", "jobs"))
+def search_batch_aggregate(spark, sf):
+    return refine.batch_status(t.jobs(spark, sf))
+
+
+@query(with_tables("SELECT id, 'failed' AS status, updated_at FROM jobs WHERE status = 'running' AND epoch_us(TIMESTAMP '2024-02-01') - epoch_us(updated_at) > 80000 * 1000000::BIGINT ORDER BY updated_at, id LIMIT 10", "jobs"))
+def stale_jobs(spark, sf):
+    return refine.stale_jobs(t.jobs(spark, sf), NOW, 80_000, 10).select("id", "status", "updated_at")
+
+
+@query("SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS turn_index, role FROM conversations")
+def conversation_turns(spark, sf):
+    return refine.turns(t.read(spark, sf, "conversations")).select("conv_id", F.col("turn_index").cast("long").alias("turn_index"), "role")
+
+
+@query("SELECT conv_id, count(*) AS turn_count FROM conversations GROUP BY 1 HAVING count(*) - floor(count(*) / 2) >= 3")
+def needs_summary(spark, sf):
+    return refine.needs_summary(t.read(spark, sf, "conversations"), 3).select("conv_id", "turn_count")
+
+
+@query("SELECT * FROM (VALUES (0::BIGINT), (1::BIGINT), (2::BIGINT)) t(org_id)")
+def tenant_rotation(spark, sf):
+    x = spark.range(4).select(F.col("id").alias("org_id"), F.when(F.col("id") > 0, F.make_date(F.lit(2024), F.lit(1), (F.col("id") + 1).cast("int"))).alias("refine_last_run_at"))
+    return refine.rotation(x, 3).select("org_id")
+
+
+# --- text and loaders ------------------------------------------------------------------------------------------------
+
+
+@query("""WITH w AS (SELECT doc_id AS id, list_filter(regexp_split_to_array(text, '[ \\t\\n\\r]+'), lambda x: x <> '') AS tk FROM documents)
+SELECT id, k AS chunk_index, len(tk[k * 80 + 1 : k * 80 + 100])::BIGINT AS n_tokens, md5(array_to_string(tk[k * 80 + 1 : k * 80 + 100], ' ')) AS chunk_md5 FROM (SELECT *, unnest(range(0, greatest(1, ceil((len(tk) - 20) / 80.0::DOUBLE))::BIGINT)) AS k FROM w WHERE len(tk) > 0)""")
+def chunk_tokens(spark, sf):
+    d = t.read(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
+    return text.token_chunks(d, 100, 20).select("id", F.col("chunk_index").cast("long").alias("chunk_index"), F.col("n_tokens").cast("long").alias("n_tokens"), F.md5("chunk").alias("chunk_md5"))
+
+
+@query()
+def chunk_paragraphs(spark, sf):
+    return text.paragraph_chunks(t.read(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text"))
+
+
+@query()
+def load_html(spark, sf):
+    return loaders.html_loaded(t.read(spark, sf, "pages"))
+
+
+@query("SELECT doc_id, (len(text) - len(replace(text, chr(10), '')) + CASE WHEN len(text) > 0 AND NOT text LIKE '%' || chr(10) THEN 1 ELSE 0 END)::BIGINT AS line_count, len(regexp_extract_all(text, '(?m)^[ \\t]{0,3}#{1,6}[ \\t]+'))::BIGINT AS headings FROM documents")
+def markdown_stats(spark, sf):
+    return t.read(spark, sf, "documents").select("doc_id", loaders.line_count(F.col("text")).cast("long").alias("line_count"), loaders.heading_count(F.col("text")).cast("long").alias("headings"))
+
+
+# --- streams ---------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT event_id % 1000 AS id, count(*) AS n FROM events WHERE event_type IN ('view', 'click') GROUP BY 1")
+def counter_stream(spark, sf):
+    folder = (spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp()).rstrip("/") + "/" + tempfile.mktemp(prefix="counter-", dir="").lstrip("/")
+    got = streams.run_over(spark, f"{sf}/events.parquet", streams.counter_stream, folder, ["event_id % 1000 AS id"], "event_type IN ('view', 'click')")
+    return got.groupBy("id").agg(F.sum("n").alias("n"))
+
+
+@query()
+def audit_stream(spark, sf):
+    folder = (spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp()).rstrip("/") + "/" + tempfile.mktemp(prefix="chain-", dir="").lstrip("/")
+    columns = ["event_id AS id", "user_id % 4 AS org_id", "user_id % 3 AS agent_id", "event_type AS operation", "event_id % 1000 AS memory_id", "props AS details", "ts AS created_at"]
+    return streams.run_over(spark, f"{sf}/events.parquet", streams.chain_stream, folder, columns).select("org_id", "id", F.hex("row_hash").alias("row_hash"))
