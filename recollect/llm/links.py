@@ -24,6 +24,7 @@ SIMILAR = (3, 4)
 KEYS_PER_BUCKET = 300_000
 SPLIT = 256
 SMALL_ROWS = 1_000_000
+STAR_BUCKETS = 512
 
 
 def n_buckets(keys: int) -> int:
@@ -191,32 +192,84 @@ def scattered(listed: DataFrame, nodes: DataFrame, edges: DataFrame, labels: Dat
     return possible(pairs.select(F.least("v", "cv").alias("a"), F.greatest("v", "cv").alias("b")).distinct(), nodes)
 
 
+def _gap(n):
+    """The symmetric difference that a link between sets whose sizes sum to n allows."""
+    p, q = SIMILAR
+    return n * (q - p) // (q + p)
+
+
+def _folded(sigs: list[list[int]]) -> np.ndarray:
+    """Signatures of one length, the shortest there is: longer ones are folded, which keeps the bound."""
+    short = min(len(x) for x in sigs)
+    return np.stack([np.bitwise_xor.reduce(np.array(x, np.int64).reshape(-1, short), axis=0) for x in sigs]).view(np.uint64)
+
+
+def _apart(one: np.ndarray, many: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(one[None, :] ^ many).sum(1, dtype=np.int64)
+
+
 def across(listed: DataFrame, nodes: DataFrame, edges: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs (a, b), a < b, of different components out of stars that share a key, as far as bounds allow them."""
+    """Pairs (a, b), a < b, of different components out of stars that share a key, as far as bounds allow them.
+
+    Stars, and then the members of near ones, are compared inside their groups; only what the bounds leave is a row."""
     p, q = SIMILAR
-    gap = lambda n: F.floor(n * (q - p) / (q + p))  # noqa: E731  the symmetric difference that sizes of sum n allow a link
     star = edges.groupBy(F.col("b").alias("node")).agg(F.min(F.struct("d", "a")).alias("near"))
-    member = nodes.select("node", "n").join(star, "node", "left").join(labels, "node", "left")
-    member = member.select("node", "n", F.coalesce("near.a", "node").alias("star"), F.coalesce("near.d", F.lit(0)).alias("d"), F.coalesce("comp", "node").alias("comp"))
-    member = cut(member)
+    member = nodes.join(star, "node", "left").join(labels, "node", "left")
+    member = cut(member.select("node", "n", "sig", F.coalesce("near.a", "node").alias("star"), F.coalesce("near.d", F.lit(0)).cast("long").alias("d"), F.coalesce("comp", "node").alias("comp")))
     stars = member.groupBy("star").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.first("comp").alias("comp"), F.max("d").alias("radius"))
-    stars = cut(stars.join(nodes.select(F.col("node").alias("star"), "sig"), "star"))
-    shared = listed.join(member.select(F.col("node").alias("v"), "star", "comp"), "v").groupBy("k", "star").agg(F.first("comp").alias("comp"))
-    shared = shared.join(stars.select("star", "lo", "hi"), "star")
+    stars = stars.join(nodes.select(F.col("node").alias("star"), "sig"), "star")
+    shared = cut(listed.join(member.select(F.col("node").alias("v"), "star", "comp"), "v").groupBy("k", "star").agg(F.first("comp").alias("comp")))
     mixed = shared.groupBy("k").agg(F.min("comp").alias("c_lo"), F.max("comp").alias("c_hi")).filter("c_lo < c_hi").select("k")
-    shared = cut(shared.join(mixed, "k"))
-    x, y = shared.alias("x"), shared.alias("y")
-    sizes = (q * F.col("x.hi") >= p * F.col("y.lo")) & (q * F.col("y.hi") >= p * F.col("x.lo"))
-    met = x.join(y, (F.col("x.k") == F.col("y.k")) & (F.col("x.star") < F.col("y.star")) & (F.col("x.comp") != F.col("y.comp")) & sizes).select(F.col("x.star").alias("s"), F.col("y.star").alias("t")).distinct()
-    side = lambda names: stars.select(*[F.col(c).alias(d) for c, d in zip(("star", "hi", "sig", "radius"), names, strict=True)])
-    near = met.join(side(("s", "s_hi", "s_sig", "s_radius")), "s").join(side(("t", "t_hi", "t_sig", "t_radius")), "t")
-    near = near.withColumn("apart", differing("s_sig", "t_sig")).filter(F.col("apart") <= F.col("s_radius") + F.col("t_radius") + gap(F.col("s_hi") + F.col("t_hi")))
-    one = member.select(F.col("node").alias("m"), F.col("n").alias("m_n"), F.col("star").alias("m_s"), F.col("d").alias("m_d"))
-    two = member.select(F.col("node").alias("o"), F.col("n").alias("o_n"), F.col("star").alias("o_s"), F.col("d").alias("o_d"))
-    pairs = near.join(one, (F.col("s") == F.col("m_s")) & (F.col("apart") <= F.col("m_d") + F.col("t_radius") + gap(F.col("m_n") + F.col("t_hi"))))
-    pairs = pairs.select("t", "apart", "m", "m_n", "m_d")
-    pairs = pairs.join(two, (F.col("t") == F.col("o_s")) & (q * F.least("m_n", "o_n") >= p * F.greatest("m_n", "o_n")) & (F.col("apart") <= F.col("m_d") + F.col("o_d") + gap(F.col("m_n") + F.col("o_n"))))
-    return possible(pairs.select(F.least("m", "o").alias("a"), F.greatest("m", "o").alias("b")).distinct(), nodes)
+    shared = shared.join(mixed, "k").groupBy(F.pmod(F.xxhash64("k"), F.lit(STAR_BUCKETS)).cast("int").alias("bucket"), "star").agg(F.collect_list("k").alias("ks"))
+    shared = shared.join(stars, "star").select("bucket", "star", "ks", "lo", "hi", "comp", "radius", "sig")
+
+    def meet(group: pa.Table) -> pa.Table:
+        ids, comp, lo, hi, radius = (group.column(c).to_numpy().astype(np.int64) for c in ("star", "comp", "lo", "hi", "radius"))
+        sig = _folded(group.column("sig").to_pylist())
+        lists: dict[int, list[int]] = {}
+        for i, ks in enumerate(group.column("ks").to_pylist()):
+            for k in ks:
+                lists.setdefault(k, []).append(i)
+        seen: set[bytes] = set()
+        out = [np.zeros((0, 3), np.int64)]
+        for rows in lists.values():
+            at = np.array(rows)
+            if (name := at.tobytes()) in seen:
+                continue
+            seen.add(name)
+            for k in range(len(at) - 1):
+                i, j = at[k], at[k + 1 :]
+                j = j[(comp[j] != comp[i]) & (q * hi[i] >= p * lo[j]) & (q * hi[j] >= p * lo[i])]
+                if len(j):
+                    far = _apart(sig[i], sig[j])
+                    ok = far <= radius[i] + radius[j] + _gap(hi[i] + hi[j])
+                    out.append(np.stack((np.minimum(ids[i], ids[j[ok]]), np.maximum(ids[i], ids[j[ok]]), far[ok]), 1))
+            if len(out) > 5000:
+                out = [np.unique(np.concatenate(out), axis=0)]
+        pairs = np.unique(np.concatenate(out), axis=0)
+        return pa.table({"s": pa.array(pairs[:, 0]), "t": pa.array(pairs[:, 1]), "apart": pa.array(pairs[:, 2])})
+
+    near = shared.groupBy("bucket").applyInArrow(meet, "s long, t long, apart long").groupBy("s", "t").agg(F.max("apart").alias("apart"))
+    one = member.select(F.col("node").alias("m"), F.col("n").alias("m_n"), F.col("star").alias("m_s"), F.col("d").alias("m_d"), F.col("sig").alias("m_sig"))
+    reach = member.groupBy(F.col("star").alias("r_star")).agg(F.max("d").alias("r"), F.max("n").alias("r_hi"))
+    near = near.join(reach, F.col("t") == F.col("r_star"))
+    gap = lambda n: F.floor(n * (q - p) / (q + p))
+    left = near.join(one, (F.col("s") == F.col("m_s")) & (F.col("apart") <= F.col("m_d") + F.col("r") + gap(F.col("m_n") + F.col("r_hi")))).select("t", "m", "m_n", "m_sig")
+    right = member.select(F.col("star").alias("o_star"), F.col("node").alias("o"), F.col("n").alias("o_n"), F.col("sig").alias("o_sig"))
+
+    def pair(these: pa.Table, those: pa.Table) -> pa.Table:
+        out = [np.zeros((0, 2), np.int64)]
+        if these.num_rows and those.num_rows:
+            sig = _folded(these.column("m_sig").to_pylist() + those.column("o_sig").to_pylist())
+            m, m_n, o, o_n = (t.column(c).to_numpy().astype(np.int64) for t, c in ((these, "m"), (these, "m_n"), (those, "o"), (those, "o_n")))
+            for i in range(len(m)):
+                ok = (q * np.minimum(o_n, m_n[i]) >= p * np.maximum(o_n, m_n[i])) & (_apart(sig[i], sig[len(m) :]) <= _gap(o_n + m_n[i]))
+                out.append(np.stack((np.minimum(m[i], o[ok]), np.maximum(m[i], o[ok])), 1))
+        pairs = np.unique(np.concatenate(out), axis=0)
+        return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
+
+    pairs = left.groupBy("t").cogroup(right.groupBy("o_star")).applyInArrow(pair, "a long, b long").distinct()
+    return possible(pairs, nodes)
 
 
 def wanted_in(docs: DataFrame, wanted: DataFrame, where: DataFrame) -> DataFrame:
