@@ -79,7 +79,7 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def removed_lines(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Paragraphs (doc_id, start, end, node, gone), and (sp_id, spans) of the removed ones."""
+    """Paragraphs (doc_id, start, end, node, gone), and (sp_id, sp_spans) of the removed ones."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null and text is not null")
     found = cut(keyed(docs))
     places = found.select("doc_id", "start", "end", "node")

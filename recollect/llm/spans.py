@@ -32,22 +32,22 @@ def merged(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndar
 
 
 def per_document(packed: DataFrame) -> DataFrame:
-    """(sp_id, spans): merged packed spans of each document, from rows (bucket, doc, start, end) of packed columns; bucket is by document."""
+    """(sp_id, sp_spans): merged packed spans of each document, from rows (bucket, doc, start, end) of packed columns; bucket is by document."""
 
     def run(group: pa.Table) -> pa.Table:
         doc, start, end = merged(*(unpacked(group, c) for c in ("doc", "start", "end")))
         ids, first = np.unique(doc, return_index=True)
         cuts = [*first[1:], len(doc)]
         both = np.stack((start, end), 1)
-        return pa.table({"sp_id": pa.array(ids, pa.int64()), "spans": pa.array([both[i:j].tobytes() for i, j in zip(first, cuts, strict=True)], pa.binary())})
+        return pa.table({"sp_id": pa.array(ids, pa.int64()), "sp_spans": pa.array([both[i:j].tobytes() for i, j in zip(first, cuts, strict=True)], pa.binary())})
 
-    return packed.groupBy("bucket").applyInArrow(run, "sp_id long, spans binary")
+    return packed.groupBy("bucket").applyInArrow(run, "sp_id long, sp_spans binary")
 
 
 def with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """docs with their column spans (null without any): broadcast if the spans' bytes are few (counted), else by a shuffle."""
+    """docs with their column sp_spans (null without any): broadcast if the spans' bytes are few (counted), else by a shuffle."""
     spans = cut(spans)
-    size = spans.agg(F.coalesce(F.sum(F.octet_length("spans") + 24), F.lit(0))).first()[0]
+    size = spans.agg(F.coalesce(F.sum(F.octet_length("sp_spans") + 24), F.lit(0))).first()[0]
     side = F.broadcast(spans) if size <= SMALL_BYTES else spans
     return docs.join(side, docs["doc_id"] == side["sp_id"], "left").drop("sp_id")
 
@@ -72,7 +72,7 @@ def digests(docs: DataFrame) -> DataFrame:
         for batch in batches:
             data, off = text_bytes(batch.column("text"))
             rows = []
-            for i, packed in enumerate(batch.column("spans").to_pylist()):
+            for i, packed in enumerate(batch.column("sp_spans").to_pylist()):
                 parts, gone, runs = kept_parts(data[off[i] : off[i + 1]].tobytes(), packed)
                 h = hashlib.sha256()
                 for p in parts:
@@ -82,18 +82,18 @@ def digests(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", "text", "spans").mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return docs.select("doc_id", "text", "sp_spans").mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def texts(docs: DataFrame) -> DataFrame:
     """The documents with spans, their texts without them (a character cut in two loses its rest), spans dropped."""
-    names = [c for c in docs.columns if c != "spans"]
+    names = [c for c in docs.columns if c != "sp_spans"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            new = [None if t is None else t if not s else b"".join(kept_parts(t.encode(), s)[0]).decode("utf-8", "ignore") for t, s in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True)]
+            new = [None if t is None else t if not s else b"".join(kept_parts(t.encode(), s)[0]).decode("utf-8", "ignore") for t, s in zip(batch.column("text").to_pylist(), batch.column("sp_spans").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(new, pa.string()) if c == "text" else batch.column(c) for c in names], names=names)
 
-    return docs.mapInArrow(run, docs.drop("spans").schema)
+    return docs.mapInArrow(run, docs.drop("sp_spans").schema)
 
 

@@ -233,16 +233,16 @@ def _meet(n: int):
 
 
 def _asked(met: DataFrame) -> DataFrame:
-    """(sp_id, spans): each document's packed (anchor, position and flag) rows whose contexts are asked for."""
+    """(sp_id, sp_spans): each document's packed (anchor, position and flag) rows whose contexts are asked for."""
 
     def run(group: pa.Table) -> pa.Table:
         doc, h, p = (unpacked(group, c) for c in "abc")
         order = np.lexsort((p, doc))
         doc, both = doc[order], np.stack((h[order], p[order]), 1)
         ids, first = np.unique(doc, return_index=True)
-        return pa.table({"sp_id": pa.array(ids, pa.int64()), "spans": pa.array([both[i:j].tobytes() for i, j in zip(first, [*first[1:], len(doc)], strict=True)], pa.binary())})
+        return pa.table({"sp_id": pa.array(ids, pa.int64()), "sp_spans": pa.array([both[i:j].tobytes() for i, j in zip(first, [*first[1:], len(doc)], strict=True)], pa.binary())})
 
-    return met.filter(F.col("kind") == ASKED).groupBy("bucket").applyInArrow(run, "sp_id long, spans binary")
+    return met.filter(F.col("kind") == ASKED).groupBy("bucket").applyInArrow(run, "sp_id long, sp_spans binary")
 
 
 def _contexts(docs: DataFrame, n: int) -> DataFrame:
@@ -256,7 +256,7 @@ def _contexts(docs: DataFrame, n: int) -> DataFrame:
             h, doc, pos, left, right, bytes_ = [], [], [], [], [], []
             wh, wd, wp = [], [], []
             ids = batch.column("doc_id").to_numpy()
-            for i, packed in enumerate(batch.column("spans").to_pylist()):
+            for i, packed in enumerate(batch.column("sp_spans").to_pylist()):
                 rows = np.frombuffer(packed, np.int64).reshape(-1, 2)
                 p, hot = rows[:, 1] >> 1, (rows[:, 1] & 1) == 1
                 size = off[i + 1] - off[i]
@@ -356,13 +356,13 @@ def _resolve(n: int):
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
-    """(sp_id, spans): merged byte spans that LEAST-byte strings cover which also start earlier."""
+    """(sp_id, sp_spans): merged byte spans that LEAST-byte strings cover which also start earlier."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null and text is not null")
     total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     n = int(max(64, total // BUCKET_BYTES))
     met = cut(_deal(docs, n).groupBy("bucket").applyInArrow(_meet(n), _OUT))
     span = lambda df: df.filter(F.col("kind") == SPANS).select("bucket", F.col("a").alias("doc"), F.col("b").alias("start"), F.col("c").alias("end"))
-    asked = sp.with_spans(docs, _asked(met)).filter("spans is not null")
+    asked = sp.with_spans(docs, _asked(met)).filter("sp_spans is not null")
     solved = _contexts(asked, n).groupBy("bucket").applyInArrow(_resolve(n), _OUT)
     return sp.per_document(span(met).union(span(solved)))
 
