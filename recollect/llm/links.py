@@ -25,6 +25,8 @@ KEYS_PER_BUCKET = 300_000
 SPLIT = 256
 SMALL_ROWS = 1_000_000
 STAR_BUCKETS = 512
+#: A node joins a star whose center differs from it in at most 1 / TIGHT of its size.
+TIGHT = 14
 
 
 def n_buckets(keys: int) -> int:
@@ -215,7 +217,8 @@ def across(listed: DataFrame, nodes: DataFrame, edges: DataFrame, labels: DataFr
     p, q = SIMILAR
     star = edges.groupBy(F.col("b").alias("node")).agg(F.min(F.struct("d", "a")).alias("near"))
     member = nodes.join(star, "node", "left").join(labels, "node", "left")
-    member = cut(member.select("node", "n", "sig", F.coalesce("near.a", "node").alias("star"), F.coalesce("near.d", F.lit(0)).cast("long").alias("d"), F.coalesce("comp", "node").alias("comp")))
+    close = F.col("near.d") * TIGHT <= F.col("n")  # narrow stars bound more; the others stand alone
+    member = cut(member.select("node", "n", "sig", F.when(close, F.col("near.a")).otherwise(F.col("node")).alias("star"), F.when(close, F.col("near.d")).otherwise(0).cast("long").alias("d"), F.coalesce("comp", "node").alias("comp")))
     stars = member.groupBy("star").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.first("comp").alias("comp"), F.max("d").alias("radius"))
     stars = stars.join(nodes.select(F.col("node").alias("star"), "sig"), "star")
     shared = cut(listed.join(member.select(F.col("node").alias("v"), "star", "comp"), "v").groupBy("k", "star").agg(F.first("comp").alias("comp")))
@@ -251,6 +254,7 @@ def across(listed: DataFrame, nodes: DataFrame, edges: DataFrame, labels: DataFr
 
     near = shared.groupBy("bucket").applyInArrow(meet, "s long, t long, apart long").groupBy("s", "t").agg(F.max("apart").alias("apart"))
     one = member.select(F.col("node").alias("m"), F.col("n").alias("m_n"), F.col("star").alias("m_s"), F.col("d").alias("m_d"), F.col("sig").alias("m_sig"))
+    near = cut(near)
     reach = member.groupBy(F.col("star").alias("r_star")).agg(F.max("d").alias("r"), F.max("n").alias("r_hi"))
     near = near.join(reach, F.col("t") == F.col("r_star"))
     gap = lambda n: F.floor(n * (q - p) / (q + p))
