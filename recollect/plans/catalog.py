@@ -12,7 +12,7 @@ from ..operators import audit, graph, memory, refine, text
 from ..sources import loaders
 from ..streaming import jobs as streams
 from . import tables as t
-from .tables import NOW, with_tables
+from .tables import with_tables
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -47,7 +47,7 @@ def _vector_sql(where: str, k: int, least: float) -> str:
 
 def _recall(spark, sf, k=10, threshold=0.0, **where) -> DataFrame:
     m = memory.scan(t.memories(spark, sf), 0, **where)
-    return memory.recall_vector(m, _probe(spark, sf), NOW, k, threshold).select("id", r6("similarity"), r6("relevance_score"))
+    return memory.recall_vector(m, _probe(spark, sf), t.now(), k, threshold).select("id", r6("similarity"), r6("relevance_score"))
 
 
 @query(_vector_sql(f"org_id = 0 AND {LIVE}", 10, -1))
@@ -78,7 +78,7 @@ def recall_time_range(spark, sf):
 
 @query(with_tables(f"SELECT id, round(0.5::DOUBLE * importance_score + 0.5::DOUBLE * {REC}, 6) AS relevance_score FROM (SELECT * FROM memories WHERE org_id = 1 AND {LIVE} ORDER BY importance_score DESC, created_at DESC, id LIMIT 10)", "memories"))
 def recall_fallback(spark, sf):
-    return memory.recall_fallback(memory.scan(t.memories(spark, sf), 1), NOW).select("id", r6("relevance_score"))
+    return memory.recall_fallback(memory.scan(t.memories(spark, sf), 1), t.now()).select("id", r6("relevance_score"))
 
 
 @query(with_tables("SELECT id, importance_score, valid_from FROM versions WHERE org_id = 0 AND deleted_at IS NULL AND valid_from <= TIMESTAMP '2024-01-10' AND (valid_to IS NULL OR valid_to > TIMESTAMP '2024-01-10') ORDER BY importance_score DESC, id LIMIT 20", "versions"))
@@ -138,12 +138,12 @@ UPDATES = "SELECT id, CASE WHEN id % 3 = 0 THEN importance_score / CAST(4 AS DOU
 def scd2_apply_updates(spark, sf):
     v = t.versions(spark, sf)
     u = spark.sql(UPDATES.replace("{TS}", "TIMESTAMP_NTZ"), v=v)
-    return memory.apply_updates(v, u, NOW).select("id", "importance_score", "recall_count", "valid_from", "valid_to")
+    return memory.apply_updates(v, u, t.now()).select("id", "importance_score", "recall_count", "valid_from", "valid_to")
 
 
 @query(with_tables("SELECT id, TIMESTAMP '2024-02-01' AS deleted_at FROM memories WHERE ttl_expires_at < TIMESTAMP '2024-02-01' AND deleted_at IS NULL", "memories"))
 def ttl_sweep(spark, sf):
-    return memory.ttl_sweep(t.memories(spark, sf), NOW).select("id", "deleted_at")
+    return memory.ttl_sweep(t.memories(spark, sf), t.now()).select("id", "deleted_at")
 
 
 @query(with_tables("SELECT id, org_id, memory_type FROM (SELECT *, count(*) OVER (PARTITION BY org_id, agent_id, memory_type) - 20 AS excess, row_number() OVER (PARTITION BY org_id, agent_id, memory_type, pinned ORDER BY importance_score, created_at, id) AS rn FROM memories WHERE deleted_at IS NULL) WHERE NOT pinned AND rn <= excess", "memories"))
@@ -156,12 +156,12 @@ DECAYED = f"(SELECT *, greatest(0.0::DOUBLE, importance_score * exp(-0.05::DOUBL
 
 @query(with_tables(f"SELECT id, round(s, 5) AS new_score FROM {DECAYED}", "memories"))
 def decay_importance(spark, sf):
-    return memory.decay(t.memories(spark, sf), NOW).select("id", F.round(sc.decayed(F.col("importance_score"), sc.days_between(NOW, F.coalesce("last_recalled_at", "created_at")), 0.05, 0.0), 5).alias("new_score"))
+    return memory.decay(t.memories(spark, sf), t.now()).select("id", F.round(sc.decayed(F.col("importance_score"), sc.days_between(t.now(), F.coalesce("last_recalled_at", "created_at")), 0.05, 0.0), 5).alias("new_score"))
 
 
 @query(with_tables(f"SELECT count(*) AS examined, count(*) FILTER (WHERE abs(round(s, 6) - importance_score) > 0.0001) AS changed, count(*) FILTER (WHERE abs(round(s, 6) - importance_score) > 0.0001 AND round(s, 6) < 0.05) AS below FROM {DECAYED}", "memories"))
 def decay_summary(spark, sf):
-    return memory.decay_summary(memory.decay(t.memories(spark, sf), NOW))
+    return memory.decay_summary(memory.decay(t.memories(spark, sf), t.now()))
 
 
 @query(with_tables("SELECT m.id, m.recall_count + coalesce(b.n, 0) AS recall_count, coalesce(b.at, m.last_recalled_at) AS last_recalled_at FROM memories m LEFT JOIN (SELECT memory_id, count(*) AS n, max(created_at) AS at FROM log WHERE operation = 'recall' GROUP BY 1) b ON b.memory_id = m.id", "memories", "log"))
@@ -257,13 +257,13 @@ def cascade_neighbours(spark, sf):
 @query(with_tables("SELECT m.id, CASE WHEN x.id IS NOT NULL THEN coalesce(m.deleted_at, TIMESTAMP '2024-02-01') ELSE m.deleted_at END AS deleted_at FROM memories m LEFT JOIN (SELECT DISTINCT id FROM w) x ON x.id = m.id", "memories", "edges", recursive=True, more=BOTH + ", " + WALK.format(n=2)))
 def cascade_forget(spark, sf):
     e = t.edges(spark, sf)
-    return memory.forget(t.memories(spark, sf), e, graph.reach(_start(spark), e, 2), NOW)[0].select("id", "deleted_at")
+    return memory.forget(t.memories(spark, sf), e, graph.reach(_start(spark), e, 2), t.now())[0].select("id", "deleted_at")
 
 
 @query(with_tables("SELECT id, source_memory_id, target_memory_id FROM edges WHERE source_memory_id % 10 <> 3 AND target_memory_id % 10 <> 3", "edges"))
 def hard_delete(spark, sf):
     m = t.memories(spark, sf)
-    return memory.forget(m, t.edges(spark, sf), m.filter("id % 10 = 3"), NOW, hard=True)[1].select("id", "source_memory_id", "target_memory_id")
+    return memory.forget(m, t.edges(spark, sf), m.filter("id % 10 = 3"), t.now(), hard=True)[1].select("id", "source_memory_id", "target_memory_id")
 
 
 @query(with_tables("SELECT id FROM memories WHERE id NOT IN (SELECT source_memory_id FROM edges) AND id NOT IN (SELECT target_memory_id FROM edges)", "memories", "edges"))
@@ -288,7 +288,7 @@ def cluster_hash(spark, sf):
  LEFT JOIN (SELECT seed, least(count(*), 50) AS n FROM (SELECT seed, id FROM gw GROUP BY 1, 2 HAVING min(hop) > 0) GROUP BY 1) n ON n.seed = s.id LEFT JOIN (SELECT src, least(count(*), 50) AS n FROM (SELECT source_memory_id AS src FROM edges UNION ALL SELECT target_memory_id FROM edges) GROUP BY 1) e ON e.src = s.id""", "memories", "edges", recursive=True, more=BOTH + f", seeds AS (SELECT * FROM (SELECT *, {SIM} AS sim FROM memories WHERE org_id = 0 AND {LIVE}) ORDER BY sim DESC, id LIMIT 3), gw AS (SELECT id AS seed, id, 0 AS hop FROM seeds UNION SELECT gw.seed, b.dst, gw.hop + 1 FROM gw JOIN b ON b.src = gw.id WHERE gw.hop < 2)"))
 def graph_recall(spark, sf):
     m = memory.scan(t.memories(spark, sf), 0)
-    seeds = memory.recall_vector(m, _probe(spark, sf), NOW, 3, -1.0).select("id", "similarity", "importance_score")
+    seeds = memory.recall_vector(m, _probe(spark, sf), t.now(), 3, -1.0).select("id", "similarity", "importance_score")
     return graph.graph_recall(seeds, t.edges(spark, sf), 2).select("id", r6("relevance_score"))
 
 
@@ -316,7 +316,7 @@ def trace_merge(spark, sf):
 @query(with_tables(f"SELECT id, round({FUSED}, 6) AS relevance_score FROM (SELECT *, row_number() OVER (PARTITION BY memory_type ORDER BY sim DESC, id) AS rn FROM (SELECT *, {SIM} AS sim FROM memories WHERE org_id = 0 AND {LIVE} AND memory_type IN ('episodic', 'semantic') AND embedding IS NOT NULL)) WHERE rn <= 5 ORDER BY {FUSED} DESC, id LIMIT 5", "memories"))
 def tier_fanout(spark, sf):
     m = memory.scan(t.memories(spark, sf), 0)
-    return memory.tier_fanout(m, _probe(spark, sf), NOW, ["episodic", "semantic"], 5).select("id", r6("relevance_score"))
+    return memory.tier_fanout(m, _probe(spark, sf), t.now(), ["episodic", "semantic"], 5).select("id", r6("relevance_score"))
 
 
 TIER_SQL = ", ".join(f"CASE WHEN regexp_matches(text, '{p}') THEN '{name}' END" for name, p in sc.TIER_PATTERNS)
@@ -329,7 +329,7 @@ def tier_route(spark, sf):
 
 @query(with_tables("SELECT id, round((raw - min(raw) OVER ()) / (max(raw) OVER () - min(raw) OVER ()), 6) AS relevance_score FROM (SELECT id, ((id * 31) % 97)::DOUBLE / 97.0::DOUBLE AS raw FROM (SELECT * FROM memories WHERE org_id = 0 AND deleted_at IS NULL ORDER BY importance_score DESC, created_at DESC, id LIMIT 20))", "memories"))
 def rerank_minmax(spark, sf):
-    top = memory.recall_fallback(memory.scan(t.memories(spark, sf), 0), NOW, 20)
+    top = memory.recall_fallback(memory.scan(t.memories(spark, sf), 0), t.now(), 20)
     return memory.rerank(top, (F.col("id") * 31 % 97).cast("double") / F.lit(97.0), 20).select("id", r6("relevance_score"))
 
 
@@ -350,7 +350,7 @@ def normalize_names(spark, sf):
 
 @query()
 def lexical_recall(spark, sf):
-    return text.lexical_recall(memory.scan(t.memories(spark, sf), 0), "this with", NOW).select("id", r6("lexical"), r6("relevance_score"))
+    return text.lexical_recall(memory.scan(t.memories(spark, sf), 0), "this with", t.now()).select("id", r6("lexical"), r6("relevance_score"))
 
 
 # --- refinement, usage, jobs, conversations --------------------------------------------------------------------------
@@ -447,7 +447,7 @@ def search_batch_aggregate(spark, sf):
 
 @query(with_tables("SELECT id, 'failed' AS status, updated_at FROM jobs WHERE status = 'running' AND epoch_us(TIMESTAMP '2024-02-01') - epoch_us(updated_at) > 80000 * 1000000::BIGINT ORDER BY updated_at, id LIMIT 10", "jobs"))
 def stale_jobs(spark, sf):
-    return refine.stale_jobs(t.jobs(spark, sf), NOW, 80_000, 10).select("id", "status", "updated_at")
+    return refine.stale_jobs(t.jobs(spark, sf), t.now(), 80_000, 10).select("id", "status", "updated_at")
 
 
 @query("SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS turn_index, role FROM conversations")

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 NOW_TEXT = "2024-02-01 00:00:00"
-NOW = F.lit(NOW_TEXT).cast("timestamp_ntz")
+
+
+def now() -> Column:
+    """The clock of all queries."""
+    return F.lit(NOW_TEXT).cast("timestamp_ntz")
+
 
 MEMORIES = """SELECT d.doc_id AS id, d.doc_id % 4 AS org_id, CAST((d.doc_id % 12 - d.doc_id % 4) / 4 AS BIGINT) AS agent_id,
  CAST(CASE WHEN d.doc_id % 10 < 7 THEN d.doc_id % 50 END AS BIGINT) AS user_id,

@@ -57,10 +57,10 @@ def csv_text(raw: str, cap: int = 10_000) -> tuple[str, bool]:
     """Rows as 'header: value' paragraphs after a paragraph of the headers, and whether rows were left out."""
     raw = raw.removeprefix("﻿")
     try:
-        dialect = csv.Sniffer().sniff(raw[:4096], ",;\t|")
-    except csv.Error:
-        dialect = csv.excel
-    rows = list(csv.reader(io.StringIO(raw), dialect))
+        delimiter = csv.Sniffer().sniff(raw[:4096], ",;\t|").delimiter
+    except csv.Error:  # the commonest of the header line
+        delimiter = max(",;\t|", key=raw.split("\n", 1)[0].count)
+    rows = list(csv.reader(io.StringIO(raw), delimiter=delimiter))
     if not rows:
         return "", False
     head = [h.strip() for h in rows[0]]
