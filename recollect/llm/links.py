@@ -84,12 +84,19 @@ def differing(x: str, y: str) -> Column:
     return F.when(F.size(a) == F.size(b), bits).otherwise(F.lit(0))  # lengths further apart tell nothing
 
 
+def folded_to(sig: str, words: int) -> Column:
+    """A signature at the length of so many words, a power of two no longer than its own."""
+    runs = F.sequence(F.lit(0), F.expr(f"size({sig}) div {words} - 1").cast("int"))
+    return F.transform(F.sequence(F.lit(0), F.lit(words - 1)), lambda i: F.aggregate(runs, F.lit(0).cast("long"), lambda t, c: t.bitwiseXOR(F.get(F.col(sig), i + c * words))))
+
+
 def possible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """Pairs (a, b) that sizes and signatures allow; nodes: (node, n, sig)."""
     p, q = SIMILAR
-    left = nodes.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("sig").alias("sa"))
-    right = nodes.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("sb"))
-    both = pairs.join(left, "a").join(right, "b").filter(q * F.least("na", "nb") >= p * F.greatest("na", "nb"))
+    left, right = (nodes.select(F.col("node").alias(x), F.col("n").alias(f"n{x}")) for x in "ab")
+    sig_left, sig_right = (nodes.select(F.col("node").alias(x), F.col("sig").alias(f"s{x}")) for x in "ab")
+    fit = pairs.join(left, "a").join(right, "b").filter(q * F.least("na", "nb") >= p * F.greatest("na", "nb"))
+    both = fit.join(sig_left, "a").join(sig_right, "b")  # signatures are wide: only pairs of like sizes carry them
     total = F.col("na") + F.col("nb")
     most = total - 2 * F.ceil(F.lit(p) * total / F.lit(p + q))
     return both.filter(differing("sa", "sb") <= most).select(*pairs.columns)
@@ -220,7 +227,8 @@ def across(listed: DataFrame, nodes: DataFrame, edges: DataFrame, labels: DataFr
     close = F.col("near.d") * TIGHT <= F.col("n")  # narrow stars bound more; the others stand alone
     member = cut(member.select("node", "n", "sig", F.when(close, F.col("near.a")).otherwise(F.col("node")).alias("star"), F.when(close, F.col("near.d")).otherwise(0).cast("long").alias("d"), F.coalesce("comp", "node").alias("comp")))
     stars = member.groupBy("star").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.first("comp").alias("comp"), F.max("d").alias("radius"))
-    stars = stars.join(nodes.select(F.col("node").alias("star"), "sig"), "star")
+    words = nodes.agg(F.min(F.size("sig"))).first()[0] or 1  # the length that groups of many stars come down to
+    stars = stars.join(nodes.select(F.col("node").alias("star"), folded_to("sig", words).alias("sig")), "star")
     shared = cut(listed.join(member.select(F.col("node").alias("v"), "star", "comp"), "v").groupBy("k", "star").agg(F.first("comp").alias("comp")))
     # keys of one and the same set of stars tell the same pairs, so one of them is enough
     told = shared.groupBy("k").agg(F.min("comp").alias("c_lo"), F.max("comp").alias("c_hi"), F.count("*").alias("size"), F.bit_xor(F.xxhash64("star")).alias("x"), F.bit_xor(F.xxhash64("star", F.lit(1))).alias("y"))
