@@ -81,3 +81,20 @@ def tiers(query: Column) -> Column:
     """Tiers whose patterns a query meets; all four when none does."""
     hits = F.array_distinct(F.array_compact(F.array(*[F.when(query.rlike(p), F.lit(t)) for t, p in TIER_PATTERNS])))
     return F.when(F.size(hits) == 0, F.array(*[F.lit(t) for t in ("working", "episodic", "semantic", "procedural")])).otherwise(hits)
+
+
+#: Keywords that a read-only graph query may not hold.
+WRITING = ("CREATE", "MERGE", "DELETE", "DETACH", "REMOVE", "SET", "DROP", "CALL", "LOAD", "EXECUTE", "USING", "GRANT", "REVOKE")
+
+
+def read_only(query: Column) -> Column:
+    """Whether a graph query only reads: it starts with MATCH, RETURN or WITH after its comments and has no writing keyword or dollar quote; null: false."""
+    bare = F.regexp_replace(F.regexp_replace(query, r"(?s)/\*.*?\*/", " "), r"//[^\n]*", " ")
+    ok = bare.rlike(r"(?i)^\s*(MATCH|RETURN|WITH)\b") & ~bare.rlike(rf"(?i)\b({'|'.join(WRITING)})\b") & ~query.contains("$$")
+    return F.coalesce(ok, F.lit(False))
+
+
+def artifact_key(org: Column, at: Column, uid: Column, name: Column) -> Column:
+    """org/YYYY/MM/uid.ext; without an extension of letters and digits, no suffix."""
+    ext = F.lower(F.regexp_extract(name, r"\.([A-Za-z0-9]+)$", 1))
+    return F.concat(org.cast("string"), F.lit("/"), F.date_format(at, "yyyy/MM"), F.lit("/"), uid.cast("string"), F.when(F.length(ext) > 0, F.concat(F.lit("."), ext)).otherwise(F.lit("")))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalar as sc
-from ..operators import audit, graph, memory, refine, text
+from ..operators import audit, graph, memory, ontology, refine, text
 from ..sources import loaders
 from ..streaming import jobs as streams
 from . import tables as t
@@ -415,6 +415,27 @@ def ontology_exact(spark, sf):
     return names.join(refine.ontology_exact(names.select("name").distinct(), labels), "name").select("c_custkey", "uri")
 
 
+@query()
+def ontology_fuzzy(spark, sf):
+    n = t.read(spark, sf, "nation")
+    names = t.read(spark, sf, "customer").join(F.broadcast(n), F.col("c_nationkey") == F.col("n_nationkey"))  # 25 nations
+    names = names.select(F.concat(F.lower("n_name"), F.when(F.col("c_custkey") % 2 == 0, "s").otherwise(" land")).alias("name"), F.lit("place").alias("type"))
+    return ontology.match(names, n.select(F.col("n_name").alias("label"), F.concat(F.lit("urn:n:"), F.col("n_nationkey").cast("string")).alias("uri"), F.lit("place").alias("type_hint")))
+
+
+_CYPHER = "concat(CASE n_nationkey % 4 WHEN 0 THEN '/* CREATE */ match ' WHEN 1 THEN 'MATCH ' WHEN 2 THEN 'SET ' ELSE 'WITH 1 AS x MATCH ' END, '(n) WHERE n.name = ', n_name, CASE WHEN n_nationkey % 5 = 0 THEN ' DETACH DELETE n' ELSE ' RETURN n' END)"
+
+
+@query("SELECT n_nationkey, n_nationkey % 4 <> 2 AND n_nationkey % 5 <> 0 AS read_only FROM nation")
+def cypher_read_only(spark, sf):
+    return t.read(spark, sf, "nation").select("n_nationkey", sc.read_only(F.expr(_CYPHER)).alias("read_only"))
+
+
+@query("SELECT event_id, concat(user_id % 4, '/', strftime(ts, '%Y/%m'), '/', event_id, '.txt') AS key FROM events")
+def artifact_keys(spark, sf):
+    return t.read(spark, sf, "events").select("event_id", sc.artifact_key(F.col("user_id") % 4, F.col("ts"), F.col("event_id"), F.lit("a.b.TXT")).alias("key"))
+
+
 @query("SELECT doc_id AS id, sha256(coalesce(text, '')) AS content_hash FROM documents")
 def content_hashes(spark, sf):
     return refine.content_hashes(t.memories(spark, sf))

@@ -1,14 +1,16 @@
 """Queries against their SQL in DuckDB, and pure functions against plain restatements."""
 
 import hashlib
+import io
 import json
+import zipfile
 
 import duckdb
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
 
-from recollect.operators import audit, refine, text
+from recollect.operators import audit, ontology, refine, text
 from recollect.plans import catalog
 from recollect.sources import loaders
 
@@ -66,3 +68,36 @@ def test_paragraph_spans_are_ordered_and_whole(s):
 def test_csv_and_html():
     assert loaders.csv_text("a;b\n1;2\n3\n") == ("CSV columns: a, b\n\na: 1; b: 2\n\na: 3; b: ", False)
     assert loaders.html_text("<title>T</title><nav>x</nav><article><p>One</p><p>two</p></article>") == "# T\n\nOne\ntwo"
+
+
+def docx(body: str) -> bytes:
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("word/document.xml", f'<w:document xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"><w:body>{body}</w:body></w:document>')
+        z.writestr("word/styles.xml", '<w:styles xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"><w:style w:styleId="H9"><w:name w:val="heading 9"/></w:style></w:styles>')
+    return out.getvalue()
+
+
+def test_docx(spark):
+    head = '<w:p><w:pPr><w:pStyle w:val="H9"/></w:pPr><w:r><w:t>Top</w:t></w:r></w:p>'
+    good = docx(head + "<w:p/><w:p><w:r><w:t>a</w:t><w:tab/></w:r><w:r><w:t>b</w:t></w:r></w:p>")
+    rows = spark.createDataFrame([("x", bytearray(good)), ("y", bytearray(b"PK no")), ("z", None)], "path string, content binary")
+    got = {r.path: r for r in loaders.docx_loaded(rows).collect()}
+    assert (got["x"].text, got["x"].headings) == ("###### Top\n\na\tb", 1)
+    assert got["y"].text is None and got["y"].error and got["z"].text == ""
+
+
+def test_ontology_match_by_brute_force(spark):
+    words = ["red fox", "fox red", "Red  Fox", "ox", "oxe", "the red fox den", "blue whale", "blu whale", "b", "a b", "cart", "card", "cards", ""]
+    labels = [(w, f"u{i:02}", "animal" if i % 2 else None) for i, w in enumerate(words)]
+    got = {r.name: (r.uri, round(r.score, 9)) for r in ontology.match(spark.createDataFrame([(w, "animal") for w in words], "name string, type string"), spark.createDataFrame(labels, "label string, uri string, type_hint string")).collect()}
+    want = {}
+    for w in words:
+        all_of = [(w.lower() != lab.lower(), -min(1.0, ontology.token_set(w.lower(), lab.lower()) + (0.05 if hint else 0)), uri) for lab, uri, hint in labels if w.strip() and lab.strip()]
+        if all_of := [x for x in all_of if x[1] <= -0.8]:
+            want[w] = (min(all_of)[2], round(-min(all_of)[1], 9))
+    assert got == want
+
+
+def test_indel():
+    assert ontology.indel("card", "cart") == 0.75 and ontology.indel("", "a") == 0 and ontology.token_set("a b", "b") == 1
