@@ -162,7 +162,9 @@ def components(edges: DataFrame) -> DataFrame:
     labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("comp")))
     while True:
         near = both.join(labels.select(F.col("node").alias("b"), "comp"), "b").groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("m"))
-        lower = labels.join(near, "node").select("node", F.least("comp", "m").alias("comp"), F.col("comp").alias("old"))
+        told = labels.join(near, "node").filter("m < comp")  # what a node learns its root learns too, else long paths take a round a step
+        known = told.select("node", "m").union(told.select(F.col("comp").alias("node"), "m")).groupBy("node").agg(F.min("m").alias("m"))
+        lower = labels.join(known, "node", "left").select("node", F.least("comp", "m").alias("comp"), F.col("comp").alias("old"))
         lower = cut(lower)
         jump = lower.select(F.col("node").alias("comp"), F.col("comp").alias("up"))
         new = cut(lower.join(jump, "comp").select("node", F.col("up").alias("comp"), "old"))
