@@ -2,7 +2,9 @@
 
 A node is a distinct set (its 64-bit identity), so copies are one node. Nodes that share a key are candidates. In a first
 round each node is tried with the smallest nodes of its keys' lists. A second round tries another
-node of each list with those of other components. The links make stars, a node and those linked to it. In the last round the stars that share a key but stand in different components are compared by what bounds all their pairs
+node of each list with those of other components. The links make stars, a node and those linked to it. A third round tries
+the centers of stars that share a key but stand in different components, as far as they make a forest of the components.
+In the last round such stars are compared by what bounds all their pairs
 (the symmetric difference is a metric, and a star's is small), and the pairs of those that stay are tried too; so no link is
 lost, though neither copies nor near copies are expanded into all pairs. Pairs are dropped by bounds (sizes, parity
 signatures) that no pair above the similarity fails.
@@ -183,7 +185,7 @@ def link(keyed: DataFrame, fetch: Callable[[DataFrame], DataFrame]) -> DataFrame
     first = cut(possible(unpack_pairs(lists, ("a", "b")).distinct(), nodes))
     edges = verified(first, fetch)
     labels = components(edges)
-    for tries in (scattered, across):
+    for tries in (scattered, centers, across):
         fresh = cut(tries(listed, nodes, edges, labels).join(first, ["a", "b"], "left_anti"))
         if fresh.isEmpty():
             continue
@@ -219,10 +221,21 @@ def _apart(one: np.ndarray, many: np.ndarray) -> np.ndarray:
     return np.bitwise_count(one[None, :] ^ many).sum(1, dtype=np.int64)
 
 
-def across(listed: DataFrame, nodes: DataFrame, edges: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs (a, b), a < b, of different components out of stars that share a key, as far as bounds allow them.
+def _joining(i: int, j: np.ndarray, far: np.ndarray, live: np.ndarray) -> np.ndarray:
+    """Which of j to try with i: the nearest, and the nearest of each component that i's has not met yet; live then has them as one."""
+    order = np.argsort(far, kind="stable")
+    new = order[live[j[order]] != live[i]]
+    met, first = np.unique(live[j[new]], return_index=True)
+    live[np.isin(live, met)] = live[i]
+    return np.union1d(order[:1], new[first])
 
-    Stars, and then the members of near ones, are compared inside their groups; only what the bounds leave is a row."""
+
+def near_stars(listed: DataFrame, nodes: DataFrame, edges: DataFrame, labels: DataFrame, forest: bool) -> tuple[DataFrame, DataFrame]:
+    """Members (node, n, sig, star, d, comp), and stars (s, t, apart), s < t, that share a key and may hold links between different components.
+
+    Stars are compared inside their groups; only what the bounds leave is a row. For a forest it is the centers that must be
+    near, and only pairs that would join components not joined yet are left, and each center's nearest: a number that grows
+    with the stars, not with their pairs."""
     p, q = SIMILAR
     star = edges.groupBy(F.col("b").alias("node")).agg(F.min(F.struct("d", "a")).alias("near"))
     member = nodes.join(star, "node", "left").join(labels, "node", "left")
@@ -230,13 +243,13 @@ def across(listed: DataFrame, nodes: DataFrame, edges: DataFrame, labels: DataFr
     member = cut(member.select("node", "n", "sig", F.when(close, F.col("near.a")).otherwise(F.col("node")).alias("star"), F.when(close, F.col("near.d")).otherwise(0).cast("long").alias("d"), F.coalesce("comp", "node").alias("comp")))
     stars = member.groupBy("star").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.first("comp").alias("comp"), F.max("d").alias("radius"))
     words = nodes.agg(F.min(F.size("sig"))).first()[0] or 1  # the length that groups of many stars come down to
-    stars = stars.join(nodes.select(F.col("node").alias("star"), folded_to("sig", words).alias("sig")), "star")
+    stars = stars.join(nodes.select(F.col("node").alias("star"), "n", folded_to("sig", words).alias("sig")), "star")
     shared = cut(listed.join(member.select(F.col("node").alias("v"), "star", "comp"), "v").groupBy("k", "star").agg(F.first("comp").alias("comp")))
     # keys of one and the same set of stars tell the same pairs, so one of them is enough
     told = shared.groupBy("k").agg(F.min("comp").alias("c_lo"), F.max("comp").alias("c_hi"), F.count("*").alias("size"), F.bit_xor(F.xxhash64("star")).alias("x"), F.bit_xor(F.xxhash64("star", F.lit(1))).alias("y"))
     mixed = told.filter("c_lo < c_hi").groupBy("size", "x", "y").agg(F.min("k").alias("k")).select("k")
     shared = shared.join(mixed, "k").groupBy(F.pmod(F.xxhash64("k"), F.lit(STAR_BUCKETS)).cast("int").alias("bucket"), "star").agg(F.collect_list("k").alias("ks"))
-    shared = shared.join(stars, "star").select("bucket", "star", "ks", "lo", "hi", "comp", "radius", "sig")
+    shared = shared.join(stars, "star").select("bucket", "star", "ks", *([F.col("n").alias("lo"), F.col("n").alias("hi")] if forest else ["lo", "hi"]), "comp", (F.lit(0) if forest else F.col("radius")).cast("long").alias("radius"), "sig")
 
     def meet(group: pa.Table) -> pa.Table:
         ids, comp, lo, hi, radius = (group.column(c).to_numpy().astype(np.int64) for c in ("star", "comp", "lo", "hi", "radius"))
@@ -247,8 +260,9 @@ def across(listed: DataFrame, nodes: DataFrame, edges: DataFrame, labels: DataFr
                 lists.setdefault(k, []).append(i)
         seen: set[bytes] = set()
         out = [np.zeros((0, 3), np.int64)]
+        live = comp.copy()
         for rows in lists.values():
-            at = np.array(rows)
+            at = np.array(rows)[np.argsort(ids[rows])]
             if (name := at.tobytes()) in seen:
                 continue
             seen.add(name)
@@ -257,7 +271,9 @@ def across(listed: DataFrame, nodes: DataFrame, edges: DataFrame, labels: DataFr
                 j = j[(comp[j] != comp[i]) & (q * hi[i] >= p * lo[j]) & (q * hi[j] >= p * lo[i])]
                 if len(j):
                     far = _apart(sig[i], sig[j])
-                    ok = far <= radius[i] + radius[j] + _gap(hi[i] + hi[j])
+                    ok = np.flatnonzero(far <= radius[i] + radius[j] + _gap(hi[i] + hi[j]))
+                    if forest and len(ok):
+                        ok = ok[_joining(i, j[ok], far[ok], live)]
                     out.append(np.stack((np.minimum(ids[i], ids[j[ok]]), np.maximum(ids[i], ids[j[ok]]), far[ok]), 1))
             if len(out) > 5000:
                 out = [np.unique(np.concatenate(out), axis=0)]
@@ -265,8 +281,22 @@ def across(listed: DataFrame, nodes: DataFrame, edges: DataFrame, labels: DataFr
         return pa.table({"s": pa.array(pairs[:, 0]), "t": pa.array(pairs[:, 1]), "apart": pa.array(pairs[:, 2])})
 
     near = shared.groupBy("bucket").applyInArrow(meet, "s long, t long, apart long").groupBy("s", "t").agg(F.max("apart").alias("apart"))
+    return member, cut(near)
+
+
+def centers(listed: DataFrame, nodes: DataFrame, edges: DataFrame, labels: DataFrame) -> DataFrame:
+    """Pairs (a, b), a < b, of centers of stars that share a key and could join their components; in a group of near copies as many as it has components, not pairs."""
+    _, near = near_stars(listed, nodes, edges, labels, forest=True)
+    return possible(near.select(F.col("s").alias("a"), F.col("t").alias("b")), nodes)
+
+
+def across(listed: DataFrame, nodes: DataFrame, edges: DataFrame, labels: DataFrame) -> DataFrame:
+    """Pairs (a, b), a < b, of different components out of stars that share a key, as far as bounds allow them.
+
+    Stars, and then the members of near ones, are compared inside their groups; only what the bounds leave is a row."""
+    p, q = SIMILAR
+    member, near = near_stars(listed, nodes, edges, labels, forest=False)
     one = member.select(F.col("node").alias("m"), F.col("n").alias("m_n"), F.col("star").alias("m_s"), F.col("d").alias("m_d"), F.col("sig").alias("m_sig"))
-    near = cut(near)
     reach = member.groupBy(F.col("star").alias("r_star")).agg(F.max("d").alias("r"), F.max("n").alias("r_hi"))
     near = near.join(reach, F.col("t") == F.col("r_star"))
     gap = lambda n: F.floor(n * (q - p) / (q + p))
