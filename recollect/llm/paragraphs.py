@@ -1,11 +1,13 @@
 """Operator 10: near-duplicate paragraphs by MinHash banding, exact verification and components.
 
-A paragraph is a line (between \\n) of at least MIN_WORDS words; its set holds its distinct 5-word shingles. BANDS bands of
-ROWS minima are tuned for recall: a pair of similarity 0.75 shares a band with probability 1 - (1 - 0.75^3)^12 = 0.9986.
+A paragraph is a line (between \\n) of at least MIN_WORDS words; its set holds its distinct 5-word shingles, or the line as
+a whole if it has fewer words. Sets of fewer than LINKED members are similar only if equal, so their identity tells all. The
+others get BANDS bands of ROWS minima, tuned for recall: a pair of similarity 0.75 shares a band with probability
+1 - (1 - 0.75^3)^12 = 0.9986.
 Colliding paragraphs are verified by the exact Jaccard similarity of their whole sets (links.py); of each component the
 first paragraph (smallest doc_id, then place) stays and the others are removed with the line end after them.
 
-Defined results: null texts have no paragraphs; shorter lines are never removed; rows with a null doc_id take no part;
+Defined results: null texts have no paragraphs; blank lines and lines of one word are never removed; rows with a null doc_id take no part;
 repeated rows (equal doc_id) are one document: both keep or lose the same lines; an empty table gives no rows; extra
 columns pass through ``remove``.
 """
@@ -20,10 +22,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import spans as sp
-from .common import by_bucket, cut, mix, pieces, set_id, shingle_sets, signature, table, text_bytes, words
-from .links import link, sets_sent
+from .common import by_bucket, cut, mix, pieces, set_id, shingle_sets, signature, small, table, text_bytes, words
+from .links import SMALL_ROWS, link, sets_sent
 
-MIN_WORDS = 10
+MIN_WORDS = 2
+LINKED = 3
+#: A paragraph with so many copies meets them by a broadcast, so that its rows don't gather in one task.
+HOT = 1000
 BANDS, ROWS = 12, 3
 SIGNATURE = 4
 _A = np.random.default_rng(1010).integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -57,7 +62,7 @@ def lines(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, li
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """doc_id, start, end, node, n, sig, keys of each paragraph; sig and keys null where a node repeats nearby."""
+    """doc_id, start, end, node, n, sig, keys of each paragraph; sig and keys null where a node repeats nearby or has no near copies but equal ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
@@ -67,8 +72,8 @@ def keyed(docs: DataFrame) -> DataFrame:
             at = np.array([i for i, _ in sets])
             nodes = [set_id(s) for _, s in sets]
             fresh = {k: i for i, k in reversed(list(enumerate(nodes)))}
-            one = sorted(fresh.values())
-            keys = band_keys([sets[i][1] for i in one])
+            one = sorted(i for i in fresh.values() if len(sets[i][1]) >= LINKED)
+            keys = band_keys([sets[i][1] for i in one]) if one else []
             sig, blob = [None] * len(sets), [None] * len(sets)
             for row, i in enumerate(one):
                 sig[i], blob[i] = signature(sets[i][1], SIGNATURE), keys[row].tobytes()
@@ -83,7 +88,7 @@ def removed_lines(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null and text is not null")
     found = cut(keyed(docs))
     places = found.select("doc_id", "start", "end", "node")
-    first = places.groupBy("node").agg(F.min(F.struct("doc_id", "start")).alias("at"))
+    first = places.groupBy("node").agg(F.min(F.struct("doc_id", "start")).alias("at"), F.count("*").alias("copies"))
 
     def named_sets(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray]]:
         text, _, _, sets = lines(batch)
@@ -93,8 +98,10 @@ def removed_lines(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     labels = link(found.filter("keys is not null").select("node", "n", "sig", "keys"), fetch)
     linked = first.join(labels, "node")
     least = linked.groupBy("comp").agg(F.min("at").alias("least"))
-    stays = first.join(linked.select("node", "comp").join(least, "comp").select("node", "least"), "node", "left").select("node", F.coalesce("least", "at").alias("stays"))
-    told = cut(places.join(stays, "node").select("doc_id", "start", "end", "node", (F.struct("doc_id", "start") != F.col("stays")).alias("gone")))
+    stays = first.join(linked.select("node", "comp").join(least, "comp").select("node", "least"), "node", "left").select("node", F.coalesce("least", "at").alias("stays"), "copies")
+    hot = small(cut(stays.filter(F.col("copies") >= HOT)), SMALL_ROWS)
+    met = places.join(hot, "node").union(places.join(hot.select("node"), "node", "left_anti").join(stays.filter(F.col("copies") < HOT), "node"))
+    told = cut(met.select("doc_id", "start", "end", "node", (F.struct("doc_id", "start") != F.col("stays")).alias("gone")))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

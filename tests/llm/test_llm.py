@@ -132,6 +132,19 @@ def test_paragraphs(spark):
     assert got[n:] == [texts[n], f"{p[2]}\nshort", "", f"{p[3]}\n"]
 
 
+def test_short_paragraphs(spark, monkeypatch):
+    """Lines of 2 to 9 words go as well: equal ones of few shingles, near ones of 7 words or more; also by the hot lines' way."""
+    a, b, c = (words(n, 70 + n) for n in (2, 6, 9))
+    line = " ".join
+    texts = [f"{line(a)}\n{line(b)}\n{line(c)}\nend", f"{line(b)}\nown\n{line(a).upper()}\n{line(c[:8])}\n\nend", f"{line(b[:5])}\n{line(a)}"]
+    for hot in (1000, 2):
+        monkeypatch.setattr(paragraphs, "HOT", hot, raising=False)
+        got = [r.text for r in paragraphs.remove(rows(spark, texts)).orderBy("doc_id").collect()]
+        assert got == [texts[0], "own\n\nend", f"{line(b[:5])}\n"]
+    wrapped = "\n".join(line(words(6, k)) for k in range(10))  # a passage of 60 words in short lines
+    assert [r.text for r in paragraphs.remove(rows(spark, [wrapped, wrapped])).orderBy("doc_id").collect()] == [wrapped, ""]
+
+
 def test_pii_by_plain_patterns(spark):
     base = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
