@@ -7,7 +7,7 @@ documents, and any order gives the same links, so the bound on how many are told
 
 Defined results: null, empty and wordless texts have no shingles and are alone (component_id is the own id); repeated rows
 share a component; a null doc_id is linked but never names a component unless all its documents have none; empty tables give no
-rows; extra columns are ignored by ``classes`` and kept by ``one_of_each``.
+rows; extra columns are ignored by ``classes`` and kept by ``one_of_each``, which decides by row where ids are null or repeat.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import cut, pieces, set_id, shingle_sets, signature, small, table, text_bytes, words
 from .links import SIMILAR, SMALL_ROWS, link, sets_sent
@@ -96,7 +97,7 @@ def keyed_sets(docs: DataFrame) -> DataFrame:
 
 
 def classes(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, node (identity of the set), component_id."""
+    """doc_id, n_shingles, node (identity of the set), comp (a node that names the component), component_id."""
     docs = docs.select("doc_id", "text")
     sets = cut(keyed_sets(docs))
     where = sets.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
@@ -106,18 +107,46 @@ def classes(docs: DataFrame) -> DataFrame:
     labels = link(sets.filter("keys is not null").select("node", "n", "sig", "keys"), fetch)
     linked = where.join(labels, "node")
     first = linked.groupBy("comp").agg(F.min("doc_id").alias("least"))
-    named = where.join(linked.select("node", "comp").join(first, "comp").select("node", "least"), "node", "left").select("node", F.coalesce("least", "doc_id").alias("component_id"))
+    named = where.join(linked.select("node", "comp").join(first, "comp").select("node", "comp", "least"), "node", "left").select("node", F.coalesce("comp", "node").alias("comp"), F.coalesce("least", "doc_id").alias("component_id"))
     out = sets.select("doc_id", "n", "node").join(named, "node", "left")
-    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), "node", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), "node", "comp", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def with_node(docs: DataFrame) -> DataFrame:
+    """docs and ng_node, the identity of each row's set; null without shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches):
+            node: list = [None] * batch.num_rows
+            for i, s in sets_of(batch):
+                node[i] = set_id(s)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(node, pa.int64())], names=[*batch.schema.names, "ng_node"])
+
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("ng_node", LongType())]))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The document with the smallest id of each component, one row each, with the columns of docs."""
-    found = cut(classes(docs).select("doc_id", "component_id"))
-    gone = found.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("ng_id")).distinct()
-    kept = docs.join(small(gone, SMALL_ROWS), docs["doc_id"] == F.col("ng_id"), "left_anti")
-    again = found.groupBy("doc_id").count().filter("count > 1")
-    return kept if again.isEmpty() else kept.dropDuplicates(["doc_id"])
+    """One row of each component, that of the smallest id (null ids come last), with the columns of docs.
+
+    A row is told by its id and set: equal ids with different texts are different documents, and so are null ids. Equal
+    ids without shingles are one document; rows with neither id nor shingles all stay."""
+    found = cut(classes(docs).select("doc_id", "node", "comp"))
+    key = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "node")
+    least = found.filter("node is not null").groupBy("comp").agg(F.min(key).alias("least"))
+    gone = found.distinct().join(least, "comp").filter(key != F.col("least")).select(F.col("doc_id").alias("ng_id"), F.col("node").alias("ng_set"))
+    gone = cut(gone)
+    again = cut(found.groupBy(F.col("doc_id").alias("again_id")).count().filter("count > 1 or again_id is null").select("again_id"))
+    gone_ids = gone.select("ng_id").filter("ng_id is not null").distinct()
+    if again.isEmpty():
+        return docs.join(small(gone_ids, SMALL_ROWS), docs["doc_id"] == F.col("ng_id"), "left_anti")
+    again = small(again, SMALL_ROWS)
+    one = docs.filter(docs["doc_id"].isNotNull()).join(again, docs["doc_id"] == F.col("again_id"), "left_anti")
+    kept = one.join(small(gone_ids, SMALL_ROWS), one["doc_id"] == F.col("ng_id"), "left_anti")
+    many = with_node(docs.join(again, docs["doc_id"].eqNullSafe(F.col("again_id")), "left_semi"))
+    many = many.join(small(gone, SMALL_ROWS), many["doc_id"].eqNullSafe(F.col("ng_id")) & (many["ng_node"] == F.col("ng_set")), "left_anti")
+    alone = many.filter("doc_id is null and ng_node is null")
+    rest = many.filter("doc_id is not null or ng_node is not null").dropDuplicates(["doc_id", "ng_node"])
+    return kept.unionByName(rest.union(alone).drop("ng_node"))
 
 
 def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -70,6 +70,16 @@ def test_jaccard_by_brute_force(spark):
     assert sorted(kept) == sorted(set(root))
 
 
+def test_one_of_each_with_null_and_repeated_ids(spark):
+    a, b, c, d, e, f = (" ".join(words(60, 50 + k)) for k in range(6))
+    near = " ".join([*d.split()[:-1], "end"])
+    docs = [(None, a), (None, b), (None, a), (None, None), (None, ""), (5, c), (5, near), (1, d), (7, e), (7, e), (8, None), (8, None), (9, f), (10, f), (None, f)]
+    got = jaccard.one_of_each(spark.createDataFrame([(i, t, "en", "s", 0, "x", 1) for i, t in docs], SCHEMA))
+    assert got.columns == SCHEMA.replace(",", "").split()[::2]
+    want = [(None, a), (None, b), (None, None), (None, ""), (5, c), (1, d), (7, e), (8, None), (9, f)]
+    assert sorted(map(repr, ((r.doc_id, r.text) for r in got.collect()))) == sorted(map(repr, want))
+
+
 def test_tree_join_by_sets():
     r = np.random.default_rng(1)
     base = np.unique(r.integers(0, 1 << 60, 300, dtype=np.uint64))
