@@ -99,6 +99,14 @@ def batch_knn_topk(spark, sf):
     return memory.knn_per_query(e, asked, 5).select("query_id", "id", F.col("rank").cast("long").alias("rank"))
 
 
+@query("SELECT query_id, id, rank FROM (SELECT q.vec_id AS query_id, e.vec_id AS id, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) DESC, e.vec_id) AS rank FROM embeddings e JOIN embeddings q ON q.vec_id <> e.vec_id AND q.vec_id % 20 = 0) WHERE rank <= 5")
+def batch_knn_every_20th(spark, sf):
+    """All due searches: each row whose id is divisible by 20 against all rows."""
+    e = t.read(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    asked = e.filter("id % 20 = 0").select(F.col("id").alias("query_id"), F.col("embedding").alias("q"))
+    return memory.knn_per_query(e, asked, 5).select("query_id", "id", F.col("rank").cast("long").alias("rank"))
+
+
 @query(with_tables("SELECT id, memory_type, importance_score FROM memories WHERE org_id = 2 AND id = 42 AND deleted_at IS NULL", "memories"))
 def point_lookup(spark, sf):
     return memory.scan(t.memories(spark, sf), 2).filter("id = 42").select("id", "memory_type", "importance_score")
