@@ -6,10 +6,12 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalar as sc
+from ..functions.porter import english_terms
 
 
 def token_chunks(docs: DataFrame, size: int = 1024, overlap: int = 128) -> DataFrame:
@@ -56,12 +58,19 @@ def terms(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}]+"), lambda t: F.length(t) >= 3)
 
 
-def lexical_recall(m: DataFrame, query: str, now: Column, k: int = 10, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """Memories with all terms of the query, by BM25 mapped to [0, 1]; fused .70 lexical, .20 importance, .10 recency."""
-    asked = sorted({t for t in re.split(r"[^\w]+", query.lower()) if len(t) >= 3})
+def lexical_recall(m: DataFrame, query: str, now: Column, k: int = 10, k1: float = 1.2, b: float = 0.75, english: bool = True) -> DataFrame:
+    """Memories with all terms of the query, by BM25 mapped to [0, 1]; fused .70 lexical, .20 importance, .10 recency.
+
+    english: terms are Porter stems of words and numbers without stop words, else plain letter runs of three or more."""
+    if english:
+        stop = frozenset(StopWordsRemover.loadDefaultStopWords("english"))
+        asked = sorted(set(english_terms(query, stop)))
+        split = F.udf(lambda t: english_terms(t, stop), "array<string>")
+    else:
+        asked, split = sorted({t for t in re.split(r"[^\w]+", query.lower()) if len(t) >= 3}), terms
     if not asked:
         return m.limit(0).withColumn("lexical", F.lit(0.0)).withColumn("relevance_score", F.lit(0.0))
-    x = m.withColumn("terms", terms(F.col("content"))).withColumn("length", F.size("terms"))
+    x = m.withColumn("terms", split(F.col("content"))).withColumn("length", F.size("terms"))
     occurs = lambda q: F.size(F.filter("terms", lambda t: t == q))
     count = [occurs(q) for q in asked]
     x = x.withColumns({f"tf{i}": c for i, c in enumerate(count)})

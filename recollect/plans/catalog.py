@@ -358,7 +358,12 @@ def normalize_names(spark, sf):
 
 @query()
 def lexical_recall(spark, sf):
-    return text.lexical_recall(memory.scan(t.memories(spark, sf), 0), "this with", t.now()).select("id", r6("lexical"), r6("relevance_score"))
+    return text.lexical_recall(memory.scan(t.memories(spark, sf), 0), "this with", t.now(), english=False).select("id", r6("lexical"), r6("relevance_score"))
+
+
+@query()
+def lexical_recall_english(spark, sf):
+    return text.lexical_recall(memory.scan(t.memories(spark, sf), 0), "the things", t.now()).select("id", r6("lexical"), r6("relevance_score"))
 
 
 # --- refinement, usage, jobs, conversations --------------------------------------------------------------------------

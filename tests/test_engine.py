@@ -42,6 +42,20 @@ def test_query_without_sql_has_rows(spark, name):
     assert catalog.QUERIES[name](spark, SF).count() > 0
 
 
+def test_lexical_recall_stems_and_drops_stop_words(spark):
+    from recollect.functions.porter import stem
+
+    pairs = "caresses:caress ponies:poni cats:cat agreed:agre plastered:plaster motoring:motor hopping:hop falling:fall filing:file happy:happi sky:sky relational:relat conditional:condit generalization:gener oscillators:oscil triplicate:triplic hopeful:hope adoption:adopt probate:probat controll:control"
+    assert all(stem(a) == b for a, b in (p.split(":") for p in pairs.split()))
+    m = catalog.memory.scan(catalog.t.memories(spark, SF), 0).limit(4).drop("content").toPandas()
+    m["content"] = ["It relates to 42 motors, ok", "relation of the motor", "motoring 42 go", "this with"][: len(m)]
+    docs = spark.createDataFrame(m[["id", "content", "importance_score", "created_at"]])
+    ids = lambda q: {r.content for r in text.lexical_recall(docs, q, catalog.t.now()).collect()}
+    assert ids("the related motor") == {m["content"][0], m["content"][1]}
+    assert ids("42 motors") == {m["content"][0], m["content"][2]} and ids("go") == {m["content"][2]}
+    assert ids("this with") == set()
+
+
 def test_hash_chain_by_plain_fold(spark):
     rows = catalog.t.log(spark, SF)
     chain = {(r.org_id, r.id): bytes(r.row_hash) for r in audit.hash_chain(rows).collect()}
