@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import saved, table
 
 SAMPLE = 8192
 BRANCH = 8
@@ -164,7 +164,7 @@ def search(rows: DataFrame, queries: DataFrame, id_column: str, vector: str, k:
                 yield pa.RecordBatch.from_arrays([pa.array([b.column("id")[i].as_py()] * len(to), pa.int64()), pa.array([b.column("v")[i].as_py()] * len(to), b.column("v").type), pa.array(to, pa.int64())], names=["id", "v", "leaf"])
 
     kind = dict(base.dtypes)["v"]
-    placed = cut(base.mapInArrow(place, f"id long, v {kind}, leaf long"))
+    placed = saved(base.mapInArrow(place, f"id long, v {kind}, leaf long"))
     blocks = placed.groupBy("leaf").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))  # a row a leaf: bounded by the tree
     index = placed.join(F.broadcast(blocks), "leaf").withColumn("block", F.pmod(F.xxhash64("id", "v"), F.col("blocks")).cast("int"))
     visited = asked.mapInArrow(visit, f"id long, v {kind}, leaf long").join(F.broadcast(blocks), "leaf").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that the vectorised kernels take at a time; a longer single text is one piece of its own.
@@ -19,13 +21,36 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the folder that spark.checkpoint.dir names (a temporary one only where that is unset)."""
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="recollect-"))
-    return df.checkpoint()
+_own: list[str] = []
+
+
+def scratch(spark: SparkSession) -> str:
+    """The folder that driver and executors share, as spark.checkpoint.dir names it; a temporary one only in local mode."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if named:
+        return named.rstrip("/")
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    if not _own:
+        _own.append(tempfile.mkdtemp(prefix="recollect-"))
+    return _own[0]
+
+
+def saved(df: DataFrame) -> DataFrame:
+    """df, written once as Parquet in the shared folder and read again: its lineage ends there, so a lost executor costs no rerun."""
+    at = f"{scratch(df.sparkSession)}/recollect-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(at)
+    out = df.sparkSession.read.schema(df.schema).parquet(at)
+    out.saved_at = at
+    return out
+
+
+def forget(*dfs: DataFrame) -> None:
+    """Removes the files of saved tables that nothing reads any more."""
+    for df in dfs:
+        jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+        at = jvm.org.apache.hadoop.fs.Path(df.saved_at)
+        at.getFileSystem(conf).delete(at, True)
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -172,22 +197,27 @@ def signature(s: np.ndarray, least: int, most: int = 1024) -> np.ndarray:
     return np.packbits(bits.astype(np.uint8)).view(np.int64)
 
 
-def small(df: DataFrame, rows: int) -> DataFrame:
-    """df, to be broadcast if it has at most so many rows (counted); else Spark joins by shuffling both sides."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+#: Bytes up to which a counted side of a join is broadcast.
+SMALL_BYTES = 32_000_000
+
+
+def small(df: DataFrame, row_bytes: Column | int = 48) -> DataFrame:
+    """df, to be broadcast if its rows (of row_bytes each, summed over all of them) hold at most SMALL_BYTES; else Spark joins by shuffling."""
+    size = df.agg(F.sum(row_bytes if isinstance(row_bytes, Column) else F.lit(row_bytes))).first()[0] or 0
+    return F.broadcast(df) if size <= SMALL_BYTES else df
 
 
-def unpack_pairs(df: DataFrame, names: tuple[str, ...]) -> DataFrame:
-    """Rows of packed int64 columns (binary) to plain rows."""
+def unpack_rows(df: DataFrame, **kinds: type) -> DataFrame:
+    """Rows of packed integer columns (binary) to plain rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                cols = [np.frombuffer(batch.column(c)[i].as_py() or b"", np.int64) for c in range(len(names))]
+                cols = [np.frombuffer(batch.column(c)[i].as_py() or b"", kind) for c, kind in enumerate(kinds.values())]
                 if len(cols[0]):
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=list(names))
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=list(kinds))
 
-    return df.select(*names).mapInArrow(run, ", ".join(f"{n} long" for n in names))
+    return df.select(*kinds).mapInArrow(run, ", ".join(f"{n} {'int' if kind is np.int32 else 'long'}" for n, kind in kinds.items()))
 
 
 def by_bucket(bucket: np.ndarray, columns: list[np.ndarray]) -> Iterator[tuple[int, list[bytes]]]:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, pieces, table
+from .common import pieces, saved, table
 
 #: Hosts up to which the winning paths are broadcast (about 100 bytes each); beyond it they are joined by host.
 BROADCAST_HOSTS = 100_000
@@ -193,7 +193,7 @@ def extract(pages: DataFrame) -> DataFrame:
     pages = pages.select("page_id", "url", "html", host.alias("host"))
     # weights are rounded, so that the order of summing can't turn a tie
     winners = votes(pages).groupBy("host").agg(F.max_by("path", F.struct("n", F.round("weight", 3).alias("w"), "path")).alias("path"))
-    winners = cut(winners)
+    winners = saved(winners)
     winners = F.broadcast(winners) if winners.limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS else winners
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,13 +1,14 @@
 """Operator 8: n-gram Jaccard join of documents over prefix trees.
 
-A document's set holds its distinct 5-word shingles (64-bit hashes). Sets have one global order, frequent shingles last;
-two sets of the similarity share one of the first |s| - ceil(3|s|/4) + 1 shingles, so these are a set's keys. Candidates
-are verified in prefix trees of their whole sets (links.py). The order's frequent shingles are counted over all
-documents, and any order gives the same links, so the bound on how many are told apart (HEAVY) changes no result.
+A document's set holds its distinct 5-word shingles, as numbers in one global order: six bits for how frequent the shingle
+is, then 58 of its hash, so rare shingles come first. Two sets of the similarity share one of the first
+|s| - ceil(3|s|/4) + 1 shingles, so these are a set's keys. Candidates are verified by walking prefix trees of whole sets in
+the same order (links.py). Frequencies are counted over all documents, and any order gives the same links, so the bound on
+how many shingles are told apart (HEAVY) changes no result.
 
 Defined results: null, empty and wordless texts have no shingles and are alone (component_id is the own id); repeated rows
-share a component; a null doc_id is linked but never names a component unless all its documents have none; empty tables give no
-rows; extra columns are ignored by ``classes`` and kept by ``one_of_each``, which decides by row where ids are null or repeat.
+share a component; a row with a null doc_id is linked (its text tells it) but never names a component unless all its documents
+have none; empty tables give no rows; extra columns are ignored by ``classes`` and kept by ``one_of_each``, which decides by row where ids are null or repeat.
 """
 
 from __future__ import annotations
@@ -20,8 +21,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import cut, pieces, set_id, shingle_sets, signature, small, table, text_bytes, words
-from .links import SIMILAR, SMALL_ROWS, link, sets_sent
+from .common import pieces, saved, set_id, shingle_sets, signature, small, table, text_bytes, words
+from .links import SIMILAR, link, row_key, sets_sent
 
 HEAVY, HEAVY_LEAST = 400_000, 24
 WINDOW = 3_000_000
@@ -68,42 +69,57 @@ def frequent(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return k[order], (1 + np.log2(top.column("n").to_numpy()[order] if len(k) else np.zeros(0))).astype(np.int64)
 
 
-def keyed_sets(docs: DataFrame) -> DataFrame:
-    """doc_id, node, n, sig, keys of each document; node null without shingles."""
-    sent = docs.sparkSession.sparkContext.broadcast(frequent(docs))
+Order = tuple[np.ndarray, np.ndarray]
+
+
+def ordered_sets(batch: pa.RecordBatch, order: Order) -> Iterator[tuple[int, np.ndarray]]:
+    """(row, set) of each row with words: its shingles as numbers of the global order, ascending."""
+    heavy, level = order
+    for i, s in sets_of(batch):
+        code = s >> np.uint64(6)
+        if len(heavy):
+            at = np.minimum(np.searchsorted(heavy, s), len(heavy) - 1)
+            hot = heavy[at] == s
+            if hot.any():
+                code[hot] |= level[at[hot]].astype(np.uint64) << np.uint64(58)
+                code.sort()
+        yield i, code
+
+
+def keyed_sets(docs: DataFrame, sent) -> DataFrame:
+    """doc_id, lk (row_key), node, n, sig, keys of each document; node null without shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        heavy, level = sent.value
         for batch in pieces(batches):
             size = batch.num_rows
             node: list = [None] * size
             n, sig, keys = [0] * size, [None] * size, [None] * size
             seen: set[int] = set()
-            for i, s in sets_of(batch):
+            for i, s in ordered_sets(batch, sent.value):
                 node[i], n[i] = set_id(s), len(s)
                 if node[i] in seen:
                     continue
                 seen.add(node[i])
                 sig[i] = signature(s, SIGNATURE)
-                if len(heavy):
-                    at = np.minimum(np.searchsorted(heavy, s), len(heavy) - 1)
-                    hot = heavy[at] == s
-                    s = np.concatenate((s[~hot], s[hot][np.argsort(level[at[hot]], kind="stable")])) if hot.any() else s
                 keys[i] = s[: prefix_length(len(s))].tobytes()
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(node, pa.int64()), pa.array(n, pa.int32()), pa.array(sig, pa.list_(pa.int64())), pa.array(keys, pa.binary())], names=["doc_id", "node", "n", "sig", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("lk"), pa.array(node, pa.int64()), pa.array(n, pa.int32()), pa.array(sig, pa.list_(pa.int64())), pa.array(keys, pa.binary())], names=["doc_id", "lk", "node", "n", "sig", "keys"])
 
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, node long, n int, sig array<long>, keys binary")
+    return docs.select("doc_id", row_key(docs).alias("lk"), "text").mapInArrow(run, f"doc_id {kind}, lk long, node long, n int, sig array<long>, keys binary")
 
 
 def classes(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, node (identity of the set), comp (a node that names the component), component_id."""
+    return _classes(docs, docs.sparkSession.sparkContext.broadcast(frequent(docs)))
+
+
+def _classes(docs: DataFrame, sent) -> DataFrame:
     docs = docs.select("doc_id", "text")
-    sets = cut(keyed_sets(docs))
-    where = sets.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+    sets = saved(keyed_sets(docs, sent))
+    where = saved(sets.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("lk").alias("lk")))
 
-    named_sets = lambda batch: ((i, set_id(s), s) for i, s in sets_of(batch))
-    fetch = lambda wanted: sets_sent(docs, wanted, where, named_sets)
+    named_sets = lambda batch: ((i, set_id(s), s) for i, s in ordered_sets(batch, sent.value))
+    fetch = lambda wanted: sets_sent(docs, wanted, where.select("node", "lk"), named_sets)
     labels = link(sets.filter("keys is not null").select("node", "n", "sig", "keys"), fetch)
     linked = where.join(labels, "node")
     first = linked.groupBy("comp").agg(F.min("doc_id").alias("least"))
@@ -112,13 +128,13 @@ def classes(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), "node", "comp", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def with_node(docs: DataFrame) -> DataFrame:
+def with_node(docs: DataFrame, sent) -> DataFrame:
     """docs and ng_node, the identity of each row's set; null without shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
             node: list = [None] * batch.num_rows
-            for i, s in sets_of(batch):
+            for i, s in ordered_sets(batch, sent.value):
                 node[i] = set_id(s)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(node, pa.int64())], names=[*batch.schema.names, "ng_node"])
 
@@ -130,20 +146,20 @@ def one_of_each(docs: DataFrame) -> DataFrame:
 
     A row is told by its id and set: equal ids with different texts are different documents, and so are null ids. Equal
     ids without shingles are one document; rows with neither id nor shingles all stay."""
-    found = cut(classes(docs).select("doc_id", "node", "comp"))
+    sent = docs.sparkSession.sparkContext.broadcast(frequent(docs))
+    found = saved(_classes(docs, sent).select("doc_id", "node", "comp"))
     key = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "node")
     least = found.filter("node is not null").groupBy("comp").agg(F.min(key).alias("least"))
-    gone = found.distinct().join(least, "comp").filter(key != F.col("least")).select(F.col("doc_id").alias("ng_id"), F.col("node").alias("ng_set"))
-    gone = cut(gone)
-    again = cut(found.groupBy(F.col("doc_id").alias("again_id")).count().filter("count > 1 or again_id is null").select("again_id"))
+    gone = saved(found.distinct().join(least, "comp").filter(key != F.col("least")).select(F.col("doc_id").alias("ng_id"), F.col("node").alias("ng_set")))
+    again = saved(found.groupBy(F.col("doc_id").alias("again_id")).count().filter("count > 1 or again_id is null").select("again_id"))
     gone_ids = gone.select("ng_id").filter("ng_id is not null").distinct()
     if again.isEmpty():
-        return docs.join(small(gone_ids, SMALL_ROWS), docs["doc_id"] == F.col("ng_id"), "left_anti")
-    again = small(again, SMALL_ROWS)
+        return docs.join(small(gone_ids), docs["doc_id"] == F.col("ng_id"), "left_anti")
+    again = small(again)
     one = docs.filter(docs["doc_id"].isNotNull()).join(again, docs["doc_id"] == F.col("again_id"), "left_anti")
-    kept = one.join(small(gone_ids, SMALL_ROWS), one["doc_id"] == F.col("ng_id"), "left_anti")
-    many = with_node(docs.join(again, docs["doc_id"].eqNullSafe(F.col("again_id")), "left_semi"))
-    many = many.join(small(gone, SMALL_ROWS), many["doc_id"].eqNullSafe(F.col("ng_id")) & (many["ng_node"] == F.col("ng_set")), "left_anti")
+    kept = one.join(small(gone_ids), one["doc_id"] == F.col("ng_id"), "left_anti")
+    many = with_node(docs.join(again, docs["doc_id"].eqNullSafe(F.col("again_id")), "left_semi"), sent)
+    many = many.join(small(gone), many["doc_id"].eqNullSafe(F.col("ng_id")) & (many["ng_node"] == F.col("ng_set")), "left_anti")
     alone = many.filter("doc_id is null and ng_node is null")
     rest = many.filter("doc_id is not null or ng_node is not null").dropDuplicates(["doc_id", "ng_node"])
     return kept.unionByName(rest.union(alone).drop("ng_node"))

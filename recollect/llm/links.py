@@ -1,11 +1,12 @@
 """Links between sets: candidate lists by shared keys, signature bounds, prefix-tree verification, components.
 
 A node is a distinct set (its 64-bit identity), so copies are one node. Nodes that share a key are candidates. In a first
-round each node is tried with the smallest nodes of its keys' lists. A second round tries another
-node of each list with those of other components. The links make stars, a node and those linked to it. In the last round the stars that share a key but stand in different components are compared by what bounds all their pairs
-(the symmetric difference is a metric, and a star's is small), and the pairs of those that stay are tried too; so no link is
-lost, though neither copies nor near copies are expanded into all pairs. Pairs are dropped by bounds (sizes, parity
-signatures) that no pair above the similarity fails.
+round each node is tried with the smallest node of like size in its keys' lists. A second round tries another node of each
+list with those of other components. The links make stars, a node and those linked to it. In the last round the stars that
+share a key but stand in different components are compared by what bounds all their pairs (the symmetric difference is a
+metric, and a star's is small), and the pairs of those that stay are tried too; so no link is lost, though neither copies
+nor near copies are expanded into all pairs. Pairs are dropped by bounds (sizes, parity signatures) that no pair above the
+similarity fails; the rest are verified by walking prefix trees of the whole sets.
 """
 
 from __future__ import annotations
@@ -17,14 +18,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_bucket, cut, pieces, small, unpack_pairs, unpacked
+from .common import by_bucket, forget, mix, pieces, saved, small, unpack_rows, unpacked
 
 #: Jaccard similarity of a link, as a fraction.
 SIMILAR = (3, 4)
 KEYS_PER_BUCKET = 300_000
 SPLIT = 256
-SMALL_ROWS = 1_000_000
-STAR_BUCKETS = 512
+STARS_PER_BUCKET = 10_000
+CONTRACT_ROWS = 2_000_000
 #: A node joins a star whose center differs from it in at most 1 / TIGHT of its size.
 TIGHT = 14
 
@@ -34,43 +35,55 @@ def n_buckets(keys: int) -> int:
 
 
 def lists_of(keyed: DataFrame) -> DataFrame:
-    """Packed star pairs (a, b) and packed lists of two nodes or more (k, v), from rows (node, keys)."""
+    """Packed star pairs (a, b) of like sizes and packed lists of two nodes or more (k, v, n), from rows (node, n, keys)."""
     total = keyed.agg(F.sum(F.octet_length("keys"))).first()[0] or 0
-    n = n_buckets(total // 8)
+    buckets = n_buckets(total // 8)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes = batch.column("node").to_numpy()
+            nodes, sizes = batch.column("node").to_numpy(), batch.column("n").to_numpy()
             _, one = np.unique(nodes, return_index=True)
             blobs = batch.column("keys").to_pylist()
-            parts = [np.frombuffer(blobs[i], np.int64) for i in one if blobs[i]]
-            if not parts:
+            one = [i for i in one if blobs[i]]
+            if not one:
                 continue
-            k = np.concatenate(parts)
-            v = np.repeat(nodes[[i for i in one if blobs[i]]], [len(p) for p in parts])
-            rows = list(by_bucket(((k.view(np.uint64) >> np.uint64(20)) % np.uint64(n)).astype(np.int32), [k, v]))
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1][0] for r in rows], pa.binary()), pa.array([r[1][1] for r in rows], pa.binary())], names=["bucket", "k", "v"])
+            parts = [np.frombuffer(blobs[i], np.int64) for i in one]
+            long = [len(p) for p in parts]
+            k, v, n = np.concatenate(parts), np.repeat(nodes[one], long), np.repeat(sizes[one], long)
+            rows = list(by_bucket(((k.view(np.uint64) >> np.uint64(20)) % np.uint64(buckets)).astype(np.int32), [k, v, n]))
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[1][c] for r in rows], pa.binary()) for c in range(3))], names=["bucket", "k", "v", "n"])
 
     def meet(group: pa.Table) -> pa.Table:
-        k, v = unpacked(group, "k"), unpacked(group, "v")
+        k, v, n = unpacked(group, "k"), unpacked(group, "v"), unpacked(group, "n", np.int32)
         order = np.lexsort((v, k))
-        k, v = k[order], v[order]
+        k, v, n = k[order], v[order], n[order]
         fresh = np.concatenate(([True], (k[1:] != k[:-1]) | (v[1:] != v[:-1])))
-        k, v = k[fresh], v[fresh]
+        k, v, n = k[fresh], v[fresh], n[fresh]
         first = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
         size = np.diff(np.concatenate((first, [len(k)])))
-        run = np.repeat(np.arange(len(first)), size)
-        center = v[first][run]
-        other = center != v
-        a, b = center[other], v[other]
-        order = np.lexsort((b, a))
-        a, b = a[order], b[order]
-        head = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))) if len(a) else np.zeros(0, np.int64)
-        long = size[run] >= 2
-        return pa.table({n: pa.array([c.tobytes()], pa.binary()) for n, c in (("a", a[head]), ("b", b[head]), ("k", k[long]), ("v", v[long]))})
-
-    dealt = keyed.select("node", "keys").mapInArrow(deal, "bucket int, k binary, v binary")
-    return cut(dealt.groupBy("bucket").applyInArrow(meet, "a binary, b binary, k binary, v binary"))
+        long = np.repeat(size >= 2, size)
+        k, v, n = k[long], v[long], n[long]
+        # each list's nodes meet the smallest node of their class of sizes, inside which all sizes allow a link
+        kind = (np.log(np.maximum(n, 1)) / np.log(SIMILAR[1] / SIMILAR[0])).astype(np.int64)
+        order = np.lexsort((v, kind, k))
+        a, b = _stars(k[order], kind[order], v[order])
+        return pa.table({name: pa.array([c.tobytes()], pa.binary()) for name, c in (("a", a), ("b", b), ("k", k), ("v", v), ("n", n))})
+
+    dealt = keyed.select("node", "n", "keys").mapInArrow(deal, "bucket int, k binary, v binary, n binary")
+    return saved(dealt.groupBy("bucket").applyInArrow(meet, "a binary, b binary, k binary, v binary, n binary"))
+
+
+def _stars(k: np.ndarray, kind: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct pairs of the first v of each run of equal (k, kind) and the others of the run."""
+    if not len(k):
+        return k, k
+    head = np.concatenate(([True], (k[1:] != k[:-1]) | (kind[1:] != kind[:-1])))
+    a, b = v[np.flatnonzero(head)[np.cumsum(head) - 1]], v
+    a, b = a[~head], b[~head]
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    fresh = np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))[: len(a)]
+    return a[fresh], b[fresh]
 
 
 def differing(x: str, y: str) -> Column:
@@ -93,13 +106,11 @@ def folded_to(sig: str, words: int) -> Column:
 def possible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """Pairs (a, b) that sizes and signatures allow; nodes: (node, n, sig)."""
     p, q = SIMILAR
-    left, right = (nodes.select(F.col("node").alias(x), F.col("n").alias(f"n{x}")) for x in "ab")
-    sig_left, sig_right = (nodes.select(F.col("node").alias(x), F.col("sig").alias(f"s{x}")) for x in "ab")
+    left, right = (nodes.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("sig").alias(f"s{x}")) for x in "ab")
     fit = pairs.join(left, "a").join(right, "b").filter(q * F.least("na", "nb") >= p * F.greatest("na", "nb"))
-    both = fit.join(sig_left, "a").join(sig_right, "b")  # signatures are wide: only pairs of like sizes carry them
     total = F.col("na") + F.col("nb")
     most = total - 2 * F.ceil(F.lit(p) * total / F.lit(p + q))
-    return both.filter(differing("sa", "sb") <= most).select(*pairs.columns)
+    return fit.filter(differing("sa", "sb") <= most).select(*pairs.columns)
 
 
 def tree_join(x: np.ndarray, others: list[np.ndarray]) -> list[int]:
@@ -153,22 +164,70 @@ def verified(pairs: DataFrame, fetch: Callable[[DataFrame], DataFrame]) -> DataF
         links = [(nodes[i], len(center) + len(sets[i]) - 2 * k) for i, k in zip(others, overlaps, strict=False) if k]
         return pa.table({"a": pa.array([a] * len(links), pa.int64()), "b": pa.array([x[0] for x in links], pa.int64()), "d": pa.array([x[1] for x in links], pa.int64())})
 
-    return cut(fetch(sent.union(own)).groupBy("a", "part").applyInArrow(check, "a long, b long, d long"))
+    return saved(fetch(sent.union(own)).groupBy("a", "part").applyInArrow(check, "a long, b long, d long"))
+
+
+def local_roots(a: np.ndarray, b: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(node, root, rank): each node of the edges at hand with the least ranked node that they reach; ranks are hashes by seed."""
+    nodes, at = np.unique(np.concatenate((a, b)), return_inverse=True)
+    rank = mix(nodes.view(np.uint64) ^ mix(np.array([seed], np.uint64))).view(np.int64)
+    order = np.argsort(rank, kind="stable")
+    place = np.empty(len(nodes), np.int64)
+    place[order] = np.arange(len(nodes))
+    x, y = place[at[: len(a)]], place[at[len(a) :]]
+    parent = np.arange(len(nodes))
+    while True:
+        px, py = parent[x], parent[y]
+        apart = px != py
+        if not apart.any():
+            break
+        x, y, px, py = x[apart], y[apart], px[apart], py[apart]
+        np.minimum.at(parent, np.maximum(px, py), np.minimum(px, py))
+        while (parent != (up := parent[parent])).any():
+            parent = up
+    root = order[parent[place]]
+    return nodes, nodes[root], rank[root]
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, comp): the smallest node that edges (a, b) reach, of each node with an edge."""
-    both = cut(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("comp")))
+    """(node, comp) of each node with an edge (a, b); comp is one of the nodes that it reaches, the same for all of them.
+
+    Each level joins up the edges of every partition by themselves; nodes with several roots then tell which roots are
+    one, and these few are the next level's edges. Ranks are drawn anew, so paths shrink by a share at each level."""
+    levels = []
     while True:
-        near = both.join(labels.select(F.col("node").alias("b"), "comp"), "b").groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("m"))
-        lower = labels.join(near, "node").select("node", F.least("comp", "m").alias("comp"), F.col("comp").alias("old"))
-        lower = cut(lower)
-        jump = lower.select(F.col("node").alias("comp"), F.col("comp").alias("up"))
-        new = cut(lower.join(jump, "comp").select("node", F.col("up").alias("comp"), "old"))
-        if new.filter(F.col("comp") != F.col("old")).isEmpty():
-            return new.select("node", "comp")
-        labels = new.select("node", "comp")
+        seed = len(levels)
+
+        def contract(batches: Iterator[pa.RecordBatch], seed: int = seed) -> Iterator[pa.RecordBatch]:
+            held, size = [], 0
+
+            def told() -> pa.RecordBatch:
+                found = local_roots(*(np.concatenate([h[c] for h in held]) for c in range(2)), seed)
+                return pa.RecordBatch.from_arrays([pa.array(c) for c in found], names=["node", "root", "rank"])
+
+            for batch in batches:
+                held.append((batch.column("a").to_numpy(), batch.column("b").to_numpy()))
+                size += batch.num_rows
+                if size > CONTRACT_ROWS:
+                    yield told()
+                    held, size = [], 0
+            if size:
+                yield told()
+
+        pairs = saved(edges.select("a", "b").mapInArrow(contract, "node long, root long, rank long"))
+        best = saved(pairs.groupBy("node").agg(F.min(F.struct("rank", "root")).alias("m"), F.count("*").alias("n")).select("node", F.col("m.root").alias("best"), "n"))
+        levels.append(best)
+        several = best.filter("n > 1").select("node", "best")
+        again = saved(pairs.join(several, "node").filter("root <> best").select(F.col("root").alias("a"), F.col("best").alias("b")).distinct())
+        forget(pairs, *([edges] if seed else []))
+        edges = again
+        if edges.isEmpty():
+            break
+    labels = levels.pop().select("node", F.col("best").alias("comp"))
+    while levels:
+        top = labels.select(F.col("node").alias("best"), F.col("comp").alias("top"))
+        labels = levels.pop().join(top, "best", "left").select("node", F.coalesce("top", "best").alias("comp"))
+    return saved(labels)
 
 
 def link(keyed: DataFrame, fetch: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -176,28 +235,42 @@ def link(keyed: DataFrame, fetch: Callable[[DataFrame], DataFrame]) -> DataFrame
 
     keyed: rows (node, n, sig array<long>, keys packed), a node may repeat; fetch: rows (node, a, part) to (a, part, node, toks packed)."""
     lists = lists_of(keyed)
-    listed = unpack_pairs(lists, ("k", "v"))
-    nodes = cut(keyed.groupBy("node").agg(F.first("n").alias("n"), F.first("sig").alias("sig")).join(listed.select(F.col("v").alias("node")).distinct(), "node", "left_semi"))
-    first = cut(possible(unpack_pairs(lists, ("a", "b")).distinct(), nodes))
+    listed = saved(unpack_rows(lists, k=np.int64, v=np.int64, n=np.int32))
+    nodes = saved(keyed.groupBy("node").agg(F.first("n").alias("n"), F.first("sig").alias("sig")).join(listed.select(F.col("v").alias("node")).distinct(), "node", "left_semi"))
+    first = saved(possible(unpack_rows(lists, a=np.int64, b=np.int64).distinct(), nodes))
+    forget(lists)
     edges = verified(first, fetch)
     labels = components(edges)
     for tries in (scattered, across):
-        fresh = cut(tries(listed, nodes, edges, labels).join(first, ["a", "b"], "left_anti"))
+        fresh = saved(tries(listed, nodes, edges, labels).join(first, ["a", "b"], "left_anti"))
         if fresh.isEmpty():
             continue
         more = verified(fresh, fetch)
         first, edges = first.union(fresh), edges.union(more)
         if not more.isEmpty():
-            labels = components(edges)
+            labels = joined(labels, more)
     return labels
 
 
+def joined(labels: DataFrame, more: DataFrame) -> DataFrame:
+    """Labels (node, comp) after further edges: only the components that these touch are joined up."""
+    a, b = (labels.select(F.col("node").alias(x), F.col("comp").alias(f"c{x}")) for x in "ab")
+    ends = more.join(a, "a", "left").join(b, "b", "left")
+    between = saved(ends.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).distinct())
+    tops = components(between).select(F.col("node").alias("comp"), F.col("comp").alias("top"))
+    old = labels.join(tops, "comp", "left").select("node", F.coalesce("top", "comp").alias("comp"))
+    fresh = more.select(F.col("a").alias("node")).union(more.select(F.col("b").alias("node"))).distinct().join(labels, "node", "left_anti")
+    fresh = fresh.join(tops, fresh["node"] == tops["comp"]).select("node", F.col("top").alias("comp"))
+    return saved(old.union(fresh))
+
+
 def scattered(listed: DataFrame, nodes: DataFrame, edges: DataFrame, labels: DataFrame) -> DataFrame:
     """Pairs (a, b), a < b, of a node of each list, another one for each key by hash, with those of other components."""
-    at = listed.join(labels.withColumnRenamed("node", "v"), "v", "left").select("k", "v", F.coalesce("comp", "v").alias("comp"))
-    at = cut(at)
-    center = at.groupBy("k").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(F.struct(F.xxhash64("k", "v").alias("h"), "v", "comp")).alias("c")).filter("lo < hi")
-    pairs = at.join(center.select("k", F.col("c.v").alias("cv"), F.col("c.comp").alias("cc")), "k").filter("comp <> cc")
+    at = saved(listed.join(labels.withColumnRenamed("node", "v"), "v", "left").select("k", "v", "n", F.coalesce("comp", "v").alias("comp")))
+    center = at.groupBy("k").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(F.struct(F.xxhash64("k", "v").alias("h"), "v", "n", "comp")).alias("c")).filter("lo < hi")
+    pairs = at.join(center.select("k", F.col("c.v").alias("cv"), F.col("c.n").alias("cn"), F.col("c.comp").alias("cc")), "k")
+    p, q = SIMILAR
+    pairs = pairs.filter((F.col("comp") != F.col("cc")) & (q * F.least("n", "cn") >= p * F.greatest("n", "cn")))
     return possible(pairs.select(F.least("v", "cv").alias("a"), F.greatest("v", "cv").alias("b")).distinct(), nodes)
 
 
@@ -225,15 +298,17 @@ def across(listed: DataFrame, nodes: DataFrame, edges: DataFrame, labels: DataFr
     star = edges.groupBy(F.col("b").alias("node")).agg(F.min(F.struct("d", "a")).alias("near"))
     member = nodes.join(star, "node", "left").join(labels, "node", "left")
     close = F.col("near.d") * TIGHT <= F.col("n")  # narrow stars bound more; the others stand alone
-    member = cut(member.select("node", "n", "sig", F.when(close, F.col("near.a")).otherwise(F.col("node")).alias("star"), F.when(close, F.col("near.d")).otherwise(0).cast("long").alias("d"), F.coalesce("comp", "node").alias("comp")))
+    member = saved(member.select("node", "n", "sig", F.when(close, F.col("near.a")).otherwise(F.col("node")).alias("star"), F.when(close, F.col("near.d")).otherwise(0).cast("long").alias("d"), F.coalesce("comp", "node").alias("comp")))
     stars = member.groupBy("star").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.first("comp").alias("comp"), F.max("d").alias("radius"))
     words = nodes.agg(F.min(F.size("sig"))).first()[0] or 1  # the length that groups of many stars come down to
     stars = stars.join(nodes.select(F.col("node").alias("star"), folded_to("sig", words).alias("sig")), "star")
-    shared = cut(listed.join(member.select(F.col("node").alias("v"), "star", "comp"), "v").groupBy("k", "star").agg(F.first("comp").alias("comp")))
+    shared = saved(listed.join(member.select(F.col("node").alias("v"), "star", "comp"), "v").groupBy("k", "star").agg(F.first("comp").alias("comp")))
     # keys of one and the same set of stars tell the same pairs, so one of them is enough
     told = shared.groupBy("k").agg(F.min("comp").alias("c_lo"), F.max("comp").alias("c_hi"), F.count("*").alias("size"), F.bit_xor(F.xxhash64("star")).alias("x"), F.bit_xor(F.xxhash64("star", F.lit(1))).alias("y"))
     mixed = told.filter("c_lo < c_hi").groupBy("size", "x", "y").agg(F.min("k").alias("k")).select("k")
-    shared = shared.join(mixed, "k").groupBy(F.pmod(F.xxhash64("k"), F.lit(STAR_BUCKETS)).cast("int").alias("bucket"), "star").agg(F.collect_list("k").alias("ks"))
+    shared = saved(shared.join(mixed, "k"))
+    buckets = int(max(64, shared.count() // STARS_PER_BUCKET))
+    shared = shared.groupBy(F.pmod(F.xxhash64("k"), F.lit(buckets)).cast("int").alias("bucket"), "star").agg(F.collect_list("k").alias("ks"))
     shared = shared.join(stars, "star").select("bucket", "star", "ks", "lo", "hi", "comp", "radius", "sig")
 
     def meet(group: pa.Table) -> pa.Table:
@@ -264,7 +339,7 @@ def across(listed: DataFrame, nodes: DataFrame, edges: DataFrame, labels: DataFr
 
     near = shared.groupBy("bucket").applyInArrow(meet, "s long, t long, apart long").groupBy("s", "t").agg(F.max("apart").alias("apart"))
     one = member.select(F.col("node").alias("m"), F.col("n").alias("m_n"), F.col("star").alias("m_s"), F.col("d").alias("m_d"), F.col("sig").alias("m_sig"))
-    near = cut(near)
+    near = saved(near)
     reach = member.groupBy(F.col("star").alias("r_star")).agg(F.max("d").alias("r"), F.max("n").alias("r_hi"))
     near = near.join(reach, F.col("t") == F.col("r_star"))
     gap = lambda n: F.floor(n * (q - p) / (q + p))
@@ -286,10 +361,16 @@ def across(listed: DataFrame, nodes: DataFrame, edges: DataFrame, labels: DataFr
     return possible(pairs, nodes)
 
 
+def row_key(docs: DataFrame) -> Column:
+    """What tells a row's text: its id, or the text itself where the id is null."""
+    return F.when(docs["doc_id"].isNull(), F.xxhash64("text")).otherwise(F.xxhash64("doc_id"))
+
+
 def wanted_in(docs: DataFrame, wanted: DataFrame, where: DataFrame) -> DataFrame:
-    """text, lk_wanted of the documents that hold wanted nodes: where has (node, doc_id), one row a node; joined by a checked broadcast or a shuffle."""
-    ids = cut(where.join(wanted, "node").groupBy(F.col("doc_id").alias("lk_id")).agg(F.collect_list(F.struct("node", "a", "part")).alias("lk_wanted")))
-    return docs.join(small(ids, SMALL_ROWS), docs["doc_id"] == F.col("lk_id")).select("text", "lk_wanted")
+    """text, lk_wanted of the documents that hold wanted nodes: where has (node, lk), one row a node; joined by a checked broadcast or a shuffle."""
+    ids = saved(where.join(wanted, "node").groupBy(F.col("lk").alias("lk_id")).agg(F.collect_list(F.struct("node", "a", "part")).alias("lk_wanted")))
+    docs = docs.withColumn("lk", row_key(docs))
+    return docs.join(small(ids, 48 + 24 * F.size("lk_wanted")), docs["lk"] == F.col("lk_id")).select("text", "lk_wanted")
 
 
 def sets_sent(docs: DataFrame, wanted: DataFrame, where: DataFrame, sets_of: Callable[[pa.RecordBatch], Iterator[tuple[int, int, np.ndarray]]]) -> DataFrame:

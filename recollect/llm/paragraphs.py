@@ -22,13 +22,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import spans as sp
-from .common import by_bucket, cut, mix, pieces, set_id, shingle_sets, signature, small, table, text_bytes, words
-from .links import SMALL_ROWS, link, sets_sent
+from .common import by_bucket, mix, pieces, saved, set_id, shingle_sets, signature, small, table, text_bytes, words
+from .links import link, sets_sent
 
 MIN_WORDS = 2
 LINKED = 3
 #: A paragraph with so many copies meets them by a broadcast, so that its rows don't gather in one task.
 HOT = 1000
+SPANS_PER_BUCKET = 100_000
 BANDS, ROWS = 12, 3
 SIGNATURE = 4
 _A = np.random.default_rng(1010).integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -86,27 +87,30 @@ def keyed(docs: DataFrame) -> DataFrame:
 def removed_lines(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Paragraphs (doc_id, start, end, node, gone), and (sp_id, sp_spans) of the removed ones."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null and text is not null")
-    found = cut(keyed(docs))
+    found = saved(keyed(docs))
     places = found.select("doc_id", "start", "end", "node")
-    first = places.groupBy("node").agg(F.min(F.struct("doc_id", "start")).alias("at"), F.count("*").alias("copies"))
+    first = saved(places.groupBy("node").agg(F.min(F.struct("doc_id", "start")).alias("at"), F.count("*").alias("copies")))
+    where = first.select("node", F.xxhash64("at.doc_id").alias("lk"))
 
     def named_sets(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray]]:
         text, _, _, sets = lines(batch)
         return ((int(text[i]), set_id(s), s) for i, s in sets)
 
-    fetch = lambda wanted: sets_sent(docs, wanted, first.select("node", F.col("at.doc_id").alias("doc_id")), named_sets)
+    fetch = lambda wanted: sets_sent(docs, wanted, where, named_sets)
     labels = link(found.filter("keys is not null").select("node", "n", "sig", "keys"), fetch)
     linked = first.join(labels, "node")
     least = linked.groupBy("comp").agg(F.min("at").alias("least"))
     stays = first.join(linked.select("node", "comp").join(least, "comp").select("node", "least"), "node", "left").select("node", F.coalesce("least", "at").alias("stays"), "copies")
-    hot = small(cut(stays.filter(F.col("copies") >= HOT)), SMALL_ROWS)
+    hot = small(saved(stays.filter(F.col("copies") >= HOT)))
     met = places.join(hot, "node").union(places.join(hot.select("node"), "node", "left_anti").join(stays.filter(F.col("copies") < HOT), "node"))
-    told = cut(met.select("doc_id", "start", "end", "node", (F.struct("doc_id", "start") != F.col("stays")).alias("gone")))
+    told = saved(met.select("doc_id", "start", "end", "node", (F.struct("doc_id", "start") != F.col("stays")).alias("gone")))
+
+    buckets = int(max(64, told.count() // SPANS_PER_BUCKET))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             doc, start, end = (b.column(c).to_numpy() for c in ("doc_id", "start", "end"))
-            rows = list(by_bucket((mix(doc.view(np.uint64)) % np.uint64(512)).astype(np.int32), [doc, start, end])) if len(doc) else []
+            rows = list(by_bucket((mix(doc.view(np.uint64)) % np.uint64(buckets)).astype(np.int32), [doc, start, end])) if len(doc) else []
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[1][k] for r in rows], pa.binary()) for k in range(3))], names=["bucket", "doc", "start", "end"])
 
     packed = told.filter("gone").select("doc_id", "start", "end").mapInArrow(deal, "bucket int, doc binary, start binary, end binary")

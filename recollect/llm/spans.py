@@ -10,10 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, text_bytes, unpacked
-
-SMALL_BYTES = 32_000_000
-
+from .common import SMALL_BYTES, saved, text_bytes, unpacked
 
 def merged(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Spans united where they overlap or touch, by document and start."""
@@ -46,7 +43,7 @@ def per_document(packed: DataFrame) -> DataFrame:
 
 def with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
     """docs with their column sp_spans (null without any): broadcast if the spans' bytes are few (counted), else by a shuffle."""
-    spans = cut(spans)
+    spans = saved(spans)
     size = spans.agg(F.coalesce(F.sum(F.octet_length("sp_spans") + 24), F.lit(0))).first()[0]
     side = F.broadcast(spans) if size <= SMALL_BYTES else spans
     return docs.join(side, docs["doc_id"] == side["sp_id"], "left").drop("sp_id")

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import spans as sp
-from .common import Rolling, by_bucket, cut, mix, pieces, table, text_bytes, unpacked
+from .common import Rolling, by_bucket, mix, pieces, saved, table, text_bytes, unpacked
 
 LEAST, GRAM = 100, 50
 SIDE = LEAST - GRAM
@@ -360,7 +360,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null and text is not null")
     total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     n = int(max(64, total // BUCKET_BYTES))
-    met = cut(_deal(docs, n).groupBy("bucket").applyInArrow(_meet(n), _OUT))
+    met = saved(_deal(docs, n).groupBy("bucket").applyInArrow(_meet(n), _OUT))
     span = lambda df: df.filter(F.col("kind") == SPANS).select("bucket", F.col("a").alias("doc"), F.col("b").alias("start"), F.col("c").alias("end"))
     asked = sp.with_spans(docs, _asked(met)).filter("sp_spans is not null")
     solved = _contexts(asked, n).groupBy("bucket").applyInArrow(_resolve(n), _OUT)
