@@ -1,10 +1,13 @@
 """Operator 3: main text of web pages by consensus paths of their hosts.
 
-Each page's containers are scored; Spark sums the votes for generalised tag-class paths by host; each page is then
-extracted again along its host's winning path (its own best container where that path has no text on the page).
-
-Defined results: null or empty html gives an empty text; repeated rows repeat results; a null or odd url makes a host
-of its own ('' ); an empty table gives no rows; broken or cut-off markup is read as far as it goes; other columns are ignored.
+Each page's containers are scored by their text less that of links; the best one and those beside it that score a share of
+it vote for their generalised tag-class paths, which Spark sums by host; each page is then extracted again along its
+host's winning paths (its own best containers where those have no text on the page). Names of classes drop containers
+of boilerplate by their last word, so `post-comments` goes and `legal-analysis` stays.
+
+Defined results: null or empty html gives an empty text; repeated rows repeat results; a null or odd url belongs to the
+host ''; an empty table gives no rows; an end tag of head may be missing, a `<` that begins no tag is text, and markup that
+is broken or cut off is read as far as it goes; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -18,34 +21,55 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import pieces, saved, table
-
-#: Hosts up to which the winning paths are broadcast (about 100 bytes each); beyond it they are joined by host.
-BROADCAST_HOSTS = 100_000
+from .common import pieces, saved, small, table
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|iframe|svg|title|head)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S | re.I)
-_ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden|style|itemprop)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+_REST = r"((?:[^>\"']|\"[^\"]*\"|'[^']*')*)"
+#: Comments, elements whose content is no markup (to their end tag or the page's end), tags, declarations.
+_TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<(script|style|textarea|title|iframe|xmp|noembed|noframes)(?=[\s/>]){_REST}>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*){_REST}>|<[!?][^>]*>", re.S | re.I)
+#: What is left of a tag where the page is cut off.
+_UNFINISHED = re.compile(r"<(?:/?[a-zA-Z][^<]*|[!?][^<]*|/?)\Z", re.S)
+_ATTRIBUTE = re.compile(r"(?<![\w-])(class|id|role|hidden|aria-hidden|style|itemprop)(?![\w-])(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_DROP = frozenset("nav header footer aside form button select option dialog menu canvas object audio video label input".split())
+_HEAD = frozenset("title meta link base script style noscript template".split())
+_DROP = frozenset("nav header footer aside form button select option dialog menu canvas object audio video label input head noscript template svg math".split())
+#: What goes where a page has no text without the others, such as one that stands inside a form.
+_UNSEEN = _DROP - frozenset("header aside form dialog label".split())
 _INLINE = frozenset("a abbr b bdi bdo cite code data dfn em font i kbd mark q s samp small span strike strong sub sup time tt u var wbr ins del img big acronym".split())
 _HOLD = frozenset("article main section div td body center".split())
-_PARAGRAPH = frozenset("p pre blockquote li dd dt h1 h2 h3 h4 h5 h6 figcaption".split())
+#: A class or id that ends in one of these words, or begins with one and goes on in words for a box, names boilerplate.
 _BAD = frozenset(
-    "ad ads adv advert adverts advertisement advertisements adsense advertising sponsor sponsored banner sidebar side rail menu nav navbar navigation footer foot header masthead topbar "
-    "cookie cookies consent gdpr notice notices alert comment comments commentlist disqus respond reply replies discussion social share sharing related recommended recommendations "
-    "promo promotion newsletter subscribe subscription signup login popup modal overlay breadcrumb breadcrumbs pagination pager widget widgets toolbar copyright legal disclaimer skip "
-    "hidden tags outbrain taboola teaser form search searchbox".split()
+    "ad ads adv advert adverts advertisement advertisements adsense advertising sponsor sponsors sponsored banner banners sidebar siderail rail menu menus nav navbar navigation footer footnav masthead topbar header "
+    "cookie cookies consent gdpr notice notices alert alerts comment comments commentlist commentform disqus respond reply replies discussion share sharing sharebar social related recommended recommendations "
+    "promo promos promotion promotions newsletter subscribe subscription signup login popup modal overlay breadcrumb breadcrumbs pagination pager widget widgets toolbar copyright disclaimer skip "
+    "hidden outbrain taboola teaser teasers search searchbox searchform".split()
+)
+_BOX = frozenset(
+    "container wrapper wrap box block blocks content contents inner outer list lists item items section sections area body text slot unit units panel panels bar group row col column columns left right top bottom "
+    "links link buttons button posts articles stories form forms main holder region zone space card cards icons icon title heading thread count entry post message module frame label image img label toggle".split()
 )
-_ROLE = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
+_ROLE = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 _SPLIT = re.compile(r"[^a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
-_GOOD = frozenset("article main content post entry story body text articlebody".split())
+#: A container beside the best one belongs to the text if it scores this share of it.
+SIBLING = 0.2
+#: A path wins beside its host's first if it has this share of its votes.
+ALSO = 0.5
+
+
+def boilerplate(value: str) -> bool:
+    """Whether a class or id attribute names boilerplate: by the last word of one of its names, or by the first if only words for boxes follow."""
+    for name in value.split():
+        words = [w for w in _SPLIT.split(_CAMEL.sub("-", name).lower()) if w]
+        if words and (words[-1] in _BAD or (words[0] in _BAD and _BOX.issuperset(words[1:]))):
+            return True
+    return False
 
 
 class Page:
     """Containers of a page: path, score, and the text pieces inside, boilerplate left out."""
 
-    def __init__(self, html: str):
+    def __init__(self, html: str, lenient: bool = False):
+        self.html, self.lenient = html, lenient
         self.parts: list[tuple[str, int]] = []  # text or block break (''), innermost container
         self.parent: list[int] = [-1]
         self.path: list[str] = [""]
@@ -74,7 +98,7 @@ class Page:
                 block[0] += n
                 block[1] += n * bool(links)
             at = m.end()
-            tag = m.group(3)
+            tag = m.group(4)
             if tag is None:
                 continue
             tag = tag.lower()
@@ -82,7 +106,7 @@ class Page:
             if not inline and not dropped:
                 close()
                 parts.append(("", holder))
-            if m.group(2):  # end tag
+            if m.group(3):  # end tag
                 for i in range(len(stack) - 1, -1, -1):
                     if stack[i][0] == tag:
                         if inline and any(x[0] not in _INLINE for x in stack[i + 1 :]):
@@ -92,7 +116,11 @@ class Page:
                         dropped, holder = (stack[-1][1], stack[-1][2]) if stack else (False, 0)
                         break
                 continue
-            if tag in _VOID:
+            if stack and stack[-1][0] == "head" and tag not in _HEAD:  # its end tag may be left out
+                del stack[-1]
+                dropped, holder = (stack[-1][1], stack[-1][2]) if stack else (False, 0)
+            rest = m.group(5)
+            if tag in _VOID or (rest.endswith("/") and tag in ("svg", "math", "path", "use")):
                 continue
             if not inline:  # an open paragraph ends where a block begins; an item ends where the next begins
                 for i in range(len(stack) - 1, -1, -1):
@@ -103,23 +131,18 @@ class Page:
                         break
                     if stack[i][0] in _HOLD or stack[i][0] in ("ul", "ol", "table", "blockquote"):
                         break
-            names, bad = "", tag in _DROP
-            rest = m.group(4)
+            names, bad = "", tag in (_UNSEEN if self.lenient else _DROP)
             if rest and not rest.isspace():
                 for a in _ATTRIBUTE.finditer(rest):
                     key, value = a.group(1).lower(), a.group(2) or a.group(3) or a.group(4) or ""
                     if key in ("class", "id"):
-                        words = [w for w in _SPLIT.split(_CAMEL.sub("-", value).lower()) if w]
-                        if key == "class" and words:
-                            names = ".".join(words[:3])
-                        if tag not in ("body", "html", "article", "main") and not _BAD.isdisjoint(words) and _GOOD.isdisjoint(words):
-                            bad = True
-                        elif tag not in ("body", "html") and words and words[0] in ("comment", "comments", "ad", "ads", "sidebar"):
-                            bad = True
+                        if key == "class":
+                            names = ".".join([w for w in _SPLIT.split(_CAMEL.sub("-", value).lower()) if w][:3])
+                        bad = bad or (not self.lenient and tag not in ("body", "html", "article", "main") and boilerplate(value))
                     elif key == "role":
                         bad = bad or value.lower() in _ROLE
                     elif key == "hidden":
-                        bad = True
+                        bad = bad or value.lower() != "until-found"
                     elif key == "aria-hidden":
                         bad = bad or value.lower() == "true"
                     elif key == "style":
@@ -134,9 +157,9 @@ class Page:
             stack.append((tag, dropped or bad, inside))
             dropped, holder = dropped or bad, inside
             links += tag == "a"
-        if at < len(html) and not dropped:
-            parts.append((html[at:].split("<", 1)[0] if "<" in html[at:] else html[at:], holder))
-            block[0] += len(html) - at
+        if at < len(html) and not dropped and (tail := _UNFINISHED.sub("", html[at:])):
+            parts.append((tail, holder))
+            block[0] += len(tail)
         close()
 
     def best(self) -> int:
@@ -155,6 +178,15 @@ class Page:
                 return found
         return top
 
+    def roots(self) -> set[int]:
+        """The best container and the ones beside it that score a share of it or stand on its path."""
+        top = self.best()
+        if not top:
+            return {0}
+        least = SIBLING * self.score[top]
+        beside = (i for i in range(1, len(self.score)) if self.parent[i] == self.parent[top] and self.score[i] > 0)
+        return {top} | {i for i in beside if self.score[i] >= least or self.path[i] == self.path[top]}
+
     def text(self, roots: set[int]) -> str:
         inside = [False] * len(self.parent)
         for i in range(len(inside)):
@@ -162,11 +194,11 @@ class Page:
         raw = "".join(t or " " for t, c in self.parts if inside[c])
         return " ".join(unescape(raw).split()) if "&" in raw else " ".join(raw.split())
 
-    def along(self, path: str | None) -> str:
-        """Text of the containers on a path, or of the best one where they have none."""
-        if path is not None and (roots := {i for i, p in enumerate(self.path) if p == path}) and (found := self.text(roots)):
+    def along(self, paths: list[str] | None) -> str:
+        """Text of the containers on the paths, or of the page's own best ones where those have none."""
+        if paths and (roots := {i for i, p in enumerate(self.path) if p in paths}) and (found := self.text(roots)):
             return found
-        return self.text({self.best()})
+        return self.text(self.roots()) or ("" if self.lenient else Page(self.html, True).along(None))
 
 
 def votes(pages: DataFrame) -> DataFrame:
@@ -177,32 +209,42 @@ def votes(pages: DataFrame) -> DataFrame:
             total: dict[tuple[str, str], list[float]] = defaultdict(lambda: [0, 0.0])
             for host, html in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
                 page = Page(html or "")
-                if k := page.best():
-                    t = total[host, page.path[k]]
+                by_path: dict[str, float] = defaultdict(float)
+                for k in page.roots() - {0}:
+                    by_path[page.path[k]] += page.score[k]
+                for path, worth in by_path.items():
+                    t = total[host, path]
                     t[0] += 1
-                    t[1] += page.score[k] ** 0.5
+                    t[1] += worth**0.5
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in total], pa.string()), pa.array([k[1] for k in total], pa.string()), pa.array([v[0] for v in total.values()], pa.int64()), pa.array([v[1] for v in total.values()], pa.float64())], names=["host", "path", "n", "weight"])
 
     found = pages.select("host", "html").mapInArrow(run, "host string, path string, n long, weight double")
     return found.groupBy("host", "path").agg(F.sum("n").alias("n"), F.sum("weight").alias("weight"))
 
 
+def winning(found: DataFrame) -> DataFrame:
+    """host, paths: the path of most votes, and those that have a share of them."""
+    # weights are rounded, so that the order of summing can't turn a tie
+    found = found.withColumn("rank", F.struct("n", F.round("weight", 3).alias("w"), "path"))
+    top = found.groupBy(F.col("host").alias("v_host")).agg(F.max("rank").alias("top"))
+    also = found.join(top, F.col("host") == F.col("v_host")).filter(F.col("n") >= F.lit(ALSO) * F.col("top.n"))
+    return also.groupBy("host").agg(F.array_sort(F.collect_list("path")).alias("paths"))  # at most 1 / ALSO times a page's roots
+
+
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text of each page."""
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@?#]*@)?([^/?#:]*)", 1)), F.lit(""))
     pages = pages.select("page_id", "url", "html", host.alias("host"))
-    # weights are rounded, so that the order of summing can't turn a tie
-    winners = votes(pages).groupBy("host").agg(F.max_by("path", F.struct("n", F.round("weight", 3).alias("w"), "path")).alias("path"))
-    winners = saved(winners)
-    winners = F.broadcast(winners) if winners.limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS else winners
+    winners = saved(winning(saved(votes(pages))))
+    winners = small(winners, 64 + F.octet_length("host") + F.octet_length(F.array_join("paths", " ")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "html", 8_000_000):
-            texts = [Page(h).along(p) if h else "" for h, p in zip(batch.column("html").to_pylist(), batch.column("path").to_pylist(), strict=True)]
+            texts = [Page(h).along(p) if h else "" for h, p in zip(batch.column("html").to_pylist(), batch.column("paths").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
     kinds = dict(pages.dtypes)
-    return pages.join(winners, "host", "left").select("page_id", "url", "html", "path").mapInArrow(run, f"page_id {kinds['page_id']}, url string, text string")
+    return pages.join(winners, "host", "left").select("page_id", "url", "html", "paths").mapInArrow(run, f"page_id {kinds['page_id']}, url string, text string")
 
 
 def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:
