@@ -53,6 +53,23 @@ def forget(*dfs: DataFrame) -> None:
         at.getFileSystem(conf).delete(at, True)
 
 
+def free_prefix(docs: DataFrame, prefix: str) -> str:
+    """The prefix, lengthened until no column of docs begins with it, so that an operator's own columns meet no others."""
+    while any(c.lower().startswith(prefix) for c in docs.columns):
+        prefix += "_"
+    return prefix
+
+
+def without(docs: DataFrame, *names: str) -> DataFrame:
+    """docs less the columns (in any case) that an operator is about to add."""
+    return docs.select(*[f"`{c}`" for c in docs.columns if c.lower() not in names])
+
+
+def whole_id(docs: DataFrame) -> Column:
+    """doc_id as a whole number; null where it is none."""
+    return docs["doc_id"].cast("string").try_cast("long") if dict(docs.dtypes)["doc_id"] == "string" else docs["doc_id"].cast("long")
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of a string column and the rows' offsets in them; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -141,11 +158,23 @@ _COEF = np.random.default_rng(77).integers(1, 1 << 63, 8, dtype=np.uint64) * np.
 
 def words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(hash, unit, start) of each word, lower-cased A-Z, split at [\\x20\\x09-\\x0D]; units are the ranges between offsets."""
-    space = _SPACE[data]
     n = len(data)
     if not n:
         z = np.zeros(0, np.int64)
         return z.astype(np.uint64), z, z
+    if n > 2 * PIECE_BYTES:  # hashes depend on a word's bytes alone, so a long text is taken piece by piece, cut at spaces
+        parts, a = [], 0
+        while a < n:
+            b = min(a + PIECE_BYTES, n)
+            while b < n and not len(gap := np.flatnonzero(_SPACE[data[b : b + 4096]])):
+                b += 4096
+            b = b + int(gap[0]) + 1 if b < n else n
+            inner = off[(off > a) & (off < b)]
+            h, unit, start = words(data[a:b], np.concatenate(([0], inner - a, [b - a])))
+            parts.append((h, np.searchsorted(off, start + a, "right") - 1, start + a))
+            a = b
+        return tuple(np.concatenate([x[c] for x in parts]) for c in range(3))
+    space = _SPACE[data]
     solid = ~space
     begin = solid.copy()
     begin[1:] &= space[:-1]

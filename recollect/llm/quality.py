@@ -7,7 +7,9 @@ In scoring, a filter's bytes are summed from tables over byte pairs, so that a p
 Bounds of learning, documented parameters: SAMPLE labelled rows, texts of at most SAMPLE_BYTES. Scoring reads every text
 whole. Defined results: null counts as empty, and an empty text gets the bias's probability; texts shorter than a filter
 are padded with zero bytes; repeated rows repeat results; without labels of both kinds every score is the labels' mean
-(1/2 without labels); an empty table gives no rows; extra columns pass through ``score`` (own column quality_score).
+(1/2 without labels); an empty table gives no rows; a null doc_id learns nothing and is scored; extra columns pass through
+``score``, but for one named quality_score, which it replaces. A text over SCORING_BYTES is read window by window, with
+the same chunks, so its memory is bounded.
 """
 
 from __future__ import annotations
@@ -20,8 +22,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import pieces, table, text_bytes
-from .labelled import fold, sample
+from .common import pieces, table, text_bytes, without
+from .labelled import fitted, fold, sample
 
 FILTERS, WIDTH = 12, 6
 CHUNK, STEP = 512, 480
@@ -99,11 +101,28 @@ class Network:
         return out, count
 
     def probabilities(self, data: np.ndarray, off: np.ndarray, pairs: list[np.ndarray]) -> np.ndarray:
-        data, off = padded(data, off)
-        top, doc, _, _ = self.pooled(data, off, pairs)
-        x, _ = self.combined(top, doc, len(off) - 1)
+        if len(off) == 2 and len(data) > 2 * SCORING_BYTES:
+            x = self.long(data, pairs)
+        else:
+            data, off = padded(data, off)
+            top, doc, _, _ = self.pooled(data, off, pairs)
+            x, _ = self.combined(top, doc, len(off) - 1)
         return 1 / (1 + np.exp(-np.clip((x * self.w).sum(1) + self.b, -60, 60).astype(float)))
 
+    def long(self, data: np.ndarray, pairs: list[np.ndarray]) -> np.ndarray:
+        """What combined gives for one long document, its chunks taken a window at a time."""
+        start, end, _ = chunks(np.array([0, len(data)]))
+        each = max(1, SCORING_BYTES // STEP)
+        best, total = np.full(FILTERS, -np.inf, np.float32), np.zeros(FILTERS)
+        for k in range(0, len(start), each):
+            s, e = start[k : k + each], end[k : k + each]
+            out = self.respond(data[s[0] : e[-1] + WIDTH - 1], pairs)
+            edges = np.stack((s, e), 1).ravel() - s[0]
+            edges = edges[:-1] if edges[-1] >= len(out) else edges
+            top = np.tanh(np.maximum(np.maximum.reduceat(out, edges, axis=0)[::2] + self.c, 0))
+            best, total = np.maximum(best, top.max(0)), total + top.sum(0, dtype=float)
+        return np.concatenate((best, total / len(start))).astype(np.float32)[None, :]
+
     def fit(self, texts: list[bytes], y: np.ndarray) -> Network:
         rng = np.random.default_rng(11)
         state = {k: [np.zeros_like(getattr(self, k)), np.zeros_like(getattr(self, k))] for k in ("t", "c", "w", "b")}
@@ -162,12 +181,12 @@ def fit(texts: list[str], y: np.ndarray) -> Network:
 
 
 def train(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE) -> Network:
-    got = sample(docs, labels, "quality", 5, 0, limit, SAMPLE_BYTES)
-    return fit(got.column("text").to_pylist(), got.column("y").to_numpy().astype(float))
+    return fitted(sample(docs, labels, "quality", 5, 0, limit, SAMPLE_BYTES), fit)
 
 
 def score(docs: DataFrame, net: Network) -> DataFrame:
     """docs with quality_score."""
+    docs = without(docs, "quality_score")
     sent = docs.sparkSession.sparkContext.broadcast(net)
     schema = T.StructType([*docs.schema.fields, T.StructField("quality_score", T.DoubleType())])
 

@@ -1,14 +1,17 @@
 """Operator 5: toxic spans by a linear-chain conditional random field.
 
 Token labels come from the labelled documents: a token is labelled toxic in a toxic document if its word or one of its
-affixes is tied to toxic documents beyond chance (G test). The chain is fitted on segments of these tokens by gradient
-ascent on the conditional likelihood; forward-backward marginals give token probabilities, whose soft maximum, calibrated on
-the learning documents, is the document's score; spans are the runs of tokens with a marginal of 1/2 or more.
+affixes is tied to toxic documents beyond chance (G test). The chain's emission weights and label-pair potentials are
+fitted on segments of these tokens by gradient ascent on the conditional likelihood; forward-backward marginals give token
+probabilities, whose soft maximum, calibrated on the learning documents, is the document's score; spans are the runs of
+tokens with a marginal of 1/2 or more.
 
 Bounds of learning, documented parameters: SAMPLE labelled rows, texts of at most SAMPLE_BYTES, SEGMENTS segments; the
-model's size is bounded by those. Scoring reads every text whole. Defined results: null or wordless text gets the score of a
+model's size is bounded by those. Scoring reads every text whole; the chain of a text over LONG characters is cut between
+words about every LONG of them, so that its memory is bounded. Defined results: null or wordless text gets the score of a
 text without evidence; repeated rows repeat results; without labels of both kinds every score is 0; an empty table gives no
-rows; extra columns pass through ``score`` (own columns are toxic_score and toxic_spans).
+rows; a null doc_id learns nothing and is scored; extra columns pass through ``score``, but for ones named like its own
+(toxic_score and toxic_spans), which it replaces.
 """
 
 from __future__ import annotations
@@ -23,17 +26,35 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import pieces, table
-from .labelled import fold, sample
+from .common import pieces, table, without
+from .labelled import fitted, fold, sample
 
 SAMPLE, SAMPLE_BYTES = 4000, 6_000
 SEGMENTS, SEGMENT = 6_000, 48
 G_LEAST, SHARP = 25.0, 2.0
 THRESHOLD = 0.3
 CACHE = 300_000
+LONG = 1_000_000
 _WORD = re.compile(r"\w+")
 
 
+def words_of(text: str) -> list[str]:
+    """Lower-case words of a text; where lower case has other offsets, the words are those of the text itself."""
+    lowered = text.lower()
+    return _WORD.findall(lowered) if len(lowered) == len(text) else [w.lower() for w in _WORD.findall(text)]
+
+
+def stretches(text: str) -> list[tuple[int, str]]:
+    """(start, part) of a text, cut between words about every LONG characters."""
+    out, at = [], 0
+    while len(text) - at > LONG:
+        gap = re.compile(r"\W").search(text, at + LONG)
+        end = gap.end() if gap else len(text)
+        out.append((at, text[at:end]))
+        at = end
+    return [*out, (at, text[at:])] if at < len(text) else out
+
+
 def features(word: str) -> list[str]:
     """The word, its first four and five letters, and its last three; a part that is the whole word isn't listed again."""
     n = len(word)
@@ -64,14 +85,18 @@ class Scores(dict):
 
 
 def messages(emissions: list[np.ndarray], trans: np.ndarray) -> list[np.ndarray]:
-    """Logit of each token's marginal: forward and backward log-ratios, over all sequences side by side.
+    """Logit of each token's marginal, by forward and backward log-ratios."""
+    forward, back = passes(emissions, trans)
+    return [f + b for f, b in zip(forward, back, strict=True)]
+
 
-    trans: the log-potentials of label pairs, [from, to]."""
+def passes(emissions: list[np.ndarray], trans: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Forward and backward log-ratios of each token, over all sequences side by side; trans: log-potentials of label pairs, [from, to]."""
     lengths = np.array([len(e) for e in emissions])
     order = np.argsort(-lengths, kind="stable")
     longest = int(lengths[order[0]]) if len(order) else 0
     if not longest:
-        return [e.copy() for e in emissions]
+        return [e.copy() for e in emissions], [e.copy() for e in emissions]
     live = np.searchsorted(-lengths[order], -np.arange(longest), "left")  # sequences longer than t
     starts = np.concatenate(([0], np.cumsum(live)))
     flat = np.empty(starts[-1])
@@ -89,15 +114,22 @@ def messages(emissions: list[np.ndarray], trans: np.ndarray) -> list[np.ndarray]
         n, a = live[i + 1], starts[i + 1]
         x = np.exp(np.minimum(flat[a : a + n] + back[a : a + n], 500))
         back[starts[i] : starts[i] + n] = np.log((t[1, 0] + t[1, 1] * x) / (t[0, 0] + t[0, 1] * x))
-    both = forward + back
-    out: list[np.ndarray] = [np.zeros(0)] * len(emissions)
+    out: list[list[np.ndarray]] = [[np.zeros(0)] * len(emissions) for _ in range(2)]
     for p, k in zip(place, order, strict=True):
-        out[k] = both[p]
-    return out
+        out[0][k], out[1][k] = forward[p], back[p]
+    return out[0], out[1]
+
+
+def pair_marginals(forward: np.ndarray, after: np.ndarray, trans: np.ndarray) -> np.ndarray:
+    """Probability of each label pair, [from, to, place]: forward ratios of the first tokens, emission and backward ratios of the second."""
+    u, v = np.stack((np.zeros_like(forward), forward)), np.stack((np.zeros_like(after), after))
+    x = u[:, None, :] + trans[:, :, None] + v[None, :, :]
+    x = np.exp(x - x.max((0, 1)))
+    return x / x.sum((0, 1))
 
 
 def evidence(logits: np.ndarray) -> float:
-    """Soft maximum of the tokens' marginal logits: near the largest, raised by further ones of its size."""
+    """Soft maximum of the tokens' marginal logits: near the largest, raised by further ones of its size; of parts' own soft maxima, that of the whole."""
     if not len(logits):
         return -30.0
     top = logits.max()
@@ -139,7 +171,7 @@ def token_labels(docs: list[list[str]], y: np.ndarray) -> set[str]:
 
 def fit(texts: list[str], y: np.ndarray) -> Model | None:
     """None if there aren't labels of both kinds."""
-    docs = [_WORD.findall(t.lower()) for t in texts]
+    docs = [words_of(t) for t in texts]
     if not len(y) or y.min() == y.max():
         return None
     tied = token_labels(docs, y)
@@ -177,14 +209,15 @@ def fit(texts: list[str], y: np.ndarray) -> Model | None:
     inner = np.ones(len(flat), bool)
     inner[np.concatenate(([0], cuts))] = False  # tokens with one before them
     pair = lambda p: np.array([[((1 - p[:-1]) * (1 - p[1:]))[inner[1:]].sum(), ((1 - p[:-1]) * p[1:])[inner[1:]].sum()], [(p[:-1] * (1 - p[1:]))[inner[1:]].sum(), (p[:-1] * p[1:])[inner[1:]].sum()]])
-    counts = pair(gold) + 1.0
-    trans = np.log(counts / counts.sum(1, keepdims=True))  # pair potentials start, and stay, at the observed transitions
-    trans = trans - trans[0, 0]
-    w, bias, g2, gb2 = np.zeros(len(ids)), -3.0, np.full(len(ids), 1e-6), 1e-6
+    counts = pair(gold)
+    trans = np.log((counts + 1) / (counts + 1).sum(1, keepdims=True))  # the observed transitions are the start
+    trans = trans - trans[0, 0]  # only differences count
+    w, bias, g2, gb2, gt2 = np.zeros(len(ids)), -3.0, np.full(len(ids), 1e-6), 1e-6, np.full((2, 2), 1e-6)
     for _ in range(30):
         per_word = bias + np.bincount(word_of, w[feature_of], len(listed))
-        logits = np.concatenate(messages(np.split(per_word[flat], cuts), trans))
-        p = 1 / (1 + np.exp(-np.clip(logits, -500, 500)))
+        e = per_word[flat]
+        forward, back = (np.concatenate(x) for x in passes(np.split(e, cuts), trans))
+        p = 1 / (1 + np.exp(-np.clip(forward + back, -500, 500)))
         slope = np.bincount(flat, gold - p, len(listed))
         grad = np.bincount(feature_of, slope[word_of], len(ids)) - 0.5 * w
         g2 += grad * grad
@@ -192,6 +225,11 @@ def fit(texts: list[str], y: np.ndarray) -> Model | None:
         gb = slope.sum()
         gb2 += gb * gb
         bias += 0.3 * gb / np.sqrt(gb2)
+        second = np.flatnonzero(inner)
+        gt = counts - pair_marginals(forward[second - 1], (e + back)[second], trans).sum(2) - 0.5 * trans
+        gt[0, 0] = 0
+        gt2 += gt * gt
+        trans = trans + 0.1 * gt / np.sqrt(gt2)
     model = Model({f: float(w[i]) for f, i in ids.items() if abs(w[i]) > 1e-3}, float(bias), trans, (1.0, 0.0))
     scores = Scores(model.weights, model.bias)
     x = np.array([evidence(m) for m in messages([np.array([scores[t] for t in tokens]) for tokens in docs], trans)])
@@ -209,12 +247,23 @@ def fit(texts: list[str], y: np.ndarray) -> Model | None:
 
 
 def train(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE) -> Model | None:
-    got = sample(docs, labels, "toxic", 4, 2, limit, SAMPLE_BYTES)
-    return fit(got.column("text").to_pylist(), got.column("y").to_numpy().astype(float))
+    return fitted(sample(docs, labels, "toxic", 4, 2, limit, SAMPLE_BYTES), fit)
+
+
+def read(text: str | None, model: Model, table_of: Scores, spans: bool) -> tuple[float, list[dict]]:
+    """Evidence and spans of one text, stretch by stretch."""
+    tops, found = [], []
+    for at, part in stretches(text or ""):
+        logits = messages([np.fromiter(map(table_of.__getitem__, words_of(part)), float)], model.trans)[0]
+        if len(logits):
+            tops.append(evidence(logits))
+            found += _spans(part, logits, at) if spans and logits.max() >= 0 else []
+    return evidence(np.array(tops)), found
 
 
 def score(docs: DataFrame, model: Model | None, spans: bool = True) -> DataFrame:
     """docs with toxic_score and (offsets in code points) toxic_spans array<struct<start:int,end:int,p:double>>."""
+    docs = without(docs, "toxic_score", "toxic_spans")
     sent = docs.sparkSession.sparkContext.broadcast(model)
     added = "toxic_score double" + (", toxic_spans array<struct<start:int,end:int,p:double>>" if spans else "")
     schema = T.StructType([*docs.schema.fields, *T._parse_datatype_string(added).fields])
@@ -222,16 +271,19 @@ def score(docs: DataFrame, model: Model | None, spans: bool = True) -> DataFrame
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
         table_of = Scores(model.weights, model.bias) if model else None
-        for batch in pieces(batches, "text", 8_000_000):
+        for batch in pieces(batches, "text", 4_000_000):
             if model is None:
                 values, found = [0.0] * batch.num_rows, [[]] * batch.num_rows
             else:
                 texts = batch.column("text").to_pylist()
-                of = table_of.__getitem__
-                emissions = [np.fromiter(map(of, _WORD.findall(t.lower())), float) if t else np.zeros(0) for t in texts]
-                logits = messages(emissions, model.trans)
-                values = [model.probability(evidence(x)) for x in logits]
-                found = [_spans(t, x) if spans and len(x) and x.max() >= 0 else [] for t, x in zip(texts, logits, strict=True)] if spans else None
+                if any(t and len(t) > LONG for t in texts):
+                    got = [read(t, model, table_of, spans) for t in texts]
+                    values, found = [model.probability(e) for e, _ in got], [f for _, f in got]
+                else:
+                    of = table_of.__getitem__
+                    logits = messages([np.fromiter(map(of, words_of(t)), float) if t else np.zeros(0) for t in texts], model.trans)
+                    values = [model.probability(evidence(x)) for x in logits]
+                    found = [_spans(t, x) if spans and len(x) and x.max() >= 0 else [] for t, x in zip(texts, logits, strict=True)]
             cols = [*batch.columns, pa.array(values, pa.float64())]
             if spans:
                 cols.append(pa.array(found, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("p", pa.float64())]))))
@@ -240,21 +292,18 @@ def score(docs: DataFrame, model: Model | None, spans: bool = True) -> DataFrame
     return docs.mapInArrow(run, schema)
 
 
-def _spans(text: str, logits: np.ndarray) -> list[dict]:
-    """Runs of tokens whose marginal is 1/2 or more; a text whose lower case has other offsets is matched word by word."""
+def _spans(text: str, logits: np.ndarray, shift: int = 0) -> list[dict]:
+    """Runs of tokens whose marginal is 1/2 or more."""
     lowered = text.lower()
-    source = lowered if len(lowered) == len(text) else text
+    at = list(_WORD.finditer(lowered if len(lowered) == len(text) else text))
     out: list[dict] = []
-    at = list(_WORD.finditer(source))
-    if len(at) != len(logits):
-        return [{"start": 0, "end": len(text), "p": float(1 / (1 + np.exp(-logits.max())))}]
     before = -2
     for i in np.flatnonzero(logits >= 0):
         p = float(1 / (1 + np.exp(-logits[i])))
         if out and i == before + 1:
-            out[-1]["end"], out[-1]["p"] = at[i].end(), max(out[-1]["p"], p)
+            out[-1]["end"], out[-1]["p"] = at[i].end() + shift, max(out[-1]["p"], p)
         else:
-            out.append({"start": at[i].start(), "end": at[i].end(), "p": p})
+            out.append({"start": at[i].start() + shift, "end": at[i].end() + shift, "p": p})
         before = i
     return out
 
@@ -264,7 +313,8 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = train(docs, table(spark, sf_dir, "labels"))
     got = score(docs, model)
     n = F.size("toxic_spans").cast("long").alias("n_spans")
-    return got.select("doc_id", (fold(F.col("doc_id"), 4) == 2).alias("held_out"), F.col("toxic_score").alias("score"), (F.col("toxic_score") >= THRESHOLD).cast("int").alias("predicted"), n)
+    at = F.array_join(F.transform("toxic_spans", lambda x: F.concat(x["start"].cast("string"), F.lit(":"), x["end"].cast("string"))), ",").alias("spans")
+    return got.select("doc_id", (fold(F.col("doc_id"), 4) == 2).alias("held_out"), F.col("toxic_score").alias("score"), (F.col("toxic_score") >= THRESHOLD).cast("int").alias("predicted"), n, at)
 
 
 QUERIES = {"op5_toxicity": op5_toxicity}
