@@ -1,12 +1,14 @@
 """Operator 7: benchmark decontamination with one Aho-Corasick automaton.
 
 Windows of 10 consecutive words of the normalised benchmark texts are the automaton's keys; each document's normalised
-text is scanned once and match ends are mapped back to words (and, in ``matches``, to code points of the original).
+text is scanned once, and match ends are mapped back to words and, in spans, to code points of the original.
 
 Bound: the automaton is built from a benchmark of at most MAX_BYTES a shard. A larger benchmark is split into shards
 of that size, and each shard's automaton scans in its own pass; the word marks of the passes are united, so the result
-is the same. Defined results: null or wordless text has no words and no hits; an item without words matches nothing;
-repeated rows repeat results; an empty benchmark or documents table gives no hits or no rows; extra columns are ignored.
+is the same. Defined results: null or wordless text has no words and no hits; an item without words matches nothing; an
+item with a null id hits words but isn't counted; ids of items are kept as strings, of any type; repeated rows repeat
+results; an empty benchmark or documents table gives no hits or no rows; extra columns pass through ``clean`` and
+``matches``, but for one named dc_spans, which ``matches`` replaces.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import pieces, table
+from .common import free_prefix, pieces, table, without
 
 WIDTH = 10
 MAX_BYTES = 16_000_000
@@ -32,14 +34,25 @@ def normal_words(text: bytes) -> list[bytes]:
     return text.translate(_NORMAL).split()
 
 
-def windows(items: list[tuple[int, str | None]], width: int = WIDTH) -> dict[bytes, tuple[int, set]]:
+def flattened(text: bytes) -> tuple[bytes, np.ndarray, np.ndarray]:
+    """The normalised text, a space before, between and after its words, and each word's start and end in the original's bytes."""
+    data = np.frombuffer(text.translate(_NORMAL), np.uint8)
+    solid = data != 32
+    before = np.concatenate(([False], solid[:-1]))
+    start, end = np.flatnonzero(solid & ~before), np.flatnonzero(before & ~solid)
+    end = np.append(end, len(data)) if len(end) < len(start) else end
+    flat = b" " + data[solid | before].tobytes()
+    return flat + b" " * (not flat.endswith(b" ")), start, end
+
+
+def windows(items: list[tuple[str | None, str | None]], width: int = WIDTH) -> dict[bytes, tuple[int, set]]:
     """Key of each window: its number of words and the items that hold it."""
     keys: dict[bytes, tuple[int, set]] = {}
     for item_id, text in items:
         w = normal_words((text or "").encode())
         n = min(width, len(w))
         for i in range(len(w) - n + 1) if n else ():
-            keys.setdefault(b" " + b" ".join(w[i : i + n]) + b" ", (n, set()))[1].add(item_id)
+            keys.setdefault(b" " + b" ".join(w[i : i + n]) + b" ", (n, set()))[1].update([] if item_id is None else [item_id])
     return keys
 
 
@@ -52,10 +65,10 @@ def automaton(keys: dict[bytes, tuple[int, set]]):
     return a
 
 
-def shards(benchmark: DataFrame, max_bytes: int = MAX_BYTES) -> Iterator[list[tuple[int, str]]]:
+def shards(benchmark: DataFrame, max_bytes: int = MAX_BYTES) -> Iterator[list[tuple[str | None, str | None]]]:
     """The items in order of id, read through an iterator, in lists of at most max_bytes of text (one item at least)."""
     part, total = [], 0
-    for row in benchmark.select("item_id", "text").orderBy("item_id", "text").toLocalIterator():
+    for row in benchmark.select(F.col("item_id").cast("string"), "text").orderBy("item_id", "text").toLocalIterator():
         size = len((row[1] or "").encode())
         if part and total + size > max_bytes:
             yield part
@@ -68,11 +81,35 @@ def shards(benchmark: DataFrame, max_bytes: int = MAX_BYTES) -> Iterator[list[tu
 _built: dict[str, object] = {}
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, max_bytes: int = MAX_BYTES, keep: bool = False) -> DataFrame:
-    """doc_id, n_words, hits (marked word numbers), items (ids with an occurring window); with keep also the columns of docs."""
+def marked(text: bytes, a, old: np.ndarray) -> tuple[int, np.ndarray, set, list[tuple[int, int]]]:
+    """Words of a text, numbers of those hit (also before), items with a window in it, and the runs of hit words in code points."""
+    flat, start, end = flattened(text)
+    marks, ids = np.zeros(0, np.int64), set()
+    if len(start) and len(a) and (matches := list(a.iter(flat.decode("latin-1")))):
+        # a word's closing space stands at the sum of the words' lengths so far and the spaces before it
+        closing = np.cumsum(end - start) + np.arange(1, len(start) + 1)
+        last = np.searchsorted(closing, [at for at, _ in matches])
+        delta = np.zeros(len(start) + 1, np.int64)
+        np.add.at(delta, last - np.array([n for _, (n, _) in matches]) + 1, 1)
+        np.add.at(delta, last + 1, -1)
+        marks = np.flatnonzero(np.cumsum(delta[:-1]))
+        ids = set().union(*(who for _, (_, who) in matches))
+    marks = np.union1d(marks, old) if len(old) else marks
+    if not len(marks):
+        return len(start), marks, ids, []
+    first = np.concatenate(([True], np.diff(marks) > 1))
+    final = np.concatenate((first[1:], [True]))
+    points = np.concatenate(([0], np.cumsum((np.frombuffer(text, np.uint8) & 0xC0) != 0x80)))
+    return len(start), marks, ids, list(zip(points[start[marks[first]]].tolist(), points[end[marks[final]]].tolist(), strict=True))
+
+
+def scan(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, max_bytes: int = MAX_BYTES, keep: bool = False, own: str = "dc_") -> DataFrame:
+    """doc_id, dc_words (their number), dc_hits (marked word numbers), dc_items (ids with an occurring window), dc_spans
+    (runs of hit words, array<struct<start:int,end:int>> in code points); with keep also the columns of docs. own: the prefix."""
     spark = docs.sparkSession
-    kept = [f for f in docs.schema.fields if keep or f.name == "doc_id"]
-    out = docs.select(*[f.name for f in kept], *([] if keep else ["text"]), F.lit(0).cast("long").alias("dc_words"), F.array().cast("array<int>").alias("dc_hits"), F.array().cast("array<long>").alias("dc_items"))
+    kept = [f"`{f}`" for f in docs.columns if keep or f == "doc_id"]
+    none = {"words": "bigint", "hits": "array<int>", "items": "array<string>", "spans": "array<struct<start:int,end:int>>"}
+    out = docs.select(*kept, *([] if keep else ["text"]), *[(F.lit(0) if n == "words" else F.array()).cast(kind).alias(own + n) for n, kind in none.items()])
     schema = out.schema
     for items in shards(benchmark, max_bytes):
         sent = spark.sparkContext.broadcast((width, items))
@@ -85,26 +122,14 @@ def scan(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, max_bytes: i
                 _built[name] = automaton(windows(items, width))
             a = _built[name]
             for batch in pieces(batches):
-                words_n, hits, found = [], [], []
-                old_hits, old_items = batch.column("dc_hits").to_pylist(), batch.column("dc_items").to_pylist()
-                for k, text in enumerate(batch.column("text").to_pylist()):
-                    w = normal_words(text.encode()) if text else []
-                    words_n.append(len(w))
-                    marks, ids = np.zeros(0, np.int32), set()
-                    if w and len(a):
-                        flat = b" " + b" ".join(w) + b" "
-                        if matches := list(a.iter(flat.decode("latin-1"))):
-                            spaces = np.cumsum(np.frombuffer(flat, np.uint8) == 32)
-                            delta = np.zeros(len(w) + 1, np.int32)
-                            for end, (n, who) in matches:
-                                last = int(spaces[end]) - 1  # words up to this space
-                                delta[last - n] += 1
-                                delta[last] -= 1
-                                ids |= who
-                            marks = np.flatnonzero(np.cumsum(delta[:-1])).astype(np.int32)
-                    hits.append(np.union1d(marks, np.array(old_hits[k], np.int32)).astype(np.int32) if len(old_hits[k]) else marks)
-                    found.append(sorted(ids.union(old_items[k])) if ids or old_items[k] else [])
-                new = {"dc_words": pa.array(words_n, pa.int64()), "dc_hits": pa.array(hits, pa.list_(pa.int32())), "dc_items": pa.array(found, pa.list_(pa.int64()))}
+                old_hits, old_items = (batch.column(own + n).to_pylist() for n in ("hits", "items"))
+                got = [marked((t or "").encode(), a, np.array(h, np.int64)) for t, h in zip(batch.column("text").to_pylist(), old_hits, strict=True)]
+                new = {
+                    own + "words": pa.array([g[0] for g in got], pa.int64()),
+                    own + "hits": pa.array([g[1].astype(np.int32) for g in got], pa.list_(pa.int32())),
+                    own + "items": pa.array([sorted(g[2].union(i)) for g, i in zip(got, old_items, strict=True)], pa.list_(pa.string())),
+                    own + "spans": pa.array([[{"start": x, "end": y} for x, y in g[3]] for g in got], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))),
+                }
                 yield pa.RecordBatch.from_arrays([new.get(n, batch.column(i)) for i, n in enumerate(batch.schema.names)], names=batch.schema.names)
 
         out = out.mapInArrow(run, schema)
@@ -113,12 +138,21 @@ def scan(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, max_bytes: i
 
 def clean(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
     """The documents without a hit, with their own columns."""
-    return scan(docs, benchmark, width, keep=True).filter(F.size("dc_hits") == 0).select(*docs.columns)
+    own = free_prefix(docs, "dc_")
+    return scan(docs, benchmark, width, keep=True, own=own).filter(F.size(own + "hits") == 0).select(*[f"`{c}`" for c in docs.columns])
+
+
+def matches(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
+    """The documents with a hit, with dc_spans: the runs of hit words in code points of the text, end exclusive."""
+    docs = without(docs, "dc_spans")
+    own = free_prefix(docs, "dc_")
+    found = scan(docs, benchmark, width, keep=True, own=own).filter(F.size(own + "hits") > 0)
+    return found.select(*[f"`{c}`" for c in docs.columns], F.col(own + "spans").alias("dc_spans"))
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
-    ids = F.array_join(F.array_sort(F.transform("dc_items", lambda x: x.cast("string"))), ",")
+    ids = F.array_join(F.array_sort("dc_items"), ",")
     return found.select("doc_id", F.col("dc_words").alias("n_words"), F.size("dc_hits").cast("long").alias("n_hit"), F.size("dc_items").cast("long").alias("n_items"), F.sha2(ids, 256).alias("items_sha256"), (F.size("dc_hits") > 0).alias("contaminated"))
 
 

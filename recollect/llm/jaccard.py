@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import pieces, saved, set_id, shingle_sets, signature, small, table, text_bytes, words
+from .common import free_prefix, pieces, saved, set_id, shingle_sets, signature, small, table, text_bytes, words
 from .links import SIMILAR, link, row_key, sets_sent
 
 HEAVY, HEAVY_LEAST = 400_000, 24
@@ -128,17 +128,17 @@ def _classes(docs: DataFrame, sent) -> DataFrame:
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), "node", "comp", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def with_node(docs: DataFrame, sent) -> DataFrame:
-    """docs and ng_node, the identity of each row's set; null without shingles."""
+def with_node(docs: DataFrame, sent, name: str) -> DataFrame:
+    """docs and a column with the identity of each row's set; null without shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
             node: list = [None] * batch.num_rows
             for i, s in ordered_sets(batch, sent.value):
                 node[i] = set_id(s)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(node, pa.int64())], names=[*batch.schema.names, "ng_node"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(node, pa.int64())], names=[*batch.schema.names, name])
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("ng_node", LongType())]))
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, LongType())]))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
@@ -146,23 +146,26 @@ def one_of_each(docs: DataFrame) -> DataFrame:
 
     A row is told by its id and set: equal ids with different texts are different documents, and so are null ids. Equal
     ids without shingles are one document; rows with neither id nor shingles all stay."""
+    own = free_prefix(docs, "ng_")
+    one_id, one_set, again_id = own + "id", own + "set", own + "again"
     sent = docs.sparkSession.sparkContext.broadcast(frequent(docs))
     found = saved(_classes(docs, sent).select("doc_id", "node", "comp"))
     key = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "node")
     least = found.filter("node is not null").groupBy("comp").agg(F.min(key).alias("least"))
-    gone = saved(found.distinct().join(least, "comp").filter(key != F.col("least")).select(F.col("doc_id").alias("ng_id"), F.col("node").alias("ng_set")))
-    again = saved(found.groupBy(F.col("doc_id").alias("again_id")).count().filter("count > 1 or again_id is null").select("again_id"))
-    gone_ids = gone.select("ng_id").filter("ng_id is not null").distinct()
+    gone = saved(found.distinct().join(least, "comp").filter(key != F.col("least")).select(F.col("doc_id").alias(one_id), F.col("node").alias(one_set)))
+    again = saved(found.groupBy(F.col("doc_id").alias(again_id)).count().filter(f"count > 1 or {again_id} is null").select(again_id))
+    gone_ids = small(gone.select(one_id).filter(F.col(one_id).isNotNull()).distinct())
     if again.isEmpty():
-        return docs.join(small(gone_ids), docs["doc_id"] == F.col("ng_id"), "left_anti")
+        return docs.join(gone_ids, docs["doc_id"] == F.col(one_id), "left_anti")
     again = small(again)
-    one = docs.filter(docs["doc_id"].isNotNull()).join(again, docs["doc_id"] == F.col("again_id"), "left_anti")
-    kept = one.join(small(gone_ids), one["doc_id"] == F.col("ng_id"), "left_anti")
-    many = with_node(docs.join(again, docs["doc_id"].eqNullSafe(F.col("again_id")), "left_semi"), sent)
-    many = many.join(small(gone), many["doc_id"].eqNullSafe(F.col("ng_id")) & (many["ng_node"] == F.col("ng_set")), "left_anti")
-    alone = many.filter("doc_id is null and ng_node is null")
-    rest = many.filter("doc_id is not null or ng_node is not null").dropDuplicates(["doc_id", "ng_node"])
-    return kept.unionByName(rest.union(alone).drop("ng_node"))
+    one = docs.filter(docs["doc_id"].isNotNull()).join(again, docs["doc_id"] == F.col(again_id), "left_anti")
+    kept = one.join(gone_ids, one["doc_id"] == F.col(one_id), "left_anti")
+    many = with_node(docs.join(again, docs["doc_id"].eqNullSafe(F.col(again_id)), "left_semi"), sent, own + "node")
+    node = many[own + "node"]
+    many = many.join(small(gone), many["doc_id"].eqNullSafe(F.col(one_id)) & (node == F.col(one_set)), "left_anti")
+    alone = many.filter(F.col("doc_id").isNull() & F.col(own + "node").isNull())
+    rest = many.filter(F.col("doc_id").isNotNull() | F.col(own + "node").isNotNull()).dropDuplicates(["doc_id", own + "node"])
+    return kept.unionByName(rest.union(alone).drop(own + "node"))
 
 
 def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,8 +5,8 @@ source's cap, and every document is emitted floor(rate) times plus one hash-seed
 the rate's fraction. The per-source table has one row a source; the only unpartitioned windows run over that table.
 
 Defined results: null text has size 0; a null source is a source of its own, last in order; repeated rows get the same
-copies; a null doc_id is hashed as the text 'null'; an empty table gives no rows; other columns pass through ``mix``
-untouched (own columns are prefixed with ``mix_``).
+copies; a null doc_id is hashed as the text 'null'; an empty table gives no rows; other columns pass through ``mix``, but
+for ones named like its own (mix_size, mix_source_size, mix_target, mix_copies), which it replaces; ``emit`` keeps them all.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import free_prefix, saved, small, table, without
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -54,20 +54,25 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     return per.select("mix_source", "source_size", F.when(F.col("water").isNull(), F.col("most").cast("double")).otherwise(F.least(F.col("w") * F.col("water"), F.col("most").cast("double"))).alias("target"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, cap: int = CAP, seed: str = SEED) -> DataFrame:
-    """docs with mix_size, mix_source_size, mix_target and mix_copies (times that the mix takes the document)."""
-    sized = docs.withColumn("mix_size", size_of(F.col("text")))
-    goal = targets(sized.select(F.col("source").alias("mix_source"), "mix_size"), weights, share, cap)
-    joined = sized.join(goal, sized["source"].eqNullSafe(goal["mix_source"]), "left").drop("mix_source")
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, cap: int = CAP, seed: str = SEED, own: str = "mix_") -> DataFrame:
+    """docs with mix_size, mix_source_size, mix_target and mix_copies (times that the mix takes the document); own: their prefix."""
+    docs = without(docs, *(own + n for n in ("size", "source_size", "target", "copies")))
+    sized = docs.withColumn(own + "size", size_of(F.col("text")))
+    goal = targets(sized.select(F.col("source").alias("mix_source"), F.col(own + "size").alias("mix_size")), weights, share, cap)
+    # a row a source, without texts: saved and counted, so that the documents stay where they are
+    goal = small(saved(goal.select(F.col("mix_source").alias(own + "source"), F.col("source_size").alias(own + "source_size"), F.col("target").alias(own + "target"))), 64 + F.coalesce(F.octet_length(own + "source"), F.lit(0)))
+    joined = sized.join(goal, sized["source"].eqNullSafe(goal[own + "source"]), "left").drop(own + "source")
+    whole, target = F.col(own + "source_size"), F.col(own + "target")
+    rate = F.when(whole > 0, target / whole).otherwise(F.lit(0.0))
     copies = F.floor(rate) + F.when(unit_hash(F.col("doc_id"), seed) < rate - F.floor(rate), 1).otherwise(0)
-    return joined.withColumn("mix_copies", copies.cast("long")).withColumnsRenamed({"source_size": "mix_source_size", "target": "mix_target"})
+    return joined.withColumn(own + "copies", copies.cast("long"))
 
 
 def emit(docs: DataFrame, **options) -> DataFrame:
     """Each document as often as the mix takes it, with the columns of docs."""
-    mixed = mix(docs, **options).filter(F.col("mix_copies") > 0)
-    return mixed.withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_copies").cast("int")))).select(*docs.columns)
+    own = free_prefix(docs, "mix_")
+    mixed = mix(docs, own=own, **options).filter(F.col(own + "copies") > 0)
+    return mixed.withColumn(own + "copy", F.explode(F.sequence(F.lit(1), F.col(own + "copies").cast("int")))).select(*[f"`{c}`" for c in docs.columns])
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

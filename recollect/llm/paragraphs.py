@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import spans as sp
-from .common import by_bucket, mix, pieces, saved, set_id, shingle_sets, signature, small, table, text_bytes, words
+from .common import by_bucket, mix, pieces, saved, set_id, shingle_sets, signature, small, table, text_bytes, whole_id, words
 from .links import link, sets_sent
 
 MIN_WORDS = 2
@@ -86,7 +86,7 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 def removed_lines(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Paragraphs (doc_id, start, end, node, gone), and (sp_id, sp_spans) of the removed ones."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null and text is not null")
+    docs = docs.select(whole_id(docs).alias("doc_id"), "text").filter("doc_id is not null and text is not null")
     found = saved(keyed(docs))
     places = found.select("doc_id", "start", "end", "node")
     first = saved(places.groupBy("node").agg(F.min(F.struct("doc_id", "start")).alias("at"), F.count("*").alias("copies")))
@@ -119,7 +119,7 @@ def removed_lines(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def remove(docs: DataFrame) -> DataFrame:
     """The documents with their texts less the paragraphs that near-copies precede."""
-    return sp.texts(sp.with_spans(docs, removed_lines(docs)[1]))
+    return sp.removed(docs, removed_lines(docs)[1])
 
 
 def op10_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,8 +3,9 @@
 Regular expressions propose spans, validators confirm them (address parts, Luhn, digit counts, mod 97), and words near
 a span raise its score. A text is split at a kind's pattern; the pieces between the matches give the code-point offsets.
 
-Defined results: null text counts as empty (no spans); repeated rows give repeated results; an empty table gives no
-rows; extra columns pass through ``detect`` untouched (own columns are ``pii_spans`` and ``pii_text``).
+Defined results: null text counts as empty (no spans) and stays null in ``redact``; repeated rows give repeated results; an
+empty table gives no rows; a null doc_id is a row like others; extra columns pass through untouched, but for one named
+pii_spans, which ``detect`` replaces. Spans are gathered in groups of GROUP, so a text of many takes time in proportion.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, without
 
 #: Kinds in their order, base kinds first. The atomic and look-behind forms find what the plain patterns find, in linear time.
 PATTERNS = {
@@ -26,6 +27,7 @@ PATTERNS = {
 NEEDS = {"email": "@", "ip": ".", "card": "", "phone": "+", "iban": ""}
 BASE = ("email", "ip", "card", "phone")
 NEAR = 40
+GROUP = 256
 #: Words near a span that make its kind likelier.
 CONTEXT = {
     "email": "mail|contact|write|@",
@@ -81,39 +83,41 @@ def _spans(kind: str, text: Column) -> Column:
         near = F.lower(F.concat(F.right(x["before"], F.lit(NEAR)), F.lit(" "), F.left(x["after"], F.lit(NEAR))))
         score = F.lit(low) + F.when(near.rlike(CONTEXT[kind]), gain).otherwise(0.0)
         span = F.struct(start.alias("start"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), end.alias("end"), x["m"].alias("match"), score.alias("score"))
-        return F.struct(end.alias("at"), F.when(confirmed(kind, x["m"]), F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"]).alias("spans"))
+        return F.struct(end.alias("at"), F.when(confirmed(kind, x["m"]), F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"]).alias("spans"), acc["done"].alias("done"))
 
     kind_of = "array<struct<start:int,rank:int,kind:string,end:int,match:string,score:double>>"
     none = F.array().cast(kind_of)
     cells = F.transform(found, lambda m, i: F.struct(F.get(parts, i).alias("before"), m.alias("m"), F.get(parts, i + 1).alias("after")))
-    spans = F.aggregate(cells, F.struct(F.lit(0).alias("at"), none.alias("spans")), step, lambda acc: acc["spans"])
+    # a step appends to a group's spans, so a group at a time is copied and not all spans so far
+    groups = F.transform(F.sequence(F.lit(0), F.floor((F.size(cells) - 1) / GROUP).cast("int")), lambda g: F.slice(cells, g * GROUP + 1, GROUP))
+    zero = F.struct(F.lit(0).alias("at"), none.alias("spans"), F.array().cast(f"array<{kind_of}>").alias("done"))
+    after = lambda acc, group: F.aggregate(group, F.struct(acc["at"].alias("at"), none.alias("spans"), F.concat(acc["done"], F.array(acc["spans"])).alias("done")), step)
+    spans = F.aggregate(groups, zero, after, lambda acc: F.flatten(F.concat(acc["done"], F.array(acc["spans"]))))
     has = F.contains(text, F.lit(NEEDS[kind])) if NEEDS[kind] else text.rlike("[0-9]")
-    return F.when(has, spans).otherwise(none)
+    return F.when(has & (F.size(found) > 0), spans).otherwise(none)
 
 
 def detect(docs: DataFrame, kinds: tuple[str, ...] = tuple(PATTERNS)) -> DataFrame:
     """docs with pii_spans: all confirmed spans by start and kind, offsets in code points, end exclusive."""
+    docs = without(docs, "pii_spans")
     text = F.coalesce(F.col("text"), F.lit(""))
     arrays = [_spans(k, text) for k in kinds]
     return docs.withColumn("pii_spans", F.array_sort(F.concat(*arrays)))
 
 
 def redact(docs: DataFrame, kinds: tuple[str, ...] = BASE) -> DataFrame:
-    """docs whose texts have each confirmed span replaced by [KIND]; a span that begins inside a replaced one goes with it."""
-    # spans by start; each step appends the text since the last end and the mark
-    found = detect(docs, kinds)
-    text = F.coalesce(F.col("text"), F.lit(""))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+    """docs whose texts have each confirmed span replaced by [KIND], kind by kind: what an earlier kind's marks replace is seen by no later one."""
+    for kind in kinds:
+        docs = docs.withColumn("text", _marked(kind, F.col("text")))
+    return docs
 
-    def step(acc: Column, s: Column) -> Column:
-        fresh = s["start"] >= acc["at"]
-        gap = F.substring(text, acc["at"] + 1, s["start"] - acc["at"])
-        mark = F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]"))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(fresh, F.concat(acc["out"], F.array(gap, mark))).otherwise(acc["out"]).alias("out"))
 
-    clean = F.aggregate(F.col("pii_spans"), zero, step, lambda a: F.concat(F.array_join(a["out"], ""), F.substring(text, a["at"] + 1, F.length(text))))
-    new = F.when(F.col("text").isNull() | (F.size("pii_spans") == 0), F.col("text")).otherwise(clean)
-    return found.withColumn("text", new).select(*docs.columns)
+def _marked(kind: str, text: Column) -> Column:
+    mark = lambda m: F.when(confirmed(kind, m), F.lit(f"[{kind.upper()}]")).otherwise(m)
+    shown = F.transform(F.regexp_extract_all(text, F.lit(PATTERNS[kind]), F.lit(0)), mark)
+    new = F.array_join(F.zip_with(F.split(text, PATTERNS[kind], -1), shown, lambda part, m: F.concat(part, F.coalesce(m, F.lit("")))), "")
+    has = F.contains(text, F.lit(NEEDS[kind])) if NEEDS[kind] else text.rlike("[0-9]")
+    return F.when(has, new).otherwise(text)
 
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

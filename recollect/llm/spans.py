@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SMALL_BYTES, saved, text_bytes, unpacked
+from .common import free_prefix, saved, small, text_bytes, unpacked, whole_id
 
 def merged(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Spans united where they overlap or touch, by document and start."""
@@ -41,12 +41,10 @@ def per_document(packed: DataFrame) -> DataFrame:
     return packed.groupBy("bucket").applyInArrow(run, "sp_id long, sp_spans binary")
 
 
-def with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """docs with their column sp_spans (null without any): broadcast if the spans' bytes are few (counted), else by a shuffle."""
-    spans = saved(spans)
-    size = spans.agg(F.coalesce(F.sum(F.octet_length("sp_spans") + 24), F.lit(0))).first()[0]
-    side = F.broadcast(spans) if size <= SMALL_BYTES else spans
-    return docs.join(side, docs["doc_id"] == side["sp_id"], "left").drop("sp_id")
+def with_spans(docs: DataFrame, spans: DataFrame, own: str = "sp_") -> DataFrame:
+    """docs with the column sp_spans (null without any; own: its prefix): broadcast if the spans' bytes are few (counted), else by a shuffle."""
+    spans = small(saved(spans.select(F.col("sp_id").alias(own + "id"), F.col("sp_spans").alias(own + "spans"))), F.octet_length(own + "spans") + 24)
+    return docs.join(spans, whole_id(docs) == spans[own + "id"], "left").drop(own + "id")
 
 
 def kept_parts(data: bytes, packed: bytes | None) -> tuple[list[bytes], int, int]:
@@ -82,15 +80,15 @@ def digests(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text", "sp_spans").mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
-def texts(docs: DataFrame) -> DataFrame:
-    """The documents with spans, their texts without them (a character cut in two loses its rest), spans dropped."""
-    names = [c for c in docs.columns if c != "sp_spans"]
+def removed(docs: DataFrame, spans: DataFrame) -> DataFrame:
+    """The documents, their texts without the spans (a character cut in two loses its rest)."""
+    own = free_prefix(docs, "sp_")
+    names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            new = [None if t is None else t if not s else b"".join(kept_parts(t.encode(), s)[0]).decode("utf-8", "ignore") for t, s in zip(batch.column("text").to_pylist(), batch.column("sp_spans").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(new, pa.string()) if c == "text" else batch.column(c) for c in names], names=names)
-
-    return docs.mapInArrow(run, docs.drop("sp_spans").schema)
-
+            held = batch.column(own + "spans").to_pylist()
+            new = [None if t is None else t if not s else b"".join(kept_parts(t.encode(), s)[0]).decode("utf-8", "ignore") for t, s in zip(batch.column("text").to_pylist(), held, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(new, pa.string()) if c == "text" else batch.column(i) for i, c in enumerate(names)], names=names)
 
+    return with_spans(docs, spans, own).mapInArrow(run, docs.schema)

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import spans as sp
-from .common import Rolling, by_bucket, mix, pieces, saved, table, text_bytes, unpacked
+from .common import Rolling, by_bucket, mix, pieces, saved, table, text_bytes, unpacked, whole_id
 
 LEAST, GRAM = 100, 50
 SIDE = LEAST - GRAM
@@ -357,7 +357,7 @@ def _resolve(n: int):
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """(sp_id, sp_spans): merged byte spans that LEAST-byte strings cover which also start earlier."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null and text is not null")
+    docs = docs.select(whole_id(docs).alias("doc_id"), "text").filter("doc_id is not null and text is not null")
     total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     n = int(max(64, total // BUCKET_BYTES))
     met = saved(_deal(docs, n).groupBy("bucket").applyInArrow(_meet(n), _OUT))
@@ -369,7 +369,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
 
 def remove(docs: DataFrame) -> DataFrame:
     """The documents with their texts less the repeated bytes."""
-    return sp.texts(sp.with_spans(docs, repeated_spans(docs)))
+    return sp.removed(docs, repeated_spans(docs))
 
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
