@@ -1,19 +1,22 @@
-"""Operator 9: exact removal of repeated byte strings by common-prefix intervals of a sparse enhanced suffix array.
+"""Operator 9: exact removal of repeated byte strings by common-prefix interval trees of enhanced suffix arrays.
 
 Any LEAST-byte string holds an anchor: a GRAM-byte substring whose hash is least among those that start in the string's
-first half, chosen by content alone. Equal strings so meet at equal anchors. The anchors are the sampled suffixes: they
-are dealt by hash, each with a fingerprint of all the bytes (context) that strings through it can cover. Where the
-contexts of an anchor are equal, every string through the later ones starts earlier elsewhere. Where they differ, the
-contexts are fetched, sorted into a suffix array with longest common prefixes, to the right and, for left extension, to
-the left, and the intervals' cuts at each depth tell which strings recur with which left extension. An anchor with more
-than HOT different contexts isn't gathered: its strings are dealt one by one by their own fingerprints instead (exact too).
-
-``maximal_repeats`` gives the maximal repeat groups with all their occurrences for texts at hand: a stack scan of the
-enhanced suffix array keeps the intervals whose left neighbours differ.
-
-Fingerprints are 64-bit hashes; equal ones count as equal strings. Defined results: null counts as empty; rows with a null
-doc_id lose and cause nothing; rows with equal doc_id are one document for the order, so equal starts in them aren't
-earlier than each other; an empty table gives no rows; extra columns pass through ``remove``.
+first half, chosen by content alone. Equal strings so meet at equal anchors, and every such string through an anchor lies
+in its context, the SIDE bytes before and the LEAST bytes from the anchor on. Contexts are dealt by the anchor's hash, so
+that the corpus' suffix array falls into independent parts. Of equal contexts the earliest alone goes on: every string
+through the later ones starts earlier there. The different contexts of an anchor make an enhanced suffix array (the
+suffixes from the anchor, their common prefixes, and the reversed texts before them). A stack scan gives its
+common-prefix interval tree; inside an interval, a scan of the left sides tells the groups that share a left extension
+no byte longer, and a group that lies in several children can't be extended to the right either. These are the maximal
+repeat groups of LEAST bytes and more, with all their occurrences: all but the first are removed (``repeats`` returns the
+groups themselves, clipped to the context of the anchor that found them).
+
+An anchor with more than HOT different contexts isn't gathered in one task: its strings are dealt one by one by their own
+fingerprints instead (exact too). Fingerprints are 64-bit hashes; equal ones count as equal strings.
+
+Defined results: null counts as empty; rows whose doc_id is null, or a text that is no whole number, lose and cause nothing;
+rows with equal doc_id are one document for the order, so equal starts in them aren't earlier than each other; an empty
+table gives no rows; extra columns pass through ``remove``. A long text is taken slice by slice.
 """
 
 from __future__ import annotations
@@ -30,7 +33,8 @@ from .common import Rolling, by_bucket, mix, pieces, saved, table, text_bytes, u
 
 LEAST, GRAM = 100, 50
 SIDE = LEAST - GRAM
-HOT = 500
+HOT = 20_000
+SLICE = 4_000_000
 COMBINE_BYTES = 12_000_000
 BUCKET_BYTES = 12_000_000
 _TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -75,7 +79,7 @@ def common_prefixes(s: np.ndarray, order: np.ndarray) -> np.ndarray:
     return out
 
 
-def prefix_intervals(lcp: np.ndarray, least: int = 1) -> list[tuple[int, int, int]]:
+def prefix_intervals(lcp: list[int] | np.ndarray, least: int = 1) -> list[tuple[int, int, int]]:
     """(first, last, depth) of the common-prefix interval tree's nodes of depth least or more, by a stack scan."""
     out, stack = [], [(0, 0)]  # (depth, first)
     for i in range(1, len(lcp) + 1):
@@ -139,6 +143,28 @@ def anchors(data: np.ndarray, off: np.ndarray, roll: Rolling) -> tuple[np.ndarra
     return p, np.searchsorted(off, p, "right") - 1, grams[p]
 
 
+def sliced(data: np.ndarray, off: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first text, start, data, offsets): all texts at once, or a single long one slice by slice with what its anchors need on both sides."""
+    if len(off) != 2 or len(data) <= 2 * SLICE:
+        yield 0, 0, data, off
+        return
+    for a in range(0, len(data), SLICE):
+        lo, hi = max(0, a - 2 * LEAST), min(len(data), a + SLICE + 3 * LEAST)
+        yield a, lo, data[lo:hi], np.array([0, hi - lo])
+
+
+def substring_hashes(data: np.ndarray, start: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of the substrings of a size at ascending starts, with prefix hashes of a slice at a time."""
+    out, first = np.zeros(len(start), np.uint64), 0
+    while first < len(start):
+        a = int(start[first])
+        last = int(np.searchsorted(start, a + SLICE))
+        part = start[first:last] - a
+        out[first:last] = Rolling(data[a : a + SLICE + size]).of(part, part + size)
+        first = last
+    return out
+
+
 def dominated(h: np.ndarray, c: np.ndarray, doc: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Order by (h, c, doc, pos), and for each in it whether it stands after the first of its (h, c), rows equal to it left out."""
     order = np.lexsort((pos, doc, c, h))
@@ -165,8 +191,8 @@ def _rows(rows: list[tuple[int, int, list[bytes]]]) -> list[pa.Array]:
     return [pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()), *(pa.array(c, pa.binary()) for c in cols)]
 
 
-def _deal(docs: DataFrame, n: int) -> DataFrame:
-    """Anchors dealt by hash, equal contexts of a batch but for the earliest told at once (rows of spans)."""
+def _deal(docs: DataFrame, n: int, every: bool = False) -> DataFrame:
+    """Anchors dealt by hash, equal contexts of a batch but for the earliest told at once (rows of spans) unless every one is wanted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -176,29 +202,34 @@ def _deal(docs: DataFrame, n: int) -> DataFrame:
             h, c, doc, pos = (np.concatenate([x[k] for x in held]) for k in range(4))
             order, gone = dominated(h, c, doc, pos)
             h, c, doc, pos = h[order], c[order], doc[order], pos[order]
+            gone &= not every
             rows = [(SPANS, b, cols) for b, cols in _span_rows(doc[gone], np.maximum(pos[gone] - SIDE, 0), pos[gone] + LEAST, n)]
             rows += [(ANCHORS, b, cols) for b, cols in by_bucket((h[~gone] % np.uint64(n)).astype(np.int32), [h[~gone], c[~gone], doc[~gone], pos[~gone].astype(np.int32)])]
             return pa.RecordBatch.from_arrays(_rows(rows), names=_NAMES)
 
         for batch in pieces(batches):
-            data, off = text_bytes(batch.column("text"))
-            roll = Rolling(data)
-            p, text, h = anchors(data, off, roll)
-            if len(p):
-                lo, hi = np.maximum(p - SIDE, off[text]), np.minimum(p + LEAST, off[text + 1])
-                c = roll.of(lo, hi) ^ mix((p - lo).astype(np.uint64) * np.uint64(1009) + (hi - p).astype(np.uint64))
-                held.append((h, c, batch.column("doc_id").to_numpy()[text], p - off[text]))
-            size += len(data)
-            if size > COMBINE_BYTES and held:
-                yield told()
-                held, size = [], 0
+            whole, bounds = text_bytes(batch.column("text"))
+            for a, at, data, off in sliced(whole, bounds):
+                roll = Rolling(data)
+                p, text, h = anchors(data, off, roll)
+                if len(data) < len(whole):  # a slice: its own anchors, without those of its margins
+                    own = (p + at >= a) & (p + at < a + SLICE)
+                    p, text, h = p[own], text[own], h[own]
+                if len(p):
+                    lo, hi = np.maximum(p - SIDE, off[text]), np.minimum(p + LEAST, off[text + 1])
+                    c = roll.of(lo, hi) ^ mix((p - lo).astype(np.uint64) * np.uint64(1009) + (hi - p).astype(np.uint64))
+                    held.append((h, c, batch.column("doc_id").to_numpy()[text], p - off[text] + at))
+                size += len(data)
+                if size > COMBINE_BYTES and held:
+                    yield told()
+                    held, size = [], 0
         if held:
             yield told()
 
     return docs.mapInArrow(run, _OUT)
 
 
-def _meet(n: int):
+def _meet(n: int, every: bool = False):
     def run(group: pa.Table) -> pa.Table:
         kinds = group.column("kind").to_numpy()
         rows = [(SPANS, r["bucket"], [r["a"], r["b"], r["c"]]) for r in group.filter(pa.array(kinds == SPANS)).to_pylist()]
@@ -215,10 +246,11 @@ def _meet(n: int):
             h, c, doc, pos = h[pick], c[pick], doc[pick], pos[pick]
             order, gone = dominated(h, c, doc, pos)
             h, c, doc, pos = h[order], c[order], doc[order], pos[order]
+            gone &= not every
             rows += [(SPANS, b, cols) for b, cols in _span_rows(doc[gone], np.maximum(pos[gone] - SIDE, 0), pos[gone] + LEAST, n)]
             if len(h):
                 # the first of each context, where an anchor has several
-                first = np.concatenate(([True], (h[1:] != h[:-1]) | (c[1:] != c[:-1])))
+                first = np.concatenate(([True], (h[1:] != h[:-1]) | (c[1:] != c[:-1]))) | every
                 h, doc, pos = h[first], doc[first], pos[first]
                 start = np.concatenate(([True], h[1:] != h[:-1]))
                 count = np.diff(np.concatenate((np.flatnonzero(start), [len(h)])))[np.cumsum(start) - 1]
@@ -245,14 +277,13 @@ def _asked(met: DataFrame) -> DataFrame:
     return met.filter(F.col("kind") == ASKED).groupBy("bucket").applyInArrow(run, "sp_id long, sp_spans binary")
 
 
-def _contexts(docs: DataFrame, n: int) -> DataFrame:
+def _contexts(docs: DataFrame, n: int, every: bool = False) -> DataFrame:
     """The asked contexts dealt by anchor; of hot anchors the strings through them, dealt by their fingerprints."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
             data, off = text_bytes(batch.column("text"))
             wide = np.concatenate((np.zeros(SIDE, np.uint8), data, np.zeros(LEAST, np.uint8)))
-            roll = None
             h, doc, pos, left, right, bytes_ = [], [], [], [], [], []
             wh, wd, wp = [], [], []
             ids = batch.column("doc_id").to_numpy()
@@ -261,10 +292,9 @@ def _contexts(docs: DataFrame, n: int) -> DataFrame:
                 p, hot = rows[:, 1] >> 1, (rows[:, 1] & 1) == 1
                 size = off[i + 1] - off[i]
                 if hot.any():
-                    roll = roll or Rolling(data)
                     s = np.unique((p[hot][:, None] - np.arange(SIDE + 1)[None, :]).ravel())
                     s = s[(s >= 0) & (s + LEAST <= size)]
-                    wh.append(roll.of(off[i] + s, off[i] + s + LEAST))
+                    wh.append(substring_hashes(data[off[i] : off[i + 1]], s, LEAST))
                     wd.append(np.full(len(s), ids[i]))
                     wp.append(s)
                 p, g = p[~hot], rows[~hot, 0]
@@ -283,6 +313,7 @@ def _contexts(docs: DataFrame, n: int) -> DataFrame:
                 k, d, s = np.concatenate(wh), np.concatenate(wd), np.concatenate(wp)
                 order, gone = dominated(k, k, d, s)
                 k, d, s = k[order], d[order], s[order]
+                gone &= not every
                 rows += [(SPANS, b, cols) for b, cols in _span_rows(d[gone], s[gone], s[gone] + LEAST, n)]
                 rows += [(ANCHORS, b, cols) for b, cols in by_bucket((k[~gone] % np.uint64(n)).astype(np.int32), [k[~gone], d[~gone], s[~gone]])]
             yield pa.RecordBatch.from_arrays(_rows(rows), names=_NAMES)
@@ -290,50 +321,57 @@ def _contexts(docs: DataFrame, n: int) -> DataFrame:
     return docs.mapInArrow(run, _OUT)
 
 
-def recurring(h: np.ndarray, doc: np.ndarray, pos: np.ndarray, block: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Spans (doc, start, end) of strings through anchors that start earlier elsewhere.
+def repeat_groups(h: np.ndarray, block: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(left, right, members): the maximal repeat groups of LEAST bytes and more through anchors h; members are row numbers.
 
     block: the bytes there are before (at most SIDE) and from the anchor on (at most LEAST), then the SIDE bytes before
-    and the LEAST bytes from it on. Suffixes from the anchors are sorted with their common prefixes, the texts before
-    them likewise from the anchor back; a cut of each tree at depths l and LEAST - l tells which strings that start
-    l bytes before the anchor are equal."""
-    order = np.lexsort((pos, doc))
-    h, doc, pos, block = h[order], doc[order], pos[order], block[order]
+    and the LEAST bytes from it on. A group's strings reach left bytes before the anchor and right bytes from it on."""
     n = len(h)
     have_left, have_right = block[:, 0].astype(np.int64), block[:, 1].astype(np.int64)
-    left, right = block[:, 2 : 2 + SIDE][:, ::-1], block[:, 2 + SIDE :]
-    key = np.ascontiguousarray(h.astype(">u8")).view(np.uint8).reshape(n, 8)
+    before, after = block[:, 2 : 2 + SIDE][:, ::-1], block[:, 2 + SIDE :]
+    key = np.ascontiguousarray(h.astype(">i8")).view(np.uint8).reshape(n, 8)
 
     def array_of(text: np.ndarray, have: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ranks of the suffixes, and each one's common prefix with the one before it (other anchor: -1)."""
+        """The suffix array, by anchor, and each suffix's common prefix with the one before it (other anchor: -1)."""
         rows = np.ascontiguousarray(np.concatenate((key, text, (have + 1).astype(np.uint8)[:, None]), 1))
         by = np.argsort(rows.view(f"S{rows.shape[1]}").ravel(), kind="stable")
-        a, b = text[by][1:], text[by][:-1]
-        differ = a != b
+        differ = text[by][1:] != text[by][:-1]
         lcp = np.where(differ.any(1), differ.argmax(1), text.shape[1])
         lcp = np.minimum(lcp, np.minimum(have[by][1:], have[by][:-1]))
-        lcp = np.concatenate(([-1], np.where(h[by][1:] == h[by][:-1], lcp, -1)))
-        rank = np.empty(n, np.int64)
-        rank[by] = np.arange(n)
-        return rank, lcp
-
-    rank_right, lcp_right = array_of(right, have_right)
-    rank_left, lcp_left = array_of(left, have_left)
-    far, near = np.full(n, -1), np.full(n, SIDE + 1)
-    for l in range(SIDE + 1):
-        ok = np.flatnonzero((have_left >= l) & (have_right >= LEAST - l))
-        if len(ok) < 2:
+        return by, np.concatenate(([-1], np.where(h[by][1:] == h[by][:-1], lcp, -1)))
+
+    right, lcp_right = array_of(after, have_right)
+    left, lcp_left = array_of(before, have_left)
+    rank_left = np.empty(n, np.int64)
+    rank_left[left] = np.arange(n)
+    first = np.flatnonzero(lcp_right < 0)
+    for s, e in zip(first.tolist(), [*first[1:].tolist(), n], strict=True):
+        if e - s < 2:
             continue
-        cut_right = np.cumsum(lcp_right < LEAST - l)[rank_right[ok]]
-        cut_left = np.cumsum(lcp_left < l)[rank_left[ok]]
-        both = cut_right * np.int64(n + 1) + cut_left
-        _, first, where = np.unique(both, return_index=True, return_inverse=True)
-        head = ok[first][where]
-        late = ok[(doc[head] != doc[ok]) | (pos[head] != pos[ok])]
-        far[late] = l  # strings through one anchor overlap, so the longest and the shortest start bound their union
-        near[late] = np.minimum(near[late], l)
-    hit = far >= 0
-    return doc[hit], pos[hit] - far[hit], pos[hit] - near[hit] + LEAST
+        for i, j, r in prefix_intervals([0, *lcp_right[s + 1 : e].tolist()], SIDE):
+            ranks = np.sort(rank_left[right[s + i : s + j + 1]])
+            # the least common extension between neighbours in the order of the left sides
+            shared = np.minimum.reduceat(lcp_left[: ranks[-1] + 1], ranks[:-1] + 1)
+            child = {int(m): c for m, c in zip(right[s + i : s + j + 1], np.cumsum(np.concatenate(([0], lcp_right[s + i + 1 : s + j + 1] == r))), strict=True)}
+            for a, b, l in prefix_intervals([0, *shared.tolist()], LEAST - r):
+                members = left[ranks[a : b + 1]]
+                if len({child[int(m)] for m in members}) > 1:  # else a deeper interval has the same group
+                    yield l, r, members
+
+
+def recurring(h: np.ndarray, doc: np.ndarray, pos: np.ndarray, block: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Spans (doc, start, end) of all occurrences of the maximal repeat groups but the first of each."""
+    order = np.lexsort((pos, doc))
+    h, doc, pos, block = h[order], doc[order], pos[order], block[order]
+    at, far, near = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for l, r, members in repeat_groups(h, block):
+        head = members.min()
+        late = members[(doc[members] != doc[head]) | (pos[members] != pos[head])]
+        at.append(late)
+        far.append(np.full(len(late), l))
+        near.append(np.full(len(late), r))
+    at, far, near = (np.concatenate(x) for x in (at, far, near))
+    return doc[at], pos[at] - far, pos[at] + near
 
 
 def _resolve(n: int):
@@ -355,15 +393,49 @@ def _resolve(n: int):
     return run
 
 
-def repeated_spans(docs: DataFrame) -> DataFrame:
-    """(sp_id, sp_spans): merged byte spans that LEAST-byte strings cover which also start earlier."""
+def _groups(group: pa.Table) -> pa.Table:
+    """Occurrences of the maximal repeat groups of a bucket."""
+    kinds = group.column("kind").to_numpy()
+    of = group.filter(pa.array(kinds == CONTEXTS))
+    h, doc, pos = (unpacked(of, c) for c in "abc")
+    out = [np.zeros((0, 4), np.int64)]
+    for l, r, members in repeat_groups(h, unpacked(of, "d", np.uint8).reshape(len(h), -1)) if len(h) else ():
+        same = np.full(len(members), int(h[members[0]]) ^ (l << 8) ^ r ^ int(members.min()) << 20)
+        out.append(np.stack((same, np.full(len(members), l + r), doc[members], pos[members] - l), 1))
+    of = group.filter(pa.array(kinds == ANCHORS))
+    k, d, s = unpacked(of, "a"), unpacked(of, "b"), unpacked(of, "c")
+    if len(k):
+        _, where, count = np.unique(k, return_inverse=True, return_counts=True)
+        twice = count[where] > 1
+        out.append(np.stack((k[twice], np.full(twice.sum(), LEAST), d[twice], s[twice]), 1))
+    rows = np.concatenate(out)
+    return pa.table({name: pa.array(rows[:, c]) for c, name in enumerate(("repeat", "length", "doc_id", "start"))})
+
+
+def _met(docs: DataFrame, every: bool) -> tuple[DataFrame, DataFrame, int]:
+    """What the anchors tell, the contexts that are asked for, and the number of buckets."""
     docs = docs.select(whole_id(docs).alias("doc_id"), "text").filter("doc_id is not null and text is not null")
     total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     n = int(max(64, total // BUCKET_BYTES))
-    met = saved(_deal(docs, n).groupBy("bucket").applyInArrow(_meet(n), _OUT))
-    span = lambda df: df.filter(F.col("kind") == SPANS).select("bucket", F.col("a").alias("doc"), F.col("b").alias("start"), F.col("c").alias("end"))
+    met = saved(_deal(docs, n, every).groupBy("bucket").applyInArrow(_meet(n, every), _OUT))
     asked = sp.with_spans(docs, _asked(met)).filter("sp_spans is not null")
-    solved = _contexts(asked, n).groupBy("bucket").applyInArrow(_resolve(n), _OUT)
+    return met, _contexts(asked, n, every), n
+
+
+def repeats(docs: DataFrame) -> DataFrame:
+    """repeat, length, doc_id, start (bytes): the maximal repeat groups of LEAST bytes and more, with all occurrences.
+
+    A group is told by the anchor that it goes through and reaches at most SIDE bytes before and LEAST bytes from it on;
+    longer repeats show as groups of each of their anchors. Groups of hot anchors are those of single LEAST-byte strings."""
+    contexts = _met(docs, True)[1]
+    return contexts.groupBy("bucket").applyInArrow(_groups, "repeat long, length long, doc_id long, start long")
+
+
+def repeated_spans(docs: DataFrame) -> DataFrame:
+    """(sp_id, sp_spans): merged byte spans that LEAST-byte strings cover which also start earlier."""
+    met, contexts, n = _met(docs, False)
+    span = lambda df: df.filter(F.col("kind") == SPANS).select("bucket", F.col("a").alias("doc"), F.col("b").alias("start"), F.col("c").alias("end"))
+    solved = contexts.groupBy("bucket").applyInArrow(_resolve(n), _OUT)
     return sp.per_document(span(met).union(span(solved)))
 
 

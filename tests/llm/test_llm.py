@@ -106,7 +106,7 @@ def test_suffix_dedup_by_brute_force(spark, monkeypatch):
     passage = " ".join(words(60, 5))
     texts = [*EDGES, "ab" * 400, *(" ".join(words(40, 50 + i)) + passage[i % 7 :] + " ".join(words(30, 80 + i)) for i in range(25)), passage, passage]
     want = brute_spans(texts)
-    for hot in (500, 3):  # gathered contexts, and fingerprints of single strings
+    for hot in (20_000, 3):  # gathered contexts, and fingerprints of single strings
         monkeypatch.setattr(suffix, "HOT", hot)
         got = suffix.sp.digests(suffix.sp.with_spans(rows(spark, texts).select("doc_id", "text"), suffix.repeated_spans(rows(spark, texts)))).collect()
         for r in got:
