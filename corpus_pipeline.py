@@ -7,21 +7,20 @@ and reads them again as the next one's documents, so a lost executor costs no mo
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recollect.llm import decontaminate, jaccard, mixing, pii, toxicity
-from recollect.llm.common import table
+from recollect.llm.common import scratch, table
 
 
 def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the tagger rejects go. It learns from the documents table and its labels."""
     model = toxicity.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     scored = toxicity.score(docs, model, spans=False)
-    return scored.filter(F.col("toxic_score") < toxicity.THRESHOLD).select(*docs.columns)
+    return scored.filter(F.col("toxic_score") < toxicity.THRESHOLD).select(*[f"`{c}`" for c in docs.columns])
 
 
 def near_copies_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,7 +35,8 @@ def benchmark_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def private_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data is replaced by marks; n_chars follows the text."""
-    return pii.redact(docs, tuple(pii.PATTERNS)).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    clean = pii.redact(docs, tuple(pii.PATTERNS))
+    return clean.withColumn("n_chars", F.length("text").cast("long")).select(*[f"`{c}`" for c in docs.columns])
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,9 +52,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="recollect-")
+    folder = f"{scratch(spark)}/recollect-pipeline-{uuid.uuid4().hex}"
     for k, (name, stage) in enumerate(STAGES):
-        out = f"{shared}/recollect-pipeline-{uuid.uuid4().hex}/{k}-{name}"
+        out = f"{folder}/{k}-{name}"
         stage(spark, docs, sf_dir).write.parquet(out)
         docs = spark.read.parquet(out)
     return docs
