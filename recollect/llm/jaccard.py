@@ -25,7 +25,7 @@ from .common import free_prefix, pieces, saved, set_id, shingle_sets, signature,
 from .links import SIMILAR, link, row_key, sets_sent
 
 HEAVY, HEAVY_LEAST = 400_000, 24
-WINDOW = 3_000_000
+WINDOW = 1_500_000
 SIGNATURE = 16
 
 

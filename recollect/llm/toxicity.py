@@ -33,7 +33,7 @@ SAMPLE, SAMPLE_BYTES = 4000, 6_000
 SEGMENTS, SEGMENT = 6_000, 48
 G_LEAST, SHARP = 25.0, 2.0
 THRESHOLD = 0.3
-CACHE = 300_000
+CACHE = 100_000
 LONG = 1_000_000
 _WORD = re.compile(r"\w+")
 
@@ -144,19 +144,29 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(self.scale[0] * e + self.scale[1], -500, 500))))
 
 
-def token_labels(docs: list[list[str]], y: np.ndarray) -> set[str]:
-    """Features tied to toxic documents: G at least G_LEAST and a much higher rate there.
+def numbered(texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The words, the texts' words by number one after another, and the texts' offsets."""
+    number: dict[str, int] = {}
+    parts = [np.array([number.setdefault(w, len(number)) for w in words_of(t)], np.int32) for t in texts]
+    return list(number), np.concatenate([np.zeros(0, np.int32), *parts]), np.concatenate(([0], np.cumsum([len(p) for p in parts]))).astype(np.int64)
+
+
+def token_labels(listed: list[list[str]], flat: np.ndarray, off: np.ndarray, y: np.ndarray) -> set[str]:
+    """Features tied to toxic documents: G at least G_LEAST and a much higher rate there; listed: the features of each word.
 
     A word counts once for each word before it, so that copies of a document don't count again."""
-    with_, without = Counter(), Counter()
-    seen: set[tuple[str, str, bool]] = set()
-    n = [0, 0]
-    for tokens, label in zip(docs, y, strict=True):
-        fresh = set(zip(["", *tokens], tokens, [bool(label)] * len(tokens), strict=False)) - seen
-        seen |= fresh
-        n[bool(label)] += len(fresh)
-        (with_ if label else without).update([f for _, w, _ in fresh for f in features(w)])
-    n0, n1 = max(1, n[0]), max(1, n[1])
+    before = np.concatenate(([len(listed)], flat[:-1])).astype(np.int64)
+    before[off[:-1][np.diff(off) > 0]] = len(listed)
+    label = np.repeat(y > 0, np.diff(off))
+    counts = []
+    for kind in (False, True):
+        pairs = np.unique(before[label == kind] * (len(listed) + 1) + flat[label == kind])
+        of, total = np.bincount(pairs % (len(listed) + 1), minlength=len(listed)), Counter()
+        for w in np.flatnonzero(of):
+            for f in listed[w]:
+                total[f] += int(of[w])
+        counts.append((max(1, len(pairs)), total))
+    (n0, without), (n1, with_) = counts
     out = set()
     for f, a in with_.items():
         b = without.get(f, 0)
@@ -170,41 +180,35 @@ def token_labels(docs: list[list[str]], y: np.ndarray) -> set[str]:
 
 
 def fit(texts: list[str], y: np.ndarray) -> Model | None:
-    """None if there aren't labels of both kinds."""
-    docs = [words_of(t) for t in texts]
-    if not len(y) or y.min() == y.max():
+    """None if there aren't labels of both kinds, or no words."""
+    vocabulary, tokens, off = numbered(texts)
+    if not len(tokens) or y.min() == y.max():
         return None
-    tied = token_labels(docs, y)
-    toxic_word: dict[str, bool] = {}
+    parts = [features(w) for w in vocabulary]
+    tied = token_labels(parts, tokens, off, y)
+    toxic_word = np.array([not tied.isdisjoint(f) for f in parts])
+    marks = toxic_word[tokens] & np.repeat(y > 0, np.diff(off))
     rng = np.random.default_rng(3)
     with_, neutral = [], []
-    for tokens, label in zip(docs, y, strict=True):
-        marks = []
-        for w in tokens:
-            if w not in toxic_word:
-                toxic_word[w] = not tied.isdisjoint(features(w))
-            marks.append(bool(label) and toxic_word[w])
-        for i in range(0, len(tokens), SEGMENT):
-            (with_ if any(marks[i : i + SEGMENT]) else neutral).append((tokens[i : i + SEGMENT], marks[i : i + SEGMENT]))
+    for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True):
+        for i in range(a, b, SEGMENT):
+            (with_ if marks[i : min(i + SEGMENT, b)].any() else neutral).append((i, min(i + SEGMENT, b)))
     if len(neutral) > SEGMENTS - min(len(with_), SEGMENTS // 2):
         neutral = [neutral[i] for i in rng.choice(len(neutral), SEGMENTS - min(len(with_), SEGMENTS // 2), replace=False)]
     if len(with_) > SEGMENTS // 2:
         with_ = [with_[i] for i in rng.choice(len(with_), SEGMENTS // 2, replace=False)]
     segments = with_ + neutral
+    seqs = [tokens[a:b] for a, b in segments]
+    df = Counter()
+    for s in seqs:
+        for w in np.unique(s):
+            df.update(parts[w])
+    used, flat = np.unique(np.concatenate(seqs), return_inverse=True)
     ids: dict[str, int] = {}
-    words: dict[str, int] = {}
-    listed: list[list[int]] = []
-    df = Counter(f for tokens, _ in segments for w in set(tokens) for f in features(w))
-    for tokens, _ in segments:
-        for w in tokens:
-            if w not in words:
-                words[w] = len(words)
-                listed.append([ids.setdefault(f, len(ids)) for f in features(w) if df[f] >= 3])
+    listed = [[ids.setdefault(f, len(ids)) for f in parts[w] if df[f] >= 3] for w in used]
     word_of = np.repeat(np.arange(len(listed)), [len(x) for x in listed])
     feature_of = np.array([f for x in listed for f in x], np.int64)
-    seqs = [np.array([words[w] for w in tokens]) for tokens, _ in segments]
-    flat = np.concatenate(seqs)
-    gold = np.concatenate([np.array(m, float) for _, m in segments])
+    gold = np.concatenate([marks[a:b] for a, b in segments]).astype(float)
     cuts = np.cumsum([len(s) for s in seqs])[:-1]
     inner = np.ones(len(flat), bool)
     inner[np.concatenate(([0], cuts))] = False  # tokens with one before them
@@ -232,7 +236,12 @@ def fit(texts: list[str], y: np.ndarray) -> Model | None:
         trans = trans + 0.1 * gt / np.sqrt(gt2)
     model = Model({f: float(w[i]) for f, i in ids.items() if abs(w[i]) > 1e-3}, float(bias), trans, (1.0, 0.0))
     scores = Scores(model.weights, model.bias)
-    x = np.array([evidence(m) for m in messages([np.array([scores[t] for t in tokens]) for tokens in docs], trans)])
+    emission = np.array([scores[w] for w in vocabulary])
+    x = np.zeros(len(y))
+    by_length = np.argsort(np.diff(off), kind="stable")
+    for k in range(0, len(y), 500):
+        part = by_length[k : k + 500]
+        x[part] = [evidence(m) for m in messages([emission[tokens[off[i] : off[i + 1]]] for i in part], trans)]
     a, b = 1.0, 0.0
     for _ in range(200):  # calibration: Newton steps of a ridge logistic regression on one number
         p = 1 / (1 + np.exp(-np.clip(a * x + b, -30, 30)))
@@ -271,7 +280,7 @@ def score(docs: DataFrame, model: Model | None, spans: bool = True) -> DataFrame
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
         table_of = Scores(model.weights, model.bias) if model else None
-        for batch in pieces(batches, "text", 4_000_000):
+        for batch in pieces(batches, "text", 2_000_000):
             if model is None:
                 values, found = [0.0] * batch.num_rows, [[]] * batch.num_rows
             else:
