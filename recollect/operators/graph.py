@@ -90,3 +90,20 @@ def triplet_match(m: DataFrame, edges: DataFrame, known: str, label: str | None)
 def code_recall(seeds: DataFrame, edges: DataFrame, hops: int) -> DataFrame:
     """Walk from seeds; the score falls with the smallest hop: .7 max(0, 1 - h / (hops + 1))."""
     return reach(seeds, edges, hops).withColumn("walk_score", 0.7 * F.greatest(F.lit(0.0), 1 - F.col("hop") / F.lit(hops + 1.0)))
+
+
+def contradiction_counts(edges: DataFrame) -> DataFrame:
+    """(id, n): how many others each memory contradicts or is contradicted by."""
+    return contradictions(edges).groupBy(F.col("src").alias("id")).agg(F.count("*").alias("n"))
+
+
+def concept_recall(m: DataFrame, edges: DataFrame, concepts: DataFrame) -> DataFrame:
+    """Current memories an edge away from concepts (id)."""
+    near = both_ways(edges).join(concepts.select(F.col("id").alias("src")), "src", "left_semi").select(F.col("dst").alias("id")).distinct()
+    return near.join(m.filter(F.col("deleted_at").isNull()).select("id"), "id", "left_semi")
+
+
+def subgraph(edges: DataFrame, inside: DataFrame) -> DataFrame:
+    """Edges whose ends are both among ids: those of a session, or of what held at a time."""
+    ids = inside.select(F.col("id").alias("in_id")).distinct()
+    return edges.join(ids, F.col("source_memory_id") == F.col("in_id"), "left_semi").join(ids, F.col("target_memory_id") == F.col("in_id"), "left_semi")

@@ -6,17 +6,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import jsons
 from ..functions import scalar as sc
 
 
 def scan(m: DataFrame, org, agent=None, user=None, memory_type=None, metadata: dict | None = None, between=None, as_of=None, include_deleted=False, exclude_quarantined=False, conversation=None) -> DataFrame:
-    """Current (or as-of) memories of a tenant under all given filters; metadata is matched by top-level keys."""
+    """Current (or as-of) memories of a tenant under all given filters; metadata must hold all of the given values, at any depth."""
     keep = F.col("org_id") == F.lit(org)
     for column, value in (("agent_id", agent), ("user_id", user), ("memory_type", memory_type), ("conversation_id", conversation)):
         if value is not None:
             keep &= F.col(column) == F.lit(value)
     for k, v in (metadata or {}).items():
-        keep &= F.get_json_object("metadata", f"$.{k}") == F.lit(str(v))
+        # texts are compared natively, so that the scan stays in generated code; anything else as JSON
+        keep &= jsons.value_at(F.col("metadata"), k).eqNullSafe(F.lit(v)) if isinstance(v, str) and "'" not in k else jsons.contains(F.col("metadata"), {k: v})
     if between is not None:
         keep &= F.col("created_at").between(*between)
     if "valid_from" in m.columns:

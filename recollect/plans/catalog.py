@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalar as sc
 from ..operators import audit, graph, memory, ontology, refine, text
+from ..operators.cuts import shared_folder
 from ..sources import loaders
 from ..streaming import jobs as streams
 from . import tables as t
@@ -87,9 +88,9 @@ def recall_as_of(spark, sf):
     return memory.scan(t.versions(spark, sf), 0, as_of=at).orderBy(F.col("importance_score").desc(), "id").limit(20).select("id", "importance_score", "valid_from")
 
 
-@query(with_tables(f"SELECT id, round(sim, 6) AS similarity FROM (SELECT *, {SIM} AS sim FROM memories WHERE org_id = 0 AND agent_id = 0 AND {LIVE} AND embedding IS NOT NULL ORDER BY sim DESC, id LIMIT 1) WHERE sim > 0.95", "memories"))
+@query(with_tables(f"SELECT id, round(sim, 6) AS similarity FROM (SELECT *, {SIM} AS sim FROM memories WHERE org_id = 0 AND agent_id = 2 AND {LIVE} AND embedding IS NOT NULL ORDER BY sim DESC, id LIMIT 1) WHERE sim > 0.95", "memories"))
 def near_duplicate_check(spark, sf):
-    return memory.near_duplicate(memory.scan(t.memories(spark, sf), 0, agent=0), _probe(spark, sf)).select("id", r6("similarity"))
+    return memory.near_duplicate(memory.scan(t.memories(spark, sf), 0, agent=2), _probe(spark, sf)).select("id", r6("similarity"))
 
 
 @query("SELECT query_id, id, rank FROM (SELECT q.vec_id AS query_id, e.vec_id AS id, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) DESC, e.vec_id) AS rank FROM embeddings e JOIN embeddings q ON q.vec_id <> e.vec_id AND q.vec_id < 20) WHERE rank <= 5")
@@ -162,9 +163,9 @@ def retention_cap(spark, sf):
 DECAYED = f"(SELECT *, greatest(0.0::DOUBLE, importance_score * exp(-0.05::DOUBLE * greatest({DAYS.format(c='coalesce(last_recalled_at, created_at)')}, 0.0::DOUBLE))) AS s FROM memories WHERE {LIVE} AND NOT pinned AND importance_score > 0)"
 
 
-@query(with_tables(f"SELECT id, round(s, 5) AS new_score FROM {DECAYED}", "memories"))
+@query(with_tables(f"SELECT id, round(s, 6) AS new_score FROM {DECAYED}", "memories"))
 def decay_importance(spark, sf):
-    return memory.decay(t.memories(spark, sf), t.now()).select("id", F.round(sc.decayed(F.col("importance_score"), sc.days_between(t.now(), F.coalesce("last_recalled_at", "created_at")), 0.05, 0.0), 5).alias("new_score"))
+    return memory.decay(t.memories(spark, sf), t.now()).select("id", "new_score")
 
 
 @query(with_tables(f"SELECT count(*) AS examined, count(*) FILTER (WHERE abs(round(s, 6) - importance_score) > 0.0001) AS changed, count(*) FILTER (WHERE abs(round(s, 6) - importance_score) > 0.0001 AND round(s, 6) < 0.05) AS below FROM {DECAYED}", "memories"))
@@ -181,17 +182,23 @@ def recall_count_bump(spark, sf):
 # --- audit -----------------------------------------------------------------------------------------------------------
 
 
-@query(with_tables("SELECT id, operation, created_at FROM log WHERE org_id = 1 ORDER BY created_at DESC, id DESC LIMIT 50 OFFSET 100", "log"))
+@query(with_tables("SELECT id, operation, created_at, (SELECT count(*) FROM log WHERE org_id = 1) AS total, (SELECT count(*) FROM log WHERE org_id = 1) > 150 AS has_next FROM log WHERE org_id = 1 ORDER BY created_at DESC, id DESC LIMIT 50 OFFSET 100", "log"))
 def audit_page_offset(spark, sf):
-    return audit.page(t.log(spark, sf).filter("org_id = 1"), 3, 50).select("id", "operation", "created_at")
+    return audit.page(audit.matching(t.log(spark, sf), 1), 3, 50).select("id", "operation", "created_at", "total", "has_next")
 
 
-@query(with_tables("SELECT id, operation FROM log WHERE org_id = 1 AND id < 900 ORDER BY id DESC LIMIT 51", "log"))
+@query(with_tables("SELECT id, operation, (SELECT CASE WHEN count(*) > 50 THEN (SELECT min(id) FROM (SELECT id FROM log WHERE org_id = 1 AND id < 900 ORDER BY id DESC LIMIT 50)) END FROM log WHERE org_id = 1 AND id < 900) AS next_cursor FROM log WHERE org_id = 1 AND id < 900 ORDER BY id DESC LIMIT 50", "log"))
 def audit_keyset(spark, sf):
-    return audit.keyset(t.log(spark, sf).filter("org_id = 1"), 900, 50).select("id", "operation")
+    return audit.keyset(audit.matching(t.log(spark, sf), 1), 900, 50).select("id", "operation", "next_cursor")
 
 
-@query(with_tables("SELECT org_id, agent_id, operation, count(*) AS n FROM log GROUP BY ALL", "log"))
+@query(with_tables("SELECT id FROM log WHERE org_id = 2 AND operation = 'recall' AND memory_type = 'semantic' AND created_at >= TIMESTAMP '2024-01-05' AND created_at <= TIMESTAMP '2024-01-20'", "log"))
+def audit_filtered(spark, sf):
+    span = [F.lit(x).cast("timestamp_ntz") for x in ("2024-01-05", "2024-01-20")]
+    return audit.matching(t.log(spark, sf), 2, operation="recall", memory_type="semantic", between=span).select("id")
+
+
+@query(with_tables("SELECT a.*, b.total FROM (SELECT org_id, agent_id, operation, count(*) AS n FROM log GROUP BY ALL) a JOIN (SELECT org_id, agent_id, count(*) AS total FROM log GROUP BY ALL) b ON a.org_id = b.org_id AND a.agent_id = b.agent_id", "log"))
 def activity_summary(spark, sf):
     return audit.activity(t.log(spark, sf))
 
@@ -206,20 +213,43 @@ def audit_partitions(spark, sf):
     return audit.missing_months(t.log(spark, sf), F.lit("2024-01-15").cast("date"), 4)
 
 
-@query()
+#: The hashed text of a log row and the chain over it, in DuckDB.
+CANON_SQL = """canon AS (SELECT org_id, id, created_at, row_number() OVER (PARTITION BY org_id ORDER BY id) AS rn,
+ concat('{"agent_id":"', agent_id, '","created_at":"', CASE WHEN epoch_us(created_at) % 1000000 = 0 THEN strftime(created_at, '%Y-%m-%dT%H:%M:%S') ELSE strftime(created_at, '%Y-%m-%dT%H:%M:%S.%f') END, '","details":', replace(details, ' ', ''),
+ ',"memory_id":"', memory_id, '","memory_type":', CASE WHEN memory_type IS NULL THEN 'null' ELSE '"' || memory_type || '"' END, ',"operation":"', operation, '","org_id":"', org_id, '","user_id":"', user_id, '"}') AS c FROM log)"""
+CHAIN_SQL = CANON_SQL + """, chain AS (SELECT org_id, id, rn, NULL::VARCHAR AS prev_hash, upper(sha256(c)) AS row_hash FROM canon WHERE rn = 1
+ UNION ALL SELECT n.org_id, n.id, n.rn, p.row_hash, upper(sha256(unhex(p.row_hash) || encode(n.c))) FROM chain p JOIN canon n ON n.org_id = p.org_id AND n.rn = p.rn + 1)"""
+
+
+@query(with_tables("SELECT org_id, id, prev_hash, row_hash FROM chain", "log", recursive=True, more=CHAIN_SQL))
 def audit_hash_chain(spark, sf):
     return audit.hash_chain(t.log(spark, sf)).select("org_id", "id", F.hex("prev_hash").alias("prev_hash"), F.hex("row_hash").alias("row_hash"))
 
 
-@query("SELECT NULL::BIGINT AS org_id, NULL::BIGINT AS id WHERE false")
-def audit_chain_breaks(spark, sf):
-    return audit.broken_links(audit.hash_chain(t.log(spark, sf))).select("org_id", "id")
+@query(with_tables("SELECT org_id, id, reason FROM (SELECT org_id, id, CASE WHEN id % 97 = 0 THEN 'content' WHEN before % 101 = 50 THEN 'link' END AS reason FROM (SELECT org_id, id, lag(id) OVER (PARTITION BY org_id ORDER BY id) AS before FROM log) WHERE id % 101 <> 50) WHERE reason IS NOT NULL", "log"))
+def audit_verify_tampered(spark, sf):
+    """What verification tells of a log whose rows 97, 194, ... were edited and rows 50, 151, ... taken out."""
+    chain = audit.hash_chain(t.log(spark, sf)).filter("id % 101 <> 50")
+    return audit.verify(chain.withColumn("details", F.when(F.col("id") % 97 == 0, F.lit('{"k": "edited"}')).otherwise(F.col("details"))))
 
 
-@query()
+@query(with_tables("SELECT org_id, upper(list_reduce(list_prepend('', list(c ORDER BY id)), lambda p, x: sha256(unhex(p) || encode(x)))) AS row_hash FROM (SELECT * FROM canon QUALIFY id <= max_by(id, created_at::VARCHAR || lpad(id::VARCHAR, 20, '0')) OVER (PARTITION BY org_id)) GROUP BY 1", "log", more=CANON_SQL))
 def latest_hash(spark, sf):
-    c = audit.hash_chain(t.log(spark, sf))
-    return c.groupBy("org_id").agg(F.hex(F.max_by("row_hash", "id")).alias("row_hash"))
+    return audit.latest_hash(audit.hash_chain(t.log(spark, sf))).select("org_id", F.hex("row_hash").alias("row_hash"))
+
+
+@query(with_tables("SELECT id FROM log WHERE id % 50 = 7", "log"))
+def audit_immutability(spark, sf):
+    """Rows of the log that a later snapshot, in which every fiftieth was edited, holds otherwise."""
+    log = t.log(spark, sf)
+    return audit.changed_rows(log, log.withColumn("operation", F.when(F.col("id") % 50 == 7, F.lit("forget!")).otherwise(F.col("operation")))).select("id")
+
+
+@query(with_tables("SELECT id, org_id, operation FROM log UNION ALL SELECT (SELECT max(id) FROM log) + row_number() OVER (ORDER BY o), o, 'refine' FROM range(4) r(o)", "log"))
+def audit_enqueue(spark, sf):
+    log = t.log(spark, sf)
+    rows = spark.range(4).select(F.col("id").alias("org_id"), F.lit("refine").alias("operation"), t.now().alias("created_at"))
+    return audit.enqueue(log, rows).select("id", "org_id", "operation")
 
 
 @query(with_tables("SELECT DISTINCT org_id FROM log ORDER BY 1 LIMIT 3", "log"))
@@ -327,10 +357,14 @@ def tier_fanout(spark, sf):
     return memory.tier_fanout(m, _probe(spark, sf), t.now(), ["episodic", "semantic"], 5).select("id", r6("relevance_score"))
 
 
-TIER_SQL = ", ".join(f"CASE WHEN regexp_matches(text, '{p}') THEN '{name}' END" for name, p in sc.TIER_PATTERNS)
+TIER_SQL = r"""SELECT conv_id, turn, CASE WHEN len(h) = 0 THEN 'episodic,procedural,semantic,working' ELSE array_to_string(list_sort(h), ',') END AS tiers FROM (SELECT conv_id, turn, list_filter([
+ CASE WHEN regexp_matches(t, '\bhow\s+(do|can|should)\s+i\b') OR regexp_matches(t, '\b(step|steps)\s+to\b') OR regexp_matches(t, '\b(procedure\s+for|recipe|workflow)\b') OR regexp_matches(t, '\bhow\s+to\s+\w+') THEN 'procedural' END,
+ CASE WHEN regexp_matches(t, '\b(yesterday|today|this morning|earlier|last week|last month|last quarter|last year|this week|this month|this year|recent|recently|when did|when were|on \d\d\d\d-\d\d-\d\d)\b') OR regexp_matches(t, '\bwhat (did|happened|occurred)\b') THEN 'episodic' END,
+ CASE WHEN regexp_matches(t, '\b(current|currently|right now|in this session|in this chat|in this conversation|in progress|so far)\b') THEN 'working' END,
+ CASE WHEN regexp_matches(t, '\b(prefer|prefers|preference|like|likes|favourite|favorite|always|usually|tend to|tends to|what is|what are|who is|who are|where is|where are|why)\b') THEN 'semantic' END], lambda x: x IS NOT NULL) AS h FROM (SELECT conv_id, turn, lower(text) AS t FROM conversations))"""
 
 
-@query(f"SELECT conv_id, turn, CASE WHEN len(h) = 0 THEN 'episodic,procedural,semantic,working' ELSE array_to_string(list_sort(h), ',') END AS tiers FROM (SELECT conv_id, turn, list_distinct(list_filter([{TIER_SQL}], lambda x: x IS NOT NULL)) AS h FROM conversations)")
+@query(TIER_SQL)
 def tier_route(spark, sf):
     return t.read(spark, sf, "conversations").select("conv_id", "turn", F.array_join(F.array_sort(sc.tiers(F.col("text"))), ",").alias("tiers"))
 
@@ -341,14 +375,22 @@ def rerank_minmax(spark, sf):
     return memory.rerank(top, (F.col("id") * 31 % 97).cast("double") / F.lit(97.0), 20).select("id", r6("relevance_score"))
 
 
-REDACT_SQL = "text"
-for _pattern, _mark in sc.REDACTIONS:
-    REDACT_SQL = f"regexp_replace({REDACT_SQL}, '{_pattern}', '{_mark}', 'g')"
+#: RE2 knows ASCII word boundaries only, so both engines read texts whose other characters are an x; a test holds Unicode texts against plain patterns.
+ASCII_SQL = r"regexp_replace(text, '[^\x00-\x7F]', 'x', 'g')"
+REDACT_SQL = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}', '[REDACTED:EMAIL]', 'g'),
+ '\b\d{3}-\d{2}-\d{4}\b', '[REDACTED:SSN]', 'g'), '\b(?:\d[ -]?){13,19}\b', '[REDACTED:CARD]', 'g'), '\b(?:\+?1[-.\s]?)?\(?\d{3}\)?[-.\s]?\d{3}[-.\s]?\d{4}\b', '[REDACTED:PHONE]', 'g')"""
 
 
-@query(f"SELECT doc_id, md5({REDACT_SQL}) AS clean_md5 FROM documents")
+@query(f"SELECT doc_id, md5({REDACT_SQL}) AS clean_md5 FROM (SELECT doc_id, {ASCII_SQL} AS text FROM documents)")
 def redact_pii(spark, sf):
-    return t.read(spark, sf, "documents").select("doc_id", F.md5(sc.redacted(F.col("text"))).alias("clean_md5"))
+    return t.read(spark, sf, "documents").select("doc_id", F.md5(sc.redacted(F.regexp_replace("text", r"[^\x00-\x7F]", "x"))).alias("clean_md5"))
+
+
+@query("SELECT doc_id, md5((" + REDACT_SQL.replace("(text,", "(regexp_replace(text, 'the', '[X]', 'g'),") + ")) AS clean_md5 FROM (SELECT doc_id, " + ASCII_SQL + " AS text FROM documents)")
+def redact_by_role(spark, sf):
+    """An unknown role falls back to the rules of 'guest', which come before the defaults."""
+    rules = sc.rules_for("visitor", {"guest": (("the", "the", "[X]"),)}, "guest")
+    return t.read(spark, sf, "documents").select("doc_id", F.md5(sc.redacted(F.regexp_replace("text", r"[^\x00-\x7F]", "x"), rules)).alias("clean_md5"))
 
 
 @query("SELECT c_custkey, regexp_replace(lower(regexp_replace(c_name, '^\\s+|\\s+$', '', 'g')), '\\s+', ' ', 'g') AS name FROM customer")
@@ -368,18 +410,25 @@ def lexical_recall_english(spark, sf):
 
 # --- refinement, usage, jobs, conversations --------------------------------------------------------------------------
 
-DEDUPE = """k AS (SELECT *, CASE WHEN ontology_uri IS NOT NULL THEN concat('uri:', ontology_uri) WHEN memo_type IS NOT NULL THEN concat('type:', memo_type, ':', regexp_replace(lower(regexp_replace(content, '^\\s+|\\s+$', '', 'g')), '\\s+', ' ', 'g')) END AS dedupe_key FROM memories WHERE deleted_at IS NULL),
-g AS (SELECT id, first_value(id) OVER (PARTITION BY org_id, dedupe_key ORDER BY created_at, id) AS primary_id, count(*) OVER (PARTITION BY org_id, dedupe_key) AS members FROM k WHERE dedupe_key IS NOT NULL)"""
+DEDUPE = """v AS (SELECT * REPLACE (CASE WHEN id % 13 = 0 THEN '' ELSE ontology_uri END AS ontology_uri), created_at + (id % 3) * INTERVAL 1 DAY AS valid_from FROM memories),
+k AS (SELECT *, CASE WHEN ontology_uri <> '' THEN concat('uri:', ontology_uri) WHEN memo_type IS NOT NULL THEN concat('type:', memo_type, ':', regexp_replace(lower(regexp_replace(content, '^\\s+|\\s+$', '', 'g')), '\\s+', ' ', 'g')) END AS dedupe_key FROM v WHERE deleted_at IS NULL),
+g AS (SELECT id, first_value(id) OVER (PARTITION BY org_id, dedupe_key ORDER BY valid_from, id) AS primary_id, count(*) OVER (PARTITION BY org_id, dedupe_key) AS members FROM k WHERE dedupe_key IS NOT NULL)"""
+
+
+def _valid(spark, sf) -> DataFrame:
+    """Memories with a valid_from of their own, and some empty uris."""
+    m = t.memories(spark, sf).withColumn("valid_from", F.expr("created_at + make_dt_interval(cast(id % 3 as int))"))
+    return m.withColumn("ontology_uri", F.when(F.col("id") % 13 == 0, F.lit("")).otherwise(F.col("ontology_uri")))
 
 
 @query(with_tables("SELECT id, primary_id, members FROM g WHERE members > 1", "memories", more=DEDUPE))
 def dedupe_groups(spark, sf):
-    return refine.dedupe_groups(t.memories(spark, sf)).select("id", "primary_id", "members")
+    return refine.dedupe_groups(_valid(spark, sf)).select("id", "primary_id", "members")
 
 
 @query(with_tables("SELECT m.id, m.memory_type FROM memories m WHERE deleted_at IS NULL AND id NOT IN (SELECT id FROM g WHERE members > 1 AND id <> primary_id)", "memories", more=DEDUPE))
 def dedupe_apply(spark, sf):
-    m = t.memories(spark, sf)
+    m = _valid(spark, sf)
     losers = refine.dedupe_groups(m).filter("loses").select("id")
     return m.filter("deleted_at IS NULL").join(losers, "id", "left_anti").select("id", "memory_type")
 
@@ -414,10 +463,14 @@ def distill_merge(spark, sf):
     return refine.merge_entities(p).select("pos", "name")
 
 
-@query(with_tables("SELECT m.id, CASE WHEN e.src IS NULL THEN 'no entity provenance' WHEN l.memory_id IS NULL THEN 'no audit row' ELSE 'verified' END AS reason FROM memories m LEFT JOIN (SELECT DISTINCT source_memory_id AS src FROM edges) e ON e.src = m.id LEFT JOIN (SELECT DISTINCT memory_id FROM log) l ON l.memory_id = m.id", "memories", "edges", "log"))
+@query(with_tables("""SELECT m.id, CASE WHEN m.id % 5 = 0 THEN 'distill_provenance is NULL (pre-Phase-F Memo or skipped)' WHEN m.id % 5 = 1 THEN 'distill_provenance is missing correlation_id'
+ WHEN m.id NOT IN (SELECT source_memory_id FROM edges) THEN 'no entity_provenance row for this Memo' WHEN NOT EXISTS (SELECT 1 FROM log l WHERE l.memory_id = m.id AND l.id % 2 = 0 AND l.user_id % 3 = m.id % 3) THEN 'no matching distill audit entry (chained or pending)' END AS reason FROM memories m""", "memories", "edges", "log"))
 def provenance_verdict(spark, sf):
+    blob = F.when(F.col("id") % 5 == 1, F.lit('{"job": 1}')).when(F.col("id") % 5 > 1, F.concat(F.lit('{"correlation_id": "c'), (F.col("id") % 3).cast("string"), F.lit('"}')))
+    details = F.concat(F.lit('{"correlation_id": "c'), (F.col("user_id") % 3).cast("string"), F.lit('"}'))
+    told = t.log(spark, sf).withColumn("operation", F.when(F.col("id") % 2 == 0, F.lit("distill")).otherwise(F.col("operation"))).withColumn("details", details)
     p = t.edges(spark, sf).select(F.col("source_memory_id").alias("memo_id"))
-    return refine.provenance_verdict(t.memories(spark, sf), p, t.log(spark, sf)).select("id", "reason")
+    return refine.provenance_verdict(t.memories(spark, sf).withColumn("distill_provenance", blob), p, told).select("id", "reason")
 
 
 @query("SELECT c.c_custkey, concat('urn:n:', n.n_nationkey) AS uri FROM customer c JOIN nation n ON c.c_nationkey = n.n_nationkey")
@@ -454,6 +507,17 @@ def content_hashes(spark, sf):
     return refine.content_hashes(t.memories(spark, sf))
 
 
+#: Six levels are enough for up to 64 leaves; odd last nodes are paired with themselves.
+MERKLE_LEVEL = "l{n} AS (SELECT k, i // 2 AS i, sha256(unhex(string_agg(h, '' ORDER BY i) || CASE WHEN count(*) = 1 THEN min(h) ELSE '' END)) AS h, max(size) AS size FROM l{p} WHERE size > 1 GROUP BY k, i // 2), m{n} AS (SELECT k, i, h, count(*) OVER (PARTITION BY k) AS size FROM l{n})"
+MERKLE_SQL = "leaf AS (SELECT c_nationkey AS k, sha256(concat(c_custkey, ':', sha256(c_name), ':-')) AS h FROM customer), m0 AS (SELECT k, row_number() OVER (PARTITION BY k ORDER BY h) - 1 AS i, h, count(*) OVER (PARTITION BY k) AS size FROM leaf), " + ", ".join(MERKLE_LEVEL.format(n=n, p=n - 1).replace(f"FROM l{n - 1} ", f"FROM m{n - 1} ") for n in range(1, 13))
+
+
+@query(f"WITH {MERKLE_SQL} SELECT k AS c_nationkey, h AS merkle_root, (SELECT count(*) FROM leaf WHERE leaf.k = r.k) AS leaves FROM ({' UNION ALL '.join(f'SELECT k, h FROM m{n} WHERE size = 1' for n in range(13))}) r")
+def merkle_by_nation(spark, sf):
+    c = t.read(spark, sf, "customer").select(F.col("c_custkey").alias("id"), "c_nationkey", F.col("c_name").alias("content"))
+    return refine.merkle_roots(c, "c_nationkey")
+
+
 @query()
 def merkle_root(spark, sf):
     return refine.merkle_roots(t.memories(spark, sf).select("id", "org_id", "content"), "org_id")
@@ -474,6 +538,20 @@ def budget_check(spark, sf):
     return refine.budget_breaches(refine.usage(t.usage(spark, sf)), CAPS, a, b).withColumn("cap", F.col("cap").cast("long"))
 
 
+@query(with_tables("""SELECT org_id, kind, w AS period, used::BIGINT AS used, cap::BIGINT AS cap FROM (SELECT *, row_number() OVER (PARTITION BY org_id ORDER BY pos) AS rn FROM (
+ SELECT u.org_id, c.kind, c.w, c.pos, sum(CASE WHEN u.kind = c.kind AND (c.w = 'monthly' OR day = DATE '2024-01-20') THEN amount ELSE 0 END) AS used, max(CASE WHEN u.org_id = 1 AND c.pos = 1 THEN 10 ELSE c.cap END) AS cap FROM usage u CROSS JOIN (VALUES ('tokens', 'daily', 1, 100000), ('tokens', 'monthly', 2, 60000), ('llm_calls', 'daily', 3, 5), ('llm_calls', 'monthly', 4, 0), ('embeddings', 'daily', 5, 0), ('embeddings', 'monthly', 6, 1)) c(kind, w, pos, cap)
+ WHERE amount > 0 AND day BETWEEN DATE '2024-01-01' AND DATE '2024-01-20' GROUP BY ALL) WHERE cap > 0 AND used >= cap) WHERE rn = 1""", "usage"))
+def budget_first_breach(spark, sf):
+    own = spark.range(1, 2).select(F.col("id").alias("org_id"), F.lit("daily_tokens").alias("name"), F.lit(10).alias("cap"))
+    defaults = {"daily_tokens": 100_000, "monthly_tokens": 60_000, "daily_llm_calls": 5, "monthly_embeddings": 1}
+    return refine.first_breach(refine.usage(t.usage(spark, sf)), own, defaults, "2024-01-20")
+
+
+@query(with_tables("SELECT org_id, sum(CASE WHEN kind = 'tokens' THEN amount ELSE 0 END)::BIGINT AS tokens, sum(CASE WHEN kind = 'embeddings' THEN amount ELSE 0 END)::BIGINT AS embeddings, sum(CASE WHEN kind = 'llm_calls' THEN amount ELSE 0 END)::BIGINT AS llm_calls, sum(CASE WHEN kind = 'storage_bytes' THEN amount ELSE 0 END)::BIGINT AS storage_bytes, count(DISTINCT day) AS days FROM usage WHERE amount > 0 AND day BETWEEN DATE '2024-01-03' AND DATE '2024-01-09' GROUP BY 1", "usage"))
+def usage_window(spark, sf):
+    return refine.usage_window(refine.usage(t.usage(spark, sf)), "2024-01-03", "2024-01-09").select("org_id", *refine.KINDS, F.size("by_day").cast("long").alias("days"))
+
+
 @query(with_tables("SELECT search_batch_id, count(*) FILTER (WHERE status = 'pending') AS n_pending, count(*) FILTER (WHERE status = 'running') AS n_running, count(*) FILTER (WHERE status = 'completed') AS n_completed, count(*) FILTER (WHERE status = 'failed') AS n_failed, string_agg(id::VARCHAR, ',' ORDER BY updated_at, id) AS job_ids FROM jobs GROUP BY 1", "jobs"))
 def search_batch_aggregate(spark, sf):
     return refine.batch_status(t.jobs(spark, sf))
@@ -489,15 +567,15 @@ def conversation_turns(spark, sf):
     return refine.turns(t.read(spark, sf, "conversations")).select("conv_id", F.col("turn_index").cast("long").alias("turn_index"), "role")
 
 
-@query("SELECT conv_id, count(*) AS turn_count FROM conversations GROUP BY 1 HAVING count(*) - floor(count(*) / 2) >= 3")
+@query("SELECT conv_id AS id, count(*) AS turn_count FROM conversations GROUP BY 1 HAVING count(*) - floor(count(*) / 2) >= 3")
 def needs_summary(spark, sf):
-    return refine.needs_summary(t.read(spark, sf, "conversations"), 3).select("conv_id", "turn_count")
+    return refine.needs_summary(t.conversations(spark, sf)).select("id", "turn_count")
 
 
-@query("SELECT * FROM (VALUES (0::BIGINT), (1::BIGINT), (2::BIGINT)) t(org_id)")
+@query("SELECT n_nationkey AS org_id FROM (SELECT n_nationkey, CASE WHEN n_nationkey % 4 > 0 THEN DATE '2024-01-01' + CAST((n_nationkey * 7) % 20 AS INTEGER) END AS d FROM nation) ORDER BY d ASC NULLS FIRST, n_nationkey LIMIT 9")
 def tenant_rotation(spark, sf):
-    x = spark.range(4).select(F.col("id").alias("org_id"), F.when(F.col("id") > 0, F.make_date(F.lit(2024), F.lit(1), (F.col("id") + 1).cast("int"))).alias("refine_last_run_at"))
-    return refine.rotation(x, 3).select("org_id")
+    x = t.read(spark, sf, "nation").select(F.col("n_nationkey").alias("org_id"), F.when(F.col("n_nationkey") % 4 > 0, F.date_add(F.lit("2024-01-01").cast("date"), (F.col("n_nationkey") * 7 % 20).cast("int"))).alias("refine_last_run_at"))
+    return refine.rotation(x, 9).select("org_id")
 
 
 # --- text and loaders ------------------------------------------------------------------------------------------------
@@ -530,13 +608,13 @@ def markdown_stats(spark, sf):
 
 @query("SELECT event_id % 1000 AS id, count(*) AS n FROM events WHERE event_type IN ('view', 'click') GROUP BY 1")
 def counter_stream(spark, sf):
-    folder = (spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp()).rstrip("/") + "/" + tempfile.mktemp(prefix="counter-", dir="").lstrip("/")
+    folder = f"{shared_folder(spark)}/counter-{uuid.uuid4().hex}"
     got = streams.run_over(spark, f"{sf}/events.parquet", streams.counter_stream, folder, ["event_id % 1000 AS id"], "event_type IN ('view', 'click')")
     return got.groupBy("id").agg(F.sum("n").alias("n"))
 
 
-@query()
+@query("WITH RECURSIVE log AS (SELECT event_id AS id, user_id % 4 AS org_id, user_id % 3 AS agent_id, user_id, NULL::VARCHAR AS memory_type, event_type AS operation, event_id % 1000 AS memory_id, props AS details, ts AS created_at FROM events), " + CHAIN_SQL + " SELECT org_id, id, row_hash FROM chain")
 def audit_stream(spark, sf):
-    folder = (spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp()).rstrip("/") + "/" + tempfile.mktemp(prefix="chain-", dir="").lstrip("/")
-    columns = ["event_id AS id", "user_id % 4 AS org_id", "user_id % 3 AS agent_id", "event_type AS operation", "event_id % 1000 AS memory_id", "props AS details", "ts AS created_at"]
+    folder = f"{shared_folder(spark)}/chain-{uuid.uuid4().hex}"
+    columns = ["event_id AS id", "user_id % 4 AS org_id", "user_id % 3 AS agent_id", "user_id", "event_type AS operation", "event_id % 1000 AS memory_id", "props AS details", "ts AS created_at"]
     return streams.run_over(spark, f"{sf}/events.parquet", streams.chain_stream, folder, columns).select("org_id", "id", F.hex("row_hash").alias("row_hash"))

@@ -34,7 +34,9 @@ EDGES = """SELECT s.doc_id * 3 + k.k AS id, s.doc_id % 4 AS org_id, s.doc_id AS
 
 LOG = """SELECT event_id AS id, user_id % 4 AS org_id, CAST((user_id % 12 - user_id % 4) / 4 AS BIGINT) AS agent_id,
  CASE event_type WHEN 'signup' THEN 'store' WHEN 'view' THEN 'recall' WHEN 'click' THEN 'recall' WHEN 'purchase' THEN 'update' ELSE 'forget' END AS operation,
- event_id % 1000 AS memory_id, props AS details, ts AS created_at FROM {events}"""
+ event_id % 1000 AS memory_id, user_id, CASE event_id % 3 WHEN 0 THEN 'episodic' WHEN 1 THEN 'semantic' END AS memory_type, props AS details, ts AS created_at FROM {events}"""
+
+CONVERSATIONS = """SELECT conv_id AS id, conv_id % 4 AS org_id, count(*) AS turn_count, CAST(floor(count(*) / 2) AS BIGINT) AS last_summary_turn, CAST(3 AS BIGINT) AS summary_cadence FROM {conversations} GROUP BY conv_id"""
 
 VERSIONS = """SELECT id, org_id, agent_id, importance_score * CAST(0.5 AS DOUBLE) AS importance_score, recall_count, deleted_at, created_at AS valid_from, created_at + INTERVAL '3' DAY AS valid_to FROM {m} WHERE id % 5 = 0
  UNION ALL SELECT id, org_id, agent_id, importance_score, recall_count, deleted_at, CASE WHEN id % 5 = 0 THEN created_at + INTERVAL '3' DAY ELSE created_at END AS valid_from, CAST(NULL AS {TSTYPE}) AS valid_to FROM {m}"""
@@ -75,18 +77,22 @@ def jobs(spark: SparkSession, sf: str) -> DataFrame:
     return _spark(spark, JOBS, pages=read(spark, sf, "pages"))
 
 
+def conversations(spark: SparkSession, sf: str) -> DataFrame:
+    return _spark(spark, CONVERSATIONS, conversations=read(spark, sf, "conversations"))
+
+
 def usage(spark: SparkSession, sf: str) -> DataFrame:
     return _spark(spark, USAGE, events=read(spark, sf, "events"))
 
 
 def _duck(sql: str) -> str:
-    for a, b in (("{TS}", "TIMESTAMP"), ("{TSTYPE}", "TIMESTAMP"), ("{STRING}", "VARCHAR"), ("{m}", "memories"), ("{documents}", "documents"), ("{embeddings}", "embeddings"), ("{events}", "events"), ("{pages}", "pages"), ("{{", "{"), ("}}", "}")):
+    for a, b in (("{TS}", "TIMESTAMP"), ("{TSTYPE}", "TIMESTAMP"), ("{STRING}", "VARCHAR"), ("{m}", "memories"), ("{documents}", "documents"), ("{embeddings}", "embeddings"), ("{events}", "events"), ("{pages}", "pages"), ("{conversations}", "conversations"), ("{{", "{"), ("}}", "}")):
         sql = sql.replace(a, b)
     return sql
 
 
 #: Common table expressions of the same tables for DuckDB.
-DUCK = {"memories": _duck(MEMORIES), "edges": _duck(EDGES), "log": _duck(LOG), "versions": _duck(VERSIONS), "jobs": _duck(JOBS), "usage": _duck(USAGE)}
+DUCK = {"memories": _duck(MEMORIES), "edges": _duck(EDGES), "log": _duck(LOG), "versions": _duck(VERSIONS), "jobs": _duck(JOBS), "usage": _duck(USAGE), "convs": _duck(CONVERSATIONS)}
 
 
 def with_tables(sql: str, *names: str, recursive: bool = False, more: str = "") -> str:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import csv
 import io
+import json
+import re
 import xml.etree.ElementTree as ET
 import zipfile
 from collections.abc import Iterator
@@ -13,9 +15,22 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Languages by file extension, kinds by first bytes.
-LANGUAGES = {"py": "python", "ts": "typescript", "tsx": "typescript", "js": "javascript", "jsx": "javascript", "go": "go", "rs": "rust", "java": "java", "c": "c", "h": "c", "cpp": "cpp", "cs": "csharp", "rb": "ruby", "php": "php", "sh": "shell", "sql": "sql", "swift": "swift", "kt": "kotlin", "scala": "scala", "lua": "lua", "r": "r", "pl": "perl"}
-MAGIC = (("25504446", "application/pdf"), ("FFD8FF", "image/jpeg"), ("89504E470D0A1A0A", "image/png"), ("47494638", "image/gif"), ("494433", "audio/mpeg"), ("664C6143", "audio/flac"), ("4F676753", "audio/ogg"), ("504B0304", "application/zip"))
+from ..functions.scalar import local_name
+
+#: Languages by file extension.
+LANGUAGES = {
+    "py": "python", "pyi": "python", "ts": "typescript", "tsx": "typescript", "js": "javascript", "jsx": "javascript", "mjs": "javascript", "cjs": "javascript",
+    "go": "go", "rs": "rust", "java": "java", "kt": "kotlin", "kts": "kotlin", "scala": "scala", "rb": "ruby", "php": "php", "swift": "swift",
+    "c": "c", "h": "c", "cc": "cpp", "cpp": "cpp", "cxx": "cpp", "hpp": "cpp", "hh": "cpp", "cs": "csharp", "fs": "fsharp", "ex": "elixir", "exs": "elixir",
+    "erl": "erlang", "hs": "haskell", "lua": "lua", "pl": "perl", "r": "r", "sh": "shell", "bash": "shell", "zsh": "shell", "sql": "sql",
+    "yml": "yaml", "yaml": "yaml", "toml": "toml", "json": "json", "xml": "xml", "html": "html", "css": "css",
+}
+DOCX = "application/vnd.openxmlformats-officedocument.wordprocessingml.document"
+#: Kinds by first bytes (hexadecimal).
+MAGIC = (
+    ("255044462D", "application/pdf"), ("FFD8FF", "image/jpeg"), ("89504E470D0A1A0A", "image/png"), ("474946383761", "image/gif"), ("474946383961", "image/gif"),
+    ("494433", "audio/mpeg"), ("FFFB", "audio/mpeg"), ("FFF3", "audio/mpeg"), ("664C6143", "audio/flac"), ("4F676753", "audio/ogg"), ("504B0304", "application/zip"),
+)
 #: Elements whose text isn't read, and those that hold the main text, in order.
 DROPPED = frozenset(("script", "style", "noscript", "nav", "aside", "header", "footer", "form"))
 ROOTS = ("article", "main", "body")
@@ -27,11 +42,11 @@ def line_count(text: Column) -> Column:
 
 
 def heading_count(text: Column) -> Column:
-    return F.regexp_count(text, F.lit(r"(?m)^[ \t]{0,3}#{1,6}[ \t]+"))
+    return F.regexp_count(text, F.lit(r"(?m)^\s{0,3}#{1,6}\s+"))
 
 
 def fence_count(text: Column) -> Column:
-    return F.floor(F.regexp_count(text, F.lit(r"(?m)^```")) / 2)
+    return F.floor(F.regexp_count(text, F.lit(r"(?m)^\s{0,3}```")) / 2)
 
 
 def language(name: Column) -> Column:
@@ -39,21 +54,108 @@ def language(name: Column) -> Column:
     return F.element_at(table, F.lower(F.substring_index(name, ".", -1)))
 
 
+def base_mime(mime: Column) -> Column:
+    """A MIME type without its parameters, in lower case."""
+    return F.lower(F.trim(F.substring_index(mime, ";", 1)))
+
+
 def sniffed(content: Column) -> Column:
+    """MIME type by first bytes; null where they don't tell. A ZIP archive that names word/document.xml early is a DOCX file."""
     out = F.lit(None).cast("string")
     for prefix, kind in reversed(MAGIC):
         out = F.when(F.substring(content, 1, len(prefix) // 2) == F.unhex(F.lit(prefix)), kind).otherwise(out)
+    word = F.position(F.lit("word/document.xml"), F.decode(F.substring(content, 1, 8192), "ISO-8859-1")) > 0
+    out = F.when((out == "application/zip") & word, DOCX).otherwise(out)
     inner = F.when(F.substring(content, 9, 4) == F.unhex(F.lit("57415645")), "audio/wav").when(F.substring(content, 9, 4) == F.unhex(F.lit("57454250")), "image/webp")
     return F.when(F.substring(content, 1, 4) == F.unhex(F.lit("52494646")), inner).otherwise(out)
 
 
+#: Loaders by MIME type and by extension.
+BY_MIME = {"text/plain": "text", "text/markdown": "markdown", "text/csv": "csv", "text/html": "html", "application/xhtml+xml": "html", "application/pdf": "pdf", DOCX: "docx", **{f"image/{k}": "image" for k in ("jpeg", "png", "gif", "webp")}, **{f"audio/{k}": "audio" for k in ("mpeg", "wav", "flac", "ogg")}}
+BY_EXTENSION = {"txt": "text", "md": "markdown", "markdown": "markdown", "csv": "csv", "tsv": "csv", "htm": "html", "html": "html", "pdf": "pdf", "docx": "docx"}
+
+
+def dispatched(files: DataFrame, fallback: str | None = "text") -> DataFrame:
+    """files (path, content, and mime_type where known) with loader: by the MIME type, else the first bytes, else the extension, else the fallback."""
+    table = lambda d, key: F.element_at(F.create_map(*[F.lit(x) for kv in d.items() for x in kv]), key)
+    told = table(BY_MIME, base_mime(F.col("mime_type"))) if "mime_type" in files.columns else F.lit(None).cast("string")
+    ext = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
+    by_name = F.coalesce(table(BY_EXTENSION, ext), F.when(table(LANGUAGES, ext).isNotNull(), "code"))
+    return files.withColumn("loader", F.coalesce(told, table(BY_MIME, sniffed(F.col("content"))), by_name, F.lit(fallback)))
+
+
 def files(spark, path: str) -> DataFrame:
-    """path, content, loader (by first bytes, then by name) of files."""
-    x = spark.read.format("binaryFile").load(path)
-    kind = sniffed(F.col("content"))
-    ext = F.lower(F.substring_index("path", ".", -1))
-    loader = F.when((kind == "application/zip") & (ext == "docx"), "docx").when(kind.isNotNull(), F.substring_index(kind, "/", -1)).when(ext.isin("md", "markdown"), "markdown").when(ext.isin("htm", "html"), "html").when(ext == "csv", "csv").when(language(F.col("path")).isNotNull(), "code").otherwise("text")
-    return x.select("path", "content", loader.alias("loader"))
+    """path, content, loader of the files of a folder."""
+    return dispatched(spark.read.format("binaryFile").load(path).select("path", "content"))
+
+
+def load(files: DataFrame) -> DataFrame:
+    """path, loader, text, error, info (JSON) of files (path, content): each by its own loader. Images and sound need a provider and fail here."""
+    x = files if "loader" in files.columns else dispatched(files)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            rows = []
+            for path, loader, content in zip(f["path"], f["loader"], f["content"], strict=True):
+                try:
+                    text, info = read_file(path, loader, bytes(content or b""))
+                    rows.append((path, loader, text, None, json.dumps(info, sort_keys=True)))
+                except Exception as error:
+                    rows.append((path, loader, None, str(error)[:2000] or type(error).__name__, None))
+            yield pd.DataFrame(rows, columns=["path", "loader", "text", "error", "info"])
+
+    return x.select("path", "loader", "content").mapInPandas(run, "path string, loader string, text string, error string, info string")
+
+
+def read_file(path: str, loader: str, content: bytes) -> tuple[str, dict]:
+    """Text of one file and what its loader counts."""
+    text = content.decode("utf-8", "replace")
+    if loader == "text":
+        return text, {"line_count": text.count("\n") + (bool(text) and not text.endswith("\n"))}
+    if loader == "markdown":
+        return text, {"heading_count": len(re.findall(r"^\s{0,3}#{1,6}\s+", text, re.M)), "code_block_count": len(re.findall(r"^\s{0,3}```", text, re.M)) // 2}
+    if loader == "csv":
+        body, cut = csv_text(content.decode("utf-8-sig", "replace"))
+        return body, {"truncated": cut}
+    if loader == "html":
+        return html_text(text), {}
+    if loader == "docx":
+        return docx_text(content)[0], {"headings": docx_text(content)[1]}
+    if loader == "code":
+        return text, {"language": LANGUAGES.get(path.rsplit(".", 1)[-1].lower())}
+    if loader == "pdf":
+        return pdf_text(content)
+    raise ValueError(f"no loader for {loader}")
+
+
+def pdf_text(content: bytes) -> tuple[str, dict]:
+    """Pages joined by blank lines, and each page's offset; pypdf is needed, which may be missing."""
+    try:
+        from pypdf import PdfReader
+    except ImportError as error:
+        raise RuntimeError("reading PDF files needs pypdf") from error
+    reader = PdfReader(io.BytesIO(content))
+    if reader.is_encrypted:
+        raise ValueError("the PDF file is encrypted")
+    parts, offsets, at = [], {}, 0
+    for k, page in enumerate(reader.pages):
+        part = page.extract_text() or ""
+        offsets[str(k + 1)] = at
+        parts.append(part)
+        at += len(part) + 2
+    return "\n\n".join(parts), {"page_offsets": offsets}
+
+
+def triples(lines: DataFrame) -> DataFrame:
+    """uri, primary, aliases, type_hint of the subjects of N-Triples lines (value): labels, preferred and other ones; without any, the local name."""
+    x = lines.select(F.regexp_extract("value", r"^<([^>]*)>\s+<([^>]*)>\s+(.*?)\s*\.\s*$", 1).alias("uri"), F.regexp_extract("value", r"^<([^>]*)>\s+<([^>]*)>\s+(.*?)\s*\.\s*$", 2).alias("p"), F.regexp_extract("value", r"^<([^>]*)>\s+<([^>]*)>\s+(.*?)\s*\.\s*$", 3).alias("o")).filter("uri <> ''")
+    label = F.regexp_extract("o", r'^"((?:[^"\\]|\\.)*)"', 1)
+    rank = F.when(F.col("p").endswith("prefLabel"), 0).when(F.col("p").endswith("#label"), 1).when(F.col("p").endswith("altLabel"), 2)
+    x = x.withColumn("rank", rank).withColumn("label", label)
+    kind = F.when(F.col("p").endswith("#type"), local_name(F.regexp_extract("o", r"^<([^>]*)>", 1)))
+    named = x.groupBy("uri").agg(F.array_sort(F.collect_set(F.when(F.col("rank").isNotNull(), F.struct("rank", "label")))).alias("labels"), F.min(kind).alias("type_hint"))
+    primary = F.coalesce(F.get("labels", F.lit(0))["label"], local_name(F.col("uri")))
+    return named.select("uri", primary.alias("primary"), F.transform(F.slice("labels", 2, 1000), lambda s: s["label"]).alias("aliases"), "type_hint")
 
 
 def csv_text(raw: str, cap: int = 10_000) -> tuple[str, bool]:

@@ -1,38 +1,61 @@
-"""Streams: counter deltas in micro-batches, the audit chain, conversation cadence."""
+"""Streams: counter deltas in micro-batches, the audit chain, the cadence of conversations, stale jobs."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators import audit
 
 
+def _sink(df: DataFrame, sink: str, batch_id: int) -> None:
+    """A micro-batch's rows in a folder of its own: a batch that runs again replaces what it wrote."""
+    df.write.mode("overwrite").parquet(f"{sink}/batch_id={batch_id}")
+
+
 def counter_stream(source: DataFrame, checkpoint: str, sink: str):
-    """Adds up recall counts by id in each micro-batch and appends the deltas; the sum over the sink is the final count."""
+    """Adds up recall counts by id in each micro-batch; the sum over the sink is the final count."""
 
     def flush(batch: DataFrame, batch_id: int) -> None:
-        batch.groupBy("id").agg(F.count("*").alias("n")).withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(sink)
+        _sink(batch.groupBy("id").agg(F.count("*").alias("n")), sink, batch_id)
 
     return source.writeStream.foreachBatch(flush).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def chain_stream(source: DataFrame, checkpoint: str, sink: str):
-    """Appends each micro-batch's rows to the hash chain of their tenant; the last hash comes from the sink."""
+    """Appends each micro-batch's rows to their tenants' hash chains; the hashes to go on from are those of the sink's earlier batches."""
 
     def drain(batch: DataFrame, batch_id: int) -> None:
-        rows = audit.hash_chain(batch).withColumn("batch_id", F.lit(batch_id))
-        rows.write.mode("append").parquet(sink)
+        heads = None
+        if batch_id:
+            before = batch.sparkSession.read.option("basePath", sink).parquet(sink).filter(F.col("batch_id") < batch_id)
+            heads = before.groupBy("org_id").agg(F.max_by("row_hash", F.struct("batch_id", "id")).alias("row_hash"))
+        _sink(audit.hash_chain(batch, heads), sink, batch_id)
 
     return source.writeStream.foreachBatch(drain).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def cadence_stream(turns: DataFrame, cadence: int) -> DataFrame:
+    """(conv_id, turn_count) each time that a conversation of a stream of turns reaches a further multiple of cadence."""
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        n = state.get[0] if state.exists else 0
+        new = n + sum(len(f) for f in frames)
+        state.update((new,))
+        due = range((n // cadence + 1) * cadence, new + 1, cadence)
+        yield pd.DataFrame({"conv_id": [key[0]] * len(due), "turn_count": list(due)})
+
+    return turns.groupBy("conv_id").applyInPandasWithState(step, "conv_id long, turn_count long", "n long", "append", GroupStateTimeout.NoTimeout)
+
+
 def run_over(spark: SparkSession, path: str, start: Callable, folder: str, columns: list[str], where: str = "true") -> DataFrame:
     """Runs a stream over a folder or file of Parquet to its end and reads what its sink holds."""
     schema = spark.read.parquet(path).schema
     directory, _, name = path.rpartition("/")
-    source = spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(directory).filter(where).selectExpr(*columns)
+    source = spark.readStream.schema(schema).option("pathGlobFilter", name).option("maxFilesPerTrigger", 1).parquet(directory).filter(where).selectExpr(*columns)
     start(source, f"{folder}/state", f"{folder}/sink").awaitTermination()
-    return spark.read.parquet(f"{folder}/sink")
+    return spark.read.option("basePath", f"{folder}/sink").parquet(f"{folder}/sink")

@@ -3,6 +3,7 @@
 import hashlib
 import io
 import json
+import re
 import zipfile
 
 import duckdb
@@ -10,9 +11,13 @@ import pytest
 from hypothesis import given
 from hypothesis import strategies as st
 
+from pyspark.sql import functions as F
+
+from recollect.functions import scalar
 from recollect.operators import audit, ontology, refine, text
-from recollect.plans import catalog
+from recollect.plans import catalog, tables
 from recollect.sources import loaders
+from recollect.streaming import jobs
 
 SF = "/root/testdata/sf0.001"
 
@@ -57,14 +62,52 @@ def test_lexical_recall_stems_and_drops_stop_words(spark):
 
 
 def test_hash_chain_by_plain_fold(spark):
-    rows = catalog.t.log(spark, SF)
-    chain = {(r.org_id, r.id): bytes(r.row_hash) for r in audit.hash_chain(rows).collect()}
+    got = audit.hash_chain(tables.log(spark, SF).filter("id < 40")).orderBy("org_id", "id").collect()
     before = {}
-    for r in sorted(rows.collect(), key=lambda r: r.id):
-        body = {"org_id": r.org_id, "operation": r.operation, "agent_id": r.agent_id, "memory_id": r.memory_id, "details": r.details, "created_at": r.created_at.isoformat()}
-        h = hashlib.sha256(before.get(r.org_id, b"") + json.dumps(body, sort_keys=True, separators=(",", ":")).encode()).digest()
-        assert chain[r.org_id, r.id] == h
-        before[r.org_id] = h
+    for r in got:
+        plain = {
+            "org_id": str(r.org_id), "operation": r.operation, "agent_id": str(r.agent_id), "user_id": str(r.user_id), "memory_id": str(r.memory_id),
+            "memory_type": r.memory_type, "details": json.loads(r.details), "created_at": r.created_at.isoformat(),
+        }
+        text = json.dumps(plain, sort_keys=True, separators=(",", ":"))
+        want = hashlib.sha256(before.get(r.org_id, b"") + text.encode()).digest()
+        assert bytes(r.row_hash) == want and (r.prev_hash or b"") == before.get(r.org_id, b"")
+        before[r.org_id] = want
+
+
+def test_chain_stream_goes_on_over_batches(spark, tmp_path):
+    """Three files, a micro-batch each, make the chain that all rows make at once; a batch that runs again changes nothing."""
+    log = tables.log(spark, SF).filter("id < 300").cache()
+    for k in range(3):
+        log.filter(f"id div 100 = {k}").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    source = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    jobs.chain_stream(source, str(tmp_path / "state"), str(tmp_path / "out")).awaitTermination()
+    got = spark.read.option("basePath", str(tmp_path / "out")).parquet(str(tmp_path / "out"))
+    assert got.select("batch_id").distinct().count() == 3
+    rows = lambda df: sorted((r.org_id, r.id, bytes(r.row_hash)) for r in df.collect())
+    assert rows(got) == rows(audit.hash_chain(log))
+    assert audit.verify(got).isEmpty()
+
+
+def test_cadence_stream(spark, tmp_path):
+    turns = spark.createDataFrame([(c, k) for c in range(3) for k in range(7 + c)], "conv_id long, turn long")
+    turns.repartition(3, "turn").write.parquet(str(tmp_path / "in"))
+    source = spark.readStream.schema(turns.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    query = jobs.cadence_stream(source, 3).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    got = sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    assert got == [(0, 3), (0, 6), (1, 3), (1, 6), (2, 3), (2, 6), (2, 9)]
+
+
+def test_redaction_by_plain_patterns(spark):
+    texts = ["mail a.b@c.de or x@y.co, ssn 123-45-6789, card 4111 1111 1111 1111 é", "call +1 (555) 555-0134 or 555.123.4567", "nothing 12-34 here", None, ""]
+    got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(scalar.redacted(F.col("t"))).collect()]
+    want = []
+    for t in texts:
+        for _, pattern, mark in scalar.REDACTIONS:
+            t = t and re.sub(pattern, mark, t)
+        want.append(t)
+    assert got == want
 
 
 @given(st.lists(st.binary(min_size=1, max_size=8), max_size=9))
