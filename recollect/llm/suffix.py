@@ -255,24 +255,24 @@ def _meet(n: int, every: bool = False):
                 start = np.concatenate(([True], h[1:] != h[:-1]))
                 count = np.diff(np.concatenate((np.flatnonzero(start), [len(h)])))[np.cumsum(start) - 1]
                 several = count > 1
-                h, doc, pos, count = h[several], doc[several], pos[several], count[several]
-                if len(h):
-                    flagged = pos * 2 + (count > HOT)
-                    rows += [(ASKED, b, cols) for b, cols in by_bucket((mix(doc.view(np.uint64)) % np.uint64(n)).astype(np.int32), [doc, h, flagged])]
+                doc, pos, count = doc[several], pos[several], count[several]
+                if len(doc):
+                    flagged = np.where(count > HOT, -1 - pos, pos).astype(np.int32)
+                    rows += [(ASKED, b, cols) for b, cols in by_bucket((mix(doc.view(np.uint64)) % np.uint64(n)).astype(np.int32), [doc, flagged])]
         return pa.Table.from_arrays(_rows(rows), names=_NAMES)
 
     return run
 
 
 def _asked(met: DataFrame) -> DataFrame:
-    """(sp_id, sp_spans): each document's packed (anchor, position and flag) rows whose contexts are asked for."""
+    """(sp_id, sp_spans): each document's packed positions of anchors whose contexts are asked for; those of hot anchors are -1 - position."""
 
     def run(group: pa.Table) -> pa.Table:
-        doc, h, p = (unpacked(group, c) for c in "abc")
+        doc, p = unpacked(group, "a"), unpacked(group, "b", np.int32)
         order = np.lexsort((p, doc))
-        doc, both = doc[order], np.stack((h[order], p[order]), 1)
+        doc, p = doc[order], p[order]
         ids, first = np.unique(doc, return_index=True)
-        return pa.table({"sp_id": pa.array(ids, pa.int64()), "sp_spans": pa.array([both[i:j].tobytes() for i, j in zip(first, [*first[1:], len(doc)], strict=True)], pa.binary())})
+        return pa.table({"sp_id": pa.array(ids, pa.int64()), "sp_spans": pa.array([p[i:j].tobytes() for i, j in zip(first, [*first[1:], len(doc)], strict=True)], pa.binary())})
 
     return met.filter(F.col("kind") == ASKED).groupBy("bucket").applyInArrow(run, "sp_id long, sp_spans binary")
 
@@ -288,17 +288,16 @@ def _contexts(docs: DataFrame, n: int, every: bool = False) -> DataFrame:
             wh, wd, wp = [], [], []
             ids = batch.column("doc_id").to_numpy()
             for i, packed in enumerate(batch.column("sp_spans").to_pylist()):
-                rows = np.frombuffer(packed, np.int64).reshape(-1, 2)
-                p, hot = rows[:, 1] >> 1, (rows[:, 1] & 1) == 1
-                size = off[i + 1] - off[i]
+                p = np.frombuffer(packed, np.int32).astype(np.int64)
+                hot, size = p < 0, off[i + 1] - off[i]
                 if hot.any():
-                    s = np.unique((p[hot][:, None] - np.arange(SIDE + 1)[None, :]).ravel())
+                    s = np.unique((-1 - p[hot][:, None] - np.arange(SIDE + 1)[None, :]).ravel())
                     s = s[(s >= 0) & (s + LEAST <= size)]
                     wh.append(substring_hashes(data[off[i] : off[i + 1]], s, LEAST))
                     wd.append(np.full(len(s), ids[i]))
                     wp.append(s)
-                p, g = p[~hot], rows[~hot, 0]
-                h.append(g)
+                p = p[~hot]
+                h.append(substring_hashes(data[off[i] : off[i + 1]], p, GRAM).view(np.int64))
                 doc.append(np.full(len(p), ids[i]))
                 pos.append(p)
                 left.append(np.minimum(p, SIDE).astype(np.uint8))
