@@ -302,7 +302,7 @@ def _contexts(docs: DataFrame, n: int, every: bool = False) -> DataFrame:
                 pos.append(p)
                 left.append(np.minimum(p, SIDE).astype(np.uint8))
                 right.append(np.minimum(size - p, LEAST).astype(np.uint8))
-                bytes_.append(wide[(off[i] + p)[:, None] + np.arange(SIDE + LEAST)[None, :]])
+                bytes_.append(np.lib.stride_tricks.sliding_window_view(wide, SIDE + LEAST)[off[i] + p])
             rows = []
             if h and len(all_h := np.concatenate(h)):
                 lr = np.stack((np.concatenate(left), np.concatenate(right)), 1)
