@@ -21,9 +21,10 @@ def token_chunks(docs: DataFrame, size: int = 1024, overlap: int = 128) -> DataF
     step = size - overlap
     t = docs.withColumn("tokens", F.filter(F.split("text", r"[ \t\n\r]+"), lambda x: x != ""))
     n = F.greatest(F.lit(1), F.ceil((F.size("tokens") - overlap) / step))
-    t = t.filter(F.size("tokens") > 0).select("id", "tokens", F.explode(F.sequence(F.lit(0), (n - 1).cast("int"))).alias("chunk_index"))
-    part = F.slice("tokens", F.col("chunk_index") * step + 1, size)
-    return t.select("id", "chunk_index", F.size(part).alias("n_tokens"), F.array_join(part, " ").alias("chunk"))
+    # chunks are cut inside the row, so that a row of the result holds its chunk alone and not all tokens
+    cut = F.transform(F.sequence(F.lit(0), (n - 1).cast("int")), lambda i: F.struct(i.alias("chunk_index"), F.slice("tokens", i * step + 1, size).alias("part")))
+    t = t.filter(F.size("tokens") > 0).select("id", F.explode(cut).alias("c"))
+    return t.select("id", "c.chunk_index", F.size("c.part").alias("n_tokens"), F.array_join("c.part", " ").alias("chunk"))
 
 
 def pack_paragraphs(text: str, most: int = 2000) -> list[tuple[int, int]]:

@@ -93,19 +93,12 @@ def near_duplicate_check(spark, sf):
     return memory.near_duplicate(memory.scan(t.memories(spark, sf), 0, agent=2), _probe(spark, sf)).select("id", r6("similarity"))
 
 
-@query("SELECT query_id, id, rank FROM (SELECT q.vec_id AS query_id, e.vec_id AS id, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) DESC, e.vec_id) AS rank FROM embeddings e JOIN embeddings q ON q.vec_id <> e.vec_id AND q.vec_id < 20) WHERE rank <= 5")
+@query("SELECT query_id, id, rank FROM (SELECT q.vec_id AS query_id, e.vec_id AS id, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) DESC, e.vec_id) AS rank FROM embeddings e JOIN embeddings q ON q.vec_id <> e.vec_id AND q.vec_id % 20 = 0) WHERE rank <= 10")
 def batch_knn_topk(spark, sf):
-    e = t.read(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
-    asked = e.filter("id < 20").select(F.col("id").alias("query_id"), F.col("embedding").alias("q"))  # 20 stated queries
-    return memory.knn_per_query(e, asked, 5).select("query_id", "id", F.col("rank").cast("long").alias("rank"))
-
-
-@query("SELECT query_id, id, rank FROM (SELECT q.vec_id AS query_id, e.vec_id AS id, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) DESC, e.vec_id) AS rank FROM embeddings e JOIN embeddings q ON q.vec_id <> e.vec_id AND q.vec_id % 20 = 0) WHERE rank <= 5")
-def batch_knn_every_20th(spark, sf):
     """All due searches: each row whose id is divisible by 20 against all rows."""
     e = t.read(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
     asked = e.filter("id % 20 = 0").select(F.col("id").alias("query_id"), F.col("embedding").alias("q"))
-    return memory.knn_per_query(e, asked, 5).select("query_id", "id", F.col("rank").cast("long").alias("rank"))
+    return memory.knn_per_query(e, asked, 10).select("query_id", "id", F.col("rank").cast("long").alias("rank"))
 
 
 @query(with_tables("SELECT id, memory_type, importance_score FROM memories WHERE org_id = 2 AND id = 42 AND deleted_at IS NULL", "memories"))
@@ -398,7 +391,13 @@ def normalize_names(spark, sf):
     return t.read(spark, sf, "customer").select("c_custkey", sc.normal_name(F.col("c_name")).alias("name"))
 
 
-@query()
+LEXICAL_SQL = f"""x AS (SELECT id, created_at, importance_score, list_filter(regexp_split_to_array(lower(content), '[^\\p{{L}}]+'), lambda w: len(w) >= 3) AS w FROM memories WHERE org_id = 0 AND {LIVE}),
+f AS (SELECT *, len(w) AS n, len(list_filter(w, lambda z: z = 'this')) AS a, len(list_filter(w, lambda z: z = 'with')) AS b FROM x),
+d AS (SELECT count(*) AS docs, avg(n) AS mean, count(*) FILTER (WHERE a > 0) AS da, count(*) FILTER (WHERE b > 0) AS db FROM f),
+s AS (SELECT id, created_at, importance_score, ln(1 + (docs - da + 0.5::DOUBLE) / (da + 0.5::DOUBLE)) * a * 2.2::DOUBLE / (a + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * n / mean)) + ln(1 + (docs - db + 0.5::DOUBLE) / (db + 0.5::DOUBLE)) * b * 2.2::DOUBLE / (b + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * n / mean)) AS raw FROM f CROSS JOIN d WHERE a > 0 AND b > 0)"""
+
+
+@query(with_tables(f"SELECT id, round(raw / (1 + raw), 6) AS lexical, round(0.7::DOUBLE * raw / (1 + raw) + 0.2::DOUBLE * importance_score + 0.1::DOUBLE * {REC}, 6) AS relevance_score FROM s ORDER BY raw / (1 + raw) DESC, created_at DESC, id LIMIT 10", "memories", more=LEXICAL_SQL))
 def lexical_recall(spark, sf):
     return text.lexical_recall(memory.scan(t.memories(spark, sf), 0), "this with", t.now(), english=False).select("id", r6("lexical"), r6("relevance_score"))
 
@@ -518,7 +517,7 @@ def merkle_by_nation(spark, sf):
     return refine.merkle_roots(c, "c_nationkey")
 
 
-@query()
+@query(with_tables(f"SELECT k AS org_id, h AS merkle_root, (SELECT count(*) FROM leaf WHERE leaf.k = r.k) AS leaves FROM ({' UNION ALL '.join(f'SELECT k, h FROM m{n} WHERE size = 1' for n in range(13))}) r", "memories", more=MERKLE_SQL.replace("SELECT c_nationkey AS k, sha256(concat(c_custkey, ':', sha256(c_name), ':-')) AS h FROM customer", "SELECT org_id AS k, sha256(concat(id, ':', sha256(coalesce(content, '')), ':-')) AS h FROM memories")))
 def merkle_root(spark, sf):
     return refine.merkle_roots(t.memories(spark, sf).select("id", "org_id", "content"), "org_id")
 
