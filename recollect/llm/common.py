@@ -6,6 +6,7 @@ import re
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +23,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 _own: list[str] = []
+_kept: list[list[DataFrame]] = []
+
+
+@contextmanager
+def cleared() -> Iterator[None]:
+    """Removes, at its end, the tables that were saved inside; what is read after it must be written elsewhere by then."""
+    _kept.append([])
+    try:
+        yield
+    finally:
+        forget(*_kept.pop())
 
 
 def scratch(spark: SparkSession) -> str:
@@ -42,6 +54,8 @@ def saved(df: DataFrame) -> DataFrame:
     df.write.option("compression", "zstd").parquet(at)
     out = df.sparkSession.read.schema(df.schema).parquet(at)
     out.saved_at = at
+    if _kept:
+        _kept[-1].append(out)
     return out
 
 

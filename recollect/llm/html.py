@@ -3,7 +3,7 @@
 Each page's containers are scored by their text less that of links; the best one and those beside it that score a share of
 it vote for their generalised tag-class paths, which Spark sums by host; each page is then extracted again along its
 host's winning paths (its own best containers where those have no text on the page). Names of classes drop containers
-of boilerplate by their last word, so `post-comments` goes and `legal-analysis` stays.
+of boilerplate by their last word but for words like `wrapper`, so `post-comments-wrapper` goes and `legal-analysis` stays.
 
 Defined results: null or empty html gives an empty text; repeated rows repeat results; a null or odd url belongs to the
 host ''; an empty table gives no rows; an end tag of head may be missing, a `<` that begins no tag is text, and markup that
@@ -36,17 +36,20 @@ _DROP = frozenset("nav header footer aside form button select option dialog menu
 _UNSEEN = _DROP - frozenset("header aside form dialog label".split())
 _INLINE = frozenset("a abbr b bdi bdo cite code data dfn em font i kbd mark q s samp small span strike strong sub sup time tt u var wbr ins del img big acronym".split())
 _HOLD = frozenset("article main section div td body center".split())
-#: A class or id that ends in one of these words, or begins with one and goes on in words for a box, names boilerplate.
+#: A class or id whose last word, words for a box left out, is one of these names boilerplate.
 _BAD = frozenset(
     "ad ads adv advert adverts advertisement advertisements adsense advertising sponsor sponsors sponsored banner banners sidebar siderail rail menu menus nav navbar navigation footer footnav masthead topbar header "
     "cookie cookies consent gdpr notice notices alert alerts comment comments commentlist commentform disqus respond reply replies discussion share sharing sharebar social related recommended recommendations "
-    "promo promos promotion promotions newsletter subscribe subscription signup login popup modal overlay breadcrumb breadcrumbs pagination pager widget widgets toolbar copyright disclaimer skip "
+    "promo promos promotion promotions newsletter subscribe subscription signup login popup modal overlay breadcrumb breadcrumbs pagination pager toolbar copyright disclaimer skip commentsection adslot adbox adunit adsbygoogle "
     "hidden outbrain taboola teaser teasers search searchbox searchform".split()
 )
 _BOX = frozenset(
     "container wrapper wrap box block blocks content contents inner outer list lists item items section sections area body text slot unit units panel panels bar group row col column columns left right top bottom "
     "links link buttons button posts articles stories form forms main holder region zone space card cards icons icon title heading thread count entry post message module frame label image img label toggle".split()
 )
+#: Words that name it wherever a name begins with them, and whole names.
+_STRONG = frozenset("cookie cookies gdpr newsletter breadcrumb breadcrumbs navbar sidebar footer advert advertisement advertisements sponsored taboola outbrain disqus".split())
+_WHOLE = frozenset("widget widgets widget-area".split())
 _ROLE = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 _SPLIT = re.compile(r"[^a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
@@ -57,10 +60,16 @@ ALSO = 0.5
 
 
 def boilerplate(value: str) -> bool:
-    """Whether a class or id attribute names boilerplate: by the last word of one of its names, or by the first if only words for boxes follow."""
+    """Whether a class or id attribute names boilerplate: by the first word of one of its names, or by the last that isn't one for a box."""
     for name in value.split():
         words = [w for w in _SPLIT.split(_CAMEL.sub("-", name).lower()) if w]
-        if words and (words[-1] in _BAD or (words[0] in _BAD and _BOX.issuperset(words[1:]))):
+        if not words:
+            continue
+        if words[0] in _STRONG or name.lower() in _WHOLE:
+            return True
+        while len(words) > 1 and words[-1] in _BOX and words[-1] not in _BAD:
+            del words[-1]
+        if words[-1] in _BAD:
             return True
     return False
 

@@ -153,6 +153,11 @@ SHAPES = [
 ]
 
 
+@pytest.mark.parametrize("name,want", [("reader-comments-section", True), ("post-comments", True), ("relatedPosts", True), ("site-footer-inner", True), ("cookie-law-info", True), ("ad1", True), ("main-content", False), ("legal-analysis", False), ("elementor-widget-container", False), ("article-body text", False), ("comment-body", True), ("content", False), ("story wp-sidebar", True), ("123", False)])
+def test_html_names(name, want):
+    assert html.boilerplate(name) is want
+
+
 def test_html_shapes(spark):
     docs = spark.createDataFrame([(i, None if i % 2 else f"odd url {i}", h) for i, (h, _) in enumerate(SHAPES)], "page_id long, url string, html string")
     assert [html.Page(h or "").along(None) if h else "" for h, _ in SHAPES] == [t for _, t in SHAPES]
