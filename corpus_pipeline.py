@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recollect.llm import decontaminate, jaccard, mixing, pii, toxicity
-from recollect.llm.common import scratch, table
+from recollect.llm.common import cleared, forget, scratch, table
 
 
 def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,9 +52,14 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    folder = f"{scratch(spark)}/recollect-pipeline-{uuid.uuid4().hex}"
+    folder, before = f"{scratch(spark)}/recollect-pipeline-{uuid.uuid4().hex}", None
     for k, (name, stage) in enumerate(STAGES):
         out = f"{folder}/{k}-{name}"
-        stage(spark, docs, sf_dir).write.parquet(out)
+        with cleared():  # a stage's own tables go once its rows are written, and so do its predecessor's rows
+            stage(spark, docs, sf_dir).write.parquet(out)
         docs = spark.read.parquet(out)
+        docs.saved_at = out
+        if before is not None:
+            forget(before)
+        before = docs
     return docs
