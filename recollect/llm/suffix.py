@@ -35,8 +35,8 @@ LEAST, GRAM = 100, 50
 SIDE = LEAST - GRAM
 HOT = 20_000
 SLICE = 4_000_000
-COMBINE_BYTES = 12_000_000
-BUCKET_BYTES = 12_000_000
+COMBINE_BYTES = 6_000_000
+BUCKET_BYTES = 6_000_000
 _TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
