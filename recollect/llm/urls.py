@@ -7,7 +7,7 @@ its host and all subdomains if the URL's path starts with its own; the longest f
 
 Bounds: rules and vocabulary are parameters that every task holds, of MAX_ENTRIES each at most (else ValueError).
 Defined results: a null URL, or one without '://', has an empty host and path, no rule and no term, and is allowed;
-hosts keep ports and user names as written; an empty path fits no rule whose path is '/'; of equal rules a block wins;
+hosts keep ports and user names as written; an empty path fits no rule whose path is '/'; of rules of equal length a block wins;
 repeated rows repeat their verdicts; an empty table gives no rows; other columns pass through ``judge`` unread, but for
 ones named like its own (url_host, url_path, url_rule, url_verdict, url_weight, url_hits), which it replaces.
 """
@@ -94,7 +94,7 @@ def ruled(host: str, path: str, rules: tuple[tuple[str, str, str], ...]) -> tupl
     by_host, best = _by_host(rules), None
     while host:
         fits = next(((host + p, verdict) for p, verdict in by_host.get(host, ()) if path.startswith(p)), None)
-        if fits and (best is None or len(fits[0]) > len(best[0])):
+        if fits and (best is None or (len(fits[0]), fits[1] == "block") > (len(best[0]), best[1] == "block")):
             best = fits
         host = host.partition(".")[2]
     return best
