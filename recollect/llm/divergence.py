@@ -3,7 +3,7 @@
 Documents are read once: each task counts terms over a bounded number of distinct (lang, source, term) and hands on
 partial runs. They are dealt by (lang, term), sorted by (lang, term, source, document) within their partitions, and
 scanned as a stream: runs of equal (lang, term, source) add up to counts, runs of (lang, term) to document frequencies,
-which decide what is kept. Kept runs are dealt again in blocks of BLOCK terms of one lang at most, each beside its
+which decide what is kept. Kept runs are dealt again in blocks of about BLOCK terms of one lang, each beside its
 lang's sources; a block emits partial sums for each pair of sources and the best terms of each source, however many
 terms a lang has. A document stands in one row and so in one task, which makes frequencies of partial runs add up.
 
@@ -25,13 +25,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import saved, table
+from .common import saved, small, table
 
 MIN_DOCS, TOP, UNIT = 10, 10, 1_000_000_000
 #: Distinct (lang, source, term) that a task holds before it hands its counts on.
 HELD = 400_000
-#: Terms of a block, and cells (terms by sources) that are computed at a time.
-BLOCK, CELLS = 20_000, 2_000_000
+#: Terms of a block (about), and cells (terms by sources) that are computed at a time.
+BLOCK, CELLS = 5_000, 2_000_000
 #: Bytes of a text that are split at a time.
 PIECE = 8_000_000
 _TERMS = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256))
@@ -97,14 +97,11 @@ def _starts(t: pa.Table, columns: list[str]) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-def kept_runs(runs: DataFrame, least: int = MIN_DOCS, block: int = BLOCK) -> DataFrame:
-    """lang, block, term, sources, counts: one row for each term in at least so many documents of its lang."""
+def kept_runs(runs: DataFrame, least: int = MIN_DOCS) -> DataFrame:
+    """lang, term, sources, counts: one row for each term in at least so many documents of its lang."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, lang_at, in_block, task = -1, None, 0, None
         for t in whole_runs(batches):
-            if task is None:
-                task = t.column("task")[0].as_py() << 32
             first = _starts(t, ["lang", "term"])
             often = np.add.reduceat(t.column("df").to_numpy(), first) >= least
             last = np.append(first[1:], t.num_rows)
@@ -113,19 +110,12 @@ def kept_runs(runs: DataFrame, least: int = MIN_DOCS, block: int = BLOCK) -> Dat
                 continue
             take = pa.array(np.concatenate([np.arange(a, b) for a, b in zip(first[often], last[often], strict=True)]))
             lang, term = (t.column(c).take(pa.array(first[often])).combine_chunks() for c in ("lang", "term"))
-            at = []
-            for x in lang.to_pylist():
-                if x != lang_at or in_block == block:
-                    number, lang_at, in_block = number + 1, x, 0
-                in_block += 1
-                at.append(task + number)
             offsets = pa.array(np.concatenate(([0], np.cumsum(size))), pa.int32())
             lists = [pa.ListArray.from_arrays(offsets, t.column(c).take(take).combine_chunks()) for c in ("source", "n")]
-            yield pa.RecordBatch.from_arrays([lang, pa.array(at, pa.int64()), term, *lists], names=["lang", "block", "term", "sources", "counts"])
+            yield pa.RecordBatch.from_arrays([lang, term, *lists], names=["lang", "term", "sources", "counts"])
 
     dealt = runs.repartition("lang", "term").sortWithinPartitions("lang", "term", "source", "document")
-    dealt = dealt.withColumn("task", F.spark_partition_id().cast("long"))
-    return dealt.mapInArrow(scan, "lang string, block long, term string, sources array<string>, counts array<long>")
+    return dealt.mapInArrow(scan, "lang string, term string, sources array<string>, counts array<long>")
 
 
 def whole_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -205,7 +195,7 @@ def of_block(runs: pa.Table, groups: pa.Table, top: int = TOP) -> tuple[np.ndarr
     return base * len(size) + change + change.T, best
 
 
-def audit(docs: DataFrame, least: int = MIN_DOCS, top: int = TOP) -> tuple[DataFrame, DataFrame]:
+def audit(docs: DataFrame, least: int = MIN_DOCS, top: int = TOP, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     """(lang, source, item, value) of each pair of sources of a lang, and of each source's best terms (more than top a source, unranked)."""
     runs = saved(kept_runs(partial_runs(docs), least))
     groups = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source")).distinct()
@@ -213,9 +203,17 @@ def audit(docs: DataFrame, least: int = MIN_DOCS, top: int = TOP) -> tuple[DataF
     sizes = runs.groupBy("lang").agg(F.count("*").alias("terms"))
     groups = groups.join(totals, ["lang", "source"], "left").join(sizes, "lang", "left")
     groups = saved(groups.select("lang", "source", F.coalesce("total", F.lit(0)).alias("total"), F.coalesce("terms", F.lit(0)).alias("terms")))
-    beside = runs.select("lang", "block").distinct().join(groups, "lang").select(F.col("lang").alias("of_lang"), F.col("block").alias("of_block"), "source", "total", "terms")
+    # a lang's terms in as many blocks as their number asks for, each beside all its sources
+    number = F.ceil(F.col("terms") / block)
+    sizes = small(saved(sizes.select("lang", number.alias("blocks"))), 64 + F.octet_length("lang"))
+    runs = runs.join(sizes, "lang").withColumn("block", F.pmod(F.xxhash64("term"), F.col("blocks"))).drop("blocks")
+    beside = groups.filter("terms > 0").withColumn("of_block", F.explode(F.sequence(F.lit(0).cast("long"), number - 1))).withColumnRenamed("lang", "of_lang")
+
+    none = pa.table({n: pa.array([], pa.int64() if n == "value" else pa.string()) for n in ("lang", "source", "part", "item", "value")})
 
     def emitted(key, left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows:
+            return none
         pairs, best = of_block(left, right, top)
         a, b = np.nonzero(~np.eye(len(pairs), dtype=bool))
         names = right.column("source").combine_chunks()
