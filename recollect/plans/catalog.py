@@ -12,6 +12,7 @@ from ..operators import audit, graph, memory, ontology, refine, text
 from ..operators.cuts import shared_folder
 from ..sources import loaders
 from ..streaming import jobs as streams
+from ..streaming import watchdog
 from . import tables as t
 from .tables import with_tables
 
@@ -617,3 +618,18 @@ def audit_stream(spark, sf):
     folder = f"{shared_folder(spark)}/chain-{uuid.uuid4().hex}"
     columns = ["event_id AS id", "user_id % 4 AS org_id", "user_id % 3 AS agent_id", "user_id", "event_type AS operation", "event_id % 1000 AS memory_id", "props AS details", "ts AS created_at"]
     return streams.run_over(spark, f"{sf}/events.parquet", streams.chain_stream, folder, columns).select("org_id", "id", F.hex("row_hash").alias("row_hash"))
+
+
+#: Events as reports of jobs, one a user: a job that is running and silent for two days has gone stale.
+REPORTS = ["user_id AS job_id", "ts AS at", "event_id AS seq", "CASE event_type WHEN 'purchase' THEN 'completed' WHEN 'error' THEN 'failed' ELSE 'running' END AS status"]
+
+
+@query("""WITH r AS (SELECT user_id AS job_id, ts, CASE event_type WHEN 'purchase' THEN 'completed' WHEN 'error' THEN 'failed' ELSE 'running' END AS status, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS heard, max(ts) OVER () AS latest FROM events)
+SELECT job_id, ts AS updated_at, ts + INTERVAL 2 DAY AS failed_at, 'watchdog: stale running >172800s; row never transitioned' AS error FROM r
+WHERE status = 'running' AND (heard IS NULL OR heard > ts + INTERVAL 2 DAY) AND epoch_ms(latest) > (epoch_us(ts) + 172800000000 + 999) // 1000""")
+def watchdog_stream(spark, sf):
+    """All jobs that went stale, by event-time timers."""
+    folder = f"{shared_folder(spark)}/watchdog-{uuid.uuid4().hex}"
+    start = lambda reports, checkpoint, sink: watchdog.watch(reports, checkpoint, sink, 172_800)
+    got = streams.run_over(spark, f"{sf}/events.parquet", start, folder, REPORTS)
+    return got.select("job_id", *[F.col(c).cast("timestamp_ntz").alias(c) for c in ("updated_at", "failed_at")], "error")

@@ -26,17 +26,24 @@ def counter_stream(source: DataFrame, checkpoint: str, sink: str):
     return source.writeStream.foreachBatch(flush).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def chain_stream(source: DataFrame, checkpoint: str, sink: str):
-    """Appends each micro-batch's rows to their tenants' hash chains; the hashes to go on from are those of the sink's earlier batches."""
+def chain_stream(source: DataFrame, checkpoint: str, sink: str, every: str | None = None):
+    """Appends each micro-batch's rows to their tenants' hash chains.
+
+    The hashes to go on from stand in a table beside the sink: a batch reads its predecessor's and writes its own, a row a
+    tenant, so that no batch reads the chain so far; a batch that runs again replaces both. every: a drain that keeps
+    running and looks for new rows so often (else it stops at the end of what is there)."""
 
     def drain(batch: DataFrame, batch_id: int) -> None:
-        heads = None
-        if batch_id:
-            before = batch.sparkSession.read.option("basePath", sink).parquet(sink).filter(F.col("batch_id") < batch_id)
-            heads = before.groupBy("org_id").agg(F.max_by("row_hash", F.struct("batch_id", "id")).alias("row_hash"))
+        heads = batch.sparkSession.read.parquet(f"{sink}-heads/{batch_id - 1}") if batch_id else None
         _sink(audit.hash_chain(batch, heads), sink, batch_id)
-
-    return source.writeStream.foreachBatch(drain).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        chained = batch.sparkSession.read.parquet(f"{sink}/batch_id={batch_id}")
+        new = chained.groupBy("org_id").agg(F.max_by("row_hash", "id").alias("row_hash"))
+        if heads is not None:
+            new = new.unionByName(heads.join(new.select("org_id"), "org_id", "left_anti"))
+        new.write.mode("overwrite").parquet(f"{sink}-heads/{batch_id}")
+
+    trigger = {"processingTime": every} if every else {"availableNow": True}
+    return source.writeStream.foreachBatch(drain).option("checkpointLocation", checkpoint).trigger(**trigger).start()
 
 
 def cadence_stream(turns: DataFrame, cadence: int) -> DataFrame:
