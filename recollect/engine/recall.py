@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import jsons
 from ..functions import scalar as sc
-from ..operators import graph, memory, mutations, text
+from ..operators import graph, inverted, memory, mutations
 from . import cypher
 from .gateway import Gateway
 
@@ -65,9 +65,9 @@ def strategy(name: str):
 class Engine:
     """Memories, relationships and memo versions of a snapshot, with a clock and injected providers."""
 
-    def __init__(self, m: DataFrame, edges: DataFrame, now: Column, gateway: Gateway | None = None, versions: DataFrame | None = None, allow_cypher: bool = False, rules: tuple = (), reranker: Callable[[str], Column] | None = None):
+    def __init__(self, m: DataFrame, edges: DataFrame, now: Column, gateway: Gateway | None = None, versions: DataFrame | None = None, allow_cypher: bool = False, rules: tuple = (), reranker: Callable[[str], Column] | None = None, index: inverted.Index | None = None):
         self.m, self.edges, self.now, self.gateway, self.versions = m, edges, now, gateway, versions
-        self.allow_cypher, self.rules, self.reranker = allow_cypher, rules, reranker
+        self.allow_cypher, self.rules, self.reranker, self.index = allow_cypher, rules, reranker, index
         self._tiers: dict[str, list[str]] = {}
         self._probe: dict[Any, tuple[float, bool]] = {}
         self.steps: list[Callable[[int, str], None]] = []
@@ -163,7 +163,9 @@ def vector(engine: Engine, r: Request) -> DataFrame:
 
 @strategy("LEXICAL")
 def lexical(engine: Engine, r: Request) -> DataFrame:
-    return text.lexical_recall(engine.scan(r), r.query, engine.now, r.top_k) if r.query.strip() else nothing(engine)
+    """By full-text rank, from the engine's index where it has one (extra: ts_config, english or simple, where it hasn't)."""
+    config = r.extra.get("ts_config", "english")
+    return inverted.recall(engine.scan(r), r.query, engine.now, r.top_k, engine.index, config, r.org) if r.query.strip() else nothing(engine)
 
 
 @strategy("GRAPH")

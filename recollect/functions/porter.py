@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
 _STEP2 = "ational:ate tional:tion enci:ence anci:ance izer:ize abli:able alli:al entli:ent eli:e ousli:ous ization:ize ation:ate ator:ate alism:al iveness:ive fulness:ful ousness:ous aliti:al iviti:ive biliti:ble"
 _STEP3 = "icate:ic ative: alize:al iciti:ic ical:ic ful: ness:"
@@ -35,6 +36,7 @@ def _swap(w: str, rules: list[tuple[str, str]], least: int) -> str:
     return w
 
 
+@lru_cache(100_000)
 def stem(w: str) -> str:
     """The stem of a lower-case word; words of two letters or with other signs than a to z stay."""
     if len(w) < 3 or not re.fullmatch("[a-z]+", w):
@@ -63,3 +65,20 @@ def stem(w: str) -> str:
 def english_terms(text: str | None, stop: frozenset[str]) -> list[str]:
     """Stems of the words and numbers of a text that are no stop words, in their order."""
     return [stem(re.sub("'s$", "", w)) for w in re.findall(r"[^\W_]+(?:'[^\W_]+)?", (text or "").lower().replace("’", "'")) if w not in stop]
+
+
+_WORD = re.compile(r"[0-9a-z\x80-\U0010ffff]+")
+
+
+def positioned_terms(text: str | None, stop: frozenset[str] | None) -> dict[str, list[int]]:
+    """Each term's positions, from 1, among all words of a text. With stop words: stems of the others; without: the words themselves."""
+    out: dict[str, list[int]] = {}
+    low = (text or "").lower()
+    if stop is None:
+        for at, w in enumerate(_WORD.findall(low), 1):
+            out.setdefault(w, []).append(at)
+        return out
+    for at, w in enumerate(re.findall(r"[^\W_]+(?:'[^\W_]+)?", low.replace("’", "'")), 1):
+        if w not in stop:
+            out.setdefault(stem(re.sub("'s$", "", w)), []).append(at)
+    return out

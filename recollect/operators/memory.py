@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import jsons
 from ..functions import scalar as sc
+from . import nearest
 
 
 def scan(m: DataFrame, org, agent=None, user=None, memory_type=None, metadata: dict | None = None, between=None, as_of=None, include_deleted=False, exclude_quarantined=False, conversation=None) -> DataFrame:
@@ -44,20 +45,9 @@ def recall_fallback(m: DataFrame, now: Column, k: int = 10) -> DataFrame:
     return top.withColumn("relevance_score", 0.5 * F.col("importance_score") + 0.5 * sc.recency(now, F.col("created_at")))
 
 
-QUERY_BLOCK, SLICES = 1000, 32
-
-
 def knn_per_query(m: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """The k nearest memories of each (query_id, q) of a stated query set, without the memory of the query's own id.
-
-    Blocks of queries meet slices of the memories, so that no side is sent whole to a task."""
-    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    asked = queries.withColumn("knn_block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")).withColumn("knn_slice", every(SLICES))
-    held = m.withColumn("knn_slice", F.pmod(F.xxhash64("id"), F.lit(SLICES)).cast("int")).withColumn("knn_block", every(blocks))
-    pairs = held.join(asked, ["knn_block", "knn_slice"]).filter(F.col("id") != F.col("query_id")).drop("knn_block", "knn_slice").withColumn("similarity", sc.cosine(F.col("embedding"), F.col("q")))
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.col("similarity").desc(), "id"))
-    return pairs.withColumn("rank", rank).filter(F.col("rank") <= k)
+    """The k nearest memories of each (query_id, q) of a stated query set, without the memory of the query's own id."""
+    return nearest.knn(m, queries, k)
 
 
 def near_duplicate(m: DataFrame, query: Column, threshold: float = 0.95) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalar as sc
-from ..operators import audit, graph, memory, ontology, refine, text
+from ..operators import audit, graph, inverted, memory, nearest, ontology, refine, text
 from ..operators.cuts import shared_folder
 from ..sources import loaders
 from ..streaming import jobs as streams
@@ -102,6 +102,21 @@ def batch_knn_topk(spark, sf):
     return memory.knn_per_query(e, asked, 10).select("query_id", "id", F.col("rank").cast("long").alias("rank"))
 
 
+DUE = "SELECT count(*) AS n FROM embeddings WHERE vec_id % 20 = 0"
+
+
+@query(f"WITH d AS ({DUE}), e AS (SELECT least(10, count(*) - 1) AS k FROM embeddings) SELECT n AS queries, n * k AS neighbours, true AS reached FROM d, e")
+def ivf_recall(spark, sf):
+    """An inverted file over all embeddings, asked all due queries: whether it finds nine tenths of the ten nearest."""
+    e = t.read(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    index = nearest.build(e, nearest.folder(shared_folder(spark)))
+    asked = e.filter("id % 20 = 0").select(F.col("id").alias("query_id"), F.col("embedding").alias("q"))
+    true = nearest.knn(e, asked, 10).select("query_id", "id")
+    found = nearest.search(index, asked, 10).select("query_id", "id", F.lit(1).alias("hit"))
+    x = true.join(found, ["query_id", "id"], "left")
+    return x.agg(F.count_distinct("query_id").alias("queries"), F.count("*").alias("neighbours"), (F.count("hit") / F.count("*") >= 0.9).alias("reached"))
+
+
 @query(with_tables("SELECT id, memory_type, importance_score FROM memories WHERE org_id = 2 AND id = 42 AND deleted_at IS NULL", "memories"))
 def point_lookup(spark, sf):
     return memory.scan(t.memories(spark, sf), 2).filter("id = 42").select("id", "memory_type", "importance_score")
@@ -408,6 +423,40 @@ def lexical_recall_english(spark, sf):
     return text.lexical_recall(memory.scan(t.memories(spark, sf), 0), "the things", t.now()).select("id", r6("lexical"), r6("relevance_score"))
 
 
+#: Full-text ranks in SQL, from the positions of each word in the whole text.
+POSITIONS = r"x AS (SELECT id, created_at, importance_score, regexp_extract_all(lower(content), '[0-9a-z\x{80}-\x{10FFFF}]+') AS w FROM memories WHERE org_id = 0 AND deleted_at IS NULL), f AS (SELECT id, created_at, importance_score, list_transform(list_filter(range(1, len(w) + 1), lambda i: w[i] = 'this')[1:256], lambda p: least(p, 16383)) AS a, list_transform(list_filter(range(1, len(w) + 1), lambda i: w[i] = 'with')[1:256], lambda p: least(p, 16383)) AS b FROM x)"
+NEAR = "sqrt(0.01::DOUBLE * CASE WHEN abs(p - q) > 100 THEN 1e-30::DOUBLE ELSE 1 / (1.005::DOUBLE + 0.05::DOUBLE * exp(abs(p - q) / 1.5::DOUBLE - 2)) END)"
+RANKS = f", s AS (SELECT id, greatest(1 - product(CASE WHEN p = q THEN 1 ELSE 1 - {NEAR} END), 1e-20)::FLOAT::DOUBLE AS rank FROM (SELECT id, p, unnest(b) AS q FROM (SELECT id, b, unnest(a) AS p FROM f)) GROUP BY 1)"
+RANK = ", s AS (SELECT id, (sum(0.1::DOUBLE / (j * j)) / 1.64493406685::DOUBLE)::FLOAT::DOUBLE AS rank FROM (SELECT id, unnest(range(1, len(b) + 1)) AS j FROM f) GROUP BY 1)"
+LEXICAL = f" SELECT id, round(least(rank, 1), 6) AS lexical, round(0.7::DOUBLE * least(rank, 1) + 0.2::DOUBLE * importance_score + 0.1::DOUBLE * {REC}, 6) AS relevance_score FROM f JOIN s USING (id) ORDER BY rank DESC, created_at DESC, id LIMIT 10"
+
+
+def _index(spark, sf) -> inverted.Index:
+    return inverted.build(t.memories(spark, sf), f"{shared_folder(spark)}/terms-{uuid.uuid4().hex}", "simple", 64)
+
+
+def _by_rank(spark, sf, words: str, index: inverted.Index | None) -> DataFrame:
+    m = memory.scan(t.memories(spark, sf), 0)
+    return inverted.recall(m, words, t.now(), index=index, config="simple", org=0).select("id", r6("lexical"), r6("relevance_score"))
+
+
+@query(with_tables(LEXICAL, "memories", more=POSITIONS + RANKS))
+def lexical_index_recall(spark, sf):
+    """Both words by closeness, from an index of all memories."""
+    return _by_rank(spark, sf, "This, with", _index(spark, sf))
+
+
+@query(with_tables(LEXICAL, "memories", more=POSITIONS + RANK))
+def lexical_index_term(spark, sf):
+    return _by_rank(spark, sf, "with", _index(spark, sf))
+
+
+@query(with_tables(LEXICAL, "memories", more=POSITIONS + RANKS))
+def lexical_scan_rank(spark, sf):
+    """The same from the texts."""
+    return _by_rank(spark, sf, "this with", None)
+
+
 # --- refinement, usage, jobs, conversations --------------------------------------------------------------------------
 
 DEDUPE = """v AS (SELECT * REPLACE (CASE WHEN id % 13 = 0 THEN '' ELSE ontology_uri END AS ontology_uri), created_at + (id % 3) * INTERVAL 1 DAY AS valid_from FROM memories),
