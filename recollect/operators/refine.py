@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -87,25 +84,6 @@ def content_hashes(m: DataFrame) -> DataFrame:
     return m.select("id", F.sha2(F.coalesce("content", F.lit("")), 256).alias("content_hash"))
 
 
-def merkle(leaves: list[bytes]) -> bytes:
-    """Root over sorted leaves; an odd last one is paired with itself; no leaf: the hash of nothing."""
-    level = sorted(leaves) or [hashlib.sha256(b"").digest()]
-    while len(level) > 1:
-        level = [hashlib.sha256(level[i] + level[min(i + 1, len(level) - 1)]).digest() for i in range(0, len(level), 2)]
-    return level[0]
-
-
-def merkle_roots(m: DataFrame, key: str) -> DataFrame:
-    """Root of each key's leaves sha256(id:content_hash:audit_hash), '-' for a missing part; audit hashes, where m has them, in audit_hash."""
-
-    def root(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({key: [pdf[key].iloc[0]], "merkle_root": [merkle([bytes(x) for x in pdf.leaf]).hex()], "leaves": [len(pdf)]})
-
-    audit_hash = F.when(F.coalesce(F.col("audit_hash"), F.lit("")) != "", F.col("audit_hash")).otherwise("-") if "audit_hash" in m.columns else F.lit("-")
-    leaf = F.unhex(F.sha2(F.concat_ws(":", F.col("id").cast("string"), F.sha2(F.coalesce("content", F.lit("")), 256), audit_hash), 256))
-    return m.select(key, leaf.alias("leaf")).groupBy(key).applyInPandas(root, f"{key} long, merkle_root string, leaves long")
-
-
 # --- usage, jobs, conversations --------------------------------------------------------------------------------------
 
 

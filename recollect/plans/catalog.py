@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalar as sc
-from ..operators import audit, graph, inverted, memory, nearest, ontology, refine, text
+from ..operators import audit, graph, inverted, memory, merkle, nearest, ontology, refine, text
 from ..operators.cuts import shared_folder
 from ..sources import loaders
 from ..streaming import jobs as streams
@@ -564,12 +564,12 @@ MERKLE_SQL = "leaf AS (SELECT c_nationkey AS k, sha256(concat(c_custkey, ':', sh
 @query(f"WITH {MERKLE_SQL} SELECT k AS c_nationkey, h AS merkle_root, (SELECT count(*) FROM leaf WHERE leaf.k = r.k) AS leaves FROM ({' UNION ALL '.join(f'SELECT k, h FROM m{n} WHERE size = 1' for n in range(13))}) r")
 def merkle_by_nation(spark, sf):
     c = t.read(spark, sf, "customer").select(F.col("c_custkey").alias("id"), "c_nationkey", F.col("c_name").alias("content"))
-    return refine.merkle_roots(c, "c_nationkey")
+    return merkle.roots(c, "c_nationkey")
 
 
 @query(with_tables(f"SELECT k AS org_id, h AS merkle_root, (SELECT count(*) FROM leaf WHERE leaf.k = r.k) AS leaves FROM ({' UNION ALL '.join(f'SELECT k, h FROM m{n} WHERE size = 1' for n in range(13))}) r", "memories", more=MERKLE_SQL.replace("SELECT c_nationkey AS k, sha256(concat(c_custkey, ':', sha256(c_name), ':-')) AS h FROM customer", "SELECT org_id AS k, sha256(concat(id, ':', sha256(coalesce(content, '')), ':-')) AS h FROM memories")))
 def merkle_root(spark, sf):
-    return refine.merkle_roots(t.memories(spark, sf).select("id", "org_id", "content"), "org_id")
+    return merkle.roots(t.memories(spark, sf).select("id", "org_id", "content"), "org_id")
 
 
 @query(with_tables("SELECT org_id, day AS period_day, kind, sum(amount)::BIGINT AS count FROM usage WHERE amount > 0 GROUP BY ALL", "usage"))

@@ -24,7 +24,7 @@ MEMORIES = """SELECT d.doc_id AS id, d.doc_id % 4 AS org_id, CAST((d.doc_id % 12
  CASE WHEN d.doc_id % 2 = 0 THEN {TS} '2024-01-01 00:00:00' + ((d.doc_id * 7919) % 2592000 + 3600 * (1 + d.doc_id % 48)) * INTERVAL '1' SECOND END AS last_recalled_at,
  CASE WHEN d.doc_id % 17 = 0 THEN {TS} '2024-01-31 00:00:00' END AS deleted_at, d.doc_id % 20 = 0 AS pinned,
  CASE WHEN d.doc_id % 10 = 0 THEN {TS} '2024-01-08 00:00:00' + ((d.doc_id * 7919) % 2592000) * INTERVAL '1' SECOND END AS ttl_expires_at
- FROM {documents} d LEFT JOIN {embeddings} e ON e.vec_id = d.doc_id % 500"""
+ FROM (SELECT x.*, x.doc_id % n.n AS vec FROM {documents} x CROSS JOIN (SELECT greatest(count(*), 1) AS n FROM {embeddings}) n) d LEFT JOIN {embeddings} e ON e.vec_id = d.vec"""
 
 EDGES = """SELECT s.doc_id * 3 + k.k AS id, s.doc_id % 4 AS org_id, s.doc_id AS source_memory_id, (s.doc_id * (13 + 4 * k.k) + 4 * (k.k + 1)) % n.n AS target_memory_id,
  CASE (s.doc_id + k.k) % 6 WHEN 0 THEN 'derived_from' WHEN 1 THEN 'contradicts' WHEN 2 THEN 'supports' WHEN 3 THEN 'supersedes' WHEN 4 THEN 'related_to' ELSE 'caused_by' END AS relationship_type,

@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 
 from ..engine import cypher, gateway, pipelines
 from ..engine import recall as rc
-from ..functions import jsons
+from ..functions import ed25519, jsons
 from ..functions import scalar as sc
 from ..operators import codegraph, graph, memory, mutations, proof, refine
 from ..sources import loaders
 from . import tables as t
-from .catalog import DEDUPE, FUSED, LIVE, SIM, _probe, _valid, query, r6
+from .catalog import DEDUPE, FUSED, LIVE, MERKLE_SQL, SIM, _probe, _valid, query, r6
 from .tables import with_tables
 
 # --- writes ----------------------------------------------------------------------------------------------------------
@@ -183,11 +183,19 @@ def routing_accuracy(spark, sf):
     return refine.routing_accuracy(e).withColumn("accuracy", F.round("accuracy", 6))
 
 
-@query(with_tables("SELECT org_id, count(*) AS leaves, true AS ok FROM memories WHERE id % 10 = 3 GROUP BY 1", "memories"))
+CERT = MERKLE_SQL.replace("SELECT c_nationkey AS k, sha256(concat(c_custkey, ':', sha256(c_name), ':-')) AS h FROM customer", "SELECT org_id AS k, sha256(concat(id, ':', sha256(coalesce(content, '')), ':-')) AS h FROM memories WHERE id % 10 = 3") + f""",
+roots AS ({' UNION ALL '.join(f'SELECT k AS org_id, h FROM m{n} WHERE size = 1' for n in range(13))}),
+ids AS (SELECT org_id, count(*) AS leaves, string_agg('"' || id || '"', ',' ORDER BY id::VARCHAR) AS ids FROM memories WHERE id % 10 = 3 GROUP BY 1),
+seqs AS (SELECT org_id, min(id) AS a, max(id) AS b FROM log WHERE operation = 'forget' AND (org_id, memory_id) IN (SELECT org_id, id FROM memories WHERE id % 10 = 3) GROUP BY 1)"""
+
+
+@query(with_tables("""SELECT org_id, leaves, a AS audit_seq_start, b AS audit_seq_end, true AS ok, '{"audit_seq_end":' || coalesce(b::VARCHAR, 'null') || ',"audit_seq_start":' || coalesce(a::VARCHAR, 'null') || ',"cert_id":"cert-' || org_id || '","hard_delete":false,"memory_ids":[' || ids || '],"merkle_root":"' || base64(unhex(h)) || '","org_id":"' || org_id || '","signed_at":"2024-02-01T00:00:00+00:00","signer_key_id":"key-1"}' AS payload FROM ids JOIN roots USING (org_id) LEFT JOIN seqs USING (org_id)""", "memories", "log", more=CERT))
 def forget_certificates(spark, sf):
-    sign = proof.hmac_signer(b"key")
-    certs = proof.certificates(t.memories(spark, sf).filter("id % 10 = 3"), "cert", "key-1", "2024-02-01T00:00:00+00:00", sign=sign)
-    return proof.verified(certs, lambda p, s: sign(p) == s).select("org_id", "leaves", "ok")
+    """Signed with an Ed25519 key, checked with its public half; the payloads are those of SQL, byte by byte."""
+    secret = bytes(range(32))
+    gone = t.memories(spark, sf).filter("id % 10 = 3")
+    certs = proof.certificates(gone, "cert", "key-1", "2024-02-01T00:00:00+00:00", sign=proof.signer(secret), log=t.log(spark, sf))
+    return proof.verified(certs, proof.checker(ed25519.public_key(secret))).select("org_id", "leaves", "audit_seq_start", "audit_seq_end", "ok", "payload")
 
 
 @query(with_tables("SELECT m.id, count(*) AS n FROM memories m JOIN (SELECT source_memory_id AS a, target_memory_id AS b FROM edges WHERE relationship_type = 'contradicts' UNION SELECT target_memory_id, source_memory_id FROM edges WHERE relationship_type = 'contradicts') c ON c.a = m.id GROUP BY 1", "memories", "edges"))

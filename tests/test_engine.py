@@ -14,7 +14,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from recollect.functions import scalar
-from recollect.operators import audit, ontology, refine, text
+from recollect.operators import audit, merkle, ontology, refine, text
 from recollect.plans import catalog, tables
 from recollect.sources import loaders
 from recollect.streaming import jobs
@@ -112,7 +112,7 @@ def test_redaction_by_plain_patterns(spark):
 
 @given(st.lists(st.binary(min_size=1, max_size=8), max_size=9))
 def test_merkle_ignores_order(leaves):
-    assert refine.merkle(leaves) == refine.merkle(leaves[::-1])
+    assert merkle.merkle(leaves) == merkle.merkle(leaves[::-1])
 
 
 @given(st.text(alphabet="ab \n", max_size=200))
