@@ -12,21 +12,24 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar as sc
 from ..operators import graph, mutations, refine
+from ..operators.cuts import cut
 from ..operators.text import paragraph_chunks
 from ..sources import loaders
 from .gateway import Gateway
 
 
 def ingest(m: DataFrame, files: DataFrame, org, agent, now: Column, dataset=None) -> tuple[DataFrame, DataFrame]:
-    """(memories, jobs): files (path, content, and mime_type where known) loaded by their kind and stored as semantic memories.
-
-    A file whose path a current memory of the dataset came from is not stored again; a file that can't be loaded fails its job."""
-    loaded = loaders.load(files)
-    held = m.filter((F.col("org_id") == F.lit(org)) & F.col("deleted_at").isNull()).select(F.get_json_object("metadata", "$.source_uri").alias("h_uri")).distinct()
-    x = loaded.join(held, F.col("path") == F.col("h_uri"), "left").withColumn("status", F.when(F.col("error").isNotNull(), "failed").when(F.col("h_uri").isNotNull(), "skipped").when(F.trim(F.coalesce("text", F.lit(""))) == "", "failed").otherwise("completed"))
+    """(memories, jobs): files (path, content, and mime_type where known) loaded by their kind and stored as episodic memories.
+
+    A file whose path a current memory of the dataset (or of none) came from is not stored again; a file that can't be
+    loaded fails its job; one without text becomes the memory '(empty)'."""
+    loaded = cut(loaders.load(files))  # read and parsed once, for all that follows
+    same = F.col("dataset_id").eqNullSafe(F.lit(dataset).cast("string")) if "dataset_id" in m.columns else F.lit(dataset is None)
+    held = m.filter((F.col("org_id") == F.lit(org)) & F.col("deleted_at").isNull() & same).select(F.get_json_object("metadata", "$.source_uri").alias("h_uri")).distinct()
+    x = loaded.join(held, F.col("path") == F.col("h_uri"), "left").withColumn("status", F.when(F.col("error").isNotNull(), "failed").when(F.col("h_uri").isNotNull(), "skipped").otherwise("completed"))
     meta = F.to_json(F.struct(F.col("path").alias("source_uri"), F.col("loader").alias("loader")))
-    new = x.filter("status = 'completed'").select(F.sha2(F.concat_ws(":", F.lit(str(org)), "path"), 256).alias("id"), F.lit(org).alias("org_id"), F.lit(agent).alias("agent_id"), F.lit("semantic").alias("memory_type"), F.col("text").alias("content"), meta.alias("metadata"), F.lit(dataset).cast("string").alias("dataset_id"))
-    jobs = x.select(F.col("path").alias("source_uri"), "status", F.coalesce(F.col("error"), F.when(F.col("status") == "failed", F.lit("no text"))).alias("error"), "loader", now.alias("updated_at"))
+    new = x.filter("status = 'completed'").select(F.sha2(F.concat_ws(":", F.lit(str(org)), F.lit(dataset).cast("string"), "path"), 256).alias("id"), F.lit(org).alias("org_id"), F.lit(agent).alias("agent_id"), F.lit("episodic").alias("memory_type"), F.when(F.trim(F.coalesce("text", F.lit(""))) == "", "(empty)").otherwise(F.col("text")).alias("content"), meta.alias("metadata"), F.lit(dataset).cast("string").alias("dataset_id"))
+    jobs = x.select(F.col("path").alias("source_uri"), "status", "error", "loader", now.alias("updated_at"))
     new = new.withColumn("id", F.col("id").cast(dict(m.dtypes)["id"])) if dict(m.dtypes)["id"] == "string" else new.withColumn("id", F.conv(F.substring("id", 1, 15), 16, 10).cast("long"))
     return mutations.store(m, new, now), jobs
 
@@ -58,7 +61,7 @@ def extracted(chunks: DataFrame, gateway: Gateway) -> DataFrame:
 
 
 def merged(found: DataFrame) -> DataFrame:
-    """Entities once for each case-folded name: the highest confidence, the first on ties, with the first description that isn't empty; relationships likewise."""
+    """Entities once for each name and type, whatever their case: the highest confidence, the first on ties, with the first description that isn't empty; relationships likewise."""
     best = W.partitionBy("id", "what", F.lower("name"), F.lower("type"), F.lower("predicate"), F.lower("target")).orderBy(F.col("confidence").desc(), "pos")
     every = best.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     x = found.filter("what in ('entity', 'edge')").withColumn("rn", F.row_number().over(best))

@@ -240,13 +240,16 @@ def trace(engine: Engine, r: Request) -> DataFrame:
 
 def _graph_query(engine: Engine, r: Request, query: str, label: str) -> DataFrame:
     nodes, edges = mutations.mirror(engine.m.filter(F.col("org_id") == F.lit(r.org)), engine.edges.filter(F.col("org_id") == F.lit(r.org)))
-    values = cypher.run(query, nodes, edges, r.top_k)
+    values = cypher.answers(query, nodes, edges, r.top_k)
     if dict(values.dtypes)["value"] == "double":  # an aggregate: one made-up row
         made = values.select(F.lit(0).cast(dict(engine.m.dtypes)["id"]).alias("id"), F.concat(F.lit(f"{label} aggregate result: "), F.col("value").cast("string")).alias("content"), F.lit(1.0).alias("relevance_score"), F.col("value").alias("aggregate"))
         return made
     from pyspark.sql import Window as W
 
-    ids = values.select(F.col("value").alias("id")).distinct().withColumn("rank", F.row_number().over(W.orderBy("id")))  # at most top_k rows
+    # ids of all returned items, each at its first place
+    each = F.explode(F.array_compact(F.array(*[F.col(c) for c in values.columns if c != "place"])))
+    ids = values.select(each.alias("id"), "place").groupBy("id").agg(F.min("place").alias("place"))
+    ids = ids.withColumn("rank", F.row_number().over(W.orderBy("place", "id"))).drop("place").limit(r.top_k)  # a few for each of at most top_k rows
     return engine.rows_of(r, ids).orderBy(F.col("relevance_score").desc(), "id")
 
 

@@ -11,14 +11,24 @@ from pyspark.sql import functions as F
 
 
 def holds(value, part) -> bool:
-    """Whether a JSON value contains another: objects by keys, arrays by elements (a scalar counts as an element of an array), the rest by equality."""
+    """Whether a JSON value contains another: objects by keys, arrays by elements, the rest by type and value.
+
+    A scalar is held by an array that it is an element of at the top level alone."""
+    if isinstance(value, list) and not isinstance(part, dict | list):
+        return any(_same(x, part) for x in value)
+    return _within(value, part)
+
+
+def _same(value, part) -> bool:
+    return value == part and isinstance(value, bool) is isinstance(part, bool) and isinstance(value, str) is isinstance(part, str)
+
+
+def _within(value, part) -> bool:
     if isinstance(part, dict):
-        return isinstance(value, dict) and all(k in value and holds(value[k], v) for k, v in part.items())
+        return isinstance(value, dict) and all(k in value and _within(value[k], v) for k, v in part.items())
     if isinstance(part, list):
-        return isinstance(value, list) and all(any(holds(x, p) for x in value) for p in part)
-    if isinstance(value, list):
-        return any(not isinstance(x, dict | list) and holds(x, part) for x in value)
-    return type(value) is type(part) and value == part if isinstance(value, bool) or isinstance(part, bool) else value == part
+        return isinstance(value, list) and all(any(_within(x, p) for x in value) for p in part)
+    return not isinstance(value, dict | list) and _same(value, part)
 
 
 def _read(text):
@@ -28,6 +38,15 @@ def _read(text):
         return None
 
 
+def is_json(text: str) -> bool:
+    """Whether a text could also be the text of a JSON value that is no string."""
+    try:
+        json.loads(text)
+    except ValueError:
+        return False
+    return True
+
+
 def contains(column: Column, part: dict) -> Column:
     """Whether a JSON text holds all of part, at any depth; null or broken text holds nothing."""
 

@@ -36,9 +36,9 @@ def recency(now: Column, created: Column) -> Column:
 
 
 def decayed(score: Column, days: Column, rate: float, floor: float, curve: str = "exponential") -> Column:
-    """Importance after so many days under one of three curves."""
+    """Importance after so many days under one of three curves: exponential, logarithmic (divided by 1 + rate * ln(1 + days)), or a step (halved from 1 / rate days on)."""
     d = F.greatest(days, F.lit(0.0))
-    left = {"exponential": score * F.exp(-F.lit(rate) * d), "linear": score * (1 - F.lit(rate) * d), "step": F.when(d < 1 / rate, score).otherwise(score * 0.5)}[curve]
+    left = {"exponential": score * F.exp(-F.lit(rate) * d), "logarithmic": score / (1 + F.lit(rate) * F.log1p(d)), "step": F.when(d < 1 / rate, score).otherwise(score * 0.5)}[curve]
     return F.greatest(F.lit(floor), left)
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 #: The hashed fields, and the operations that a log knows.
 FIELDS = ("org_id", "operation", "agent_id", "user_id", "memory_id", "memory_type", "details", "created_at")
-OPERATIONS = ("store", "recall", "update", "forget", "ttl_expiry", "retention", "decay", "distill", "refine", "audit")
+OPERATIONS = ("store", "recall", "forget", "update", "quarantine", "pin", "unpin", "export", "gdpr_delete", "distill")
 
 
 def matching(log: DataFrame, org, agent=None, user=None, operation=None, memory=None, memory_type=None, between=None) -> DataFrame:
@@ -68,6 +68,11 @@ def enqueue(pending: DataFrame, rows: DataFrame) -> DataFrame:
     return pending.unionByName(numbered, allowMissingColumns=True)
 
 
+def expiries(swept: DataFrame, now: Column) -> DataFrame:
+    """Audit rows of memories that a sweep has forgotten for their age."""
+    return swept.select("org_id", "agent_id", F.col("id").alias("memory_id"), F.lit("forget").alias("operation"), F.to_json(F.struct(F.lit("ttl_expiry").alias("reason"))).alias("details"), now.alias("created_at"))
+
+
 def changed_rows(before: DataFrame, after: DataFrame) -> DataFrame:
     """Rows of an older snapshot that a newer one lacks or holds otherwise: an append-only log has none."""
     return before.exceptAll(after.select(*before.columns))

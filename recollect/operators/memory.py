@@ -18,8 +18,11 @@ def scan(m: DataFrame, org, agent=None, user=None, memory_type=None, metadata: d
         if value is not None:
             keep &= F.col(column) == F.lit(value)
     for k, v in (metadata or {}).items():
-        # texts are compared natively, so that the scan stays in generated code; anything else as JSON
-        keep &= jsons.value_at(F.col("metadata"), k).eqNullSafe(F.lit(v)) if isinstance(v, str) and "'" not in k else jsons.contains(F.col("metadata"), {k: v})
+        # texts are compared natively first; where they could be another type's (1 or "1"), and for the rest, as JSON
+        if plain := isinstance(v, str) and "'" not in k:
+            keep &= jsons.value_at(F.col("metadata"), k).eqNullSafe(F.lit(v))
+        if not plain or jsons.is_json(v):
+            keep &= jsons.contains(F.col("metadata"), {k: v})
     if between is not None:
         keep &= F.col("created_at").between(*between)
     if "valid_from" in m.columns:

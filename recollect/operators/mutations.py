@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import jsons
 from ..functions import scalar as sc
+from . import nearest
 
 #: Fixed values.
 MEMORY_TYPES = ("working", "episodic", "semantic", "procedural")
@@ -19,25 +20,46 @@ class StoreError(ValueError):
     """A write whose values aren't allowed."""
 
 
+class DuplicateMemoryError(StoreError):
+    """A memory that is too near to another one of its org and agent."""
+
+    def __init__(self, existing_id, similarity: float):
+        super().__init__(f"a near-duplicate memory exists: {existing_id} (similarity {similarity:.4f})")
+        self.existing_id, self.similarity = existing_id, similarity
+
+
 def refuse(rows: DataFrame, wrong: Column, why: str) -> None:
     if not rows.filter(F.coalesce(wrong, F.lit(True))).isEmpty():
         raise StoreError(why)
 
 
+def once(rows: DataFrame, key: str) -> None:
+    """Raises where two rows have one key."""
+    if not rows.groupBy(key).count().filter("count > 1").isEmpty():
+        raise StoreError(f"two rows have one {key}")
+
+
 def store(m: DataFrame, rows: DataFrame, now: Column, ttl_seconds: int | None = None, duplicate_threshold: float | None = None) -> DataFrame:
     """m with new memories: (id, org_id, agent_id, content, memory_type) and any further columns of m.
 
-    Importance is .5 where it is null. With a threshold, rows whose nearest current memory of their org and agent is
-    closer are refused."""
+    Importance is .5 where it is null. Ids must be new and differ. With a threshold, rows whose nearest current memory of
+    their org and agent, or nearest other new one, is closer are refused."""
     refuse(rows, F.trim(F.coalesce("content", F.lit(""))) == "", "content must be a non-empty string")
     refuse(rows, ~F.col("memory_type").isin(*MEMORY_TYPES), "memory_type must be one of " + ", ".join(MEMORY_TYPES))
     score = F.coalesce("importance_score", F.lit(0.5)) if "importance_score" in rows.columns else F.lit(0.5)
     refuse(rows, ~score.between(0.0, 1.0), "importance must be between 0.0 and 1.0")
+    once(rows, "id")
+    if not rows.join(m.select("id"), "id", "left_semi").isEmpty():
+        raise StoreError("a memory of this id exists")
     if duplicate_threshold is not None:
-        held = m.filter(F.col("deleted_at").isNull() & F.col("embedding").isNotNull()).select("org_id", "agent_id", F.col("embedding").alias("held"))
-        near = rows.filter(F.col("embedding").isNotNull()).join(held, ["org_id", "agent_id"]).groupBy("id").agg(F.max(sc.cosine(F.col("embedding"), F.col("held"))).alias("sim"))
-        if not near.filter(F.col("sim") > duplicate_threshold).isEmpty():
-            raise StoreError("a near-duplicate memory exists")
+        cell = F.concat_ws(":", F.col("org_id").cast("string"), F.coalesce(F.col("agent_id").cast("string"), F.lit("none")))
+        live = m.filter(F.col("deleted_at").isNull() & (F.col("valid_to").isNull() if "valid_to" in m.columns else F.lit(True)))
+        vectors = lambda d: d.filter(F.col("embedding").isNotNull()).select(cell.alias("cell"), "id", "embedding")
+        asked = vectors(rows).select("cell", F.col("id").alias("query_id"), F.col("embedding").alias("q"))
+        # rows and new ones meet in blocks of an agent's memories, however many it has
+        near = nearest.in_cells(vectors(live).unionByName(vectors(rows)), asked, 1).filter(F.col("similarity") > duplicate_threshold)
+        if found := near.orderBy(F.col("similarity").desc(), "id").select("id", "similarity").limit(1).collect():
+            raise DuplicateMemoryError(*found[0])
     new = rows.withColumn("importance_score", score).withColumn("recall_count", F.lit(0).cast("long")).withColumn("created_at", now)
     for c, value in (("valid_from", now), ("ttl_expires_at", now + F.make_dt_interval(secs=F.lit(ttl_seconds)) if ttl_seconds else None)):
         if c in m.columns and value is not None:
@@ -52,6 +74,7 @@ def update(m: DataFrame, changes: DataFrame, now: Column) -> DataFrame:
     if not names:
         raise StoreError("an update changes content, metadata, importance or type")
     refuse(changes, F.coalesce(*[F.col(c).cast("string") for c in names]).isNull(), "an update changes content, metadata, importance or type")
+    once(changes, "id")
     u = changes.select(F.col("id").alias("u_id"), *[F.col(c).alias(f"u_{c}") for c in names])
     j = m.join(u, (F.col("id") == F.col("u_id")) & F.col("valid_to").isNull() & F.col("deleted_at").isNull(), "left")
     differs = F.lit(False)
@@ -120,7 +143,7 @@ def mirror(m: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     nodes = live.select("id", "org_id", "memory_type", F.left(F.coalesce("content", F.lit("")), F.lit(200)).alias("preview"))
     ids = live.select(F.col("id").alias("n_id"))
     e = edges.join(ids, F.col("source_memory_id") == F.col("n_id"), "left_semi").join(ids, F.col("target_memory_id") == F.col("n_id"), "left_semi")
-    return nodes, e.select(F.col("source_memory_id").alias("src"), F.col("target_memory_id").alias("dst"), sc.safe_label(F.col("relationship_type")).alias("label"), F.coalesce("weight", F.lit(1.0)).alias("weight"))
+    return nodes, e.select(*(["id"] if "id" in edges.columns else []), F.col("source_memory_id").alias("src"), F.col("target_memory_id").alias("dst"), sc.safe_label(F.col("relationship_type")).alias("label"), F.coalesce("weight", F.lit(1.0)).alias("weight"))
 
 
 def stamp_provenance(m: DataFrame, job: str, model: str, prompt_hash: Column) -> DataFrame:

@@ -49,8 +49,8 @@ def mode_agent(m: DataFrame, key: str) -> DataFrame:
 
 
 def merge_entities(entities: DataFrame) -> DataFrame:
-    """Of each case-folded name the entry with the highest confidence, the first on ties; rows (pos, name, type, confidence)."""
-    by = W.partitionBy(F.lower("name")).orderBy(F.col("confidence").desc(), "pos")
+    """Of each name and type, whatever their case, the entry with the highest confidence, the first on ties; rows (pos, name, type, confidence)."""
+    by = W.partitionBy(F.lower("name"), F.lower("type")).orderBy(F.col("confidence").desc(), "pos")
     return entities.withColumn("rn", F.row_number().over(by)).filter("rn = 1").drop("rn")
 
 

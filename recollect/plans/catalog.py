@@ -254,13 +254,19 @@ def audit_immutability(spark, sf):
     return audit.changed_rows(log, log.withColumn("operation", F.when(F.col("id") % 50 == 7, F.lit("forget!")).otherwise(F.col("operation")))).select("id")
 
 
-@query(with_tables("SELECT id, org_id, operation FROM log UNION ALL SELECT (SELECT max(id) FROM log) + row_number() OVER (ORDER BY o), o, 'refine' FROM range(4) r(o)", "log"))
+@query(with_tables("SELECT id, org_id, operation FROM log UNION ALL SELECT (SELECT max(id) FROM log) + row_number() OVER (ORDER BY o), o, 'quarantine' FROM range(4) r(o)", "log"))
 def audit_enqueue(spark, sf):
     log = t.log(spark, sf)
-    rows = spark.range(4).select(F.col("id").alias("org_id"), F.lit("refine").alias("operation"), t.now().alias("created_at"))
+    rows = spark.range(4).select(F.col("id").alias("org_id"), F.lit("quarantine").alias("operation"), t.now().alias("created_at"))
     return audit.enqueue(log, rows).select("id", "org_id", "operation")
 
 
+@query(with_tables("SELECT org_id, id AS memory_id, 'forget' AS operation, '{\"reason\":\"ttl_expiry\"}' AS details FROM memories WHERE ttl_expires_at < TIMESTAMP '2024-02-01' AND deleted_at IS NULL", "memories"))
+def ttl_audit_rows(spark, sf):
+    """What the sweep of expired memories writes to the audit queue."""
+    return audit.expiries(memory.ttl_sweep(t.memories(spark, sf), t.now()), t.now()).select("org_id", "memory_id", "operation", "details")
+
+
 @query(with_tables("SELECT DISTINCT org_id FROM log ORDER BY 1 LIMIT 3", "log"))
 def pending_orgs(spark, sf):
     return t.log(spark, sf).select("org_id").distinct().orderBy("org_id").limit(3)
@@ -506,9 +512,10 @@ def mode_agent(spark, sf):
     return refine.mode_agent(t.memories(spark, sf), "memory_type")
 
 
-@query("SELECT p_partkey AS pos, p_name AS name FROM (SELECT *, row_number() OVER (PARTITION BY lower(p_name) ORDER BY p_size DESC, p_partkey) AS rn FROM part) WHERE rn = 1")
+@query("SELECT p_partkey AS pos, CASE WHEN p_partkey % 2 = 0 THEN upper(p_brand) ELSE p_brand END AS name FROM (SELECT *, row_number() OVER (PARTITION BY lower(p_brand), lower(p_type) ORDER BY p_size DESC, p_partkey) AS rn FROM part) WHERE rn = 1")
 def distill_merge(spark, sf):
-    p = t.read(spark, sf, "part").select(F.col("p_partkey").alias("pos"), F.col("p_name").alias("name"), F.col("p_size").alias("confidence"))
+    """Parts as entities: brands are their names, a brand has many types."""
+    p = t.read(spark, sf, "part").select(F.col("p_partkey").alias("pos"), F.when(F.col("p_partkey") % 2 == 0, F.upper("p_brand")).otherwise(F.col("p_brand")).alias("name"), F.col("p_type").alias("type"), F.col("p_size").alias("confidence"))
     return refine.merge_entities(p).select("pos", "name")
 
 

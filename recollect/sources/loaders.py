@@ -155,7 +155,7 @@ def triples(lines: DataFrame) -> DataFrame:
     kind = F.when(F.col("p").endswith("#type"), local_name(F.regexp_extract("o", r"^<([^>]*)>", 1)))
     named = x.groupBy("uri").agg(F.array_sort(F.collect_set(F.when(F.col("rank").isNotNull(), F.struct("rank", "label")))).alias("labels"), F.min(kind).alias("type_hint"))
     primary = F.coalesce(F.get("labels", F.lit(0))["label"], local_name(F.col("uri")))
-    return named.select("uri", primary.alias("primary"), F.transform(F.slice("labels", 2, 1000), lambda s: s["label"]).alias("aliases"), "type_hint")
+    return named.select("uri", primary.alias("primary"), F.transform(F.slice("labels", F.lit(2), F.greatest(F.size("labels") - 1, F.lit(0))), lambda s: s["label"]).alias("aliases"), "type_hint")
 
 
 def csv_text(raw: str, cap: int = 10_000) -> tuple[str, bool]:

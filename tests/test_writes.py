@@ -58,7 +58,7 @@ def test_audit_enqueue_refuses(spark):
         audit.enqueue(log, spark.createDataFrame([(1, "steal")], "org_id long, operation string").withColumn("created_at", tables.now()))
 
 
-@pytest.mark.parametrize("value,part,want", [({"a": [1, {"b": 2}]}, {"a": [{"b": 2}]}, True), ({"a": 1}, {"a": True}, False), ({"a": [1, 2]}, {"a": 1}, True), ({"a": {"b": 1}}, {"a": {}}, True), ({"a": "x"}, {"a": "y"}, False), ([1, 2], [2], True)])
+@pytest.mark.parametrize("value,part,want", [({"a": [1, {"b": 2}]}, {"a": [{"b": 2}]}, True), ({"a": 1}, {"a": True}, False), ({"a": [1, 2]}, {"a": 1}, False), ([1, 2], 1, True), ([[1, 2]], [1], False), ([[1, 2]], [[2]], True), ({"a": 1}, {"a": "1"}, False), ({"a": 1.0}, {"a": 1}, True), ({"a": {"b": 1}}, {"a": {}}, True), ({"a": "x"}, {"a": "y"}, False), ([1, 2], [2], True)])
 def test_json_holds(value, part, want):
     assert jsons.holds(value, part) is want
 
@@ -68,7 +68,7 @@ def test_json_scrub(spark):
     assert [r[0] for r in got] == ['{"a.b@c.de":["x [REDACTED:EMAIL]",1]}', None, "broken"]
 
 
-@pytest.mark.parametrize("query", ["", "CREATE (n)", "MATCH (n) DELETE n", "MATCH (a) RETURN $$", "/* MATCH */ SET a.x = 1", "MATCH (a)-[*1..99]->(b) RETURN b.id", "MATCH (a) RETURN nonsense()", "RETURN 1"])
+@pytest.mark.parametrize("query", ["", "CREATE (n)", "MATCH (n) DELETE n", "MATCH (a) RETURN $$", "/* MATCH */ SET a.x = 1", "MATCH (a)-[*1..99]->(b) RETURN b.id", "MATCH (a) RETURN nonsense()", "RETURN 1", "MATCH (a) RETURN a.nothing", "MATCH (a) RETURN DISTINCT a.id ORDER BY a.preview", "MATCH (a) RETURN sum(*)", "MATCH (a)-->(a) RETURN a.id"])
 def test_cypher_refuses(spark, query):
     nodes = spark.createDataFrame([(1, "p")], "id long, preview string")
     edges = spark.createDataFrame([(1, 1, "l", 1.0)], "src long, dst long, label string, weight double")
@@ -83,10 +83,20 @@ def test_cypher_patterns(spark):
     assert ids("MATCH (a)-[:next]->(b) WHERE a.id = 1 RETURN b.id") == [2]
     assert ids("MATCH (a)<-[r]-(b) WHERE a.id = 1 RETURN b") == [0]
     assert ids("MATCH (a)-[*2]->(b) WHERE a.id = 0 RETURN b.id") == [2]
-    assert ids("MATCH (a)-[*1..2]-(b) WHERE a.id = 2 RETURN DISTINCT b.id // end") == [0, 1, 2, 3, 4]
+    assert ids("MATCH (a)-[*1..2]-(b) WHERE a.id = 2 RETURN DISTINCT b.id // end") == [0, 1, 3, 4]  # no edge is taken twice
     assert ids("MATCH (a) WHERE a.preview CONTAINS 'node' AND a.id >= 3 RETURN count(*)") == [2.0]
     assert ids("MATCH (a)-[]->(b) RETURN max(b.id)") == [4.0]
     assert ids("MATCH (a) RETURN a.id LIMIT 2") == [0, 1]
+    assert ids("MATCH (a:Concept) RETURN a.id") == [] and ids("MATCH (a:Memory) RETURN a.id ORDER BY a.id DESC LIMIT 2") == [4, 3]
+    assert ids("MATCH (a)-[*1..2]->(b) RETURN count(*)") == [7.0] and ids("MATCH (a)-[*2]-(b) WHERE a.id = 0 RETURN b.id") == [2]
+    assert ids("MATCH (a)-[*0..1]->(b) WHERE a.id = 3 RETURN b.id ORDER BY b.id DESC") == [4, 3]
+    assert ids("MATCH (a)-->(b) RETURN b.preview ORDER BY a.id DESC LIMIT 1") == ["node 4"]
+    several = cypher.run("MATCH (a)-->(b) RETURN a.id AS x, b.id ORDER BY x DESC LIMIT 2", nodes, edges, 10).collect()
+    assert [tuple(r) for r in several] == [(3, 4), (2, 3)]
+    many = spark.createDataFrame([(0, 1, "l", 1.0, 7), (0, 1, "l", 1.0, 8), (1, 1, "l", 1.0, 9)], "src long, dst long, label string, weight double, id long")
+    count = lambda q: cypher.run(q, nodes, many, 10).collect()[0][0]
+    assert count("MATCH (a)-[*1..2]->(b) WHERE a.id = 0 RETURN count(*)") == 4  # two edges, each alone and with the loop
+    assert count("MATCH (a)-[*2]-(b) WHERE a.id = 0 AND b.id = 0 RETURN count(*)") == 2  # there by one, back by the other
 
 
 def test_dispatcher_errors_and_fallbacks(spark):
@@ -196,3 +206,34 @@ def test_forge_errors_and_refine_cycle(spark):
 def test_usage_window_range(spark):
     with pytest.raises(ValueError):
         refine.usage_window(refine.usage(tables.usage(spark, "/root/testdata/sf0.001")), "2024-01-09", "2024-01-03")
+
+
+def test_store_and_update_refuse_repeated_ids_and_near_copies_of_a_batch(spark):
+    m = tables.memories(spark, "/root/testdata/sf0.001").limit(3)
+    rows = rows_of(spark)
+    with pytest.raises(mutations.StoreError):
+        mutations.store(m, rows.union(rows), tables.now())
+    with pytest.raises(mutations.StoreError):
+        mutations.store(mutations.store(m, rows, tables.now()), rows, tables.now())
+    schema = "id long, org_id long, agent_id long, content string, memory_type string, embedding array<double>"
+    batch = lambda *agents: spark.createDataFrame([(900 + i, 1, a, f"t{i}", "episodic", [1.0, 2.0 + i * 1e-6]) for i, a in enumerate(agents)], schema)
+    held = m.withColumn("embedding", F.col("embedding").cast("array<double>"))
+    with pytest.raises(mutations.DuplicateMemoryError) as refused:
+        mutations.store(held, batch(5, 5), tables.now(), duplicate_threshold=0.95)
+    assert refused.value.existing_id in (900, 901) and refused.value.similarity > 0.95
+    assert mutations.store(held, batch(5, 6, None), tables.now(), duplicate_threshold=0.95).count() == 6
+    history = m.withColumn("valid_from", F.col("created_at")).withColumn("valid_to", F.lit(None).cast("timestamp_ntz"))
+    some = history.filter("deleted_at is null").limit(1).select("id", F.lit("x").alias("content"))
+    with pytest.raises(mutations.StoreError):
+        mutations.update(history, some.union(some), tables.now())
+
+
+def test_ingest_knows_files_by_dataset(spark):
+    m = tables.memories(spark, "/root/testdata/sf0.001").limit(2).withColumn("dataset_id", F.lit(None).cast("string"))
+    files = spark.createDataFrame([("/a.txt", b"text"), ("/b.txt", b" ")], "path string, content binary")
+    status = lambda m, d: {r.source_uri: r.status for r in pipelines.ingest(m, files, 1, 1, tables.now(), d)[1].collect()}
+    once = pipelines.ingest(m, files, 1, 1, tables.now(), "d1")[0]
+    assert {r.content for r in once.filter("dataset_id = 'd1' and memory_type = 'episodic'").collect()} == {"text", "(empty)"}
+    assert status(once, "d1") == {"/a.txt": "skipped", "/b.txt": "skipped"}
+    assert status(once, "d2") == status(once, None) == {"/a.txt": "completed", "/b.txt": "completed"}
+    assert pipelines.ingest(once, files, 1, 1, tables.now(), "d2")[0].filter("dataset_id is not null").select("id").distinct().count() == 4
