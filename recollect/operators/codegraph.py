@@ -1,4 +1,4 @@
-"""Code graphs: modules, classes, functions and imports of Python sources, and the edges between them."""
+"""Code graphs: modules, classes, functions and imports of Python, TypeScript, Go and Rust sources, and the edges between them."""
 
 from __future__ import annotations
 
@@ -9,9 +9,16 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import codelex
+
 
 def symbols(path: str, source: str) -> tuple[list[tuple[str, str, str]], list[tuple[str, str, str]]]:
-    """(kind, qualified name, name) of a source's symbols, and (kind, from, to) edges; names outside it are bare. Broken sources have a module alone."""
+    """(kind, qualified name, name) of a source's symbols, and (kind, from, to) edges; names outside it are bare.
+
+    The language is told by the path's extension; Python where it is no known one. Broken Python sources have a module alone."""
+    stem, _, extension = path.rpartition(".")
+    if extension in codelex.EXTENSIONS:
+        return codelex.symbols(codelex.EXTENSIONS[extension], stem.strip("/").replace("/", "."), source)
     module = path.removesuffix(".py").strip("/").replace("/", ".")
     nodes, edges = [("MODULE", module, module.rsplit(".", 1)[-1])], []
     try:

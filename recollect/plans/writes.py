@@ -10,7 +10,7 @@ from ..engine import recall as rc
 from ..functions import ed25519, jsons
 from ..functions import scalar as sc
 from ..operators import codegraph, graph, memory, mutations, proof, refine
-from ..sources import loaders
+from ..sources import loaders, turtle
 from . import tables as t
 from .catalog import DEDUPE, FUSED, LIVE, MERKLE_SQL, SIM, _probe, _valid, query, r6
 from .tables import with_tables
@@ -359,6 +359,50 @@ def refine_pipeline(spark, sf):
     return pipelines.refined(_valid(spark, sf), t.edges(spark, sf), f, t.now())["counters"]
 
 
+#: A source a part, in one of three languages: a class with a base, a method that calls a function and more, and an import.
+SOURCES = {
+    "ts": """import {x} from './lib';\n// class Hidden {}\nexport class C%k extends Base {\n  run(): void { help%k(new Thing(1), "x() {"); }\n}\nfunction help%k(a: T) { return a; }\n""",
+    "go": """package p\nimport "fmt"\ntype C%k struct { n int }\nfunc (c *C%k) Run() { help%k(fmt.Sprint(c)) }\nfunc help%k(s string) { /* x() */ }\n""",
+    "rs": """use std::fmt;\npub struct C%k;\nimpl Base for C%k { fn run(&self) { help%k(1); } }\nfn help%k(n: i32) { println!("{}", n); }\n""",
+}
+_M = "'src.p' || p_partkey"
+_K = lambda before: f"'{before}' || p_partkey"
+_IN = lambda name, key=True: f"{_M} || '.{name}'" + (" || p_partkey" if key else "")
+_METHOD = f"{_M} || '.C' || p_partkey || '.run'"
+SOURCE_EDGES = {
+    0: [("IMPORTS", _M, "'./lib'"), ("DEFINES", _M, _IN("C")), ("INHERITS", _IN("C"), "'Base'"), ("DEFINES", _IN("C"), _METHOD), ("CALLS", _METHOD, _K("help")), ("CALLS", _METHOD, "'Thing'"), ("DEFINES", _M, _IN("help"))],
+    1: [("IMPORTS", _M, "'fmt'"), ("DEFINES", _M, _IN("C")), ("DEFINES", _M, _IN("Run", False)), ("CALLS", _IN("Run", False), _K("help")), ("CALLS", _IN("Run", False), "'Sprint'"), ("DEFINES", _M, _IN("help"))],
+    2: [("IMPORTS", _M, "'std::fmt'"), ("DEFINES", _M, _IN("C")), ("INHERITS", _IN("C"), "'Base'"), ("DEFINES", _IN("C"), _METHOD), ("CALLS", _METHOD, _K("help")), ("DEFINES", _M, _IN("help")), ("CALLS", _IN("help"), "'println'")],
+}
+
+
+@query(" UNION ALL ".join(f"SELECT '{kind}' AS kind, {a} AS source, {b} AS target FROM part WHERE p_partkey % 3 = {k}" for k, edges in SOURCE_EDGES.items() for kind, a, b in edges))
+def code_graph_languages(spark, sf):
+    """The edges of a TypeScript, Go or Rust source for each part."""
+    key = F.col("p_partkey").cast("string")
+    kind = F.element_at(F.array(*[F.lit(x) for x in SOURCES]), (F.col("p_partkey") % 3 + 1).cast("int"))
+    text = F.element_at(F.create_map(*[F.lit(x) for kv in SOURCES.items() for x in kv]), kind)
+    files = t.read(spark, sf, "part").select(F.concat(F.lit("src/p"), key, F.lit("."), kind).alias("path"), F.replace(text, F.lit("%k"), key).alias("text"))
+    return codegraph.extract(files)[1]
+
+
+@query("""SELECT 'http://x.org/P' || p_partkey AS uri, p_name AS "primary", list_aggregate(list_sort(['2plain ' || p_partkey, '3"alt" ' || p_partkey, '3form ' || p_partkey]), 'string_agg', '|') AS aliases, 'Part' AS type_hint FROM part
+UNION ALL SELECT 'http://x.org/L' || p_partkey, 'form ' || p_partkey, '', NULL FROM part UNION ALL SELECT 'http://x.org/B' || p_partkey, 'B' || p_partkey, '', 'Brand' FROM part""")
+def turtle_labels(spark, sf):
+    """A Turtle source a part: prefixes, lists of predicates and objects, escapes, blank nodes, and a label that is a thing of its own."""
+    key = F.col("p_partkey").cast("string")
+    text = """@prefix : <http://x.org/> . PREFIX skos: <http://www.w3.org/2004/02/skos/core#>
+@prefix xl: <http://www.w3.org/2008/05/skos-xl#> . # comment
+@base <http://x.org/> .
+<P%k> a :Part ; :by :B%k, [ skos:prefLabel "nobody" ] ; skos:prefLabel "%n"@en ; skos:altLabel "\\"alt\\" %k" , '%n' ; xl:altLabel :L%k ;
+  <http://www.w3.org/2000/01/rdf-schema#label> \"\"\"plain %k\"\"\" ; :size 3.5 ; :ok true ; :all ( 1 :B%k ) .
+:L%k xl:literalForm "form %k"^^<http://www.w3.org/2001/XMLSchema#string> . :B%k a :Brand ."""
+    files = t.read(spark, sf, "part").select(key.alias("path"), F.replace(F.replace(F.lit(text), F.lit("%k"), key), F.lit("%n"), F.col("p_name")).alias("text"))
+    found = turtle.labelled(turtle.triples(files))
+    ranked = F.transform("aliases", lambda a: F.concat(F.when(a.startswith("plain"), "2").otherwise("3"), a))
+    return found.select("uri", "primary", F.array_join(ranked, "|").alias("aliases"), "type_hint")
+
+
 @query("SELECT 'CLASS' AS kind, count(*) AS n FROM nation UNION ALL SELECT 'FUNCTION', 2 * count(*) FROM nation UNION ALL SELECT 'MODULE', count(*) FROM nation UNION ALL SELECT 'IMPORT', count(*) FROM nation UNION ALL SELECT 'UNRESOLVED', 2")
 def code_graph(spark, sf):
     """A source for each nation: a class with a method that calls a function of the module, an import, and a base that no source has."""

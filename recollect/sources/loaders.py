@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalar import local_name
+from . import turtle
 
 #: Languages by file extension.
 LANGUAGES = {
@@ -147,15 +147,21 @@ def pdf_text(content: bytes) -> tuple[str, dict]:
 
 
 def triples(lines: DataFrame) -> DataFrame:
-    """uri, primary, aliases, type_hint of the subjects of N-Triples lines (value): labels, preferred and other ones; without any, the local name."""
-    x = lines.select(F.regexp_extract("value", r"^<([^>]*)>\s+<([^>]*)>\s+(.*?)\s*\.\s*$", 1).alias("uri"), F.regexp_extract("value", r"^<([^>]*)>\s+<([^>]*)>\s+(.*?)\s*\.\s*$", 2).alias("p"), F.regexp_extract("value", r"^<([^>]*)>\s+<([^>]*)>\s+(.*?)\s*\.\s*$", 3).alias("o")).filter("uri <> ''")
-    label = F.regexp_extract("o", r'^"((?:[^"\\]|\\.)*)"', 1)
-    rank = F.when(F.col("p").endswith("prefLabel"), 0).when(F.col("p").endswith("#label"), 1).when(F.col("p").endswith("altLabel"), 2)
-    x = x.withColumn("rank", rank).withColumn("label", label)
-    kind = F.when(F.col("p").endswith("#type"), local_name(F.regexp_extract("o", r"^<([^>]*)>", 1)))
-    named = x.groupBy("uri").agg(F.array_sort(F.collect_set(F.when(F.col("rank").isNotNull(), F.struct("rank", "label")))).alias("labels"), F.min(kind).alias("type_hint"))
-    primary = F.coalesce(F.get("labels", F.lit(0))["label"], local_name(F.col("uri")))
-    return named.select("uri", primary.alias("primary"), F.transform(F.slice("labels", F.lit(2), F.greatest(F.size("labels") - 1, F.lit(0))), lambda s: s["label"]).alias("aliases"), "type_hint")
+    """uri, primary, aliases, type_hint of the subjects of N-Triples lines (value): ``turtle.labelled`` of what they say."""
+    line = r'^\s*(<[^>]*>|_:\S+)\s+<([^>]*)>\s+(<[^>]*>|_:\S+|"(?:[^"\\]|\\.)*"(?:@[\w-]+|\^\^<[^>]*>)?)\s*\.\s*(?:#.*)?$'
+    part = lambda k: F.regexp_extract("value", line, k)
+    bare = lambda c: F.regexp_replace(c, "^<|>$", "")
+    x = lines.select(bare(part(1)).alias("s"), part(2).alias("p"), part(3).alias("o")).filter("p <> ''")
+
+    @F.pandas_udf("string")
+    def plain(s: pd.Series) -> pd.Series:
+        return s.map(turtle.unescaped)
+
+    quoted = F.regexp_extract("o", r'^"((?:[^"\\]|\\.)*)"', 1)
+    literal = F.col("o").startswith('"')
+    x = x.withColumn("literal", literal).withColumn("o", F.when(~literal, bare(F.col("o"))).otherwise(quoted))
+    escaped = F.contains("o", F.lit("\\"))  # few: the rest stays in the JVM
+    return turtle.labelled(x.filter(~escaped).unionByName(x.filter(escaped).withColumn("o", plain("o"))))
 
 
 def csv_text(raw: str, cap: int = 10_000) -> tuple[str, bool]:
