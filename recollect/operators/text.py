@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import base64
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,8 +17,69 @@ from ..functions import scalar as sc
 from ..functions.porter import english_terms
 
 
+_WORD = re.compile(r"[^ \t\n\r]+")
+
+
+def word_spans(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the white-space tokens of a text, in code points."""
+    spans = np.array([m.span() for m in _WORD.finditer(text)], np.int64).reshape(-1, 2)
+    return spans[:, 0], spans[:, 1]
+
+
+def byte_pair_spans(path: str, pattern: str) -> Callable[[str], tuple[np.ndarray, np.ndarray]]:
+    """The same for the byte pairs of a vocabulary file (a token in base64 and its rank a line), split by a pattern first.
+
+    A token that begins inside a code point begins with the code point, so that windows cover the text without gaps."""
+
+    def spans(text: str) -> tuple[np.ndarray, np.ndarray]:
+        if path not in _vocabularies:
+            import tiktoken
+
+            ranks = {base64.b64decode(t): int(r) for t, r in (line.split() for line in open(path, "rb") if line.strip())}
+            _vocabularies[path] = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        encoding = _vocabularies[path]
+        sizes = [len(encoding.decode_single_token_bytes(t)) for t in encoding.encode_ordinary(text)]
+        at = np.concatenate(([0], np.cumsum(sizes))).astype(np.int64)
+        leads = np.cumsum((np.frombuffer(text.encode(), np.uint8) & 0xC0) != 0x80)  # code points begun up to each byte
+        begun = np.concatenate(([0], leads))
+        starts = np.where(at < len(leads), leads[np.minimum(at, max(len(leads) - 1, 0))] - 1, begun[-1]) if len(leads) else at
+        return starts[:-1], np.maximum(begun[at[1:]], starts[:-1])
+
+    return spans
+
+
+_vocabularies: dict = {}
+
+
+def token_windows(docs: DataFrame, size: int = 1024, overlap: int = 128, spans: Callable[[str], tuple[np.ndarray, np.ndarray]] = word_spans) -> DataFrame:
+    """id, chunk_index, n_tokens, char_start, char_end, chunk: windows of tokens as they stand in the text, text[start:end].
+
+    The last window reaches the last token; blank texts have none. spans tells the tokens of a text. Offsets alone come from
+    Python, a list a text; the windows are cut from the text in the JVM."""
+    if size <= 0 or not 0 <= overlap < size:
+        raise ValueError("size must be positive and overlap in [0, size)")
+    step = size - overlap
+
+    @F.arrow_udf("array<struct<chunk_index:int,n_tokens:int,char_start:int,char_end:int>>")
+    def windows(texts: pa.Array) -> pa.Array:
+        parts, counts = [], []
+        for text in texts.to_pylist():
+            start, end = spans(text) if text and text.strip() else (np.zeros(0, np.int64),) * 2
+            n = len(start)
+            first = np.arange(0, max(1, n - overlap), step) if n else np.zeros(0, np.int64)
+            last = np.minimum(first + size, n)
+            parts.append((np.arange(len(first)), last - first, start[first], end[last - 1]))
+            counts.append(len(first))
+        columns = [pa.array(np.concatenate(c) if parts else [], pa.int32()) for c in zip(*parts, strict=True)] if parts else [pa.array([], pa.int32())] * 4
+        rows = pa.StructArray.from_arrays(columns, ["chunk_index", "n_tokens", "char_start", "char_end"])
+        return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))), pa.int32()), rows)
+
+    t = docs.select("id", "text", F.explode(windows("text")).alias("w"))
+    return t.select("id", "w.*", F.substring("text", F.col("w.char_start") + 1, F.col("w.char_end") - F.col("w.char_start")).alias("chunk"))
+
+
 def token_chunks(docs: DataFrame, size: int = 1024, overlap: int = 128) -> DataFrame:
-    """id, chunk_index, n_tokens, chunk of windows of white-space tokens; the last window reaches the end."""
+    """id, chunk_index, n_tokens, chunk of windows of white-space tokens, joined by one space; the last window reaches the end."""
     if size <= 0 or not 0 <= overlap < size:
         raise ValueError("size must be positive and overlap in [0, size)")
     step = size - overlap

@@ -644,7 +644,30 @@ def chunk_tokens(spark, sf):
     return text.token_chunks(d, 100, 20).select("id", F.col("chunk_index").cast("long").alias("chunk_index"), F.col("n_tokens").cast("long").alias("n_tokens"), F.md5("chunk").alias("chunk_md5"))
 
 
-@query()
+@query("""WITH parts AS (SELECT doc_id AS id, unnest(regexp_extract_all(text, '[^ \\t\\n\\r]+|[ \\t\\n\\r]+')) AS part, generate_subscripts(regexp_extract_all(text, '[^ \\t\\n\\r]+|[ \\t\\n\\r]+'), 1) AS i FROM documents),
+ends AS (SELECT *, sum(len(part)) OVER (PARTITION BY id ORDER BY i) AS till FROM parts),
+tokens AS (SELECT id, till - len(part) AS a, till AS b, row_number() OVER (PARTITION BY id ORDER BY i) - 1 AS n, count(*) OVER (PARTITION BY id) AS whole FROM ends WHERE NOT regexp_matches(part, '^[ \\t\\n\\r]')),
+windows AS (SELECT *, unnest(range(greatest(0, (n - 100) // 80), n // 80 + 1)) AS k FROM tokens),
+w AS (SELECT id, k, count(*) AS n_tokens, min(a) AS a, max(b) AS b FROM windows WHERE n BETWEEN k * 80 AND k * 80 + 99 AND (k = 0 OR k * 80 + 20 < whole) GROUP BY 1, 2)
+SELECT w.id, k::BIGINT AS chunk_index, n_tokens, a::BIGINT AS char_start, b::BIGINT AS char_end, md5(substr(text, a::BIGINT + 1, (b - a)::BIGINT)) AS chunk_md5 FROM w JOIN documents d ON d.doc_id = w.id""")
+def chunk_offsets(spark, sf):
+    """Windows of tokens as they stand in the texts, with their places."""
+    d = t.read(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
+    x = text.token_windows(d, 100, 20)
+    return x.select("id", *[F.col(c).cast("long").alias(c) for c in ("chunk_index", "n_tokens", "char_start", "char_end")], F.md5("chunk").alias("chunk_md5"))
+
+
+#: Paragraphs in SQL: a list of starts and ends, packed by a recursion over them.
+PARAGRAPHS = """parts AS (SELECT doc_id AS id, unnest(regexp_extract_all(text, '\\n\\s*\\n|[^\\n]+|\\n')) AS part, generate_subscripts(regexp_extract_all(text, '\\n\\s*\\n|[^\\n]+|\\n'), 1) AS i FROM documents WHERE text <> ''),
+till AS (SELECT *, sum(len(part)) OVER (PARTITION BY id ORDER BY i) AS e, regexp_matches(part, '^\\n\\s*\\n$') AS gap FROM parts),
+run AS (SELECT *, sum(CASE WHEN gap THEN 1 ELSE 0 END) OVER (PARTITION BY id ORDER BY i) AS g FROM till),
+para AS (SELECT id, g, min(e - len(part)) AS a, max(e) AS b, string_agg(part, '' ORDER BY i) AS body FROM run WHERE NOT gap GROUP BY 1, 2),
+solid AS (SELECT id, a::BIGINT AS a, b::BIGINT AS b, row_number() OVER (PARTITION BY id ORDER BY a) AS r FROM para WHERE regexp_matches(body, '\\S')),
+packed AS (SELECT id, r, a, b, 0 AS k, a AS s FROM solid WHERE r = 1
+ UNION ALL SELECT x.id, x.r, x.a, x.b, CASE WHEN x.b - p.s <= 2000 THEN p.k ELSE p.k + 1 END, CASE WHEN x.b - p.s <= 2000 THEN p.s ELSE x.a END FROM packed p JOIN solid x ON x.id = p.id AND x.r = p.r + 1)"""
+
+
+@query(f"WITH RECURSIVE {PARAGRAPHS} SELECT id, k AS chunk_index, min(s)::INT AS char_start, max(b)::INT AS char_end, greatest(1, (max(b) - min(s)) // 4)::INT AS token_count FROM packed GROUP BY 1, 2")
 def chunk_paragraphs(spark, sf):
     return text.paragraph_chunks(t.read(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text"))
 
