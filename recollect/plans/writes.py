@@ -9,7 +9,7 @@ from ..engine import cypher, gateway, pipelines
 from ..engine import recall as rc
 from ..functions import ed25519, jsons
 from ..functions import scalar as sc
-from ..operators import codegraph, graph, memory, mutations, proof, refine
+from ..operators import codegraph, graph, memory, mutations, proof, refine, text
 from ..sources import loaders, turtle
 from . import tables as t
 from .catalog import DEDUPE, FUSED, LIVE, MERKLE_SQL, SIM, _probe, _valid, query, r6
@@ -348,7 +348,7 @@ STUB = gateway.StubGateway([("tion", {"entities": [{"name": "Nation", "type": "p
 def forge_pipeline(spark, sf):
     """Entities and edges of the stub's extraction; one chunk a memory here, so each counts once."""
     m = t.memories(spark, sf).filter("org_id = 3")
-    got = pipelines.forge(m, STUB, "job-1", most=10_000_000)
+    got = pipelines.forge(m, STUB, "job-1", size=10_000_000)
     memos = got["memos"].groupBy("content").agg(F.count("*").alias("n")).select(F.lit("memo").alias("what"), F.col("content").alias("name"), "n")
     return memos.union(got["edges"].groupBy("relationship_type").agg(F.count("*").alias("n")).select(F.lit("edge"), "relationship_type", "n"))
 
@@ -359,6 +359,31 @@ def refine_pipeline(spark, sf):
     return pipelines.refined(_valid(spark, sf), t.edges(spark, sf), f, t.now())["counters"]
 
 
+WINDOWS = "x AS (SELECT id, org_id, len(list_filter(regexp_split_to_array(content, '[ \\t\\n\\r]+'), lambda w: w <> '')) AS n FROM memories), c AS (SELECT *, greatest(1, ceil((n - 20) / 80.0::DOUBLE))::BIGINT AS chunks FROM x WHERE n > 0)"
+
+
+@query(with_tables("SELECT id, chunks + CASE WHEN chunks > 1 THEN ceil(chunks / 4.0::DOUBLE) ELSE 0 END + CASE WHEN chunks > 4 THEN ceil(ceil(chunks / 4.0::DOUBLE) / 4) ELSE 0 END + CASE WHEN chunks > 16 THEN ceil(ceil(ceil(chunks / 4.0::DOUBLE) / 4) / 4) ELSE 0 END + CASE WHEN chunks > 64 THEN ceil(ceil(ceil(ceil(chunks / 4.0::DOUBLE) / 4) / 4) / 4) ELSE 0 END - CASE WHEN chunks > 1 AND chunks % 4 = 1 THEN 1 ELSE 0 END - CASE WHEN chunks > 4 AND ceil(chunks / 4.0::DOUBLE)::BIGINT % 4 = 1 THEN 1 ELSE 0 END - CASE WHEN chunks > 16 AND ceil(ceil(chunks / 4.0::DOUBLE) / 4)::BIGINT % 4 = 1 THEN 1 ELSE 0 END AS calls FROM c WHERE chunks <= 256", "memories", more=WINDOWS))
+def rolling_summary_calls(spark, sf):
+    """Calls that the summaries of all memories take: one a chunk, then turns of four answers (a turn of one takes none)."""
+    m = t.memories(spark, sf).select("id", F.col("content").alias("text"))
+    chunks = text.token_windows(m, 100, 20).select("id", "chunk_index", F.col("chunk").alias("text"))
+    told = pipelines.rolling(chunks, gateway.StubGateway([], {"summary": "in short"}), 4)
+    return told.select("id", F.col("calls").cast("double").alias("calls"))
+
+
+FORGED = """spent AS (SELECT org_id, sum(amount) AS used FROM usage WHERE amount > 0 AND kind = 'tokens' AND day BETWEEN DATE '2024-01-01' AND DATE '2024-01-20' GROUP BY 1), cap AS (SELECT org_id, used, CASE WHEN org_id % 2 = 0 THEN 1 ELSE 1000000000 END AS cap FROM spent), """ + WINDOWS
+
+
+@query(with_tables("SELECT m.org_id, CASE WHEN used >= cap THEN 'rejected' ELSE 'completed' END AS status, CASE WHEN used >= cap THEN 'monthly tokens budget exceeded: used=' || used::BIGINT || ' cap=' || cap END AS error, CASE WHEN used >= cap THEN 0 ELSE m.n END AS memories, CASE WHEN used >= cap THEN 0 ELSE ch.n END AS chunks_total FROM (SELECT org_id, count(*) AS n FROM memories GROUP BY 1) m LEFT JOIN cap USING (org_id) LEFT JOIN (SELECT org_id, sum(chunks)::BIGINT AS n FROM c GROUP BY 1) ch USING (org_id)", "memories", "usage", more=FORGED))
+def forge_budget_jobs(spark, sf):
+    """Every second tenant has spent its month's tokens: its job is rejected before a call is made."""
+    used = refine.usage(t.usage(spark, sf))
+    caps = spark.range(4).select(F.col("id").alias("org_id"), F.lit("monthly_tokens").alias("name"), F.when(F.col("id") % 2 == 0, 1).otherwise(1_000_000_000).alias("cap"))
+    breaches = refine.first_breach(used, caps, {}, "2024-01-20")
+    got = pipelines.forge(t.memories(spark, sf), STUB, "job-2", size=100, overlap=20, summaries=False, breaches=breaches)["jobs"]
+    return got.select("org_id", "status", "error", "memories", "chunks_total")
+
+
 #: A source a part, in one of three languages: a class with a base, a method that calls a function and more, and an import.
 SOURCES = {
     "ts": """import {x} from './lib';\n// class Hidden {}\nexport class C%k extends Base {\n  run(): void { help%k(new Thing(1), "x() {"); }\n}\nfunction help%k(a: T) { return a; }\n""",

@@ -193,11 +193,18 @@ def test_forge_errors_and_refine_cycle(spark):
     assert got["memos"].count() == 0 and got["errors"].count() >= 6
     m = writes._valid(spark, "/root/testdata/sf0.001")
     e = tables.edges(spark, "/root/testdata/sf0.001")
-    stub = gateway.StubGateway([(" -> ", {"predicate": "Knows Of", "confidence": 0.8})], {"summary": "all of it"})
+    stub = gateway.StubGateway([("Candidates:", {"edges": [{"target_id": 8, "predicate": "Related To", "confidence": 0.8}, {"target_id": 8, "predicate": "knows", "confidence": 0.9}, {"target_id": 10**9, "predicate": "supports", "confidence": 1}]})], {"summary": "all of it"})
     feedback = spark.createDataFrame([(0, 1)], "edge_id long, signal int")
     out = pipelines.refined(m, e, feedback, tables.now(), stub)
     assert {r.summary for r in out["summaries"].collect()} == {"all of it"}
-    assert out["edges"].filter("relationship_type = 'knows_of'").count() > 0
+    live = m.filter("deleted_at is null and memo_type is not null and org_id = 0").orderBy("id").limit(50)
+    known = {(r[0], r[1]) for r in e.select("source_memory_id", "target_memory_id").collect()}
+    focal = [r.id for r in live.collect() if sum(a == r.id for a, _ in known) < 5]
+    made, counters = pipelines.infer(m, e, stub)
+    assert {(r.source_memory_id, r.target_memory_id, r.relationship_type) for r in made.collect()} == {(i, 8, "related_to") for i in focal if i != 8 and (i, 8) not in known}
+    row = {r.org_id: r for r in counters.collect()}[0]
+    assert (row.candidates_examined, row.calls, row.edges_proposed) == (live.count(), len(focal), 3 * len(focal))
+    assert out["edges"].count() > e.filter("weight >= 0.05").count()
     done = out["summaries"].select("cluster_hash")
     live = m.filter("deleted_at is null and memo_type is not null").select("id", "valid_from", "content")
     assert pipelines.summarise(live.withColumn("component", F.lit(1)), stub, done.unionByName(refine.cluster_hash(live.withColumn("component", F.lit(1)), "component", "id").select("cluster_hash"))).count() == 0
@@ -237,3 +244,28 @@ def test_ingest_knows_files_by_dataset(spark):
     assert status(once, "d1") == {"/a.txt": "skipped", "/b.txt": "skipped"}
     assert status(once, "d2") == status(once, None) == {"/a.txt": "completed", "/b.txt": "completed"}
     assert pipelines.ingest(once, files, 1, 1, tables.now(), "d2")[0].filter("dataset_id is not null").select("id").distinct().count() == 4
+
+
+def test_rolling_summaries_call_once_a_chunk_and_turn(spark):
+    class Counting:
+        """Answers with the length of what it is asked, as text."""
+
+        def complete(self, system, user):
+            return {"summary": "" if "silent" in user else f"<{user[:12]}>"}
+
+    rows = [(1, 0, "one")] + [(2, k, f"part {k}") for k in range(9)] + [(3, 0, " "), (3, 1, "silent")] + [(4, 0, "silent"), (4, 1, "spoken")]
+    got = {r.id: (r.summary, r.calls) for r in pipelines.rolling(spark.createDataFrame(rows, "id long, chunk_index int, text string"), Counting(), 4).collect()}
+    # nine parts: nine calls, then turns of 4, 4 and 1 (two calls), then one of three
+    assert got == {1: ("<one>", 1), 2: ("<- <- <part 0>", 12), 4: ("<spoken>", 2)}
+
+
+def test_forge_keeps_a_summary_a_memory_and_skips_what_is_done(spark):
+    m = tables.memories(spark, "/root/testdata/sf0.001").filter("id < 8 and trim(content) <> ''")
+    stub = gateway.StubGateway([], {"summary": "short"})
+    got = pipelines.forge(m, stub, "j", done=m.filter("id = 1").select("id"))
+    memos = got["memos"].collect()
+    assert {(r.memo_type, r.content) for r in memos} == {("SUMMARY", "short")} and {r.source_id for r in memos} == {r.id for r in m.collect()} - {1}
+    assert sum(r.memos_written for r in got["jobs"].collect()) == len(memos) and {r.status for r in got["jobs"].collect()} == {"completed"}
+    every = m.select("org_id").distinct().withColumns({"kind": F.lit("tokens"), "period": F.lit("daily"), "used": F.lit(7), "cap": F.lit(5)})
+    stopped = pipelines.forge(m, gateway.StubGateway([]), "j", breaches=every)
+    assert stopped["errors"].count() == 0 and {(r.status, r.error) for r in stopped["jobs"].collect()} == {("rejected", "daily tokens budget exceeded: used=7 cap=5")}
