@@ -162,9 +162,8 @@ def summarise(clusters: DataFrame, gateway: Gateway, done: DataFrame | None = No
     return texts.select("component", "cluster_hash", told("contents").alias("summary"))
 
 
-#: Entities that a tenant needs for inference, edges from which on one has enough, and the relations that an edge may have.
+#: Entities that a tenant needs for inference, and edges from which on one has enough.
 LEAST_ENTITIES, ENOUGH_EDGES = 2, 5
-RELATIONS = ("derived_from", "contradicts", "supports", "supersedes", "related_to", "caused_by")
 
 
 def infer(m: DataFrame, edges: DataFrame, gateway: Gateway, limit: int = 50, least: float = 0.0) -> tuple[DataFrame, DataFrame]:
@@ -198,7 +197,7 @@ def infer(m: DataFrame, edges: DataFrame, gateway: Gateway, limit: int = 50, lea
     told = cut(focal.select("org_id", "id", "known", F.transform(others, lambda e: e["id"].cast("string")).alias("ids"), proposed(prompt).alias("told")))
     each = told.select("org_id", "id", "known", "ids", F.explode("told").alias("e"))
     right = F.array_contains("ids", F.col("e.target")) & ~F.coalesce(F.array_contains("known", F.col("e.target").try_cast(dict(edges.dtypes)["target_memory_id"])), F.lit(False))
-    made = each.withColumn("relationship_type", sc.safe_label(F.col("e.predicate"))).filter(right & F.col("relationship_type").isin(*RELATIONS) & (F.col("e.confidence") >= least))
+    made = each.withColumn("relationship_type", sc.safe_label(F.col("e.predicate"))).filter(right & F.col("relationship_type").isin(*mutations.RELATIONS) & (F.col("e.confidence") >= least))
     target = F.col("e.target").cast(dict(edges.dtypes)["target_memory_id"])
     made = made.select("org_id", F.col("id").alias("source_memory_id"), target.alias("target_memory_id"), "relationship_type", F.col("e.confidence").alias("weight")).dropDuplicates(["source_memory_id", "target_memory_id"])
     calls = told.groupBy("org_id").agg(F.count("*").alias("calls"), F.sum(F.size("told")).alias("edges_proposed"))

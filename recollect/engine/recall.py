@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import jsons
 from ..functions import scalar as sc
 from ..operators import graph, inverted, memory, mutations
+from ..operators.cuts import cut
 from . import cypher
 from .gateway import Gateway
 
@@ -172,9 +173,20 @@ def lexical(engine: Engine, r: Request) -> DataFrame:
 def graph_strategy(engine: Engine, r: Request) -> DataFrame:
     if r.embedding is None:
         return nothing(engine)
-    seeds = memory.recall_vector(engine.scan(r), r.embedding, engine.now, 3, max(r.threshold, -1.0), r.weights)
-    found = graph.graph_recall(seeds.select("id", "similarity", "importance_score"), engine.edges.filter(F.col("org_id") == F.lit(r.org)), int(r.extra.get("hops", 2)))
-    return seeds.drop("relevance_score").join(found.select("id", "relevance_score"), "id").orderBy(F.col("similarity").desc(), "id").limit(r.top_k)
+    seeds = memory.recall_vector(engine.scan(r), r.embedding, engine.now, 3, max(r.threshold, -1.0), r.weights).drop("relevance_score")
+    own = F.col("org_id") == F.lit(r.org)
+    x = graph.context(cut(seeds), engine.m.filter(own), engine.edges.filter(own), int(r.extra.get("hops", 2)))
+    rich = F.least(F.lit(1.0), (F.size("graph_context.nodes") + F.size("graph_context.edges")) / 10)
+    x = x.withColumn("relevance_score", 0.5 * F.col("similarity") + 0.3 * rich + 0.2 * F.col("importance_score"))
+    if engine.gateway is not None and r.query.strip() and "metadata" in x.columns:
+        x = cut(x)
+        known = x.orderBy(F.col("similarity").desc(), "id").select(F.left("content", F.lit(200)), F.to_json("graph_context")).collect()  # three seeds
+        answer = engine.ask("graph", "\n".join([r.query, *(f"- {c}: {g}" for c, g in known)])).get("answer")
+        if answer:  # rides on the nearest seed
+            first = x.orderBy(F.col("similarity").desc(), "id").limit(1).select(F.col("id").alias("f_id"))
+            told = jsons.merged(F.col("metadata"), F.to_json(F.struct(F.lit(str(answer)).alias("graph_answer"))))
+            x = x.join(F.broadcast(first), F.col("id") == F.col("f_id"), "left").withColumn("metadata", F.when(F.col("f_id").isNotNull(), told).otherwise(F.col("metadata"))).drop("f_id")  # one row
+    return x.orderBy(F.col("similarity").desc(), "id").limit(r.top_k)
 
 
 @strategy("TRIPLET")

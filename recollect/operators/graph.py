@@ -17,7 +17,7 @@ def both_ways(edges: DataFrame) -> DataFrame:
 
 def reach(seeds: DataFrame, edges: DataFrame, hops: int, key: str | None = None) -> DataFrame:
     """(key, id, hop): nodes within so many hops of seeds (key, id), at their smallest hop; seeds have hop 0."""
-    steps = both_ways(edges).select("src", "dst").distinct()
+    steps = both_ways(edges).select("src", "dst")  # met by the front as they are: what repeats goes with the front's own rows
     by = [key] if key else []
     found = seeds.select(*by, "id", F.lit(0).alias("hop"))
     front = found
@@ -74,12 +74,37 @@ def graph_recall(seeds: DataFrame, edges: DataFrame, hops: int, most: int = 50)
     walk = reach(seeds.select(F.col("id").alias("seed"), "id"), edges, hops, "seed").filter("hop > 0")
     walk = walk.withColumn("rn", F.row_number().over(W.partitionBy("seed").orderBy("hop", "id"))).filter(F.col("rn") <= most)
     nodes = walk.groupBy("seed").agg(F.count("*").alias("n_nodes"))
-    steps = both_ways(edges).groupBy(F.col("src").alias("seed")).agg(F.least(F.count("*"), F.lit(most)).alias("n_edges"))
+    mine = both_ways(edges).join(seeds.select(F.col("id").alias("src")), "src", "left_semi")
+    steps = mine.groupBy(F.col("src").alias("seed")).agg(F.least(F.count("*"), F.lit(most)).alias("n_edges"))
     x = seeds.join(nodes.withColumnRenamed("seed", "s1"), F.col("id") == F.col("s1"), "left").join(steps.withColumnRenamed("seed", "s2"), F.col("id") == F.col("s2"), "left").fillna(0, ["n_nodes", "n_edges"])
     rich = F.least(F.lit(1.0), (F.col("n_nodes") + F.col("n_edges")) / 10)
     return x.withColumn("richness", rich).withColumn("relevance_score", 0.5 * F.col("similarity") + 0.3 * F.col("richness") + 0.2 * F.col("importance_score")).drop("s1", "s2")
 
 
+def context(seeds: DataFrame, m: DataFrame, edges: DataFrame, hops: int, most: int = 50) -> DataFrame:
+    """seeds (id, ...) with graph_context: the nodes (id, memory_type) within so many hops, nearest and smallest id first, and the
+    distinct edges (type, target) that meet the seed, at most so many of each, all among current memories (id, memory_type)."""
+    live = m.filter(F.col("deleted_at").isNull()).select(F.col("id").alias("n_id"), "memory_type")
+    ids = live.select("n_id")
+    inside = edges.join(ids, F.col("source_memory_id") == F.col("n_id"), "left_semi").join(ids, F.col("target_memory_id") == F.col("n_id"), "left_semi")
+    walk = reach(seeds.select(F.col("id").alias("seed"), "id"), inside, hops, "seed").filter("hop > 0").join(live, F.col("id") == F.col("n_id"))
+    walk = walk.select("seed", F.col("id").alias("node"), "memory_type", "hop")
+    ends = both_ways(inside).join(seeds.select(F.col("id").alias("src")), "src", "left_semi")
+    ends = ends.select(F.col("src").alias("end"), F.col("label").alias("type"), F.col("dst").alias("target")).distinct()
+    # for each seed its own first ones: the optimiser makes ranks by seed of both
+    near = walk.where(F.col("seed") == F.col("own_id").outer()).orderBy("hop", "node").limit(most)
+    near = near.select(F.struct("hop", "node", "memory_type").alias("n"))
+    meet = ends.where(F.col("end") == F.col("own_id").outer()).orderBy("type", "target").limit(most)
+    meet = meet.select(F.struct("type", "target").alias("e"))
+    own = seeds.select(F.col("id").alias("own_id"))
+    nodes = own.lateralJoin(near).groupBy(F.col("own_id").alias("a_id")).agg(F.transform(F.array_sort(F.collect_list("n")), lambda n: F.struct(n["node"].alias("id"), n["memory_type"].alias("memory_type"))).alias("nodes"))  # most a seed
+    met = own.lateralJoin(meet).groupBy(F.col("own_id").alias("b_id")).agg(F.array_sort(F.collect_list("e")).alias("edges"))  # most a seed
+    x = seeds.join(nodes, F.col("id") == F.col("a_id"), "left").join(met, F.col("id") == F.col("b_id"), "left").drop("a_id", "b_id")
+    kinds = dict(nodes.dtypes) | dict(met.dtypes)
+    full = lambda c: F.coalesce(c, F.array().cast(kinds[c]))
+    return x.withColumn("graph_context", F.struct(full("nodes").alias("nodes"), full("edges").alias("edges"))).drop("nodes", "edges")
+
+
 def triplet_match(m: DataFrame, edges: DataFrame, known: str, label: str | None) -> DataFrame:
     """Ends of undirected edges of a label whose other end's preview holds a text."""
     start = m.filter(F.lower(F.left("content", F.lit(200))).contains(known.lower())).select(F.col("id").alias("src"))

@@ -14,6 +14,7 @@ from . import nearest
 MEMORY_TYPES = ("working", "episodic", "semantic", "procedural")
 ROLES = ("user", "assistant", "system", "tool", "function")
 SIGNALS = (-1, 0, 1)
+RELATIONS = ("derived_from", "contradicts", "supports", "supersedes", "related_to", "caused_by")
 
 
 class StoreError(ValueError):
@@ -68,6 +69,28 @@ def store(m: DataFrame, rows: DataFrame, now: Column, ttl_seconds: int | None =
     return m.unionByName(new.select(*[c for c in m.columns if c in new.columns]), allowMissingColumns=True)
 
 
+def stored(m: DataFrame, rows: DataFrame, now: Column, **options) -> dict[str, DataFrame]:
+    """What a call of ``store`` leaves: memories, and for the new ones their relationships, audit rows and first memo versions.
+
+    rows may have relationships, array<struct<target_id, type, weight>>: known types, weights from 0 to 1 (1 where null), none
+    to the memory itself."""
+    linked = "relationships" in rows.columns
+    kind = dict(rows.dtypes)["id"]
+    each = rows.select("id", "org_id", F.explode("relationships").alias("r")).select(
+        F.col("id").alias("source_memory_id"), "org_id", F.col("r.target_id").alias("target_memory_id"), F.col("r.type").alias("relationship_type"), F.coalesce(F.col("r.weight").cast("double"), F.lit(1.0)).alias("weight")
+    ) if linked else rows.limit(0).select(F.col("id").alias("source_memory_id"), "org_id", F.col("id").alias("target_memory_id"), F.lit("").alias("relationship_type"), F.lit(1.0).alias("weight"))
+    if linked:
+        refuse(each, ~F.col("relationship_type").isin(*RELATIONS), "relationship_type must be one of " + ", ".join(RELATIONS))
+        refuse(each, ~F.col("weight").between(0.0, 1.0), "a weight must be between 0.0 and 1.0")
+        refuse(each, F.col("source_memory_id") == F.col("target_memory_id"), "a memory isn't related to itself")
+    memories = store(m, rows.drop("relationships"), now, **options)
+    number = F.size(F.coalesce("relationships", F.array().cast(rows.schema["relationships"].dataType))) if linked else F.lit(0)
+    details = F.to_json(F.struct(F.col("memory_type"), number.alias("relationship_count")))
+    audit = rows.select("org_id", "agent_id", F.col("id").alias("memory_id"), "memory_type", F.lit("store").alias("operation"), details.alias("details"), now.alias("created_at"))
+    versions = rows.select(F.col("id").cast(kind).alias("memo_id"), F.lit(1).alias("version"), now.alias("valid_from"), F.lit(None).cast("timestamp_ntz").alias("valid_to"))
+    return {"memories": memories, "relationships": each, "audit": audit, "versions": versions}
+
+
 def update(m: DataFrame, changes: DataFrame, now: Column) -> DataFrame:
     """Current rows closed and opened anew with the content, metadata (replaced, not merged), importance or type of changes (id, and at least one of them not null)."""
     names = [c for c in ("content", "metadata", "importance_score", "memory_type") if c in changes.columns]

@@ -345,6 +345,22 @@ def graph_recall(spark, sf):
     return graph.graph_recall(seeds, t.edges(spark, sf), 2).select("id", r6("relevance_score"))
 
 
+CONTEXT = f"""l AS (SELECT id, memory_type FROM memories WHERE org_id = 0 AND {LIVE}), ie AS (SELECT * FROM edges WHERE org_id = 0 AND source_memory_id IN (SELECT id FROM l) AND target_memory_id IN (SELECT id FROM l)),
+ib AS (SELECT source_memory_id AS src, target_memory_id AS dst, relationship_type AS type FROM ie UNION SELECT target_memory_id, source_memory_id, relationship_type FROM ie),
+seeds AS (SELECT id FROM l WHERE id % 8 = 0),
+gw AS (SELECT id AS seed, id, 0 AS hop FROM seeds UNION SELECT gw.seed, ib.dst, gw.hop + 1 FROM gw JOIN ib ON ib.src = gw.id WHERE gw.hop < 2),
+near AS (SELECT seed, id, min(hop) AS hop FROM gw GROUP BY 1, 2 HAVING min(hop) > 0)"""
+
+
+@query(with_tables("SELECT s.id, coalesce(n.nodes, '') AS nodes, coalesce(e.edges, '') AS edges FROM seeds s, LATERAL (SELECT string_agg(x.id || ':' || x.memory_type, ',' ORDER BY x.hop, x.id) AS nodes FROM (SELECT near.id, l.memory_type, near.hop FROM near JOIN l USING (id) WHERE near.seed = s.id ORDER BY near.hop, near.id LIMIT 5) x) n, LATERAL (SELECT string_agg(y.type || ':' || y.dst, ',' ORDER BY y.type, y.dst) AS edges FROM (SELECT DISTINCT type, dst FROM ib WHERE src = s.id ORDER BY 1, 2 LIMIT 5) y) e", "memories", "edges", recursive=True, more=CONTEXT))
+def graph_context(spark, sf):
+    """The surroundings of every eighth memory of a tenant's: five nodes and five edges at most."""
+    m = memory.scan(t.memories(spark, sf), 0)
+    x = graph.context(m.filter("id % 8 = 0").select("id"), m, t.edges(spark, sf).filter("org_id = 0"), 2, 5)
+    said = lambda c, a, b: F.array_join(F.transform(f"graph_context.{c}", lambda e: F.concat(e[a].cast("string"), F.lit(":"), e[b].cast("string"))), ",").alias(c)
+    return x.select("id", said("nodes", "id", "memory_type"), said("edges", "type", "target"))
+
+
 @query(with_tables("SELECT DISTINCT dst AS id FROM (SELECT source_memory_id AS src, target_memory_id AS dst FROM edges WHERE relationship_type = 'supports' UNION ALL SELECT target_memory_id, source_memory_id FROM edges WHERE relationship_type = 'supports') WHERE src IN (SELECT id FROM memories WHERE contains(lower(left(content, 200)), 'tion'))", "memories", "edges"))
 def triplet_match(spark, sf):
     return graph.triplet_match(t.memories(spark, sf), t.edges(spark, sf), "Tion", "supports")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,7 +12,8 @@ from ..engine import recall as rc
 from ..functions import ed25519, jsons
 from ..functions import scalar as sc
 from ..operators import codegraph, graph, memory, mutations, proof, refine, text
-from ..sources import loaders, turtle
+from ..operators.cuts import shared_folder
+from ..sources import loaders, snapshots, turtle
 from . import tables as t
 from .catalog import DEDUPE, FUSED, LIVE, MERKLE_SQL, SIM, _probe, _valid, query, r6
 from .tables import with_tables
@@ -30,6 +33,23 @@ def _history(spark, sf) -> DataFrame:
     return m.withColumn("valid_from", F.col("created_at")).withColumn("valid_to", F.lit(None).cast("timestamp_ntz"))
 
 
+@query(with_tables("SELECT org_id, count(*) + count(*) FILTER (WHERE org_id = 2 AND id % 3 = 0 AND deleted_at IS NULL) AS versions, round(sum(importance_score) + coalesce(sum(importance_score / 2) FILTER (WHERE org_id = 2 AND id % 3 = 0 AND deleted_at IS NULL), 0), 6) AS importance, org_id <> 2 AS files_stay FROM memories WHERE org_id <> 3 AND (importance_score > 0 OR id % 3 > 0 OR org_id <> 2 OR deleted_at IS NOT NULL) GROUP BY 1", "memories"))
+def tenant_update(spark, sf):
+    """A table in a folder a tenant: two tenants' changes leave the files of the others. A third of tenant 2 get half their
+    importance (where it isn't 0, as a version of their own), tenant 3 is forgotten."""
+    path = f"{shared_folder(spark)}/tenants-{uuid.uuid4().hex}"
+    snapshots.create(_history(spark, sf).filter("importance_score > 0 or id % 3 > 0 or org_id <> 2 or deleted_at is not null"), path)
+    lies = lambda: {(r.org_id, r.f) for r in spark.read.parquet(path).select("org_id", F.input_file_name().alias("f")).distinct().collect()}
+    before, now = lies(), t.now()
+    halved = spark.read.parquet(path).filter("org_id = 2 and id % 3 = 0 and deleted_at is null").select(F.col("org_id").cast("long").alias("org_id"), "id", (F.col("importance_score") / 2).alias("importance_score"))
+    snapshots.update(spark, path, halved, now)
+    snapshots.forget(spark, path, spark.read.parquet(path).filter("org_id = 3").select("org_id", "id"))
+    after = lies()
+    kept = F.col("org_id").isin(sorted({o for o, _ in after} - {o for o, _ in after ^ before}))
+    got = spark.read.parquet(path).groupBy(F.col("org_id").cast("long").alias("org_id")).agg(F.count("*").alias("versions"), r6(F.sum("importance_score"), "importance"))
+    return got.withColumn("files_stay", kept)
+
+
 UPDATED = """h AS (SELECT *, created_at AS valid_from, NULL::TIMESTAMP AS valid_to FROM memories), u AS (SELECT id, CASE WHEN id % 3 = 0 THEN 'new text ' || id ELSE content END AS new_content, CASE WHEN id % 3 = 1 THEN '{"v":2}' ELSE metadata END AS new_metadata FROM h WHERE id % 6 < 4 AND deleted_at IS NULL),
 d AS (SELECT h.*, u.new_content, u.new_metadata, u.id IS NOT NULL AND (new_content IS DISTINCT FROM content OR new_metadata IS DISTINCT FROM metadata) AS versioned FROM h LEFT JOIN u ON u.id = h.id)"""
 
