@@ -3,7 +3,10 @@
 Each page's containers are scored by their text less that of links; the best one and those beside it that score a share of
 it vote for their generalised tag-class paths, which Spark sums by host; each page is then extracted again along its
 host's winning paths (its own best containers where those have no text on the page). Names of classes drop containers
-of boilerplate by their last word but for words like `wrapper`, so `post-comments-wrapper` goes and `legal-analysis` stays.
+of boilerplate by their last word but for words like `wrapper`, so `post-comments-wrapper` goes and `legal-analysis` stays;
+headings stay whatever they are named, and a name that articles have too (`market-share`, a section whose id is
+`discussion`) drops its container only where that holds little text or mostly links. A host's winning paths hold on a page
+where what they give is worth a share of the page's own best.
 
 Defined results: null or empty html gives an empty text; repeated rows repeat results; a null or odd url belongs to the
 host ''; an empty table gives no rows; an end tag of head may be missing, a `<` that begins no tag is text, and markup that
@@ -39,7 +42,7 @@ _HOLD = frozenset("article main section div td body center".split())
 #: A class or id whose last word, words for a box left out, is one of these names boilerplate.
 _BAD = frozenset(
     "ad ads adv advert adverts advertisement advertisements adsense advertising sponsor sponsors sponsored banner banners sidebar siderail rail menu menus nav navbar navigation footer footnav masthead topbar header "
-    "cookie cookies consent gdpr notice notices alert alerts comment comments commentlist commentform disqus respond reply replies discussion share sharing sharebar social related recommended recommendations "
+    "cookie cookies consent gdpr notice notices alert alerts comment comments commentlist commentform disqus respond reply replies responses reactions discussion share sharing sharebar social related recommended recommendations "
     "promo promos promotion promotions newsletter subscribe subscription signup login popup modal overlay breadcrumb breadcrumbs pagination pager toolbar copyright disclaimer skip commentsection adslot adbox adunit adsbygoogle "
     "hidden outbrain taboola teaser teasers search searchbox searchform".split()
 )
@@ -53,25 +56,45 @@ _WHOLE = frozenset("widget widgets widget-area".split())
 _ROLE = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 _SPLIT = re.compile(r"[^a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
+#: Words that also name what articles are about, at the end of a longer name or as the id of a section.
+_DOUBTFUL = frozenset("discussion search related share sharing social".split())
+_DOUBTFUL_ID = _DOUBTFUL | frozenset("reply notice notices alert alerts promotion subscription".split())
+#: What a header belongs to that is part of the text.
+_OWN_HEADER = frozenset("article post entry story chapter".split())
+_HEADING = re.compile(r"h[1-6]")
+#: A container of a doubtful name stays with so many characters and less than this share of them in links.
+STAYS, LINKED = 200, 0.3
+#: Winning paths hold where their text has this share of the length of the page's own.
+HOLDS = 0.02
 #: A container beside the best one belongs to the text if it scores this share of it.
 SIBLING = 0.2
 #: A path wins beside its host's first if it has this share of its votes.
 ALSO = 0.5
 
 
-def boilerplate(value: str) -> bool:
-    """Whether a class or id attribute names boilerplate: by the first word of one of its names, or by the last that isn't one for a box."""
+def named(value: str, tag: str = "", key: str = "class") -> int:
+    """2 if a class or id attribute names boilerplate: by the first word of one of its names, or by the last that isn't one for
+    a box; 1 if it may as well name what an article is about; else 0."""
+    worst = 0
     for name in value.split():
         words = [w for w in _SPLIT.split(_CAMEL.sub("-", name).lower()) if w]
         if not words:
             continue
         if words[0] in _STRONG or name.lower() in _WHOLE:
-            return True
+            return 2
         while len(words) > 1 and words[-1] in _BOX and words[-1] not in _BAD:
             del words[-1]
-        if words[-1] in _BAD:
-            return True
-    return False
+        if words[-1] not in _BAD or (words[-1] == "header" and len(words) == 2 and words[0] in _OWN_HEADER):
+            continue
+        doubtful = words[-1] in _DOUBTFUL if len(words) > 1 else key == "id" and tag == "section" and words[-1] in _DOUBTFUL_ID
+        if not doubtful:
+            return 2
+        worst = 1
+    return worst
+
+
+def boilerplate(value: str) -> bool:
+    return named(value) == 2
 
 
 class Page:
@@ -84,7 +107,12 @@ class Page:
         self.path: list[str] = [""]
         self.tag: list[str] = [""]
         self.score: list[float] = [0.0]
+        self.own: list[float] = [0.0]  # what its blocks give it, without those of containers inside
+        self.chars: list[list[int]] = [[0, 0]]  # of text, and of links in it
+        self.doubtful: list[int] = []
+        self.cut: set[int] = set()
         self._read(html)
+        self._weigh()
 
     def _read(self, html: str) -> None:
         stack: list[tuple[str, bool, int]] = []  # tag, dropped, container
@@ -96,6 +124,7 @@ class Page:
             if block[0]:
                 worth = max(0.0, block[0] - 2.0 * block[1])
                 score[holder] += worth
+                self.own[holder] += worth
                 if (up := self.parent[holder]) > 0:
                     score[up] += worth / 2
             block[0] = block[1] = 0
@@ -106,6 +135,8 @@ class Page:
                 n = m.start() - at
                 block[0] += n
                 block[1] += n * bool(links)
+                self.chars[holder][0] += n
+                self.chars[holder][1] += n * bool(links)
             at = m.end()
             tag = m.group(4)
             if tag is None:
@@ -140,14 +171,15 @@ class Page:
                         break
                     if stack[i][0] in _HOLD or stack[i][0] in ("ul", "ol", "table", "blockquote"):
                         break
-            names, bad = "", tag in (_UNSEEN if self.lenient else _DROP)
+            names, bad, doubt = "", tag in (_UNSEEN if self.lenient else _DROP), False
             if rest and not rest.isspace():
                 for a in _ATTRIBUTE.finditer(rest):
                     key, value = a.group(1).lower(), a.group(2) or a.group(3) or a.group(4) or ""
                     if key in ("class", "id"):
                         if key == "class":
                             names = ".".join([w for w in _SPLIT.split(_CAMEL.sub("-", value).lower()) if w][:3])
-                        bad = bad or (not self.lenient and tag not in ("body", "html", "article", "main") and boilerplate(value))
+                        kind = 0 if self.lenient or tag in ("body", "html", "article", "main") or _HEADING.fullmatch(tag) else named(value, tag, key)
+                        bad, doubt = bad or kind == 2 or (kind == 1 and tag not in _HOLD), doubt or kind == 1
                     elif key == "role":
                         bad = bad or value.lower() in _ROLE
                     elif key == "hidden":
@@ -162,15 +194,39 @@ class Page:
                 self.path.append(f"{self.path[holder]}>{tag}" + (f".{names}" if names else ""))
                 self.tag.append(tag)
                 score.append(0.0)
+                self.own.append(0.0)
+                self.chars.append([0, 0])
                 inside = len(score) - 1
+                if doubt:
+                    self.doubtful.append(inside)
             stack.append((tag, dropped or bad, inside))
             dropped, holder = dropped or bad, inside
             links += tag == "a"
         if at < len(html) and not dropped and (tail := _UNFINISHED.sub("", html[at:])):
             parts.append((tail, holder))
             block[0] += len(tail)
+            self.chars[holder][0] += len(tail)
         close()
 
+    def _weigh(self) -> None:
+        """Leaves out containers of doubtful names that hold little text or mostly links."""
+        if not self.doubtful:
+            return
+        whole = [list(c) for c in self.chars]
+        for i in range(len(whole) - 1, 0, -1):
+            whole[self.parent[i]][0] += whole[i][0]
+            whole[self.parent[i]][1] += whole[i][1]
+        for i in self.doubtful:
+            if whole[i][0] < STAYS or whole[i][1] >= LINKED * whole[i][0]:
+                self.cut.add(i)
+                if (up := self.parent[i]) > 0:
+                    self.score[up] -= self.own[i] / 2
+        gone = [False] * len(self.parent)
+        for i in range(1, len(gone)):
+            gone[i] = i in self.cut or gone[self.parent[i]]
+            if gone[i]:
+                self.score[i] = 0.0
+
     def best(self) -> int:
         """The container with the highest score, or its article or main; 0 (the page) if none has text."""
         s = self.score
@@ -199,15 +255,16 @@ class Page:
     def text(self, roots: set[int]) -> str:
         inside = [False] * len(self.parent)
         for i in range(len(inside)):
-            inside[i] = i in roots or (i > 0 and inside[self.parent[i]])
+            inside[i] = i not in self.cut and (i in roots or (i > 0 and inside[self.parent[i]]))
         raw = "".join(t or " " for t, c in self.parts if inside[c])
         return " ".join(unescape(raw).split()) if "&" in raw else " ".join(raw.split())
 
     def along(self, paths: list[str] | None) -> str:
-        """Text of the containers on the paths, or of the page's own best ones where those have none."""
-        if paths and (roots := {i for i, p in enumerate(self.path) if p in paths}) and (found := self.text(roots)):
+        """Text of the containers on the paths, or of the page's own best ones where those have none or next to none."""
+        own = self.text(self.roots())
+        if paths and (roots := {i for i, p in enumerate(self.path) if p in paths}) and (found := self.text(roots)) and len(found) >= HOLDS * len(own):
             return found
-        return self.text(self.roots()) or ("" if self.lenient else Page(self.html, True).along(None))
+        return own or ("" if self.lenient else Page(self.html, True).along(None))
 
 
 def votes(pages: DataFrame) -> DataFrame:
