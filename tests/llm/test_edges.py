@@ -405,3 +405,17 @@ def test_pipeline_by_brute_force(spark):
     assert got == +want and sum(got.values()) > 100
 
 
+
+
+def test_windows_of_word_numbers_and_their_memory():
+    """Short and repeated items, shared windows, and the automaton's nodes for each word of a benchmark."""
+    items = [("a", "One two three"), ("b", "x " * 30), (None, "one TWO three four"), ("c", "solo"), ("d", "one two, three"), ("e", "")]
+    w = decontaminate.Windows(items)
+    of = lambda text: sorted(w.items_of({k for _, k in w.found(decontaminate.normal_words(text.encode()))}))
+    assert of("zero one two three") == ["a", "d"] and of("one two") == [] and of("x " * 9) == [] and of("y " + "x " * 10) == ["b"] and of("a solo walk") == ["c"]
+    assert [at for at, _ in w.found([b"x"] * 12)] == [9, 10, 11]
+    assert not decontaminate.Windows([]).found([b"x"]) and not decontaminate.Windows([("e", None)]).found([b"x"])
+    r = random.Random(1)
+    long = decontaminate.Windows([(str(i), " ".join(f"w{r.randrange(5000)}" for _ in range(100))) for i in range(200)])
+    assert long.keys.get_stats()["total_size"] < 20_000 * 10 * 40  # at most ten nodes a word
+    assert long.least == 10 and long.runs(np.zeros(50, np.int64)) == []
