@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
@@ -98,8 +99,16 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, off - off[0]
 
 
+def release() -> None:
+    """Gives back what a worker holds and doesn't use: Spark keeps workers for later tasks and stages, which would add to it."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # only glibc has it
+        trim(0)
+
+
 def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batches, sliced so that the texts of a slice hold about limit bytes (one row at least)."""
+    release()
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -113,6 +122,7 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
         ends.append((start, batch.num_rows))
         for a, b in ends:
             yield batch.slice(a, b - a)
+    release()
 
 
 # --- 64-bit hashing of substrings of a buffer, all positions at once -------------------------------------------------

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_bucket, forget, mix, pieces, saved, small, unpack_rows, unpacked
+from .common import by_bucket, forget, mix, pieces, release, saved, small, unpack_rows, unpacked
 
 #: Jaccard similarity of a link, as a fraction.
 SIMILAR = (3, 4)
@@ -40,6 +40,7 @@ def lists_of(keyed: DataFrame) -> DataFrame:
     buckets = n_buckets(total // 8)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             nodes, sizes = batch.column("node").to_numpy(), batch.column("n").to_numpy()
             _, one = np.unique(nodes, return_index=True)
@@ -54,6 +55,7 @@ def lists_of(keyed: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[1][c] for r in rows], pa.binary()) for c in range(3))], names=["bucket", "k", "v", "n"])
 
     def meet(group: pa.Table) -> pa.Table:
+        release()
         k, v, n = unpacked(group, "k"), unpacked(group, "v"), unpacked(group, "n", np.int32)
         order = np.lexsort((v, k))
         k, v, n = k[order], v[order], n[order]
@@ -312,6 +314,7 @@ def across(listed: DataFrame, nodes: DataFrame, edges: DataFrame, labels: DataFr
     shared = shared.join(stars, "star").select("bucket", "star", "ks", "lo", "hi", "comp", "radius", "sig")
 
     def meet(group: pa.Table) -> pa.Table:
+        release()
         ids, comp, lo, hi, radius = (group.column(c).to_numpy().astype(np.int64) for c in ("star", "comp", "lo", "hi", "radius"))
         sig = _folded(group.column("sig").to_pylist())
         lists: dict[int, list[int]] = {}
