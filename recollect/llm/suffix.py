@@ -3,16 +3,21 @@
 Any LEAST-byte string holds an anchor: a GRAM-byte substring whose hash is least among those that start in the string's
 first half, chosen by content alone. Equal strings so meet at equal anchors, and every such string through an anchor lies
 in its context, the SIDE bytes before and the LEAST bytes from the anchor on. Contexts are dealt by the anchor's hash, so
-that the corpus' suffix array falls into independent parts. Of equal contexts the earliest alone goes on: every string
-through the later ones starts earlier there. The different contexts of an anchor make an enhanced suffix array (the
-suffixes from the anchor, their common prefixes, and the reversed texts before them). A stack scan gives its
-common-prefix interval tree; inside an interval, a scan of the left sides tells the groups that share a left extension
-no byte longer, and a group that lies in several children can't be extended to the right either. These are the maximal
-repeat groups of LEAST bytes and more, with all their occurrences: all but the first are removed (``repeats`` returns the
-groups themselves, clipped to the context of the anchor that found them).
-
-An anchor with more than HOT different contexts isn't gathered in one task: its strings are dealt one by one by their own
-fingerprints instead (exact too). Fingerprints are 64-bit hashes; equal ones count as equal strings.
+that the corpus' suffix array falls into independent parts: the contexts of an anchor make an enhanced suffix array (the
+suffixes from the anchor, their common prefixes, and the reversed texts before them), and a stack scan of its common
+prefixes gives its interval tree.
+
+The trees grow bottom up. Their deepest nodes, contexts that are equal throughout, need no bytes: an array sorted by
+fingerprint has a full common prefix between equal neighbours and none between others. They are scanned first inside a
+batch and then for each anchor (``deepest``); all their occurrences but the first are removed and the first goes on,
+so that a frequent passage never meets in one task. Inner nodes come from the bytes of what went on: inside an
+interval, a scan of the left sides tells the groups that share a left extension no byte longer, and a group that lies in
+several children can't be extended to the right either (``repeat_groups``). Together these are the maximal repeat groups
+of LEAST bytes and more; ``repeats`` returns them with all their occurrences, clipped to the context of their anchor.
+
+An anchor with more than HOT different contexts isn't gathered in one task: its LEAST-byte strings are dealt one by one
+and scanned as deepest nodes instead (exact too). Strings are told equal by fingerprints of 128 bits, or byte by byte in
+inner nodes.
 
 Defined results: null counts as empty; rows whose doc_id is null, or a text that is no whole number, lose and cause nothing;
 rows with equal doc_id are one document for the order, so equal starts in them aren't earlier than each other; an empty
@@ -38,6 +43,8 @@ SLICE = 4_000_000
 COMBINE_BYTES = 6_000_000
 BUCKET_BYTES = 6_000_000
 _TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
+#: Bytes under other names, so that a second hash weighs them in its own way.
+_OTHER = np.random.default_rng(9).permutation(256).astype(np.uint8)
 
 
 # --- enhanced suffix array of texts at hand --------------------------------------------------------------------------
@@ -165,14 +172,25 @@ def substring_hashes(data: np.ndarray, start: np.ndarray, size: int) -> np.ndarr
     return out
 
 
-def dominated(h: np.ndarray, c: np.ndarray, doc: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Order by (h, c, doc, pos), and for each in it whether it stands after the first of its (h, c), rows equal to it left out."""
-    order = np.lexsort((pos, doc, c, h))
+def fingerprints(data: np.ndarray, start: np.ndarray, size: int) -> np.ndarray:
+    """128-bit hashes (two columns) of the substrings of a size at ascending starts."""
+    return np.stack((substring_hashes(data, start, size), substring_hashes(_OTHER[data], start, size)), 1)
+
+
+def deepest(h: np.ndarray, c: np.ndarray, doc: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order by (h, c, doc, pos), and for each in it whether it stands after the first of a deepest node, rows equal to that left out.
+
+    c: 128-bit fingerprints (two columns) of the contexts of anchors h. Equal neighbours share a whole context as their
+    common prefix; what different ones share is left to the inner nodes."""
+    order = np.lexsort((pos, doc, c[:, 1], c[:, 0], h))
     h, c, doc, pos = h[order], c[order], doc[order], pos[order]
-    if not len(h):
-        return order, np.zeros(0, bool)
-    fresh = np.concatenate(([True], (h[1:] != h[:-1]) | (c[1:] != c[:-1])))
-    first = np.flatnonzero(fresh)[np.cumsum(fresh) - 1]
+    first = np.arange(len(h))
+    same = (h[1:] == h[:-1]) & (c[1:] == c[:-1]).all(1)
+    nodes = np.array(prefix_intervals([0, *np.where(same, LEAST, 0).tolist()] if len(h) else [], LEAST), np.int64).reshape(-1, 3)
+    size = nodes[:, 1] - nodes[:, 0] + 1
+    head = np.repeat(nodes[:, 0], size)
+    inside = np.arange(len(head)) - np.repeat(np.cumsum(size) - size, size)
+    first[head + inside] = head
     return order, (doc != doc[first]) | (pos != pos[first])
 
 
@@ -192,7 +210,7 @@ def _rows(rows: list[tuple[int, int, list[bytes]]]) -> list[pa.Array]:
 
 
 def _deal(docs: DataFrame, n: int, every: bool = False) -> DataFrame:
-    """Anchors dealt by hash, equal contexts of a batch but for the earliest told at once (rows of spans) unless every one is wanted."""
+    """Anchors dealt by hash; the deepest nodes of a batch are told at once (rows of spans), unless every context is wanted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -200,7 +218,7 @@ def _deal(docs: DataFrame, n: int, every: bool = False) -> DataFrame:
 
         def told() -> pa.RecordBatch:
             h, c, doc, pos = (np.concatenate([x[k] for x in held]) for k in range(4))
-            order, gone = dominated(h, c, doc, pos)
+            order, gone = deepest(h, c, doc, pos)
             h, c, doc, pos = h[order], c[order], doc[order], pos[order]
             gone &= not every
             rows = [(SPANS, b, cols) for b, cols in _span_rows(doc[gone], np.maximum(pos[gone] - SIDE, 0), pos[gone] + LEAST, n)]
@@ -217,7 +235,8 @@ def _deal(docs: DataFrame, n: int, every: bool = False) -> DataFrame:
                     p, text, h = p[own], text[own], h[own]
                 if len(p):
                     lo, hi = np.maximum(p - SIDE, off[text]), np.minimum(p + LEAST, off[text + 1])
-                    c = roll.of(lo, hi) ^ mix((p - lo).astype(np.uint64) * np.uint64(1009) + (hi - p).astype(np.uint64))
+                    reach = mix((p - lo).astype(np.uint64) * np.uint64(1009) + (hi - p).astype(np.uint64))
+                    c = np.stack((roll.of(lo, hi) ^ reach, Rolling(_OTHER[data]).of(lo, hi)), 1)
                     held.append((h, c, batch.column("doc_id").to_numpy()[text], p - off[text] + at))
                 size += len(data)
                 if size > COMBINE_BYTES and held:
@@ -234,7 +253,8 @@ def _meet(n: int, every: bool = False):
         kinds = group.column("kind").to_numpy()
         rows = [(SPANS, r["bucket"], [r["a"], r["b"], r["c"]]) for r in group.filter(pa.array(kinds == SPANS)).to_pylist()]
         of = group.filter(pa.array(kinds == ANCHORS))
-        h, c, doc, pos = unpacked(of, "a", np.uint64), unpacked(of, "b", np.uint64), unpacked(of, "c"), unpacked(of, "d", np.int32).astype(np.int64)
+        h, c = unpacked(of, "a", np.uint64), unpacked(of, "b", np.uint64).reshape(-1, 2)
+        doc, pos = unpacked(of, "c"), unpacked(of, "d", np.int32).astype(np.int64)
         if len(h):
             order = np.argsort(h)
             s = h[order]
@@ -244,13 +264,13 @@ def _meet(n: int, every: bool = False):
             twice[:-1] |= same
             pick = order[twice]
             h, c, doc, pos = h[pick], c[pick], doc[pick], pos[pick]
-            order, gone = dominated(h, c, doc, pos)
+            order, gone = deepest(h, c, doc, pos)
             h, c, doc, pos = h[order], c[order], doc[order], pos[order]
             gone &= not every
             rows += [(SPANS, b, cols) for b, cols in _span_rows(doc[gone], np.maximum(pos[gone] - SIDE, 0), pos[gone] + LEAST, n)]
             if len(h):
                 # the first of each context, where an anchor has several
-                first = np.concatenate(([True], (h[1:] != h[:-1]) | (c[1:] != c[:-1]))) | every
+                first = np.concatenate(([True], (h[1:] != h[:-1]) | (c[1:] != c[:-1]).any(1))) | every
                 h, doc, pos = h[first], doc[first], pos[first]
                 start = np.concatenate(([True], h[1:] != h[:-1]))
                 count = np.diff(np.concatenate((np.flatnonzero(start), [len(h)])))[np.cumsum(start) - 1]
@@ -293,7 +313,7 @@ def _contexts(docs: DataFrame, n: int, every: bool = False) -> DataFrame:
                 if hot.any():
                     s = np.unique((-1 - p[hot][:, None] - np.arange(SIDE + 1)[None, :]).ravel())
                     s = s[(s >= 0) & (s + LEAST <= size)]
-                    wh.append(substring_hashes(data[off[i] : off[i + 1]], s, LEAST))
+                    wh.append(fingerprints(data[off[i] : off[i + 1]], s, LEAST))
                     wd.append(np.full(len(s), ids[i]))
                     wp.append(s)
                 p = p[~hot]
@@ -310,11 +330,11 @@ def _contexts(docs: DataFrame, n: int, every: bool = False) -> DataFrame:
                 rows += [(CONTEXTS, b, cols) for b, cols in by_bucket((mix(all_h.view(np.uint64)) % np.uint64(n)).astype(np.int32), [all_h, np.concatenate(doc), np.concatenate(pos), block])]
             if wh:
                 k, d, s = np.concatenate(wh), np.concatenate(wd), np.concatenate(wp)
-                order, gone = dominated(k, k, d, s)
+                order, gone = deepest(k[:, 0], k, d, s)
                 k, d, s = k[order], d[order], s[order]
                 gone &= not every
                 rows += [(SPANS, b, cols) for b, cols in _span_rows(d[gone], s[gone], s[gone] + LEAST, n)]
-                rows += [(ANCHORS, b, cols) for b, cols in by_bucket((k[~gone] % np.uint64(n)).astype(np.int32), [k[~gone], d[~gone], s[~gone]])]
+                rows += [(ANCHORS, b, cols) for b, cols in by_bucket((k[~gone, 0] % np.uint64(n)).astype(np.int32), [k[~gone], d[~gone], s[~gone]])]
             yield pa.RecordBatch.from_arrays(_rows(rows), names=_NAMES)
 
     return docs.mapInArrow(run, _OUT)
@@ -383,9 +403,9 @@ def _resolve(n: int):
             block = unpacked(of, "d", np.uint8).reshape(len(h), -1)
             rows += [(SPANS, b, cols) for b, cols in _span_rows(*recurring(h, unpacked(of, "b"), unpacked(of, "c"), block), n)]
         of = group.filter(pa.array(kinds == ANCHORS))
-        k, d, s = unpacked(of, "a", np.uint64), unpacked(of, "b"), unpacked(of, "c")
+        k, d, s = unpacked(of, "a", np.uint64).reshape(-1, 2), unpacked(of, "b"), unpacked(of, "c")
         if len(k):
-            order, gone = dominated(k, k, d, s)
+            order, gone = deepest(k[:, 0], k, d, s)
             rows += [(SPANS, b, cols) for b, cols in _span_rows(d[order][gone], s[order][gone], s[order][gone] + LEAST, n)]
         return pa.Table.from_arrays(_rows(rows), names=_NAMES)
 
@@ -402,11 +422,11 @@ def _groups(group: pa.Table) -> pa.Table:
         same = np.full(len(members), int(h[members[0]]) ^ (l << 8) ^ r ^ int(members.min()) << 20)
         out.append(np.stack((same, np.full(len(members), l + r), doc[members], pos[members] - l), 1))
     of = group.filter(pa.array(kinds == ANCHORS))
-    k, d, s = unpacked(of, "a"), unpacked(of, "b"), unpacked(of, "c")
+    k, d, s = unpacked(of, "a").reshape(-1, 2), unpacked(of, "b"), unpacked(of, "c")
     if len(k):
-        _, where, count = np.unique(k, return_inverse=True, return_counts=True)
-        twice = count[where] > 1
-        out.append(np.stack((k[twice], np.full(twice.sum(), LEAST), d[twice], s[twice]), 1))
+        _, where, count = np.unique(k, axis=0, return_inverse=True, return_counts=True)
+        twice = count[where.ravel()] > 1
+        out.append(np.stack((k[twice, 0], np.full(twice.sum(), LEAST), d[twice], s[twice]), 1))
     rows = np.concatenate(out)
     return pa.table({name: pa.array(rows[:, c]) for c, name in enumerate(("repeat", "length", "doc_id", "start"))})
 

@@ -8,6 +8,7 @@ from html.parser import HTMLParser
 
 import numpy as np
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -339,6 +340,38 @@ def test_interval_tree_is_on_the_way(spark, monkeypatch):
     assert list(suffix.repeat_groups(h, block)) == []
 
 
+def test_all_removals_come_from_intervals(spark, monkeypatch):
+    """With the stack scan cut off, in the workers too, no byte goes; with deepest nodes alone, less than the whole."""
+    passage = " ".join(words(60, 5))
+    texts = [passage, passage, *(" ".join(words(40, 50 + i)) + passage[i:] + " ".join(words(30, 80 + i)) for i in range(6))]
+    want = [int(w.sum()) for w in brute_spans(texts)]
+
+    def removed():
+        docs = rows(spark, texts).select("doc_id", "text")
+        return [r.n_removed for r in suffix.sp.digests(suffix.sp.with_spans(docs, suffix.repeated_spans(docs))).orderBy("doc_id").collect()]
+
+    whole, groups = suffix.prefix_intervals, suffix.repeat_groups
+    cloudpickle.register_pickle_by_value(suffix)  # workers get the module as it is here
+    try:
+        assert removed() == want
+        monkeypatch.setattr(suffix, "repeat_groups", lambda *a: iter(()))
+        assert 0 < sum(removed()) < sum(want)
+        monkeypatch.setattr(suffix, "repeat_groups", groups)
+        monkeypatch.setattr(suffix, "prefix_intervals", lambda *a: [])
+        assert sum(removed()) == 0
+    finally:
+        monkeypatch.setattr(suffix, "prefix_intervals", whole)
+        cloudpickle.unregister_pickle_by_value(suffix)
+
+
+def test_fingerprints_of_both_hashes(monkeypatch):
+    """Strings whose first hash alone is equal stay apart."""
+    h, doc, pos = np.array([7, 7, 7], np.uint64), np.array([0, 1, 2]), np.array([0, 0, 0])
+    order, late = suffix.deepest(h, np.array([[5, 1], [5, 2], [5, 1]], np.uint64), doc, pos)
+    assert {int(doc[i]) for i, l in zip(order, late, strict=True) if l} == {2}
+    assert [len(x) for x in suffix.deepest(h[:0], np.zeros((0, 2), np.uint64), doc[:0], pos[:0])] == [0, 0]
+
+
 # --- the pipeline by brute force -------------------------------------------------------------------------------------
 
 
