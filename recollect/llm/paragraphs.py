@@ -1,13 +1,13 @@
 """Operator 10: near-duplicate paragraphs by MinHash banding, exact verification and components.
 
-A paragraph is a line (between \\n) of at least MIN_WORDS words; its set holds its distinct 5-word shingles, or the line as
+A paragraph is a line (between \\n) of at least MIN_WORDS words (a parameter); its set holds its distinct 5-word shingles, or the line as
 a whole if it has fewer words. Sets of fewer than LINKED members are similar only if equal, so their identity tells all. The
 others get BANDS bands of ROWS minima, tuned for recall: a pair of similarity 0.75 shares a band with probability
 1 - (1 - 0.75^3)^12 = 0.9986.
 Colliding paragraphs are verified by the exact Jaccard similarity of their whole sets (links.py); of each component the
 first paragraph (smallest doc_id, then place) stays and the others are removed with the line end after them.
 
-Defined results: null texts have no paragraphs; blank lines and lines of one word are never removed; rows with a null doc_id take no part;
+Defined results: null texts have no paragraphs; blank lines are never removed, nor are shorter lines than asked for (by default those of one word); rows with a null doc_id take no part;
 repeated rows (equal doc_id) are one document: both keep or lose the same lines; an empty table gives no rows; extra
 columns pass through ``remove``.
 """
@@ -46,7 +46,7 @@ def band_keys(sets: list[np.ndarray]) -> np.ndarray:
     return mix(keys + np.arange(BANDS, dtype=np.uint64)[None, :])
 
 
-def lines(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[tuple[int, np.ndarray]]]:
+def lines(batch: pa.RecordBatch, least_words: int = MIN_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[tuple[int, np.ndarray]]]:
     """(text, start, end) of each line, bytes in its text, and (line, set) of the lines long enough."""
     data, off = text_bytes(batch.column("text"))
     ends = np.flatnonzero(data == 10) + 1
@@ -55,19 +55,19 @@ def lines(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, li
     text = np.searchsorted(off, start, "right") - 1
     h, unit, _ = words(data, edges)
     count = np.bincount(unit, minlength=len(start)) if len(unit) else np.zeros(len(start), int)
-    enough = count >= MIN_WORDS
+    enough = count >= max(1, least_words)
     keep = enough[unit] if len(unit) else np.zeros(0, bool)
     number = np.cumsum(enough) - 1
     sets = [(int(i), s) for i, s in zip(np.flatnonzero(enough), (s for _, s in shingle_sets(h[keep], number[unit[keep]], int(enough.sum()))), strict=True)]
     return text, start - off[text], end - off[text], sets
 
 
-def keyed(docs: DataFrame) -> DataFrame:
+def keyed(docs: DataFrame, least_words: int = MIN_WORDS) -> DataFrame:
     """doc_id, start, end, node, n, sig, keys of each paragraph; sig and keys null where a node repeats nearby or has no near copies but equal ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
-            text, start, end, sets = lines(batch)
+            text, start, end, sets = lines(batch, least_words)
             if not sets:
                 continue
             at = np.array([i for i, _ in sets])
@@ -84,16 +84,16 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, start long, end long, node long, n int, sig array<long>, keys binary")
 
 
-def removed_lines(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+def removed_lines(docs: DataFrame, least_words: int = MIN_WORDS) -> tuple[DataFrame, DataFrame]:
     """Paragraphs (doc_id, start, end, node, gone), and (sp_id, sp_spans) of the removed ones."""
     docs = docs.select(whole_id(docs).alias("doc_id"), "text").filter("doc_id is not null and text is not null")
-    found = saved(keyed(docs))
+    found = saved(keyed(docs, least_words))
     places = found.select("doc_id", "start", "end", "node")
     first = saved(places.groupBy("node").agg(F.min(F.struct("doc_id", "start")).alias("at"), F.count("*").alias("copies")))
     where = first.select("node", F.xxhash64("at.doc_id").alias("lk"))
 
     def named_sets(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray]]:
-        text, _, _, sets = lines(batch)
+        text, _, _, sets = lines(batch, least_words)
         return ((int(text[i]), set_id(s), s) for i, s in sets)
 
     fetch = lambda wanted: sets_sent(docs, wanted, where, named_sets)
@@ -117,9 +117,9 @@ def removed_lines(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return told, sp.per_document(packed)
 
 
-def remove(docs: DataFrame) -> DataFrame:
-    """The documents with their texts less the paragraphs that near-copies precede."""
-    return sp.removed(docs, removed_lines(docs)[1])
+def remove(docs: DataFrame, least_words: int = MIN_WORDS) -> DataFrame:
+    """The documents with their texts less the paragraphs (lines of least_words words and more) that near-copies precede."""
+    return sp.removed(docs, removed_lines(docs, least_words)[1])
 
 
 def op10_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -304,6 +304,15 @@ def test_paragraph_recall_and_components(spark):
     assert [bool(t) for t in got] == [root[i] == i for i in range(40)]
 
 
+def test_paragraphs_of_one_word(spark):
+    """Asked for, lines of one word are paragraphs, by their word without case or white space; blank lines stay."""
+    texts = ["Index\none line here\n\nend", "  index \nanother line there\n\nEnd\n", None, "", "\n", "index", "indexes\nindex"]
+    got = [r.text for r in paragraphs.remove(rows(spark, texts), least_words=1).orderBy("doc_id").collect()]
+    assert got == [texts[0], "another line there\n\n", None, "", "\n", "", "indexes\n"]
+    counts = {r.doc_id: (r.n, r.gone) for r in paragraphs.removed_lines(rows(spark, texts), 1)[0].groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.col("gone").cast("int")).alias("gone")).collect()}
+    assert counts == {0: (3, 0), 1: (3, 2), 5: (1, 1), 6: (2, 1)}
+
+
 # --- op9 -------------------------------------------------------------------------------------------------------------
 
 
