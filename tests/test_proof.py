@@ -68,3 +68,13 @@ def test_certificates_hold_the_audit_rows_and_betray_changes(spark):
     assert {r.ok for r in proof.verified(certs, check).collect()} == {True}
     assert {r.ok for r in proof.verified(certs.withColumn("payload", F.concat("payload", F.lit(" "))), check).collect()} == {False}
     assert {r.ok for r in proof.verified(proof.certificates(m, "c", "k", "now"), check).collect()} == {False}
+
+
+def test_roots_of_more_than_twelve_levels(spark):
+    """Over 4096 leaves, where the queries' SQL has no level left."""
+    sizes = {0: 4096, 1: 4097, 2: 9001}
+    m = spark.createDataFrame([(i, o, f"text {i}") for o, n in sizes.items() for i in range(n)], "id long, org_id int, content string")
+    want = {}
+    for r in merkle.leaves(m, "org_id").collect():
+        want.setdefault(r.key, []).append(bytes(r.node))
+    assert {r.org_id: (r.merkle_root, r.leaves) for r in merkle.roots(m, "org_id").collect()} == {o: (merkle.merkle(x).hex(), sizes[o]) for o, x in want.items()}
