@@ -269,3 +269,13 @@ def test_forge_keeps_a_summary_a_memory_and_skips_what_is_done(spark):
     every = m.select("org_id").distinct().withColumns({"kind": F.lit("tokens"), "period": F.lit("daily"), "used": F.lit(7), "cap": F.lit(5)})
     stopped = pipelines.forge(m, gateway.StubGateway([]), "j", breaches=every)
     assert stopped["errors"].count() == 0 and {(r.status, r.error) for r in stopped["jobs"].collect()} == {("rejected", "daily tokens budget exceeded: used=7 cap=5")}
+
+
+def test_graph_queries_stay_within_a_tenant(spark):
+    """An edge to another tenant's memory is neither walked nor counted, and that memory isn't returned."""
+    m = spark.createDataFrame([(1, 1, "semantic"), (2, 2, "semantic"), (3, 1, "semantic")], "id long, org_id long, memory_type string").withColumn("content", F.lit("x")).withColumn("deleted_at", F.lit(None).cast("timestamp_ntz"))
+    edges = spark.createDataFrame([(7, 1, 1, 2, "supports", 1.0), (8, 1, 1, 3, "supports", 1.0)], "id long, org_id long, source_memory_id long, target_memory_id long, relationship_type string, weight double")
+    engine = rc.Engine(m, edges, tables.now(), allow_cypher=True)
+    ask = lambda query: engine.recall(rc.Request(1, strategy="CYPHER", extra={"raw_cypher": query}))[0].collect()
+    assert [r.aggregate for r in ask("MATCH (a)-[:supports]->(b) RETURN count(*)")] == [1.0]
+    assert [r.id for r in ask("MATCH (a)-[:supports]->(b) RETURN DISTINCT b.id")] == [3]
