@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import local_name
+from ..operators.cuts import dealt, kept
 
 RDF = "http://www.w3.org/1999/02/22-rdf-syntax-ns#"
 XSD = "http://www.w3.org/2001/XMLSchema#"
@@ -24,15 +25,17 @@ XL_LABELS = ("http://www.w3.org/2008/05/skos-xl#prefLabel", "http://www.w3.org/2
 XL_FORM = LABELS[3]
 
 _TOKEN = re.compile(
-    r"(?P<skip>\s+|#[^\n]*)"
+    r"(?P<skip>(?:\s+|#[^\n]*)+)"
     r"|<(?P<iri>[^<>\"{}|^`\\\x00-\x20]*(?:\\u[0-9A-Fa-f]{4}[^<>\"{}|^`\\\x00-\x20]*)*)>"
     r"|(?P<text>\"\"\"(?:\"{0,2}(?:\\[\s\S]|[^\"\\]))*\"\"\"|'''(?:'{0,2}(?:\\[\s\S]|[^'\\]))*'''|\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*')"
     r"|@(?P<at>[A-Za-z]+(?:-[A-Za-z0-9]+)*)|\^\^|(?P<blank>_:[\w.-]*\w)"
     r"|(?P<name>(?:\w[\w-]*(?:\.[\w-]+)*)?:(?:[\w:%-]|\\[^\s]|\.(?=[\w:%\\.-]))*)"
     r"|(?P<number>[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?(?<!\.))"
-    r"|(?P<word>[A-Za-z]+)|(?P<sign>[\[\]();,.])"
+    r"|(?P<word>[A-Za-z]+)|(?P<sign>[\[\]();,.])|(?P<other>[\s\S])"
 )
 _ESCAPE = re.compile(r"\\(?:u([0-9A-Fa-f]{4})|U([0-9A-Fa-f]{8})|([\s\S]))")
+#: Triples of a batch, of many small files or a part of a large one.
+BATCH = 10_000
 _SHORT = {"t": "\t", "n": "\n", "r": "\r", "b": "\b", "f": "\f"}
 
 
@@ -56,14 +59,12 @@ class Turtle:
 
     @staticmethod
     def _split(text: str) -> Iterator[tuple[str, str]]:
-        at = 0
-        while at < len(text):
-            m = _TOKEN.match(text, at)
-            if not m:
-                raise TurtleError(f"not understood at {at}: {text[at : at + 20]!r}")
-            at = m.end()
-            if m.lastgroup != "skip":
-                yield (m.lastgroup, m[m.lastgroup]) if m.lastgroup else ("sign", m[0])
+        for m in _TOKEN.finditer(text):  # every character is in a match
+            kind = m.lastgroup
+            if kind == "other":
+                raise TurtleError(f"not understood at {m.start()}: {text[m.start() : m.start() + 20]!r}")
+            if kind != "skip":
+                yield (kind, m[kind]) if kind else ("sign", m[0])
 
     def _peek(self) -> tuple[str, str]:
         if self.i >= len(self.tokens):
@@ -184,21 +185,27 @@ class Turtle:
 def triples(files: DataFrame) -> DataFrame:
     """(path, pos, s, p, o, literal, error) of Turtle files (path, text); a file that can't be read has one row with its error."""
 
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        columns = list(zip(*rows, strict=True))
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["path", "pos", "s", "p", "o", "literal", "error"])
+
+    kinds = [pa.string(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.bool_(), pa.string()]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
         for batch in batches:
             for path, text in zip(batch.column("path").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 try:
-                    found, error = Turtle(text or "", f"{path}#").out, None
+                    rows += [(path, i, *t, None) for i, t in enumerate(Turtle(text or "", f"{path}#").out)]
                 except TurtleError as e:
-                    found, error = [(None, None, None, None)], str(e)[:2000]
-                columns = list(zip(*found, strict=True)) or [()] * 4
-                n = len(found)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([path] * n, pa.string()), pa.array(range(n), pa.int32()), *(pa.array(columns[c], pa.string()) for c in range(3)), pa.array(columns[3], pa.bool_()), pa.array([error] * n, pa.string())],
-                    names=["path", "pos", "s", "p", "o", "literal", "error"],
-                )
+                    rows.append((path, 0, None, None, None, None, str(e)[:2000]))
+                if len(rows) >= BATCH:
+                    yield from (batch_of(rows[a : a + BATCH]) for a in range(0, len(rows), BATCH))
+                    rows = []
+        if rows:
+            yield batch_of(rows)
 
-    return files.select("path", "text").mapInArrow(run, "path string, pos int, s string, p string, o string, literal boolean, error string")
+    return dealt(files.select("path", "text"), "path").mapInArrow(run, "path string, pos int, s string, p string, o string, literal boolean, error string")
 
 
 def labelled(found: DataFrame) -> DataFrame:
@@ -207,6 +214,8 @@ def labelled(found: DataFrame) -> DataFrame:
     Preferred labels come first, then plain and alternative ones, each in order of text; a label that is a thing of its own
     gives its literal form to what it labels, and is named by it itself. Without a label: the local name. The type hint is
     the local name of the first type. Blank nodes are left out."""
+    told = (F.col("literal") & F.col("p").isin(*LABELS)) | (~F.col("literal") & F.col("p").isin(*XL_LABELS, RDF + "type"))
+    found = kept(found.filter(told).select("s", "p", "o", "literal"))  # read four times, parsed once
     own = found.filter("literal")
     rank = lambda p: F.array_position(F.array(*[F.lit(x) for x in LABELS]), p)
     direct = own.filter(F.col("p").isin(*LABELS)).select("s", rank(F.col("p")).alias("rank"), F.col("o").alias("label"))
