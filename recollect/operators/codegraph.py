@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import codelex
+from .cuts import dealt
 
 
 def symbols(path: str, source: str) -> tuple[list[tuple[str, str, str]], list[tuple[str, str, str]]]:
@@ -65,7 +66,7 @@ def extract(files: DataFrame) -> tuple[DataFrame, DataFrame]:
                 rows += [("node", k, q, n, path) for k, q, n in nodes] + [("edge", k, a, b, path) for k, a, b in edges]
             yield pd.DataFrame(rows, columns=["what", "kind", "a", "b", "path"])
 
-    found = files.select("path", "text").mapInPandas(run, "what string, kind string, a string, b string, path string")
+    found = dealt(files.select("path", "text"), "path").mapInPandas(run, "what string, kind string, a string, b string, path string")
     nodes = found.filter("what = 'node'").select("kind", F.col("a").alias("qualified_name"), F.col("b").alias("name"), "path")
     return nodes, found.filter("what = 'edge'").select("kind", F.col("a").alias("source"), F.col("b").alias("target"))
 

@@ -2,6 +2,8 @@
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from recollect.operators import codegraph
 from recollect.sources import loaders, turtle
 
@@ -102,3 +104,21 @@ def test_symbols_of_languages():
     assert calls == {("Area.twice", "area"), ("Area.twice", "two"), ("P.area", "println"), ("P.area", "compute"), ("P.new", "inner"), ("P.new", "swap"), ("P.new", "vec"), ("main", "new"), ("main", "area")}
     for path in ("m.ts", "m.go", "m.rs"):
         assert codegraph.symbols(path, "}}} ((( ``` { class fn func \x00")[0][0] == ("MODULE", "m", "m") and len(codegraph.symbols(path, "")[0]) == 1
+
+
+def test_small_sources_are_dealt_and_parsed_once(spark):
+    """A small file is read by one task; its rows are worked on by all, and labels read triples that were kept."""
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    files = spark.createDataFrame([(f"{i}.ts", f"function f{i}() {{ g(); }}", f'<http://o/{i}> <{turtle.LABELS[0]}> "n{i}" .') for i in range(40)], "path string, text string, ttl string").coalesce(1)
+    found = turtle.triples(files.select("path", F.col("ttl").alias("text")))
+    assert found.rdd.getNumPartitions() == tasks and codegraph.extract(files)[1].rdd.getNumPartitions() == tasks
+    labels = turtle.labelled(found)
+    assert "MapInArrow" not in labels._jdf.queryExecution().executedPlan().toString()
+    assert sorted(r.primary for r in labels.collect()) == sorted(f"n{i}" for i in range(40))
+
+
+def test_a_source_of_many_triples_comes_in_several_batches(spark):
+    text = "\n".join(f'<http://o/{i}> <{turtle.LABELS[0]}> "n{i}" .' for i in range(2 * turtle.BATCH + 7))
+    files = spark.createDataFrame([("a.ttl", text), ("b.ttl", "<"), ("c.ttl", ""), ("d.ttl", '<http://o/d> <http://o/p> "x" .')], "path string, text string")
+    got = {r.path: (r.n, r.pos, r.error) for r in turtle.triples(files).groupBy("path").agg(F.count("*").alias("n"), F.max("pos").alias("pos"), F.max("error").alias("error")).collect()}
+    assert got == {"a.ttl": (2 * turtle.BATCH + 7, 2 * turtle.BATCH + 6, None), "b.ttl": (1, 0, "not understood at 0: '<'"), "d.ttl": (1, 0, None)}
