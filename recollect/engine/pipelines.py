@@ -112,7 +112,7 @@ def forge(m: DataFrame, gateway: Gateway, job: str, model: str = "stub", size: i
     if done is not None:
         m = m.join(done.select("id"), "id", "left_anti")
     if breaches is not None:
-        m = m.join(breaches.select("org_id"), "org_id", "left_anti")
+        m = m.join(F.broadcast(breaches.select("org_id")), "org_id", "left_anti")  # a row a tenant; contents aren't dealt by tenant
     chunks = token_windows(m.select("id", F.col("content").alias("text")), size, overlap).select("id", "chunk_index", F.col("chunk").alias("text"))
     found = cut(extracted(chunks, gateway))
     whole = merged(found)

@@ -279,3 +279,19 @@ def test_graph_queries_stay_within_a_tenant(spark):
     ask = lambda query: engine.recall(rc.Request(1, strategy="CYPHER", extra={"raw_cypher": query}))[0].collect()
     assert [r.aggregate for r in ask("MATCH (a)-[:supports]->(b) RETURN count(*)")] == [1.0]
     assert [r.id for r in ask("MATCH (a)-[:supports]->(b) RETURN DISTINCT b.id")] == [3]
+
+
+def test_budgets_leave_contents_where_they_are(spark):
+    """Breached tenants are told to the memories; contents aren't dealt by tenant, where a tenant would be one task."""
+    m = tables.memories(spark, "/root/testdata/sf0.001")
+    breaches = spark.range(100).groupBy((F.col("id") % 2 * 2).alias("org_id")).agg(F.lit("tokens").alias("kind"), F.lit("monthly").alias("period"), F.count("*").alias("used"), F.lit(1).alias("cap"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        jobs = pipelines.forge(m, writes.STUB, "j", summaries=False, breaches=breaches)["jobs"]
+        plan = jobs._jdf.queryExecution().executedPlan().toString()
+        assert {r.org_id: r.status for r in jobs.collect()} == {0: "rejected", 1: "completed", 2: "rejected", 3: "completed"}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    anti = [line for line in plan.splitlines() if "LeftAnti" in line]
+    assert anti and all("BroadcastHashJoin" in line for line in anti)
