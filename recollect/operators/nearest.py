@@ -23,7 +23,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: Queries of a block, rows of a slice, and similarities that are held at a time.
-BLOCK, SLICE, CELLS = 2000, 50_000, 4_000_000
+BLOCK, SLICE, CELLS = 2000, 20_000, 1_000_000
 #: Similarities of matrix products that are as near to the k-th as this are compared exactly.
 MARGIN = 1e-9
 
@@ -185,20 +185,26 @@ def centers_of(x: np.ndarray, n: int, rounds: int = 8, seed: int = 1) -> np.ndar
     return c
 
 
+def _listed(batches: Iterator[pa.RecordBatch], c: np.ndarray, names: list[str], probes: int) -> Iterator[pa.RecordBatch]:
+    """Rows (id, vector) of batches with the nearest of centers c, a row each. Similarities and the components that are
+    repeated for every probe are both held for at most CELLS at a time."""
+    probes = min(probes, len(c))
+    per = max(1, CELLS // max(len(c), probes * c.shape[1]))
+    for batch in batches:
+        at, x = matrix(batch.column(1), c.shape[1])
+        for a in range(0, len(x), per):
+            order = np.argsort(-(units(x[a : a + per]) @ c.T), axis=1, kind="stable")[:, :probes]
+            take = pa.array(np.repeat(at[a : a + per], probes))
+            place = np.tile(np.arange(probes), len(order))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(order.ravel(), pa.int32()), pa.array(place, pa.int32())], names=names)
+
+
 def _with_lists(df: DataFrame, centers: np.ndarray, id_column: str, column: str, probes: int) -> DataFrame:
     """(id, vector, cell) for the nearest lists of each vector, nearest first as place."""
-    sent, dim = df.sparkSession.sparkContext.broadcast(centers), centers.shape[1]  # MOST_LISTS centers at most
+    sent = df.sparkSession.sparkContext.broadcast(centers)  # MOST_LISTS centers at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = sent.value
-        for batch in batches:
-            at, x = matrix(batch.column(1), dim)
-            per = max(1, CELLS // len(c))
-            for a in range(0, len(x), per):
-                order = np.argsort(-(units(x[a : a + per]) @ c.T), axis=1, kind="stable")[:, :probes]
-                take = pa.array(np.repeat(at[a : a + per], order.shape[1]))
-                place = np.tile(np.arange(order.shape[1]), len(order))
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(order.ravel(), pa.int32()), pa.array(place, pa.int32())], names=[id_column, column, "cell", "place"])
+        yield from _listed(batches, sent.value, [id_column, column, "cell", "place"], probes)
 
     kinds = dict(df.dtypes)
     return df.select(id_column, column).mapInArrow(run, f"{id_column} {kinds[id_column]}, {column} {kinds[column]}, cell int, place int")

@@ -5,6 +5,7 @@ import random
 from datetime import datetime
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -164,3 +165,17 @@ def test_inverted_file_reaches_its_recall_and_reads_only_probed_lists(spark, tmp
     assert answered(many) == got and answered(nearest.search(index, asked, 10, index.lists)) == want
     with pytest.raises(ValueError):
         nearest.build(df.filter("id > 100000"), str(tmp_path / "none"))
+
+
+def test_probes_come_in_batches_of_bounded_components(monkeypatch):
+    """A batch of queries repeated for all their probes holds at most CELLS components, whatever the number of lists."""
+    monkeypatch.setattr(nearest, "CELLS", 1000)
+    rng = np.random.default_rng(3)
+    x, c = rng.normal(size=(100, 4)), nearest.units(rng.normal(size=(10, 4)))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(100)), pa.array(x.tolist(), pa.list_(pa.float64()))], names=["id", "v"])
+    for probes in (3, 10, 99):
+        got = list(nearest._listed(iter([batch]), c, ["id", "v", "cell", "place"], probes))
+        assert max(b.num_rows for b in got) * 4 <= 1000
+        rows = [(r["id"], r["place"], r["cell"]) for b in got for r in b.to_pylist()]
+        order = np.argsort(-(nearest.units(x) @ c.T), axis=1, kind="stable")
+        assert rows == [(i, k, order[i, k]) for i in range(100) for k in range(min(probes, 10))]
