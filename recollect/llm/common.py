@@ -239,6 +239,15 @@ def set_id(s: np.ndarray) -> int:
     return int(mix(np.array([total + np.uint64(len(s))], np.uint64)).view(np.int64)[0])
 
 
+def set_ids(sets: list[np.ndarray]) -> list[int]:
+    """set_id of each of many sets that have members, all at once."""
+    if not sets:
+        return []
+    sizes = np.array([len(s) for s in sets])
+    totals = np.add.reduceat(mix(np.concatenate(sets) + np.uint64(0x632BE59BD9B4E019)), np.cumsum(sizes) - sizes)
+    return mix(totals + sizes.astype(np.uint64)).view(np.int64).tolist()
+
+
 def signature(s: np.ndarray, least: int, most: int = 1024) -> np.ndarray:
     """Parity bits of a set: differing bits of two signatures never outnumber the sets' symmetric difference.
 
@@ -250,6 +259,19 @@ def signature(s: np.ndarray, least: int, most: int = 1024) -> np.ndarray:
     return np.packbits(bits.astype(np.uint8)).view(np.int64)
 
 
+def signatures(sets: list[np.ndarray], least: int) -> list[np.ndarray]:
+    """signature of each of many sets, those of the least length all at once."""
+    short = [i for i, s in enumerate(sets) if len(s) <= 32 * least]
+    out = [s if len(s) <= 32 * least else signature(s, least) for s in sets]
+    if short:
+        row = np.repeat(np.arange(len(short)), [len(sets[i]) for i in short])
+        bit = (np.concatenate([sets[i] for i in short]) >> np.uint64(7)).astype(np.int64) % (64 * least)
+        bits = np.bincount(row * 64 * least + bit, minlength=len(short) * 64 * least) & 1
+        for i, x in zip(short, np.packbits(bits.astype(np.uint8)).view(np.int64).reshape(-1, least), strict=True):
+            out[i] = x
+    return out
+
+
 #: Bytes up to which a counted side of a join is broadcast.
 SMALL_BYTES = 32_000_000
 

@@ -5,8 +5,10 @@ round each node is tried with the smallest node of like size in its keys' lists.
 list with those of other components. The links make stars, a node and those linked to it. In the last round the stars that
 share a key but stand in different components are compared by what bounds all their pairs (the symmetric difference is a
 metric, and a star's is small), and the pairs of those that stay are tried too; so no link is lost, though neither copies
-nor near copies are expanded into all pairs. Pairs are dropped by bounds (sizes, parity signatures) that no pair above the
-similarity fails; the rest are verified by walking prefix trees of the whole sets.
+nor near copies are expanded into all pairs. Nodes without a star, of which such pairs may be many, go on as heaps (what
+their pairs connect) instead of pairs, and a heap tells only links that join components. Pairs are dropped by bounds (sizes,
+parity signatures) that no pair above the similarity fails; the rest are verified by walking prefix trees of the whole sets,
+heaps by counting what their sets share.
 """
 
 from __future__ import annotations
@@ -28,6 +30,8 @@ STARS_PER_BUCKET = 10_000
 CONTRACT_ROWS = 2_000_000
 #: A node joins a star whose center differs from it in at most 1 / TIGHT of its size.
 TIGHT = 14
+#: Pairs of nodes without a star that a task holds before it cuts them down to what they connect.
+HELD_PAIRS = 1_000_000
 
 
 def n_buckets(keys: int) -> int:
@@ -243,14 +247,20 @@ def link(keyed: DataFrame, fetch: Callable[[DataFrame], DataFrame]) -> DataFrame
     forget(lists)
     edges = verified(first, fetch)
     labels = components(edges)
-    for tries in (scattered, across):
-        fresh = saved(tries(listed, nodes, edges, labels).join(first, ["a", "b"], "left_anti"))
-        if fresh.isEmpty():
-            continue
+    fresh = saved(scattered(listed, nodes, edges, labels).join(first, ["a", "b"], "left_anti"))
+    if not fresh.isEmpty():
         more = verified(fresh, fetch)
         first, edges = first.union(fresh), edges.union(more)
         if not more.isEmpty():
             labels = joined(labels, more)
+    pairs, heaps = across(listed, nodes, edges, labels)
+    fresh = saved(pairs.join(first, ["a", "b"], "left_anti"))
+    found = [] if fresh.isEmpty() else [verified(fresh, fetch)]
+    if not heaps.isEmpty():
+        found.append(joining(heaps, labels, fetch))
+    for more in found:
+        if not more.isEmpty():
+            labels = joined(labels, more)
     return labels
 
 
@@ -292,10 +302,41 @@ def _apart(one: np.ndarray, many: np.ndarray) -> np.ndarray:
     return np.bitwise_count(one[None, :] ^ many).sum(1, dtype=np.int64)
 
 
-def across(listed: DataFrame, nodes: DataFrame, edges: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs (a, b), a < b, of different components out of stars that share a key, as far as bounds allow them.
+def joining(heaps: DataFrame, labels: DataFrame, fetch: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Links (a, b) of heaps (heap, node), no more than join up the components of a heap's nodes."""
+    p, q = SIMILAR
+    comps = heaps.join(labels, "node", "left").select(F.col("heap").alias("a"), "node", F.coalesce("comp", "node").alias("comp"))
+    sets = fetch(heaps.select("node", F.col("heap").alias("a"), F.lit(0).alias("part")))
 
-    Stars, and then the members of near ones, are compared inside their groups; only what the bounds leave is a row."""
+    def check(group: pa.Table) -> pa.Table:
+        release()
+        nodes, comp = group.column("node").to_numpy(), group.column("comp").to_numpy().copy()
+        sets = [np.frombuffer(t, np.uint64) for t in group.column("toks").to_pylist()]
+        n = np.array([len(x) for x in sets])
+        at = np.cumsum(n) - n
+        _, token, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        owner = np.repeat(np.arange(len(sets)), n)[np.argsort(token, kind="stable")]  # the sets that have a token, token by token
+        first = np.cumsum(often) - often
+        links = []
+        for i in range(len(sets) - 1):
+            own = token[at[i] : at[i] + n[i]]
+            long = often[own]
+            with_it = owner[np.repeat(first[own] - (np.cumsum(long) - long), long) + np.arange(long.sum())]
+            shared = np.bincount(with_it, minlength=len(sets))
+            for j in np.flatnonzero((shared * (p + q) >= p * (n + n[i])) & (comp != comp[i])):
+                if comp[j] != comp[i]:
+                    links.append((min(nodes[i], nodes[j]), max(nodes[i], nodes[j])))
+                    comp[comp == comp[j]] = comp[i]
+        return pa.table({"a": pa.array([x[0] for x in links], pa.int64()), "b": pa.array([x[1] for x in links], pa.int64())})
+
+    return saved(sets.join(comps, ["a", "node"]).groupBy("a").applyInArrow(check, "a long, b long"))
+
+
+def across(listed: DataFrame, nodes: DataFrame, edges: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b), a < b, of different components out of stars that share a key, as far as bounds allow them, and heaps.
+
+    Stars, and then the members of near ones, are compared inside their groups; only what the bounds leave is a row. Stars of
+    one node are no pairs but heaps (heap, node): those that their pairs connect in a group, so a node is a row once a group."""
     p, q = SIMILAR
     star = edges.groupBy(F.col("b").alias("node")).agg(F.min(F.struct("d", "a")).alias("near"))
     member = nodes.join(star, "node", "left").join(labels, "node", "left")
@@ -323,6 +364,7 @@ def across(listed: DataFrame, nodes: DataFrame, edges: DataFrame, labels: DataFr
                 lists.setdefault(k, []).append(i)
         seen: set[bytes] = set()
         out = [np.zeros((0, 3), np.int64)]
+        alone, held = [], 0
         for rows in lists.values():
             at = np.array(rows)
             if (name := at.tobytes()) in seen:
@@ -334,13 +376,30 @@ def across(listed: DataFrame, nodes: DataFrame, edges: DataFrame, labels: DataFr
                 if len(j):
                     far = _apart(sig[i], sig[j])
                     ok = far <= radius[i] + radius[j] + _gap(hi[i] + hi[j])
+                    single = ok & (radius[i] + radius[j] == 0)
+                    if single.any():
+                        alone.append((np.full(single.sum(), ids[i]), ids[j[single]]))
+                        held += len(alone[-1][0])
+                    ok &= ~single
                     out.append(np.stack((np.minimum(ids[i], ids[j[ok]]), np.maximum(ids[i], ids[j[ok]]), far[ok]), 1))
+                if held > HELD_PAIRS:
+                    node, root, _ = local_roots(*(np.concatenate([x[c] for x in alone]) for c in range(2)), 0)
+                    alone, held = [(node, root)], 0
             if len(out) > 5000:
                 out = [np.unique(np.concatenate(out), axis=0)]
         pairs = np.unique(np.concatenate(out), axis=0)
-        return pa.table({"s": pa.array(pairs[:, 0]), "t": pa.array(pairs[:, 1]), "apart": pa.array(pairs[:, 2])})
-
-    near = shared.groupBy("bucket").applyInArrow(meet, "s long, t long, apart long").groupBy("s", "t").agg(F.max("apart").alias("apart"))
+        heap = node = np.zeros(0, np.int64)
+        if alone:
+            node, root, _ = local_roots(*(np.concatenate([x[c] for x in alone]) for c in range(2)), 0)
+            _, at = np.unique(root, return_inverse=True)
+            name = np.zeros(at.max() + 1, np.uint64)
+            np.add.at(name, at, mix(node.view(np.uint64)))
+            heap = mix(name)[at].view(np.int64)  # by its nodes, so that groups that find the same heap name it alike
+        return pa.table({"s": pa.array(np.concatenate((pairs[:, 0], heap))), "t": pa.array(np.concatenate((pairs[:, 1], node))), "apart": pa.array([*pairs[:, 2].tolist(), *[None] * len(node)], pa.int64())})
+
+    met = saved(shared.groupBy("bucket").applyInArrow(meet, "s long, t long, apart long"))  # apart is null where s is a heap of t
+    heaps = saved(met.filter("apart is null").select(F.col("s").alias("heap"), F.col("t").alias("node")).distinct())
+    near = met.filter("apart is not null").groupBy("s", "t").agg(F.max("apart").alias("apart"))
     one = member.select(F.col("node").alias("m"), F.col("n").alias("m_n"), F.col("star").alias("m_s"), F.col("d").alias("m_d"), F.col("sig").alias("m_sig"))
     near = saved(near)
     reach = member.groupBy(F.col("star").alias("r_star")).agg(F.max("d").alias("r"), F.max("n").alias("r_hi"))
@@ -361,7 +420,7 @@ def across(listed: DataFrame, nodes: DataFrame, edges: DataFrame, labels: DataFr
         return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
 
     pairs = left.groupBy("t").cogroup(right.groupBy("o_star")).applyInArrow(pair, "a long, b long").distinct()
-    return possible(pairs, nodes)
+    return possible(pairs, nodes), heaps
 
 
 def row_key(docs: DataFrame) -> Column:
