@@ -236,10 +236,11 @@ def components(edges: DataFrame) -> DataFrame:
     return saved(labels)
 
 
-def link(keyed: DataFrame, fetch: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def link(keyed: DataFrame, fetch: Callable[[DataFrame], DataFrame], heaped: bool = False) -> DataFrame:
     """(node, comp) of nodes that have a link.
 
-    keyed: rows (node, n, sig array<long>, keys packed), a node may repeat; fetch: rows (node, a, part) to (a, part, node, toks packed)."""
+    keyed: rows (node, n, sig array<long>, keys packed), a node may repeat; fetch: rows (node, a, part) to (a, part, node, toks packed).
+    heaped: sets are short, so nodes without a star go on as heaps; long ones are worth the second look at whole signatures that only pairs get."""
     lists = lists_of(keyed)
     listed = saved(unpack_rows(lists, k=np.int64, v=np.int64, n=np.int32))
     nodes = saved(keyed.groupBy("node").agg(F.first("n").alias("n"), F.first("sig").alias("sig")).join(listed.select(F.col("v").alias("node")).distinct(), "node", "left_semi"))
@@ -253,7 +254,7 @@ def link(keyed: DataFrame, fetch: Callable[[DataFrame], DataFrame]) -> DataFrame
         first, edges = first.union(fresh), edges.union(more)
         if not more.isEmpty():
             labels = joined(labels, more)
-    pairs, heaps = across(listed, nodes, edges, labels)
+    pairs, heaps = across(listed, nodes, edges, labels, heaped)
     fresh = saved(pairs.join(first, ["a", "b"], "left_anti"))
     found = [] if fresh.isEmpty() else [verified(fresh, fetch)]
     if not heaps.isEmpty():
@@ -332,7 +333,7 @@ def joining(heaps: DataFrame, labels: DataFrame, fetch: Callable[[DataFrame], Da
     return saved(sets.join(comps, ["a", "node"]).groupBy("a").applyInArrow(check, "a long, b long"))
 
 
-def across(listed: DataFrame, nodes: DataFrame, edges: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+def across(listed: DataFrame, nodes: DataFrame, edges: DataFrame, labels: DataFrame, heaped: bool = True) -> tuple[DataFrame, DataFrame]:
     """Pairs (a, b), a < b, of different components out of stars that share a key, as far as bounds allow them, and heaps.
 
     Stars, and then the members of near ones, are compared inside their groups; only what the bounds leave is a row. Stars of
@@ -376,7 +377,7 @@ def across(listed: DataFrame, nodes: DataFrame, edges: DataFrame, labels: DataFr
                 if len(j):
                     far = _apart(sig[i], sig[j])
                     ok = far <= radius[i] + radius[j] + _gap(hi[i] + hi[j])
-                    single = ok & (radius[i] + radius[j] == 0)
+                    single = ok & (radius[i] + radius[j] == 0) & heaped
                     if single.any():
                         alone.append((np.full(single.sum(), ids[i]), ids[j[single]]))
                         held += len(alone[-1][0])

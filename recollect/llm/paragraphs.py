@@ -114,7 +114,7 @@ def judged_lines(docs: DataFrame, least_words: int = MIN_WORDS) -> DataFrame:
         return ((int(text[i]), node, s) for (i, s), node in zip(sets, set_ids([s for _, s in sets]), strict=True))
 
     fetch = lambda wanted: sets_sent(docs, wanted, where, named_sets)
-    labels = link(found.filter("keys is not null").select("node", "n", "sig", "keys"), fetch)
+    labels = link(found.filter("keys is not null").select("node", "n", "sig", "keys"), fetch, heaped=True)
     linked = first.join(labels, "node")
     least = linked.groupBy("comp").agg(F.min("at").alias("least"))
     stays = first.join(linked.select("node", "comp").join(least, "comp").select("node", "least"), "node", "left").select("node", F.coalesce("least", "at").alias("stays"), "copies")
